@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 
 # Fixed value: whitespace stripped from chunk ends (all Unicode separators, controls, byte-order mark).
-BLANK_EDGES = r"^[\s\x{0B}\p{Z}\x{FEFF}]+|[\s\x{0B}\p{Z}\x{FEFF}]+$"
+BLANK_EDGES = r"^[\s\x{0B}\p{Z}\x{FEFF}]+|[\s\x{0B}\p{Z}\x{FEFF}]+\z"
 
 # Fixed value: the stars put in place of the middle of a secret.
 MASK = "*******"

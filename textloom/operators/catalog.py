@@ -67,7 +67,7 @@ def require_all_documents(docs: DataFrame, ids: DataFrame, key: str = "doc_id")
 
 
 def upsert_documents(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``old`` with every document of ``new`` added or, where the key exists, replaced."""
+    """``old`` with every document of ``new`` (one row per key) added or, where the key exists, replaced."""
     replaced = broadcast_if_small(new.select(*keys).distinct())
     return old.join(replaced, list(keys), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 

@@ -28,11 +28,11 @@ ABBREVIATIONS = (
 PARAGRAPH_SEPARATOR = "\n\n\n"
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*"
 CLAUSE_PATTERN = r"[^,.;。？！]+[,.;。？！]*|[,.;。？！]+"
-WORD_PATTERN = r"\s*\S+\s*$|\s*\S+|\s+"
+WORD_PATTERN = r"\s*\S+\s*\z|\s*\S+|\s+"
 CHARACTER_PATTERN = r"(?s)."
 
 # Stands for a dot that must not end a sentence; a Unicode noncharacter, so no text holds it.
-_QUIET_DOT = "﷐"
+_QUIET_DOT = "\ufdd0"
 _WORD_EDGE = r"(^|[^\p{L}\p{N}])"
 
 _BOUNDS = "array<struct<first:int,stop:int>>"

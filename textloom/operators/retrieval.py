@@ -93,13 +93,13 @@ def search(
     order = [F.desc("score"), *id_cols]
     wanted = offset + n + 1
     if wanted > DEEP_PAGE:
-        ranked = number_in_order(scored, order, name="rank").withColumn("rank", F.col("rank").cast("int") + 1)
-        page = ranked.filter(F.col("rank").between(offset + 1, wanted))
+        ranked = number_in_order(scored, order, name="rank").withColumn("rank", F.col("rank") + 1)
+        more = ranked.agg(F.coalesce(F.max("rank"), F.lit(0)) > offset + n).scalar()
     else:
-        best = scored.orderBy(*order).limit(wanted)
-        page = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    last = F.max("rank").over(Window.partitionBy(F.lit(0)))  # over at most offset + n + 1 rows
-    return page.withColumn("has_more", last > offset + n).filter(F.col("rank").between(offset + 1, offset + n))
+        best = scored.orderBy(*order).limit(wanted)  # both windows see at most offset + n + 1 rows
+        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        more = F.max("rank").over(Window.partitionBy(F.lit(0))) > offset + n
+    return ranked.withColumn("has_more", more).filter(F.col("rank").between(offset + 1, offset + n))
 
 
 def hits(page: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def search_batch(
     else:
         best = _best_by_blocks(stored, vectors, k, query_id, list(id_cols), out_schema, n_queries, dimension, block_bytes)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), *id_cols)
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     return ranked.select(query_id, "rank", *id_cols, "score")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +32,34 @@ def build_session(master: str | None = None, app: str = "textloom", **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="textloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the cluster's shared checkpoint folder.
+    """Materialise ``df`` once in the shared checkpoint folder.
 
     Row numbering needs the same rows in the same partitions each time they are read; a reliable
-    checkpoint gives that and survives lost executors. The folder is the session's
-    ``spark.checkpoint.dir``; only a local session without one gets a temporary folder.
+    checkpoint gives that and survives lost executors.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="textloom-checkpoint-")
-        context.setCheckpointDir(folder)
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -31,7 +31,7 @@ def read_rows_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ","
         .option("escape", '"')
         .csv(path)
     )
-    return rows.withColumnsRenamed({name: name.lstrip("﻿") for name in rows.columns if name.startswith("﻿")})
+    return rows.withColumnsRenamed({name: name.lstrip("\ufeff") for name in rows.columns if name.startswith("\ufeff")})
 
 
 def read_numbered_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
