@@ -33,7 +33,6 @@ CHARACTER_PATTERN = r"(?s)."
 
 # Stands for a dot that must not end a sentence; a Unicode noncharacter, so no text holds it.
 _QUIET_DOT = "\ufdd0"
-_WORD_EDGE = r"(^|[^\p{L}\p{N}])"
 
 _BOUNDS = "array<struct<first:int,stop:int>>"
 
@@ -52,30 +51,33 @@ def paragraphs(text: Column, separator: str = PARAGRAPH_SEPARATOR) -> Column:
     return F.filter(led, lambda part: part != "")
 
 
-def quiet_rules(abbreviations: Sequence[str] = ABBREVIATIONS) -> list[tuple[str, str]]:
-    """(pattern, replacement) pairs that hide dots which end no sentence: abbreviations, then decimals.
+def quiet_dot_pattern(abbreviations: Sequence[str] = ABBREVIATIONS) -> str:
+    """Matches each dot that ends no sentence: inside a decimal, or in or after an abbreviation.
 
-    Abbreviations with one closing dot share one pattern; those with inner dots get one each, since all
-    their dots must be hidden.
+    One pass: the match is a dot, found first, and only then looked around. Abbreviations stand alone (no letter
+    or digit before them) and their case does not matter.
     """
-    by_text = {a.lower(): a.lower() for a in abbreviations if a.strip(".")}
-    simple = [a[:-1] for a in by_text if a.endswith(".") and a.count(".") == 1]
-    rules = []
+    alone = r"(?:^|[^\p{L}\p{N}])"
+    around = [r"(?<=[0-9]\.)(?=[0-9])"]
+    simple = []
+    for abbreviation in dict.fromkeys(a.lower() for a in abbreviations if a.strip(".")):
+        parts = abbreviation.split(".")
+        for i in range(1, len(parts)):
+            before, after = (r"\.".join(map(re.escape, half)) for half in (parts[:i], parts[i:]))
+            if after:
+                around.append(f"(?<={alone}(?i:{before})\\.)(?=(?i:{after}))")
+            else:
+                simple.append(before)
     if simple:
-        rules.append((f"(?i){_WORD_EDGE}({'|'.join(map(re.escape, simple))})\\.", f"$1$2{_QUIET_DOT}"))
-    for dotted in (a for a in by_text if a.count(".") > 1 or ("." in a and not a.endswith("."))):
-        parts = dotted.split(".")
-        pattern = r"\.".join(f"({re.escape(p)})" for p in parts)
-        quiet = _QUIET_DOT.join(f"${i}" for i in range(2, len(parts) + 2))
-        rules.append((f"(?i){_WORD_EDGE}{pattern}", f"$1{quiet}"))
-    decimal = (r"([0-9])\.([0-9])", f"$1{_QUIET_DOT}$2")
-    return [*rules, decimal, decimal]  # twice, so that 1.2.3 is covered: matches cannot overlap
+        around.append(f"(?<={alone}(?i:{'|'.join(simple)})\\.)")
+    return f"\\.(?:{'|'.join(around)})"
 
 
 def sentences(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
     """Sentences with their trailing whitespace, not split after the given abbreviations or inside decimals."""
-    quiet = reduce(lambda t, rule: F.regexp_replace(t, *rule), quiet_rules(abbreviations), text)
-    return F.transform(_matches(SENTENCE_PATTERN)(quiet), lambda s: F.translate(s, _QUIET_DOT, "."))
+    quiet = F.regexp_replace(text, quiet_dot_pattern(abbreviations), _QUIET_DOT)
+    dot, stand_in = F.lit("."), F.lit(_QUIET_DOT)
+    return F.transform(_matches(SENTENCE_PATTERN)(quiet), lambda s: F.replace(s, stand_in, dot))
 
 
 def _levels(abbreviations: Sequence[str]) -> list[Callable[[Column], Column]]:
@@ -226,10 +228,16 @@ def split_pieces(
     return df.select(*kept, pieces(F.col(text_col), chunk_size, abbreviations).alias("pieces"))
 
 
-def explode_pieces(df: DataFrame) -> DataFrame:
-    """One row per piece of a ``pieces`` array: ``pos, text, n_tokens``."""
-    kept = [c for c in df.columns if c != "pieces"]
-    return df.select(*kept, F.posexplode("pieces").alias("pos", "piece")).select(*kept, "pos", "piece.text", "piece.n_tokens")
+def piece_rows(
+    df: DataFrame, chunk_size: int, text_col: str = "text", abbreviations: Sequence[str] = ABBREVIATIONS
+) -> DataFrame:
+    """One row per piece: ``text_col`` replaced by the piece, ``pos`` and ``n_tokens`` added."""
+    # The generator takes the expression itself: given a column, the optimizer adds a filter on the array's
+    # size and pushes it below, which would split the text twice.
+    kept = [c for c in df.columns if c != text_col]
+    found = pieces(F.col(text_col), chunk_size, abbreviations)
+    rows = df.select(*kept, F.posexplode(found).alias("pos", "piece"))
+    return rows.select(*kept, "pos", F.col("piece.text").alias(text_col), "piece.n_tokens")
 
 
 def pack_chunks(df: DataFrame, chunk_size: int, chunk_overlap: int) -> DataFrame:

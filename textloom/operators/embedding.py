@@ -61,7 +61,7 @@ def bucket_counts(buckets: Column, dimension: int) -> Column:
     Every bucket number is added once and the whole sorted; the gaps between the run ends, less one, are the
     counts. Linear in tokens plus dimension, and stays in the row.
     """
-    everything = F.array_sort(F.concat(buckets, F.sequence(F.lit(0), F.lit(dimension - 1))))
+    everything = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dimension - 1))))
 
     def run_ends(ordered: Column) -> Column:
         marked = F.transform(

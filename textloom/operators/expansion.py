@@ -71,7 +71,8 @@ def _with_neighbors(df: DataFrame, keys: list[str], position: Column, bucket_row
 
 
 def _emit(df: DataFrame, columns: list[str], max_tokens: int, count: Callable, blank_cols: list[str]) -> DataFrame:
-    own_tokens = F.col("n_tokens") if "n_tokens" in columns else count(F.col("text"))
+    df = df.withColumn("_tl_own_tokens", F.col("n_tokens") if "n_tokens" in columns else count(F.col("text")))
+    own_tokens = F.col("_tl_own_tokens")
     short, has_prev, has_next = own_tokens <= max_tokens, F.col("_tl_prev").isNotNull(), F.col("_tl_next").isNotNull()
     variants = F.array_compact(
         F.array(
@@ -84,7 +85,7 @@ def _emit(df: DataFrame, columns: list[str], max_tokens: int, count: Callable, b
         )
     )
     kept = [c for c in columns if c not in ("text", "n_tokens", "is_expanded", "variant")]
-    rows = df.select(*kept, own_tokens.alias("_tl_own_tokens"), F.inline(variants).alias("variant", "text"))
+    rows = df.select(*kept, own_tokens, F.inline(variants).alias("variant", "text"))
     expanded = F.col("variant") > 0
     out = []
     for name in kept:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions.vectors import SCORE_DECIMALS, cosine
 from textloom.operators.filtering import MetadataFilter, apply_filters
 from textloom.operators.numbering import number_in_order
-from textloom.session import broadcast_if_small, ship_package
+from textloom.session import broadcast_if_small, durable, ship_package
 
 # Vectors at least this long are scored with numpy on Arrow batches; shorter ones inside the JVM.
 WIDE_VECTOR = 128
@@ -119,9 +119,10 @@ def attach_source(
 ) -> DataFrame:
     """Hits with their source document's other columns, prefixed; hits without a source keep nulls.
 
-    The documents are first cut down to those hit (the hits, a page, are broadcast when small), so the corpus
-    is scanned once and never shuffled for a page.
+    The hits are materialised, since finding them is the expensive part. The documents are first cut down to
+    those hit (the hit ids are broadcast when few), so the corpus is scanned once and never shuffled for a page.
     """
+    found = durable(found)
     wanted = found.select(F.col(hit_id).alias(doc_id)).filter(F.col(doc_id).isNotNull()).distinct()
     sources = docs.join(broadcast_if_small(wanted), doc_id, "left_semi")
     renamed = sources.select(
@@ -156,7 +157,7 @@ def search_batch(
     query_type = queries.schema[query_id].dataType.simpleString()
     out_schema = f"{query_id} {query_type}, {', '.join(id_types)}, score double"
     vectors = queries.select(F.col(query_id), F.col(query_vector).alias("_tl_query")).filter(F.col("_tl_query").isNotNull())
-    stored = chunks.select(*id_cols, "embedding").filter(F.col("embedding").isNotNull())
+    stored = chunks.select(*id_cols, "embedding")  # null vectors are dropped in the tasks: see _valid
 
     sizes = vectors.agg(F.count("*"), F.max(F.size("_tl_query"))).first()
     n_queries, dimension = sizes[0], sizes[1] or 0
@@ -169,6 +170,12 @@ def search_batch(
     return ranked.select(query_id, "rank", *id_cols, "score")
 
 
+def _valid(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows with a vector. A filter in the plan would be pushed below the embedding and compute it twice."""
+    vectors = batch.column("embedding")
+    return batch.filter(vectors.is_valid()) if vectors.null_count else batch
+
+
 class _TopK:
     """The ``k`` best rows per query seen so far, ties broken by the ids."""
 
@@ -231,7 +238,7 @@ def _best_by_broadcast(
         matrix = _matrix(rows, len(rows[0]))
         step = max(1, BLOCK_BYTES // 8 // len(matrix))  # bounds the score matrix of one step
         top, id_types = None, []
-        for batch in batches:
+        for batch in map(_valid, batches):
             if top is None:
                 top = _TopK(k, table.column(query_id).to_pandas(), matrix, id_cols, query_id)
                 id_types = [batch.schema.field(c) for c in id_cols]
@@ -271,6 +278,7 @@ def _best_by_blocks(
     right = vectors.select("*", block(query_blocks, query_id).alias("_tl_qb"), every(chunk_blocks).alias("_tl_cb"))
 
     def score(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
+        left_block = left_block[left_block["embedding"].notna()]
         if left_block.empty or right_block.empty:
             return pd.DataFrame(columns=[query_id, *id_cols, "score"])
         matrix = np.stack(right_block["_tl_query"].to_numpy()).astype(np.float64)

@@ -18,6 +18,7 @@ from textloom.operators.expansion import expand_neighbors
 from textloom.operators.filtering import MetadataFilter
 from textloom.operators.retrieval import attach_source, hits, search
 from textloom.operators.stats import estimate_cost, middle_documents
+from textloom.session import spread_small
 from textloom.sources.csv import read_documents_csv, require_documents
 from textloom.sources.store import CorpusStore
 
@@ -55,7 +56,8 @@ def chunk_transforms(config: IngestConfig) -> list[Callable[[DataFrame], DataFra
 
 def documents_to_chunks(docs: DataFrame, config: IngestConfig) -> DataFrame:
     """Chunks ``doc_id, text_column, metadata, chunk_ix, variant, text, n_tokens, is_expanded``."""
-    chunks = run_transforms(docs.select("doc_id", "text_column", "metadata", "text"), chunk_transforms(config))
+    docs = spread_small(docs.select("doc_id", "text_column", "metadata", "text"), "doc_id")
+    chunks = run_transforms(docs, chunk_transforms(config))
     return chunks if "variant" in chunks.columns else chunks.withColumn("variant", F.lit(0))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import catalog, chunking, embedding, expansion, filtering, retrieval, stats
 from textloom.plans.corpus import Corpus, IngestConfig, preview
-from textloom.session import scratch_folder
+from textloom.session import scratch_folder, spread_small
 from textloom.sources import csv
 from textloom.sources.store import CorpusStore
 from textloom.streaming import append
@@ -42,6 +42,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Document texts, spread over the cores when the table is small."""
+    return spread_small(_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in the library's shape, ``source`` and ``lang`` as metadata."""
     return _table(spark, folder, "documents").select(
@@ -53,8 +58,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _table(spark, folder, "documents").select("doc_id", "text")
-    return chunking.chunk_documents(texts, CHUNK_SIZE, CHUNK_OVERLAP)
+    return chunking.chunk_documents(_texts(spark, folder), CHUNK_SIZE, CHUNK_OVERLAP)
 
 
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,24 +264,22 @@ for _name, _filters in _FILTERS.items():
 
 @_query
 def token_count(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
+    return _texts(spark, folder).select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
 
 
 @_query
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.split_sentences(_table(spark, folder, "documents").select("doc_id", "text"))
+    return chunking.split_sentences(_texts(spark, folder))
 
 
 @_query
 def piece_split(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return chunking.explode_pieces(chunking.split_pieces(docs, CHUNK_SIZE))
+    return chunking.piece_rows(_texts(spark, folder), CHUNK_SIZE)
 
 
 @_query
 def pack_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return chunking.pack_chunks(chunking.split_pieces(docs, CHUNK_SIZE), CHUNK_SIZE, CHUNK_OVERLAP)
+    return chunking.pack_chunks(chunking.split_pieces(_texts(spark, folder), CHUNK_SIZE), CHUNK_SIZE, CHUNK_OVERLAP)
 
 
 @_query
@@ -309,7 +311,7 @@ def chunk_and_expand(spark: SparkSession, folder: str) -> DataFrame:
         lambda docs: chunking.chunk_documents(docs, CHUNK_SIZE, CHUNK_OVERLAP),
         lambda chunks: expansion.expand_neighbors(chunks, EXPAND_TOKENS),
     ]
-    grown = chunking.run_transforms(_table(spark, folder, "documents").select("doc_id", "text"), transforms)
+    grown = chunking.run_transforms(_texts(spark, folder), transforms)
     return grown.select("doc_id", "chunk_ix", "variant", "text")
 
 
@@ -324,9 +326,8 @@ def mock_embed(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    vectors = embedding.embed(docs, embedding.hash_embedder(DIMENSION))
-    counts = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "x"))
+    vector = embedding.hash_embedder(DIMENSION).vector(F.col("text"))
+    counts = _texts(spark, folder).select("doc_id", F.posexplode(vector).alias("bucket", "x"))
     return counts.filter("x > 0").select("doc_id", "bucket", F.col("x").cast("long").alias("n"))
 
 
@@ -337,8 +338,7 @@ def function_embed(spark: SparkSession, folder: str) -> DataFrame:
     def model(texts: list[str]) -> list[list[float]]:
         return [[len(t), t.count(" "), t.count(".")] for t in texts]
 
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    vectors = embedding.embed(docs, embedding.function_embedder("shape", 3, model))
+    vectors = embedding.embed(_texts(spark, folder), embedding.function_embedder("shape", 3, model))
     parts = [F.col("embedding")[i].cast("long").alias(n) for i, n in enumerate(("n_chars", "n_spaces", "n_stops"))]
     return vectors.select("doc_id", *parts)
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Largest row count that is ever broadcast or gathered by a bounded step.
 BROADCAST_ROWS = 200_000
 
+# A scan giving each core at least this much is parallel enough as it is.
+SPREAD_BYTES = 16 * 1024 * 1024
+
 
 def build_session(master: str | None = None, app: str = "textloom", **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; ``conf`` overrides anything."""
@@ -73,6 +76,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over all cores by ``keys`` before CPU-heavy, row-local work.
+
+    A scan has no more tasks than its files have row groups, so a small file keeps one core busy. Inputs that
+    give each core ``SPREAD_BYTES`` or more by their plan statistics are left alone: moving them would cost a
+    shuffle and gain nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, *keys) if size < SPREAD_BYTES * cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per Spark context."""
     context = spark.sparkContext

@@ -82,8 +82,9 @@ class CorpusStore:
 
     def claim_set_id(self) -> int:
         """A new set id, claimed by creating its marker file, which only one writer can do."""
-        taken = self.sets().agg(F.max("set_id")).first()[0] or 0
-        candidate = taken + 1
+        filesystem, folder = self._filesystem(f"{self.root.rstrip('/')}/ids")
+        taken = filesystem.listStatus(folder) if filesystem.exists(folder) else []
+        candidate = max((int(status.getPath().getName()) for status in taken), default=0) + 1
         while True:
             filesystem, path = self._filesystem(f"{self.root.rstrip('/')}/ids/{candidate}")
             if not filesystem.exists(path) and filesystem.createNewFile(path):
