@@ -12,27 +12,23 @@ from textloom.operators.stats import count_documents
 from textloom.session import broadcast_if_small
 
 
-def list_sets(docs: DataFrame, sets: DataFrame, page: int = 1, page_size: int = 10) -> DataFrame:
+def list_sets(sets: DataFrame, docs: DataFrame | None = None, page: int = 1, page_size: int = 10) -> DataFrame:
     """One page of set descriptors, newest first, with ``total_documents`` and the ``total`` number of sets.
 
-    ``sets`` holds ``set_id, upload_date`` and any other descriptor columns; ``docs`` any table with
-    ``set_id``, one row per document.
+    ``sets`` holds ``set_id, upload_date`` and any other descriptor columns. With ``docs`` (one row per document,
+    with ``set_id``) the documents are counted; without, ``sets`` must carry ``total_documents``.
     """
     page, page_size = max(1, page), max(1, page_size)
-    descriptors = [c for c in sets.columns if c != "total_documents"]
     total = sets.agg(F.count("*")).scalar()
-    # The page is cut first: only its sets are counted against the documents.
-    rows = (
-        sets.select(*descriptors)
-        .orderBy(F.desc("upload_date"), "set_id")
-        .offset((page - 1) * page_size)
-        .limit(page_size)
-    )
-    counts = count_documents(docs.join(broadcast_if_small(rows.select("set_id")), "set_id", "left_semi"))
-    counted = rows.join(counts, "set_id", "left")
-    return counted.select(
-        *descriptors, F.coalesce("total_documents", F.lit(0)).alias("total_documents"), total.alias("total")
-    )
+    descriptors = [c for c in sets.columns if c != "total_documents"]
+    rows = sets.orderBy(F.desc("upload_date"), "set_id").offset((page - 1) * page_size).limit(page_size)
+    if docs is not None:
+        # The page is cut first: only its sets are counted.
+        rows = rows.select(*descriptors)
+        counts = count_documents(docs.join(broadcast_if_small(rows.select("set_id")), "set_id", "left_semi"))
+        rows = rows.join(counts, "set_id", "left")
+    counted = F.coalesce("total_documents", F.lit(0)).alias("total_documents")
+    return rows.select(*descriptors, counted, total.alias("total"))
 
 
 def get_set(sets: DataFrame, set_id) -> DataFrame:

@@ -21,6 +21,10 @@ STORED_COLUMNS = frozenset(
 )
 
 
+# Marks a metadata key stored as a column of its own.
+PROMOTED = "meta:"
+
+
 class MetadataFilter(NamedTuple):
     key: str
     operator: str
@@ -32,6 +36,8 @@ def filter_column(df: DataFrame, key: str) -> tuple[Column, str]:
 
     Promoted columns reach the Parquet scan as pushed filters; map entries cannot.
     """
+    if PROMOTED + key in df.columns:
+        return quoted(PROMOTED + key), "text"
     if key in df.columns and not (key in STORED_COLUMNS and "metadata" in df.columns):
         kind = df.schema[key].dataType
         if isinstance(kind, T.ArrayType):
@@ -40,6 +46,11 @@ def filter_column(df: DataFrame, key: str) -> tuple[Column, str]:
     return F.try_element_at("metadata", F.lit(key)), "text"
 
 
+def promote_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Copy metadata entries to columns of their own, so that filters on them reach the Parquet scan."""
+    return df.select("*", *[F.try_element_at("metadata", F.lit(key)).alias(PROMOTED + key) for key in keys])
+
+
 def apply_filters(df: DataFrame, filters: Sequence[MetadataFilter | tuple] = ()) -> DataFrame:
     """Keep rows matching every filter; none means all rows."""
     tests = []

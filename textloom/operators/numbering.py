@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,14 +59,16 @@ def number_in_file_order(df: DataFrame, file: str, block: str, seen: str, name:
     )
 
 
-def slice_by_position(df: DataFrame, key: str, start: int, length: int) -> DataFrame:
-    """Rows ``[start, start + length)`` in order of the unique integer column ``key``.
+def slice_by_position(df: DataFrame, key: str, start: int | Callable[[int], int], length: int) -> DataFrame:
+    """Rows ``[start, start + length)`` in order of the unique integer column ``key``; ``start`` may be a
+    function of the row count.
 
     Dense keys become a plain range filter. Otherwise counts over equal sub-ranges narrow the key range until
     few rows are left to sort, each round a scan of ``key`` alone with the range pushed down.
     """
     low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if rows == 0 or start >= rows:
+    start = start(rows) if callable(start) else start
+    if start >= rows:
         return df.limit(0)
     stop = min(start + length, rows)
     if high - low + 1 == rows:

@@ -15,20 +15,25 @@ from textloom.operators.catalog import list_sets, require_all_documents
 from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_documents, run_transforms
 from textloom.operators.embedding import Embedder, EmbedderRegistry, embed
 from textloom.operators.expansion import expand_neighbors
-from textloom.operators.filtering import MetadataFilter
+from textloom.operators.filtering import MetadataFilter, promote_keys
 from textloom.operators.retrieval import attach_source, hits, search
 from textloom.operators.stats import estimate_cost, middle_documents
 from textloom.session import spread_small
 from textloom.sources.csv import read_documents_csv, require_documents
-from textloom.sources.store import CorpusStore
+from textloom.sources.store import CorpusStore, as_documents
 
 
 @dataclass(frozen=True)
 class IngestConfig:
-    """How a set is chunked and embedded; stored with the set as JSON."""
+    """How a set is chunked and embedded; stored with the set as JSON.
+
+    ``metadata_columns`` only says what to show in result lists; all columns are kept. ``filter_columns`` are
+    metadata keys stored as columns too, for filters that prune the scan.
+    """
 
     text_columns: Sequence[str] = ("text",)
     metadata_columns: Sequence[str] = ()
+    filter_columns: Sequence[str] = ()
     description: str = ""
     embedder: str = "hash"
     model: str = "text-embedding-3-small"
@@ -45,7 +50,6 @@ class IngestConfig:
 
 def chunk_transforms(config: IngestConfig) -> list[Callable[[DataFrame], DataFrame]]:
     """The table transforms from documents to chunks; expansion only when asked for."""
-    check_sizes(config.chunk_size, config.chunk_overlap)
     transforms: list[Callable[[DataFrame], DataFrame]] = [
         lambda docs: chunk_documents(docs, config.chunk_size, config.chunk_overlap, config.abbreviations)
     ]
@@ -55,10 +59,11 @@ def chunk_transforms(config: IngestConfig) -> list[Callable[[DataFrame], DataFra
 
 
 def documents_to_chunks(docs: DataFrame, config: IngestConfig) -> DataFrame:
-    """Chunks ``doc_id, text_column, metadata, chunk_ix, variant, text, n_tokens, is_expanded``."""
+    """Chunks ``doc_id, text_column, metadata, chunk_ix, variant, text, n_tokens, is_expanded`` and filter columns."""
     docs = spread_small(docs.select("doc_id", "text_column", "metadata", "text"), "doc_id")
     chunks = run_transforms(docs, chunk_transforms(config))
-    return chunks if "variant" in chunks.columns else chunks.withColumn("variant", F.lit(0))
+    chunks = chunks if "variant" in chunks.columns else chunks.withColumn("variant", F.lit(0))
+    return promote_keys(chunks, config.filter_columns)
 
 
 @dataclass(frozen=True)
@@ -98,12 +103,11 @@ class Corpus:
         lost executor only repeats its own scan. The catalogue row comes last.
         """
         embedder = self.embedders.get(config.embedder)
-        transforms = chunk_transforms(config)  # checks the sizes before anything is written
-        assert transforms
+        check_sizes(config.chunk_size, config.chunk_overlap)
         require_documents(docs)
         store, version = self.store, 1
         set_id = store.claim_set_id()
-        store.write("documents", docs, set_id, version)
+        store.write("documents", as_documents(docs), set_id, version)
         written = store.read("documents", set_id, version)
         store.write("chunks", embed(documents_to_chunks(written, config), embedder), set_id, version)
         store.commit(set_id, name, datetime.now(timezone.utc), config.to_json(), written.count(), version)
@@ -144,10 +148,7 @@ class Corpus:
 
     def list_sets(self, page: int = 1, page_size: int = 10) -> DataFrame:
         """Newest sets first, one page, with the total number of sets; ``parameters`` as a map."""
-        sets = self.store.sets().drop("version")
-        if sets.isEmpty():
-            return sets.withColumn("total", F.lit(0).cast("long"))
-        listed = list_sets(self.store.open_all("documents").select("set_id"), sets, page, page_size)
+        listed = list_sets(self.store.sets().drop("version"), page=page, page_size=page_size)
         return listed.withColumn("parameters", params_from_json(F.col("parameters")))
 
     def get_documents(self, set_id: int, ids: Sequence[int]) -> DataFrame:

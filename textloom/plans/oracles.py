@@ -14,7 +14,7 @@ EDGE = r"(^|[^\p{L}\p{N}])"
 
 
 def _n_tokens(text: str) -> str:
-    return f"len(regexp_extract_all({text}, {TOKEN}))"
+    return f"len(regexp_extract_all({text}, {TOKEN}))::int"
 
 
 def _paragraphs(text: str) -> str:
@@ -196,10 +196,10 @@ q as {_hashed("(select item_id, text from benchmark)", 'item_id')}"""
         "embed_input": f"with recursive {chunks} select doc_id, chunk_ix, text from chunks",
         **{name: f"select doc_id from {FILTERABLE} where {where}" for name, where in FILTERS.items()},
         "token_count": f"select doc_id, {_n_tokens('text')} as n_tokens from documents",
-        "sentence_split": f"""select doc_id, generate_subscripts(s, 1) - 1 as pos, unnest(s) as text
+        "sentence_split": f"""select doc_id, (generate_subscripts(s, 1) - 1)::int as pos, unnest(s) as text
             from (select doc_id, {_sentences('text')} as s from documents)""",
         "piece_split": f"""with {pieces}
-            select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, t as text, n as n_tokens from pieces""",
+            select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::int as pos, t as text, n as n_tokens from pieces""",
         "pack_chunks": f"with recursive {chunks} select doc_id, chunk_ix, text, n_pieces, n_packed from packed",
         "clean_chunks": f"with recursive {chunks} select doc_id, text from chunks",
         "chunk_documents": f"""with recursive {chunks}
@@ -215,7 +215,7 @@ q as {_hashed("(select item_id, text from benchmark)", 'item_id')}"""
         "function_embed": """select doc_id, length(text) as n_chars, length(text) - length(replace(text, ' ', '')) as n_spaces,
             length(text) - length(replace(text, '.', '')) as n_stops from documents""",
         "dimension_check": f"""select vec_id, model, size, expected from (
-            select vec_id, 'm' || label as model, len(embedding) as size,
+            select vec_id, 'm' || label as model, len(embedding)::int as size,
                    case label when 1 then 32 when 2 then 128 else {DIM} end as expected from embeddings)
             where size <> expected""",
         "similarity": f"with {CENTROID} select vec_id, {_cosine('embedding::double[]', 'q')} as score from embeddings, centroid",

@@ -480,7 +480,7 @@ def _event_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 @_query
 def list_sets(spark: SparkSession, folder: str) -> DataFrame:
     events, sets = _event_sets(spark, folder)
-    listed = catalog.list_sets(events, sets, page=2, page_size=10)
+    listed = catalog.list_sets(sets, events, page=2, page_size=10)
     return listed.select("set_id", X.iso_timestamp(F.col("upload_date")).alias("upload_date"), "total_documents", "total")
 
 

@@ -8,8 +8,9 @@ Layout under one root (any Hadoop-visible path)::
     ids/S                    claimed set ids
 
 Data is written first and the catalogue row last, and readers start from the catalogue: an ingest that fails
-half-way leaves nothing visible, and a rewrite never touches the folder it reads. A bulk write is batch 0; a
-stream's micro-batches follow, each overwriting only its own folder, so a replayed batch changes nothing.
+half-way leaves nothing visible, and a rewrite never touches the folder it reads. A bulk write is the batch
+``bulk``; a stream's micro-batches add folders of their own, named after the stream and the batch number, so a
+replayed batch only overwrites itself.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ CATALOG_SCHEMA = (
     "version int, seq long, deleted boolean"
 )
 
+# Batch of documents written in one go.
+BULK = "bulk"
+
+# Stored document columns. ``content_key`` identifies streamed documents that came without a key of their own.
+DOCUMENT_COLUMNS = ("doc_id", "content_key", "text_column", "text", "metadata")
+
 # Fixed value: most rows in one written file.
 MAX_RECORDS_PER_FILE = 10_000
 
@@ -42,7 +49,7 @@ class CorpusStore:
 
     # ---- folders -----------------------------------------------------------------------------------------
 
-    def _folder(self, table: str, set_id: int, version: int | None = None, batch: int | None = None) -> str:
+    def _folder(self, table: str, set_id: int, version: int | None = None, batch: str | None = None) -> str:
         parts = [self.root.rstrip("/"), table, f"set_id={set_id}"]
         if version is not None:
             parts.append(f"version={version}")
@@ -54,6 +61,9 @@ class CorpusStore:
         hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
 
+    def has_batch(self, table: str, set_id: int, version: int, batch: str) -> bool:
+        return self._exists(self._folder(table, set_id, version, batch))
+
     def _exists(self, path: str) -> bool:
         filesystem, hadoop_path = self._filesystem(path)
         return filesystem.exists(hadoop_path)
@@ -104,7 +114,7 @@ class CorpusStore:
     # ---- documents and chunks ----------------------------------------------------------------------------
 
     def write(
-        self, table: str, df: DataFrame, set_id: int, version: int = 1, batch: int = 0,
+        self, table: str, df: DataFrame, set_id: int, version: int = 1, batch: str = BULK,
         max_records: int = MAX_RECORDS_PER_FILE,
     ) -> str:
         """Write one batch folder, replacing what an earlier attempt left there."""
@@ -124,12 +134,6 @@ class CorpusStore:
     def open_chunks(self, set_id: int) -> DataFrame:
         return self.read("chunks", set_id, self.require_set(set_id)["version"])
 
-    def open_all(self, table: str) -> DataFrame:
-        """A table over all live sets at their current versions; the catalogue side is small and broadcast."""
-        live = self.sets().select("set_id", "version")
-        everything = self.spark.read.parquet(f"{self.root.rstrip('/')}/{table}")
-        return everything.join(broadcast_if_small(live), ["set_id", "version"], "left_semi")
-
     # ---- changes -----------------------------------------------------------------------------------------
 
     def upsert(self, set_id: int, documents: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> int:
@@ -140,7 +144,7 @@ class CorpusStore:
         current = self.require_set(set_id)
         old, new = current["version"], current["version"] + 1
         stored = self.read("documents", set_id, old).drop("set_id", "version", "batch")
-        self.write("documents", upsert_documents(stored, documents, keys), set_id, new)
+        self.write("documents", upsert_documents(stored, as_documents(documents), keys), set_id, new)
         replaced = broadcast_if_small(documents.select(*keys).distinct())
         kept = self.read("chunks", set_id, old).join(replaced, list(keys), "left_anti")
         columns = [c for c in kept.columns if c not in ("set_id", "version", "batch")]
@@ -161,6 +165,13 @@ class CorpusStore:
         return True
 
 
+def as_documents(df: DataFrame) -> DataFrame:
+    """The stored document columns; no content key unless there is one."""
+    if "content_key" not in df.columns:
+        df = df.withColumn("content_key", F.lit(None).cast("string"))
+    return df.select(*DOCUMENT_COLUMNS)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first by ``order``; combined inside the scan tasks, so a frequent key is no hot spot."""
     rest = F.struct(*[c for c in df.columns if c not in keys])

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.operators.embedding import embed
+from textloom.operators.numbering import number_in_order
 from textloom.plans.corpus import Corpus, documents_to_chunks
 from textloom.session import broadcast_if_small
 from textloom.sources.csv import unpivot_text
-from textloom.sources.store import first_per_key
-
-
-def content_id(*columns: str) -> Column:
-    """A document id from its content: the first 60 bits of an md5. A stream has no file-order numbers."""
-    joined = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
-    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+from textloom.sources.store import as_documents, first_per_key
 
 
 def stream_csv(corpus: Corpus, folder: str, schema: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
@@ -35,56 +31,67 @@ def stream_csv(corpus: Corpus, folder: str, schema: str, sep: str = ",", multi_l
 
 
 def stream_documents(rows: DataFrame, text_cols: Sequence[str], id_col: str | None = None) -> DataFrame:
-    """Stream rows to documents; ``doc_id`` from ``id_col`` or else from the row's content."""
-    if id_col:
-        return unpivot_text(rows.withColumnRenamed(id_col, "_tl_id"), text_cols, drop=["_tl_id"]).select(
-            (F.col("_tl_id").cast("long") * len(text_cols) + _column_position(text_cols)).alias("doc_id"),
-            "text_column",
-            "text",
-            "metadata",
-        )
-    docs = unpivot_text(rows, text_cols)
-    entries = docs.withColumn("_tl_rest", F.to_json("metadata"))
-    return entries.select(content_id("text_column", "text", "_tl_rest").alias("doc_id"), "text_column", "text", "metadata")
-
+    """Stream rows to documents, identified by ``id_col`` (whole numbers) or else by their content.
 
-def _column_position(text_cols: Sequence[str]) -> Column:
-    return F.array_position(F.lit(list(text_cols)), F.col("text_column")) - 1
+    With ``id_col``, ``doc_id = id * len(text_cols) + column position``. Without, a document's ``content_key`` is
+    the md5 of its column name, text and metadata, and it gets its ``doc_id`` when it is stored: a stream has no
+    file-order numbers.
+    """
+    if id_col:
+        renamed = rows.withColumnRenamed(id_col, "_tl_id").withColumn("_tl_id", F.col("_tl_id").cast("long"))
+        return unpivot_text(renamed, text_cols, id_col="_tl_id")
+    content = F.to_json(F.struct("text_column", "text", "metadata"))
+    return unpivot_text(rows, text_cols).withColumn("content_key", F.md5(content))
 
 
-def append_batch(corpus: Corpus, set_id: int, documents: DataFrame, batch: int) -> None:
+def append_batch(corpus: Corpus, set_id: int, documents: DataFrame, batch: str, check_known: bool = True) -> None:
     """Add one batch of documents the set does not hold yet. Running it again changes nothing.
 
-    Only ids meet the stored table: the batch's ids are sent to a scan of the stored ids (when few, by
-    broadcast), and just the ids found come back to be dropped from the batch.
+    Only keys meet the stored table: the batch's keys are sent to a scan of the stored keys (by broadcast when
+    few), and just the keys found come back to be dropped from the batch. That scan reads one column of the set
+    per batch; ``check_known=False`` saves it for sources that never repeat a document.
     """
     store = corpus.store
     current = store.require_set(set_id)
     version = current["version"]
     config = corpus.config_of(set_id)
-    fresh = first_per_key(
-        documents.select("doc_id", "text_column", "text", "metadata"),
-        ["doc_id"],
-        [F.col("text_column"), F.col("text"), F.to_json("metadata")],
-    )
-    earlier = store.read("documents", set_id, version).filter(F.col("batch") != batch).select("doc_id")
-    known = earlier.join(broadcast_if_small(fresh.select("doc_id")), "doc_id", "left_semi").distinct()
-    store.write("documents", fresh.join(known, "doc_id", "left_anti"), set_id, version, batch)
-    written = store.read("documents", set_id, version).filter(F.col("batch") == batch)
+    repeated = store.has_batch("documents", set_id, version, batch)
+    stored = store.read("documents", set_id, version)
+    earlier = stored.filter(F.col("batch") != batch)
+
+    key = "doc_id" if "doc_id" in documents.columns else "content_key"
+    fresh = first_per_key(documents, [key], [F.col("text_column"), F.col("text"), F.to_json("metadata")])
+    if check_known:
+        known = earlier.select(key).join(broadcast_if_small(fresh.select(key)), key, "left_semi").distinct()
+        fresh = fresh.join(known, key, "left_anti")
+    if key == "content_key":
+        last = earlier.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
+        fresh = number_in_order(fresh, [key], name="doc_id").withColumn("doc_id", F.col("doc_id") + last + 1)
+    store.write("documents", as_documents(fresh), set_id, version, batch)
+
+    stored = store.read("documents", set_id, version)
+    written = stored.filter(F.col("batch") == batch)
     chunks = embed(documents_to_chunks(written, config), corpus.embedders.get(config.embedder))
     store.write("chunks", chunks, set_id, version, batch)
-    total = store.read("documents", set_id, version).count()
+    # A batch folder left by an earlier attempt may or may not be in the total already: count anew.
+    total = stored.count() if repeated else current["total_documents"] + written.count()
     store.commit(set_id, current["name"], current["upload_date"], current["parameters"], total, version)
 
 
-def ingest_stream(corpus: Corpus, set_id: int, documents: DataFrame, checkpoint: str) -> StreamingQuery:
+def ingest_stream(
+    corpus: Corpus, set_id: int, documents: DataFrame, checkpoint: str, check_known: bool = True
+) -> StreamingQuery:
     """Append a stream of documents to a set until its input is used up, then stop.
 
     Chunking and embedding keep no state between documents, so every micro-batch runs the batch operators.
-    Micro-batch ``b`` owns batch folder ``b + 1``; a replay after a failure overwrites that folder alone.
+    A micro-batch owns a batch folder named after the stream (its checkpoint folder) and its number; a replay
+    after a failure overwrites that folder alone. One stream per set at a time.
     """
+    stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     return (
-        documents.writeStream.foreachBatch(lambda batch_df, b: append_batch(corpus, set_id, batch_df, b + 1))
+        documents.writeStream.foreachBatch(
+            lambda batch_df, b: append_batch(corpus, set_id, batch_df, f"{stream}-{b}", check_known)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
