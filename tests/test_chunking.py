@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,9 +49,11 @@ def looped_bounds(lengths, size, overlap):
 
 
 @pytest.mark.parametrize(("size", "overlap"), [(20, 0), (50, 10), (40, 20), (20, 20)])
-def test_packing_matches_a_plain_loop(spark, size, overlap):
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_packing_matches_a_plain_loop(spark, monkeypatch, size, overlap, block):
+    monkeypatch.setattr(C, "_BLOCK_PIECES", block)
     rng = random.Random(size * 100 + overlap)
-    cases = [[rng.choice([0, 1, 2, 5, 10, size]) for _ in range(rng.randrange(0, 40))] for _ in range(300)]
+    cases = [[rng.choice([0, 1, 2, 5, 10, size]) for _ in range(rng.randrange(0, 40))] for _ in range(150)]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, lengths array<int>")
     rows = df.select("i", C.chunk_bounds(F.col("lengths"), size, overlap).alias("b")).collect()
     for row in rows:
@@ -142,6 +145,17 @@ def test_chunking_needs_no_shuffle_and_no_python(spark):
     assert "Exchange" not in plan and "Python" not in plan and plan.count("posexplode") == 1
 
 
+def test_a_long_document_takes_linear_time(spark):
+    def seconds(n):
+        df = spark.range(1).select(F.lit(0).alias("doc_id"), F.repeat(F.lit("Some words make a sentence. "), n).alias("text"))
+        start = time.perf_counter()
+        assert C.chunk_documents(df, 12, 0).count() == n // 2
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(60_000) < 25 * max(seconds(6_000), 1.0)
+
+
 def test_run_transforms_applies_in_order(spark):
     df = spark.createDataFrame([("a",)], "t string")
     steps = [lambda d, s=s: d.withColumn("t", F.concat("t", F.lit(s))) for s in "bcd"]

@@ -34,6 +34,9 @@ CHARACTER_PATTERN = r"(?s)."
 # Stands for a dot that must not end a sentence; a Unicode noncharacter, so no text holds it.
 _QUIET_DOT = "\ufdd0"
 
+# Pieces folded at a time.
+_BLOCK_PIECES = 1024
+
 _BOUNDS = "array<struct<first:int,stop:int>>"
 
 
@@ -125,64 +128,90 @@ def chunk_bounds(lengths: Column, chunk_size: int, chunk_overlap: int) -> Column
     A chunk is closed when the next piece would exceed ``chunk_size``; the new one starts with the longest
     tail of the closed chunk that has at most ``chunk_overlap`` tokens, and always takes the next piece. So a
     chunk holds at most ``chunk_size + chunk_overlap`` tokens.
+
+    The fold runs over blocks of pieces, and within each block over its pieces: every step copies its state, so
+    the list of chunks inside it must stay short for the time to stay linear on very long documents.
     """
 
-    def state(first: Column, held: Column, seen: Column, done: Column) -> Column:
-        return F.struct(first.alias("first"), held.alias("held"), seen.alias("seen"), done.alias("done"))
+    def state(first: Column, held: Column, done: Column) -> Column:
+        return F.struct(first.alias("first"), held.alias("held"), done.alias("done"))
 
-    def close(s: Column) -> Column:
-        return F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["seen"].alias("stop"))))
+    def close(s: Column, stop: Column) -> Column:
+        return F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), stop.alias("stop"))))
 
-    def tail(s: Column) -> Column:
+    def tail(s: Column, stop: Column) -> Column:
         """How many pieces to carry over, and their tokens."""
-        backwards = F.reverse(F.slice(lengths, s["first"] + 1, s["seen"] - s["first"]))
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(True).alias("open"))
         return F.aggregate(
-            backwards,
+            F.sequence(stop - 1, s["first"], F.lit(-1)),
             start,
-            lambda t, length: F.when(
-                t["open"] & (t["tokens"] + length <= chunk_overlap),
-                F.struct((t["n"] + 1).alias("n"), (t["tokens"] + length).alias("tokens"), F.lit(True).alias("open")),
+            lambda t, i: F.when(
+                t["open"] & (t["tokens"] + F.get(lengths, i) <= chunk_overlap),
+                F.struct(
+                    (t["n"] + 1).alias("n"),
+                    (t["tokens"] + F.get(lengths, i)).alias("tokens"),
+                    F.lit(True).alias("open"),
+                ),
             ).otherwise(F.struct(t["n"].alias("n"), t["tokens"].alias("tokens"), F.lit(False).alias("open"))),
         )
 
-    def step(s: Column, length: Column) -> Column:
-        seen = s["seen"] + 1
-        reopened = bind(tail(s), lambda t: state(s["seen"] - t["n"], t["tokens"] + length, seen, close(s)))
-        return F.when((s["held"] + length > chunk_size) & (s["seen"] > 0), reopened).otherwise(
-            state(s["first"], s["held"] + length, seen, s["done"])
+    def step(s: Column, i: Column) -> Column:
+        held = s["held"] + F.get(lengths, i)
+        reopened = bind(
+            tail(s, i), lambda t: state(i - t["n"], t["tokens"] + F.get(lengths, i), close(s, i))
         )
+        return F.when((held > chunk_size) & (i > 0), reopened).otherwise(state(s["first"], held, s["done"]))
 
-    empty = state(F.lit(0), F.lit(0), F.lit(0), F.array().cast(_BOUNDS))
-    return F.aggregate(lengths, empty, step, lambda s: F.when(s["seen"] > 0, close(s)).otherwise(s["done"]))
+    def block(s: Column, start: Column) -> Column:
+        inside = F.sequence(start, F.least(start + _BLOCK_PIECES, F.size(lengths)) - 1)
+        return bind(
+            F.aggregate(inside, state(s["first"], s["held"], none), step),
+            lambda b: state(b["first"], b["held"], F.concat(s["done"], b["done"])),
+        )
 
+    none = F.array().cast(_BOUNDS)
+    n = F.size(lengths)
+    starts = F.sequence(F.lit(0), n - 1, F.lit(_BLOCK_PIECES))
+    folded = F.aggregate(starts, state(F.lit(0), F.lit(0), none), block, lambda s: close(s, n))
+    return F.when(n > 0, folded).otherwise(none)
 
-def packed(found: Column, chunk_size: int, chunk_overlap: int) -> Column:
-    """Chunks ``array<struct<text, n_pieces, n_packed>>`` from an array of pieces; text untrimmed."""
 
-    def joined(all_pieces: Column) -> Callable[[Column], Column]:
-        def chunk(bound: Column) -> Column:
-            mine = F.slice(all_pieces, bound["first"] + 1, bound["stop"] - bound["first"])
-            return bind(
-                mine,
-                lambda m: F.struct(
-                    F.array_join(F.transform(m, lambda p: p["text"]), "").alias("text"),
-                    F.size(m).alias("n_pieces"),
-                    F.aggregate(m, F.lit(0), lambda total, p: total + p["n_tokens"]).alias("n_packed"),
-                ),
-            )
+def _members(found: Column, bound: Column) -> Column:
+    """The pieces of one chunk, taken by position: ``slice`` walks the array from its start each time."""
+    return F.transform(F.sequence(bound["first"], bound["stop"] - 1), lambda i: F.get(found, i))
+
 
-        return chunk
+def _joined(members: Column) -> Column:
+    return F.array_join(F.transform(members, lambda piece: piece["text"]), "")
+
+
+def _map_bounds(found: Column, chunk_size: int, chunk_overlap: int, chunk: Callable[[Column, Column], Column]) -> Column:
+    """``chunk(pieces, bound)`` for every chunk of an array of pieces, which is evaluated once."""
 
     def pack(all_pieces: Column) -> Column:
         return bind(
-            F.transform(all_pieces, lambda p: p["n_tokens"]),
-            lambda lengths: F.transform(chunk_bounds(lengths, chunk_size, chunk_overlap), joined(all_pieces)),
+            F.transform(all_pieces, lambda piece: piece["n_tokens"]),
+            lambda lengths: F.transform(
+                chunk_bounds(lengths, chunk_size, chunk_overlap), lambda bound: chunk(all_pieces, bound)
+            ),
         )
 
     return bind(found, pack)
 
 
+def packed(found: Column, chunk_size: int, chunk_overlap: int) -> Column:
+    """Chunks ``array<struct<text, n_pieces, n_packed>>`` from an array of pieces; text untrimmed."""
+
+    def describe(members: Column) -> Column:
+        return F.struct(
+            _joined(members).alias("text"),
+            F.size(members).alias("n_pieces"),
+            F.aggregate(members, F.lit(0), lambda total, piece: total + piece["n_tokens"]).alias("n_packed"),
+        )
+
+    return _map_bounds(found, chunk_size, chunk_overlap, lambda ps, bound: bind(_members(ps, bound), describe))
+
+
 def chunk_texts(
     text: Column,
     chunk_size: int,
@@ -192,17 +221,8 @@ def chunk_texts(
 ) -> Column:
     """Trimmed, non-blank chunk texts of a document as ``array<string>``."""
 
-    def pack(all_pieces: Column) -> Column:
-        def text_of(bound: Column) -> Column:
-            mine = F.slice(all_pieces, bound["first"] + 1, bound["stop"] - bound["first"])
-            return F.array_join(F.transform(mine, lambda p: p["text"]), "")
-
-        return bind(
-            F.transform(all_pieces, lambda p: p["n_tokens"]),
-            lambda lengths: F.transform(chunk_bounds(lengths, chunk_size, chunk_overlap), text_of),
-        )
-
-    raw = bind(pieces(text, chunk_size, abbreviations, count), pack)
+    found = pieces(text, chunk_size, abbreviations, count)
+    raw = _map_bounds(found, chunk_size, chunk_overlap, lambda ps, bound: _joined(_members(ps, bound)))
     return F.filter(F.transform(raw, strip_blank), lambda chunk: chunk != "")
 
 

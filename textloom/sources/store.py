@@ -38,8 +38,9 @@ BULK = "bulk"
 # Stored document columns. ``content_key`` identifies streamed documents that came without a key of their own.
 DOCUMENT_COLUMNS = ("doc_id", "content_key", "text_column", "text", "metadata")
 
-# Fixed value: most rows in one written file.
-MAX_RECORDS_PER_FILE = 10_000
+# Most rows in one written file. Files are split by row group when read, so this only bounds single uploads;
+# small files would cost more at scale than they save.
+MAX_RECORDS_PER_FILE = 250_000
 
 
 @dataclass(frozen=True)

@@ -62,7 +62,8 @@ def append_batch(corpus: Corpus, set_id: int, documents: DataFrame, batch: str,
     key = "doc_id" if "doc_id" in documents.columns else "content_key"
     fresh = first_per_key(documents, [key], [F.col("text_column"), F.col("text"), F.to_json("metadata")])
     if check_known:
-        known = earlier.select(key).join(broadcast_if_small(fresh.select(key)), key, "left_semi").distinct()
+        keys = broadcast_if_small(documents.select(key).distinct())
+        known = earlier.select(key).join(keys, key, "left_semi").distinct()
         fresh = fresh.join(known, key, "left_anti")
     if key == "content_key":
         last = earlier.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
