@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators.expansion import expand_neighbors
+from textloom.operators.chunking import chunk_documents
+from textloom.operators.expansion import chunk_and_expand, expand_neighbors
 
 SCHEMA = "doc_id long, chunk_ix int, text string, n_tokens int, metadata map<string,string>"
 
@@ -64,3 +65,17 @@ def test_no_window_spans_a_whole_document(spark):
     grown = expand_neighbors(df, bucket_rows=10)
     assert grown.count() == 50 + 49 + 48
     assert "_tl_bucket" in grown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_step_equals_two(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(99)}" + rng.choice(["", "."]) for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    df = spark.createDataFrame([(i, {"k": "v"}, t) for i, t in enumerate(texts)], "doc_id long, metadata map<string,string>, text string")
+    two = expand_neighbors(chunk_documents(df, 12, 3), 8)
+    one = chunk_and_expand(df, 12, 3, 8)
+
+    def rows(grown):
+        return sorted((r["doc_id"], r["chunk_ix"], r["variant"], r["text"], r["n_tokens"], r["is_expanded"], sorted(r["metadata"].items())) for r in grown.collect())
+
+    assert rows(one) == rows(two) and set(one.columns) == set(two.columns)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.binding import bind
 from textloom.functions.text import join_spaced, token_count
+from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_texts, drop_empty
 from textloom.operators.numbering import number_in_order
 
 # Rows per window partition. A document, or the whole corpus, is cut into buckets of this many neighbours, so
@@ -54,8 +56,8 @@ def _with_neighbors(df: DataFrame, keys: list[str], position: Column, bucket_row
     The first and last row of a bucket are also sent to the bucket next to it, where they only serve as
     neighbours; so every row sees both its neighbours inside one bounded window.
     """
-    bucket = F.floor(position / bucket_rows).cast("long")
     offset = position % bucket_rows
+    bucket = ((position - offset) / bucket_rows).cast("long")
     homes = F.array_compact(
         F.array(
             F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
@@ -70,22 +72,62 @@ def _with_neighbors(df: DataFrame, keys: list[str], position: Column, bucket_row
     ).filter("_tl_own")
 
 
+def chunk_and_expand(
+    docs: DataFrame,
+    chunk_size: int,
+    chunk_overlap: int,
+    max_tokens: int = 100,
+    abbreviations: Sequence[str] = ABBREVIATIONS,
+    count: Callable[[Column], Column] = token_count,
+) -> DataFrame:
+    """:func:`chunk_documents` followed by document-scope :func:`expand_neighbors`, as one step without a shuffle.
+
+    A document's chunks are still in one array when they are made, so their neighbours are at hand.
+    """
+    check_sizes(chunk_size, chunk_overlap)
+    kept = [c for c in docs.columns if c != "text"]
+
+    def variants(texts: Column) -> Column:
+        def of(text: Column, i: Column) -> Column:
+            return _variants(text, F.get(texts, i - 1), F.get(texts, i + 1), count(text), max_tokens, chunk_ix=i)
+
+        return F.flatten(F.transform(texts, of))
+
+    texts = chunk_texts(F.col("text"), chunk_size, chunk_overlap, abbreviations, count)
+    rows = drop_empty(docs).select(*kept, F.inline(bind(texts, variants)))
+    return _finish(rows, kept, [], count(F.col("text")))
+
+
+def _variants(
+    text: Column, before: Column, after: Column, own_tokens: Column, max_tokens: int, **fixed: Column
+) -> Column:
+    """The one to three rows a chunk gives, as an array of structs."""
+
+    def row(variant: int, *parts: Column) -> Column:
+        joined = join_spaced(*parts) if len(parts) > 1 else parts[0]
+        others = [value.alias(name) for name, value in fixed.items()]
+        return F.struct(*others, F.lit(variant).alias("variant"), joined.alias("text"))
+
+    grown = bind(
+        own_tokens <= max_tokens,
+        lambda short: F.array(
+            F.when(short & after.isNotNull(), row(1, text, after)),
+            F.when(short & after.isNotNull() & before.isNotNull(), row(2, before, text, after)),
+        ),
+    )
+    return F.array_compact(F.concat(F.array(row(0, text)), grown))
+
+
 def _emit(df: DataFrame, columns: list[str], max_tokens: int, count: Callable, blank_cols: list[str]) -> DataFrame:
     df = df.withColumn("_tl_own_tokens", F.col("n_tokens") if "n_tokens" in columns else count(F.col("text")))
     own_tokens = F.col("_tl_own_tokens")
-    short, has_prev, has_next = own_tokens <= max_tokens, F.col("_tl_prev").isNotNull(), F.col("_tl_next").isNotNull()
-    variants = F.array_compact(
-        F.array(
-            F.struct(F.lit(0).alias("variant"), F.col("text").alias("text")),
-            F.when(short & has_next, F.struct(F.lit(1).alias("variant"), join_spaced("text", "_tl_next").alias("text"))),
-            F.when(
-                short & has_next & has_prev,
-                F.struct(F.lit(2).alias("variant"), join_spaced("_tl_prev", "text", "_tl_next").alias("text")),
-            ),
-        )
-    )
+    rows = _variants(F.col("text"), F.col("_tl_prev"), F.col("_tl_next"), own_tokens, max_tokens)
     kept = [c for c in columns if c not in ("text", "n_tokens", "is_expanded", "variant")]
-    rows = df.select(*kept, own_tokens, F.inline(variants).alias("variant", "text"))
+    n_tokens = F.when(F.col("variant") > 0, count(F.col("text"))).otherwise(own_tokens)
+    return _finish(df.select(*kept, own_tokens, F.inline(rows)), kept, blank_cols, n_tokens)
+
+
+def _finish(rows: DataFrame, kept: list[str], blank_cols: list[str], n_tokens: Column) -> DataFrame:
     expanded = F.col("variant") > 0
     out = []
     for name in kept:
@@ -95,8 +137,8 @@ def _emit(df: DataFrame, columns: list[str], max_tokens: int, count: Callable, b
             out.append(F.when(expanded, _marked(F.col(name))).otherwise(F.col(name)).alias(name))
         else:
             out.append(F.col(name))
-    n_tokens = F.when(expanded, count(F.col("text"))).otherwise(F.col("_tl_own_tokens"))
-    return rows.select(*out, "variant", "text", n_tokens.alias("n_tokens"), expanded.alias("is_expanded"))
+    position = ["chunk_ix"] if "chunk_ix" in rows.columns and "chunk_ix" not in kept else []
+    return rows.select(*out, *position, "variant", "text", n_tokens.alias("n_tokens"), expanded.alias("is_expanded"))
 
 
 def _marked(metadata: Column) -> Column:

@@ -14,7 +14,7 @@ from textloom.functions.text import params_from_json
 from textloom.operators.catalog import list_sets, require_all_documents
 from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_documents, run_transforms
 from textloom.operators.embedding import Embedder, EmbedderRegistry, embed
-from textloom.operators.expansion import expand_neighbors
+from textloom.operators.expansion import chunk_and_expand, expand_neighbors
 from textloom.operators.filtering import MetadataFilter, promote_keys
 from textloom.operators.retrieval import attach_source, hits, search
 from textloom.operators.stats import estimate_cost, middle_documents
@@ -50,8 +50,11 @@ class IngestConfig:
 
 def chunk_transforms(config: IngestConfig) -> list[Callable[[DataFrame], DataFrame]]:
     """The table transforms from documents to chunks; expansion only when asked for."""
+    sizes = (config.chunk_size, config.chunk_overlap)
+    if config.expand and config.expand_scope == "document":
+        return [lambda docs: chunk_and_expand(docs, *sizes, config.expand_max_tokens, config.abbreviations)]
     transforms: list[Callable[[DataFrame], DataFrame]] = [
-        lambda docs: chunk_documents(docs, config.chunk_size, config.chunk_overlap, config.abbreviations)
+        lambda docs: chunk_documents(docs, *sizes, config.abbreviations)
     ]
     if config.expand:
         transforms.append(lambda chunks: expand_neighbors(chunks, config.expand_max_tokens, config.expand_scope))

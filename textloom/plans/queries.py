@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import catalog, chunking, embedding, expansion, filtering, retrieval, stats
-from textloom.plans.corpus import Corpus, IngestConfig, preview
+from textloom.plans.corpus import Corpus, IngestConfig, chunk_transforms, preview
 from textloom.session import scratch_folder, spread_small
 from textloom.sources import csv
 from textloom.sources.store import CorpusStore
@@ -306,12 +306,11 @@ def expand_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def chunk_and_expand(spark: SparkSession, folder: str) -> DataFrame:
-    """The transform list with the expansion flag set."""
-    transforms = [
-        lambda docs: chunking.chunk_documents(docs, CHUNK_SIZE, CHUNK_OVERLAP),
-        lambda chunks: expansion.expand_neighbors(chunks, EXPAND_TOKENS),
-    ]
-    grown = chunking.run_transforms(_texts(spark, folder), transforms)
+    """The transforms of an ingest with the expansion flag set."""
+    config = IngestConfig(
+        chunk_size=CHUNK_SIZE, chunk_overlap=CHUNK_OVERLAP, expand=True, expand_max_tokens=EXPAND_TOKENS
+    )
+    grown = chunking.run_transforms(_texts(spark, folder), chunk_transforms(config))
     return grown.select("doc_id", "chunk_ix", "variant", "text")
 
 
