@@ -23,9 +23,9 @@ def keyed_texts(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return df.select(quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("text"), *[quoted(c).alias(f"more_{i}") for i, c in enumerate(more)])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` stored once in the shared folder and read back: later steps neither compute it again nor lose it."""
     spark = df.sparkSession
     folder = scratch_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

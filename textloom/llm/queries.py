@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, sharding, warc
+from textloom.llm import decontamination, packing, quality, sharding, token_counts, warc
 from textloom.llm.common import table
 from textloom.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens along a Hilbert curve."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules and perplexity bands over all documents."""
+    return quality.score_documents(table(spark, folder, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of all documents, with the pieces and scores of a public model."""
+    pieces = token_counts.piece_vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, folder, "documents"), pieces)
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page archived and read back."""
     archive = scratch_folder(spark, "warc")
@@ -39,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_warc, op9_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pack, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
 
 
 _WARC_SQL = """
