@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, packing, quality, sharding, token_counts, warc
+from textloom.llm import decontamination, jaccard_join, packing, quality, sharding, token_counts, warc
 from textloom.llm.common import table
 from textloom.session import scratch_folder
 
@@ -25,6 +25,11 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicates among all documents."""
+    return jaccard_join.link_documents(table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Rules and perplexity bands over all documents."""
     return quality.score_documents(table(spark, folder, "documents"))
@@ -61,7 +66,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pack, op3_jaccard, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
 
 
 _WARC_SQL = """
@@ -74,6 +79,22 @@ select d.page_id, payload_bytes, d.payload_digest,
 from d left join w on d.payload_digest = w.payload_digest and payload_bytes >= 1000
 """
 
+_JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, hash(array_to_string(ws[i:i + 3], ' ')) as g
+  from w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as r(i) where len(ws) > 0),
+n as (select doc_id, count(*)::bigint as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+p as (select a, b from e union all select b, a from e),
+r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, p.b from r join p on r.reach = p.a)
+select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach) as component_id
+from r left join n using (doc_id) group by 1
+"""
+
 _DECONTAMINATION_SQL = r"""
 with w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -97,4 +118,4 @@ from w left join n using (doc_id) left join t using (doc_id)
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
+    return {"op3_jaccard": _JACCARD_SQL, "op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
