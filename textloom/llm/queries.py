@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, jaccard_join, packing, quality, sharding, token_counts, warc
+from textloom.llm import decontamination, jaccard_join, packing, quality, repeats, sharding, token_counts, warc
 from textloom.llm.common import table
 from textloom.session import scratch_folder
 
@@ -30,6 +30,11 @@ def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, folder, "documents"))
 
 
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated 100-byte strings removed from all documents."""
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Rules and perplexity bands over all documents."""
     return quality.score_documents(table(spark, folder, "documents"))
@@ -66,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack, op3_jaccard, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pack, op3_jaccard, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
 
 
 _WARC_SQL = """
