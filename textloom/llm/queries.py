@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, jaccard_join, packing, quality, repeats, sharding, token_counts, warc
+from textloom.llm import decontamination, jaccard_join, language_id, packing, quality, repeats, secret_scan, sharding, token_counts, warc
 from textloom.llm.common import table
 from textloom.session import scratch_folder
 
@@ -25,11 +25,21 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.find_secrets(table(spark, folder, "documents")).drop("redacted")
+
+
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of near-duplicates among all documents."""
     return jaccard_join.link_documents(table(spark, folder, "documents"))
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    return language_id.identify_languages(table(spark, folder, "documents"))
+
+
 def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated 100-byte strings removed from all documents."""
     return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
@@ -71,7 +81,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack, op3_jaccard, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pack, op2_secrets, op3_jaccard, op4_language, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
 
 
 _WARC_SQL = """
