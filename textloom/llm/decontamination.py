@@ -176,4 +176,5 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``documents`` that are not contaminated, columns unchanged. Keys must identify rows; null keys stay."""
     bad = contamination(documents, items, key, text).filter("contaminated").select(quoted(key).alias("bad_key"))
-    return documents.join(bad, quoted(key) == F.col("bad_key"), "left_anti")
+    # Stored first, so that Spark knows how few they are and need not move the documents.
+    return documents.join(written(bad, "contaminated"), quoted(key) == F.col("bad_key"), "left_anti")

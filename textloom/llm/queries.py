@@ -27,7 +27,7 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents."""
-    return secret_scan.find_secrets(table(spark, folder, "documents")).drop("redacted")
+    return secret_scan.find_secrets(table(spark, folder, "documents"))
 
 
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:

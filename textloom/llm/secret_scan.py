@@ -7,6 +7,7 @@ tokens of pattern matches in a bounded sample, and adds spans that no pattern co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import arrays as A
 from textloom.llm.common import keyed_texts, quoted
+from textloom.session import ship_package
 
 # The base patterns, their kinds in order, and the least length of what they must hold.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -288,54 +290,81 @@ def learn_field(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     return train_field([f for f, _ in examples], [t for _, t in examples])
 
 
+def _all_spans(field: Field, margin: float, data: np.ndarray, bounds: np.ndarray, texts: list[str]) -> Iterator[tuple[list, list]]:
+    """Of each text of a block, its pattern matches, and these together with the spans that the field adds."""
+    start, end, row, features = token_features(data, bounds)
+    score = field.weights[features[0]].copy()
+    for line in features[1:]:
+        score += field.weights[line]
+    tags = decode(field, score - margin, row)
+    added: dict[int, list[tuple[int, int]]] = {}
+    for i in np.flatnonzero(tags == B).tolist():
+        last = i
+        while last + 1 < len(tags) and tags[last + 1] == I and row[last + 1] == row[i]:
+            last += 1
+        added.setdefault(int(row[i]), []).append((int(start[i]), int(end[last])))
+    order = [*KINDS, LEARNED]
+    for number, content in enumerate(texts):
+        base = base_matches(content)
+        spans = list(base)
+        raw = data[bounds[number] : bounds[number + 1]]
+        for low, high in added.get(number, ()):
+            low, high = (int(np.count_nonzero((raw[: x - bounds[number]] & 0xC0) != 0x80)) for x in (low, high))
+            if all(high <= a or low >= b for a, b, _ in base):
+                spans.append((low, high, LEARNED))
+        spans.sort(key=lambda s: (s[0], order.index(s[2])))
+        yield base, spans
+
+
 def find_secrets(documents: DataFrame, key: str = "doc_id", text: str = "text", field: Field | None = None, margin: float = MARGIN) -> DataFrame:
-    """Per row: key, n_assign, n_access, n_hex, base_sha256, spans, redacted (the text with every span replaced by ``<secret>``).
+    """Per row: key, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are ``kind:start:end`` in code points, end exclusive. Pattern matches are always there; spans that the field adds are of
     kind ``learned`` and overlap none of them. Null texts are empty; an empty text has no span. Repeated and null keys keep their rows.
     Nothing is shuffled.
     """
-    learned = field or learn_field(documents, key, text)
     rows = keyed_texts(documents, key, text)
-    shared = documents.sparkSession.sparkContext.broadcast(learned)
+    shared = documents.sparkSession.sparkContext.broadcast(field or learn_field(documents, key, text))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        own = shared.value
         for part, data, bounds in A.blocks(batches):
-            start, end, row, features = token_features(data, bounds)
-            score = own.weights[features[0]].copy()
-            for line in features[1:]:
-                score += own.weights[line]
-            tags = decode(own, score - margin, row)
-            added: dict[int, list[tuple[int, int]]] = {}
-            for i in np.flatnonzero(tags == B).tolist():
-                last = i
-                while last + 1 < len(tags) and tags[last + 1] == I and row[last + 1] == row[i]:
-                    last += 1
-                added.setdefault(int(row[i]), []).append((int(start[i]), int(end[last])))
             out = []
-            for number, content in enumerate(part.column("text").to_pylist()):
-                base = base_matches(content)
-                spans = list(base)
-                raw = data[bounds[number] : bounds[number + 1]]
-                for low, high in added.get(number, ()):
-                    low, high = (int(np.count_nonzero((raw[: x - bounds[number]] & 0xC0) != 0x80)) for x in (low, high))
-                    if all(high <= a or low >= b for a, b, _ in base):
-                        spans.append((low, high, LEARNED))
-                order = [*KINDS, LEARNED]
-                spans.sort(key=lambda s: (s[0], order.index(s[2])))
-                texts = [",".join(f"{k}:{a}:{b}" for a, b, k in some) for some in (base, spans)]
-                counts = [sum(k == kind for _, _, k in base) for kind in KINDS]
-                out.append((*counts, hashlib.sha256(texts[0].encode()).hexdigest(), texts[1], _redacted(content, spans)))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 3
-            names = ["key", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"]
+            for base, spans in _all_spans(shared.value, margin, data, bounds, part.column("text").to_pylist()):
+                listed, everything = (",".join(f"{k}:{a}:{b}" for a, b, k in some) for some in (base, spans))
+                out.append((*[sum(k == kind for _, _, k in base) for kind in KINDS], hashlib.sha256(listed.encode()).hexdigest(), everything))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            names = ["key", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=names)
 
     kind = rows.schema["key"].dataType.simpleString()
-    shape = f"key {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, redacted string"
-    return rows.mapInArrow(scan, shape).withColumnRenamed("key", key)
+    return rows.mapInArrow(scan, f"key {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string").withColumnRenamed("key", key)
+
+
+def without_secrets(documents: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", field: Field | None = None, margin: float = MARGIN) -> DataFrame:
+    """All rows of ``documents`` with every secret replaced by ``<secret>``, other columns unchanged; a null text stays null.
+
+    If there is an integer ``length`` column, it becomes the number of characters where the text changed. The rows stay where they are.
+    """
+    ship_package(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(field or learn_field(documents, key, text))
+    names = documents.columns
+    at, count = names.index(text), names.index(length) if length in names else None
+    # Positions as names, so that odd column names do not matter inside.
+    plain = documents.select([quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, bounds in A.blocks(batches, text=f"c{at}"):
+            texts = part.column(at).to_pylist()
+            filled = [t or "" for t in texts]
+            clean = [None if t is None else _redacted(t, spans) for t, (_, spans) in zip(texts, _all_spans(shared.value, margin, data, bounds, filled))]
+            columns = list(part.columns)
+            columns[at] = pa.array(clean, part.column(at).type)
+            if count is not None and pa.types.is_integer(columns[count].type):
+                lengths = [n if new == old else len(new) for n, old, new in zip(columns[count].to_pylist(), texts, clean)]
+                columns[count] = pa.array(lengths, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return plain.mapInArrow(redact, plain.schema).toDF(*names)
 
 
 def _redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
