@@ -164,10 +164,10 @@ def fit_models(documents: DataFrame, text: str, lang: str) -> dict[str, Language
 
     ones, twos, threes, fours = (F.sum((F.col("c") == i).cast("double")) for i in (1, 2, 3, 4))
     seen = grams.groupBy("lang", "n").agg(ones.alias("n1"), twos.alias("n2"), threes.alias("n3"), fours.alias("n4"))
-    y = F.expr("n1 / (n1 + 2 * n2)")
+    y = F.expr("try_divide(n1, n1 + 2 * n2)")
 
     def discount(i: int):
-        value = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        value = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.when((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{i}") > 0) & (value > 0), value).otherwise(F.lit(0.5 * i))
 
     discounts = seen.select("lang", "n", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
