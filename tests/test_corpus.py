@@ -3,9 +3,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.errors import DocumentNotFoundError, EmptyCorpusError, SetNotFoundError, UnknownEmbedderError
+from textloom.errors import ConcurrentChangeError, DocumentNotFoundError, EmptyCorpusError, IdentityError, SetNotFoundError, UnknownEmbedderError
 from textloom.operators import catalog, stats
-from textloom.plans.corpus import Corpus, IngestConfig, preview
+from textloom.operators.embedding import EmbedderRegistry, function_embedder
+from textloom.plans.corpus import Corpus, IngestConfig, preview, rank_chunks
 from textloom.streaming.append import append_batch, ingest_stream, stream_csv, stream_documents
 
 CONFIG = IngestConfig(text_columns=("text",), chunk_size=50, chunk_overlap=10, filter_columns=("note",))
@@ -72,7 +73,7 @@ def test_upsert(corpus, spark, tmp_path):
     set_id = corpus.ingest_csv(write(tmp_path / "a.csv", "text,note\nold zero,a\nold one,b\n"), "s", CONFIG)
     schema = "doc_id long, text_column string, text string, metadata map<string,string>"
     new = spark.createDataFrame([(1, "text", "new one", {"note": "c"}), (7, "text", "new seven", {"note": "d"})], schema)
-    assert corpus.upsert_documents(set_id, new) == 2
+    corpus.upsert_documents(set_id, new)
     for table in (corpus.store.open_documents(set_id), corpus.store.open_chunks(set_id)):
         assert {r["doc_id"]: r["text"] for r in table.collect()} == {0: "old zero", 1: "new one", 7: "new seven"}
     assert corpus.list_sets().first()["total_documents"] == 3
@@ -129,12 +130,132 @@ def test_stream_with_content_keys_replays_and_appends(corpus, tmp_path):
     assert run("two") == ["first", "fourth", "second", "third"]
 
 
-def test_keyed_batches_are_idempotent(corpus, spark, tmp_path):
-    set_id = corpus.ingest_csv(write(tmp_path / "a.csv", "text,note\nfirst,a\n"), "s", CONFIG)
-    schema = "doc_id long, text_column string, text string, metadata map<string,string>"
-    batch = spark.createDataFrame([(0, "text", "known id", {}), (5, "text", "five", {}), (6, "text", "six", {})], schema)
+DOCS = "doc_id long, text_column string, text string, metadata map<string,string>"
+
+
+def documents(spark, *rows):
+    return spark.createDataFrame([(i, "text", t, {}) for i, t in rows], DOCS)
+
+
+def stored(corpus, set_id):
+    docs = {r["doc_id"]: r["text"] for r in corpus.store.open_documents(set_id).collect()}
+    chunks = [(r["doc_id"], r["text"]) for r in corpus.store.open_chunks(set_id).collect()]
+    assert sorted(chunks) == sorted(docs.items())
+    assert corpus.get_set(set_id)["total_documents"] == len(docs)
+    return docs
+
+
+def test_keyed_batches_replace_and_are_idempotent(corpus, spark):
+    set_id = corpus.ingest_documents(documents(spark, (0, "first"), (1, "second")), "s", CONFIG)
+    batch = documents(spark, (0, "first again"), (5, "five"), (6, "six"))
     for _ in range(2):
         append_batch(corpus, set_id, batch, "s-0")
-        assert {r["doc_id"]: r["text"] for r in corpus.store.open_documents(set_id).collect()} == {0: "first", 5: "five", 6: "six"}
-        assert corpus.store.open_chunks(set_id).count() == 3
-        assert corpus.list_sets().first()["total_documents"] == 3
+        assert stored(corpus, set_id) == {0: "first again", 1: "second", 5: "five", 6: "six"}
+    append_batch(corpus, set_id, documents(spark, (5, "five again")), "s-1")
+    append_batch(corpus, set_id, batch, "s-0")
+    assert stored(corpus, set_id)[5] == "five again"
+
+
+def test_the_last_row_of_a_key_in_a_batch_counts(corpus, spark):
+    set_id = corpus.ingest_documents(documents(spark, (0, "first")), "s", CONFIG)
+    append_batch(corpus, set_id, documents(spark, (3, "zebra"), (3, "middle"), (3, "aardvark two"), (4, "x")).coalesce(1), "b")
+    assert stored(corpus, set_id) == {0: "first", 3: "aardvark two", 4: "x"}
+
+
+def test_a_batch_half_written_is_not_seen_and_is_made_up_for(corpus, spark, monkeypatch):
+    set_id = corpus.ingest_documents(documents(spark, (0, "first")), "s", CONFIG)
+    batch = documents(spark, (5, "five"), (6, "six"))
+    with monkeypatch.context() as broken:
+        broken.setattr(Corpus, "_embedded", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            append_batch(corpus, set_id, batch, "one-0")
+    assert stored(corpus, set_id) == {0: "first"}
+    append_batch(corpus, set_id, batch, "another-0")  # a stream with a new checkpoint
+    assert stored(corpus, set_id) == {0: "first", 5: "five", 6: "six"}
+
+
+def test_identities_do_not_mix(corpus, spark, tmp_path):
+    numbered = corpus.ingest_csv(write(tmp_path / "a.csv", "text,note\nfirst,a\n"), "s", CONFIG)
+    with pytest.raises(IdentityError):
+        append_batch(corpus, numbered, documents(spark, (0, "another document")), "b")
+    keyed = corpus.ingest_csv(write(tmp_path / "b.csv", "text,note,no\nfirst,a,40\nsecond,b,7\n"), "s", CONFIG, id_col="no")
+    assert stored(corpus, keyed) == {40: "first", 7: "second"}
+    with pytest.raises(IdentityError):
+        append_batch(corpus, keyed, documents(spark, (0, "x")).drop("doc_id"), "b")
+    rows = spark.createDataFrame([("first anew", "a", "40")], "text string, note string, no string")
+    append_batch(corpus, keyed, stream_documents(rows, ["text"], id_col="no"), "b")
+    assert stored(corpus, keyed) == {40: "first anew", 7: "second"}
+
+
+def test_streaming_the_file_that_made_a_set_adds_nothing(corpus, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    path = write(folder / "a.csv", "text,note\nfirst,a\nsecond,b\n")
+    set_id = corpus.ingest_csv(path, "s", CONFIG)
+    rows = stream_csv(corpus, str(folder), "text string, note string")
+    ingest_stream(corpus, set_id, stream_documents(rows, ["text"]), str(tmp_path / "check")).awaitTermination()
+    assert stored(corpus, set_id) == {0: "first", 1: "second"}
+
+
+def test_two_writers_lose_nothing(corpus, spark):
+    set_id = corpus.ingest_documents(documents(spark, (0, "first")), "s", CONFIG)
+    other = Corpus(spark, corpus.root)
+    seen = corpus.store.require_set(set_id)
+    assert other.store.require_set(set_id) == seen
+    corpus.upsert_documents(set_id, documents(spark, (1, "by one")))
+    other.upsert_documents(set_id, documents(spark, (2, "by another"), (1, "by another too")))
+    assert stored(corpus, set_id) == {0: "first", 1: "by another too", 2: "by another"}
+    base = corpus.store.last_commit(set_id)
+    corpus.upsert_documents(set_id, documents(spark, (3, "third")))
+    with pytest.raises(ConcurrentChangeError):
+        other.upsert_documents(set_id, documents(spark, (4, "x")), after=base)
+
+
+def test_compaction_keeps_what_is_seen(corpus, spark):
+    set_id = corpus.ingest_documents(documents(spark, (0, "first"), (1, "second")), "s", CONFIG)
+    corpus.upsert_documents(set_id, documents(spark, (1, "second anew"), (2, "third")))
+    before = stored(corpus, set_id)
+    assert corpus.store.compact(set_id) == 2 and stored(corpus, set_id) == before
+    corpus.store.remove_old_versions(set_id)
+    corpus.upsert_documents(set_id, documents(spark, (0, "first anew")))
+    assert stored(corpus, set_id) == {**before, 0: "first anew"}
+    assert corpus.search(set_id, "second anew", n=1).first()["source_doc_id"] == 1
+
+
+def test_expansions_across_documents_follow_a_change(corpus, spark):
+    config = IngestConfig(chunk_size=50, chunk_overlap=0, expand=True, expand_scope="corpus")
+    set_id = corpus.ingest_documents(documents(spark, (0, "alpha one"), (1, "secret two"), (2, "gamma three")), "s", config)
+    corpus.upsert_documents(set_id, documents(spark, (1, "beta two")))
+    texts = {r["text"] for r in corpus.store.open_chunks(set_id).collect()}
+    assert texts == {"alpha one", "beta two", "gamma three", "alpha one beta two", "beta two gamma three", "alpha one beta two gamma three"}
+
+
+def test_vectors_of_another_dimension_are_refused(spark, tmp_path):
+    short = function_embedder("short", 4, lambda texts: [[1.0, 2.0, 3.0] for _ in texts])
+    corpus = Corpus(spark, str(tmp_path / "s"), EmbedderRegistry({"short": short}))
+    with pytest.raises(Exception, match="declares 4 dimensions"):
+        corpus.ingest_documents(documents(spark, (0, "x")), "s", IngestConfig(embedder="short"))
+    assert corpus.list_sets().count() == 0
+
+
+def test_ranking_reads_no_text(corpus, spark):
+    set_id = corpus.ingest_documents(documents(spark, *[(i, f"word{i % 7} text {i}") for i in range(50)]), "s", CONFIG)
+    chunks = corpus.store.open_chunks(set_id)
+    plan = rank_chunks(chunks, [1.0] * 64, 5, [("note", "!=", "x")])._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert scans and all("text:" not in line and "metadata" not in line for line in scans)
+    pages = [corpus.search(set_id, "word3", n=4, offset=o).collect() for o in (0, 4)]
+    assert [r["rank"] for p in pages for r in p] == list(range(1, 9))
+    scores = [r["score"] for p in pages for r in p]
+    assert scores == sorted(scores, reverse=True) and all(r["text"].startswith("word") for p in pages for r in p)
+
+
+def test_many_queries_equal_single_searches(corpus, spark):
+    set_id = corpus.ingest_documents(documents(spark, *[(i, f"word{i % 7} text {i}") for i in range(40)]), "s", CONFIG)
+    queries = spark.createDataFrame([(1, "word3"), (2, "text 11 word4")], "query_id int, text string")
+    many = corpus.search_batch(set_id, queries, n=3, offset=2).collect()
+    for query_id, text in ((1, "word3"), (2, "text 11 word4")):
+        single = corpus.search(set_id, text, n=3, offset=2).collect()
+        mine = sorted((r for r in many if r["query_id"] == query_id), key=lambda r: r["rank"])
+        assert [(r["rank"], r["doc_id"], r["score"], r["has_more"]) for r in mine] == [(r["rank"], r["source_doc_id"], r["score"], r["has_more"]) for r in single]
+    assert corpus.get_set(99) is None and corpus.get_set(set_id)["parameters"]["chunk_size"] == 50

@@ -78,13 +78,25 @@ def test_stored_norms_and_zero_vectors(spark):
             assert {(r["doc_id"], r["chunk_ix"]): r["score"] for r in scored.collect()} == pytest.approx(expected, abs=1e-9)
 
 
-def test_wide_vectors_score_the_same(spark):
-    rows, df = make(spark, n=20, dimension=R.WIDE_VECTOR)
-    query = [float((i * 7) % 5 - 2) for i in range(R.WIDE_VECTOR)]
-    with_null = df.withColumn("embedding", F.when(F.col("text") != "t5", F.col("embedding")))
-    got = {r["text"]: r["score"] for r in R.with_score(with_null, query).collect()}
-    assert got.pop("t5") is None
-    assert got == pytest.approx({r[2]: cosine(r[4], query) for r in rows if r[2] != "t5"}, abs=1e-9)
+@pytest.mark.parametrize("dimension", [4, 64, 127, 128])
+@pytest.mark.parametrize("stored", [False, True])
+def test_one_rule_at_every_width(spark, dimension, stored):
+    rows, df = make(spark, n=20, dimension=dimension)
+    query = [float((i * 7) % 5 - 2) for i in range(dimension)]
+    holes = df.withColumn("embedding", F.when(F.col("text") != "t5", F.col("embedding")))
+    broken = F.transform("embedding", lambda x: F.lit(float("nan")).cast(df.schema["embedding"].dataType.elementType))
+    holes = holes.withColumn("embedding", F.when(F.col("text") == "t6", broken).otherwise(F.col("embedding")))
+    holes = with_norm(holes) if stored else holes
+    expected = {r[2]: cosine(r[4], query) for r in rows if r[2] not in ("t5", "t6")}
+    got = {r["text"]: r["score"] for r in R.with_score(holes, query).collect()}
+    assert got.pop("t5") is None and got.pop("t6") is None and got == pytest.approx(expected, abs=1e-9)
+    single = [(r["doc_id"], r["chunk_ix"]) for r in R.search(holes, query, 100).orderBy("rank").collect()]
+    batch = R.search_batch(holes, spark.createDataFrame([(1, query)], "query_id int, embedding array<double>"), 100)
+    assert single == [(r["doc_id"], r["chunk_ix"]) for r in batch.orderBy("rank").collect()] and len(single) == 18
+    with pytest.raises(Exception, match="dimension"):
+        R.search(df, query[:-1], 3).collect()
+    with pytest.raises(Exception, match="dimension"):
+        R.search_batch(df, spark.createDataFrame([(1, query[:-1])], "query_id int, embedding array<double>"), 3).collect()
 
 
 def test_hits_and_sources(spark):
@@ -99,12 +111,10 @@ def test_hits_and_sources(spark):
     assert got == {1: "doc zero", 2: None, 3: "doc one", 4: None}
 
 
-@pytest.mark.parametrize("limits", [{}, {"query_bytes": 0, "block_bytes": 4 * 8 * 13}, {"query_bytes": 0, "block_bytes": 1}])
+@pytest.mark.parametrize("limits", [{}, {"query_bytes": 4 * 8 * 5}, {"query_bytes": 0}])
 @pytest.mark.parametrize("k", [1, 5, 100])
 def test_batch_search_equals_single_searches(spark, limits, k):
-    if limits.get("block_bytes") == 1 and k != 5:
-        pytest.skip("one case of one-row blocks is enough")
-    n = 12 if limits.get("block_bytes") == 1 else 60
+    n = 12 if limits.get("query_bytes") == 0 else 60
     rows, df = make(spark, n=n)
     rng = random.Random(5)
     queries = [(f"q{i}", [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(min(17, n // 3))] + [("zero", [0.0] * 4)]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,29 +10,8 @@ from pyspark.sql import functions as F
 SCORE_DECIMALS = 10
 
 
-def dot(left: Column, right: Column) -> Column:
-    """Sum of products of two equally long arrays."""
-    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
-
-
 def norm(vector: Column) -> Column:
     """Euclidean length."""
     return F.sqrt(
         F.aggregate(vector, F.lit(0.0), lambda total, a: total + a.cast("double") * a.cast("double"))
     )
-
-
-def literal_vector(values: Sequence[float]) -> Column:
-    """A constant ``array<double>`` column."""
-    return F.lit([float(v) for v in values])
-
-
-def cosine(vector: Column, query: Sequence[float], vector_norm: Column | None = None) -> Column:
-    """Cosine similarity with a constant query vector; 0 when either vector is zero."""
-    length = math.sqrt(sum(float(v) ** 2 for v in query))
-    if length == 0.0:
-        return F.when(vector.isNotNull(), F.lit(0.0))
-    scale = (norm(vector) if vector_norm is None else vector_norm) * F.lit(length)
-    ratio = F.try_divide(dot(vector, literal_vector(query)), scale)
-    return F.when(vector.isNotNull(), F.round(F.coalesce(ratio, F.lit(0.0)), SCORE_DECIMALS))

@@ -111,7 +111,7 @@ class EmbedderRegistry:
 
     def get(self, name: str) -> Embedder:
         if name not in self._embedders:
-            raise UnknownEmbedderError(f"unsupported embedding model provider: {name}")
+            raise UnknownEmbedderError(f"no embedder is registered as {name!r}")
         return self._embedders[name]
 
 
@@ -121,8 +121,13 @@ def embed_input(df: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_ix")) ->
 
 
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "text") -> DataFrame:
-    """Add ``embedding`` and its ``norm``."""
-    return with_norm(df.withColumn("embedding", embedder.vector(F.col(text_col))))
+    """Add ``embedding`` and its ``norm``. A vector without the embedder's dimension is an error."""
+
+    def checked(vector: Column) -> Column:
+        said = F.concat(F.lit(f"{embedder.name} declares {embedder.dimension} dimensions, a vector has "), F.size(vector))
+        return F.when(F.size(vector) == embedder.dimension, vector).when(vector.isNotNull(), F.raise_error(said))
+
+    return with_norm(df.withColumn("embedding", bind(embedder.vector(F.col(text_col)), checked)))
 
 
 def with_norm(df: DataFrame) -> DataFrame:

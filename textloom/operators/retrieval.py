@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,18 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.vectors import SCORE_DECIMALS, cosine
+from textloom.functions.vectors import SCORE_DECIMALS
 from textloom.operators.filtering import MetadataFilter, apply_filters
 from textloom.operators.numbering import number_in_order
 from textloom.session import broadcast_if_small, durable, ship_package
 
-# Vectors at least this long are scored with numpy on Arrow batches; shorter ones inside the JVM.
-WIDE_VECTOR = 128
-
 # Pages ending beyond this position are cut from a distributed sort instead of a top-k.
 DEEP_PAGE = 100_000
 
-# Query vectors shipped to every task at once, and vectors per block when there are more.
+# Query vectors shipped to every task at once, and scores that a task computes at once.
 QUERY_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 
@@ -30,7 +28,7 @@ BLOCK_BYTES = 64 * 1024 * 1024
 # ---- one query -------------------------------------------------------------------------------------------
 
 
-def _wide_cosine(vector: Column, query: Sequence[float]) -> Column:
+def _cosine(vector: Column, query: Sequence[float]) -> Column:
     unit = np.asarray(query, dtype=np.float64)
     length = float(np.sqrt(unit @ unit))
     unit = unit / length if length else unit
@@ -38,10 +36,7 @@ def _wide_cosine(vector: Column, query: Sequence[float]) -> Column:
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
         held = vectors.drop_null()
-        matrix = _matrix(held, len(unit))
-        scores = _cosines(matrix, unit[:, None])[:, 0]
-        if not vectors.null_count:
-            return pa.array(scores)
+        scores = _cosines(_matrix(held, len(unit)), unit[:, None])[:, 0]
         out = np.full(len(vectors), np.nan)
         out[vectors.is_valid().to_numpy(zero_copy_only=False)] = scores
         return pa.array(out, from_pandas=True)
@@ -59,19 +54,16 @@ def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
 def _cosines(matrix: np.ndarray, unit_columns: np.ndarray) -> np.ndarray:
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     scores = matrix @ unit_columns
-    return np.divide(scores, norms[:, None], out=np.zeros_like(scores), where=norms[:, None] > 0)
+    return np.divide(scores, norms[:, None], out=np.zeros_like(scores), where=norms[:, None] != 0)
 
 
 def with_score(df: DataFrame, query: Sequence[float], embedding_col: str = "embedding") -> DataFrame:
     """Add ``score``: cosine similarity to a constant query vector, 0 for a zero vector.
 
-    A stored ``norm`` is used when there is one.
+    Null where the vector is null or holds what is no number; a vector of another length than the query is an error.
     """
-    if len(query) >= WIDE_VECTOR:
-        ship_package(df.sparkSession)
-        return df.withColumn("score", _wide_cosine(F.col(embedding_col), query))
-    stored = F.col("norm") if "norm" in df.columns else None
-    return df.withColumn("score", cosine(F.col(embedding_col), query, stored))
+    ship_package(df.sparkSession)
+    return df.withColumn("score", _cosine(F.col(embedding_col), query))
 
 
 def search(
@@ -85,11 +77,12 @@ def search(
     """One ranked page: rows ``[offset, offset + n)`` by falling score, then ``id_cols``.
 
     Adds ``score``, ``rank`` (from 1 over the whole ranking) and ``has_more``. ``n`` below 1 counts as 1 and a
-    negative ``offset`` as 0. Filters apply before ranking. Only ``offset + n + 1`` rows leave the scan tasks.
+    negative ``offset`` as 0. Filters apply before ranking. Only ``offset + n + 1`` rows leave the scan tasks. Chunks
+    without a score are not ranked. All columns but the vectors are carried along, so select what is needed first.
     """
     n, offset = max(1, n), max(0, offset)
     kept = [c for c in chunks.columns if c not in ("embedding", "norm")]
-    scored = with_score(apply_filters(chunks, filters), query).select(*kept, "score")
+    scored = with_score(apply_filters(chunks, filters), query).filter("score is not null").select(*kept, "score")
     order = [F.desc("score"), *id_cols]
     wanted = offset + n + 1
     if wanted > DEEP_PAGE:
@@ -115,17 +108,18 @@ def hits(page: DataFrame) -> DataFrame:
 
 
 def attach_source(
-    found: DataFrame, docs: DataFrame, hit_id: str = "doc_id", doc_id: str = "doc_id", prefix: str = "source_"
+    found: DataFrame, docs: DataFrame, hit_id: str = "doc_id", doc_id: str = "doc_id", prefix: str = "source_", page: bool = False
 ) -> DataFrame:
     """Hits with their source document's other columns, prefixed; hits without a source keep nulls.
 
-    The hits are materialised, since finding them is the expensive part. The documents are first cut down to
-    those hit (the hit ids are broadcast when few), so the corpus is scanned once and never shuffled for a page.
+    One left join, in general. With ``page``, the hits are known to be few: they are found once and stored, and only the
+    documents that they name take part in the join.
     """
-    found = durable(found)
-    wanted = found.select(F.col(hit_id).alias(doc_id)).filter(F.col(doc_id).isNotNull()).distinct()
-    sources = docs.join(broadcast_if_small(wanted), doc_id, "left_semi")
-    renamed = sources.select(
+    if page:
+        found = durable(found)
+        wanted = found.select(F.col(hit_id).alias(doc_id)).filter(F.col(doc_id).isNotNull()).distinct()
+        docs = docs.join(broadcast_if_small(wanted), doc_id, "left_semi")
+    renamed = docs.select(
         F.col(doc_id).alias("_tl_doc"), *[F.col(c).alias(prefix + c) for c in docs.columns if c != doc_id]
     )
     return found.join(renamed, found[hit_id] == F.col("_tl_doc"), "left").drop("_tl_doc")
@@ -142,15 +136,12 @@ def search_batch(
     query_vector: str = "embedding",
     id_cols: Sequence[str] = ("doc_id", "chunk_ix"),
     query_bytes: int = QUERY_BYTES,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` best chunks of every query: ``query_id, rank, id_cols, score``. Exact.
 
-    The query vectors go to every task when their total size is within ``query_bytes`` (counted first); each
-    task then keeps only its ``k`` best per query. Beyond that, both sides are cut into blocks of at most
-    ``block_bytes`` by a hash of their ids and every pair of blocks is scored in a task of its own, so neither
-    side passes the driver and no task holds more than two blocks. Either way the few survivors are ranked
-    last.
+    Chunks are never moved. Query vectors go to every task in slices of at most ``query_bytes`` (by a hash of their ids); each task keeps
+    only its ``k`` best per query. Every slice is a scan of its own; the few survivors are ranked last. Vectors that are null or hold
+    what is no number are not ranked.
     """
     ship_package(chunks.sparkSession)
     id_types = [f"{c} {chunks.schema[c].dataType.simpleString()}" for c in id_cols]
@@ -161,10 +152,10 @@ def search_batch(
 
     sizes = vectors.agg(F.count("*"), F.max(F.size("_tl_query"))).first()
     n_queries, dimension = sizes[0], sizes[1] or 0
-    if n_queries * dimension * 8 <= query_bytes:
-        best = _best_by_broadcast(stored, vectors, k, query_id, list(id_cols), out_schema)
-    else:
-        best = _best_by_blocks(stored, vectors, k, query_id, list(id_cols), out_schema, n_queries, dimension, block_bytes)
+    slices = max(1, math.ceil(n_queries * dimension * 8 / max(query_bytes, dimension * 8, 1)))
+    part = F.pmod(F.xxhash64(query_id), F.lit(slices))
+    found = [_best_of_slice(stored, vectors.filter(part == i), k, query_id, list(id_cols), out_schema) for i in range(slices)]
+    best = reduce(DataFrame.union, found)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), *id_cols)
     ranked = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     return ranked.select(query_id, "rank", *id_cols, "score")
@@ -190,11 +181,12 @@ class _TopK:
 
     def add(self, matrix: np.ndarray, ids: pd.DataFrame) -> None:
         scores = np.round(_cosines(matrix, self.columns), SCORE_DECIMALS) + 0.0
+        scores[np.isnan(scores)] = -np.inf  # no number: not ranked
         if len(scores) > self.k:
             # Rows below a query's k-th best here cannot make its list; rows equal to it may, by their ids.
             kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
             self.floor = np.maximum(self.floor, kth)
-        row, query = np.nonzero(scores >= self.floor)
+        row, query = np.nonzero((scores >= self.floor) & (scores > -np.inf))
         picked = ids.iloc[row].reset_index(drop=True)
         picked["_q"], picked["score"] = query, scores[row, query]
         self.held.append(picked)
@@ -224,7 +216,7 @@ class _TopK:
         return found
 
 
-def _best_by_broadcast(
+def _best_of_slice(
     stored: DataFrame, vectors: DataFrame, k: int, query_id: str, id_cols: list[str], out_schema: str
 ) -> DataFrame:
     table = vectors.toArrow().combine_chunks()  # size checked by the caller
@@ -252,47 +244,6 @@ def _best_by_broadcast(
     return stored.mapInArrow(scan, out_schema)
 
 
-def _best_by_blocks(
-    stored: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    query_id: str,
-    id_cols: list[str],
-    out_schema: str,
-    n_queries: int,
-    dimension: int,
-    block_bytes: int,
-) -> DataFrame:
-    per_block = max(1, block_bytes // (8 * max(1, dimension)))
-    query_blocks = math.ceil(n_queries / per_block)
-    chunk_blocks = math.ceil(stored.count() / per_block)
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-
-    # Ids are unique, so hashing them fills the blocks evenly.
-    def block(n: int, *ids: str) -> Column:
-        return F.pmod(F.xxhash64(*ids), F.lit(max(n, 1))).cast("int")
-
-    left = stored.select("*", block(chunk_blocks, *id_cols).alias("_tl_cb"), every(query_blocks).alias("_tl_qb"))
-    right = vectors.select("*", block(query_blocks, query_id).alias("_tl_qb"), every(chunk_blocks).alias("_tl_cb"))
-
-    def score(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
-        left_block = left_block[left_block["embedding"].notna()]
-        if left_block.empty or right_block.empty:
-            return pd.DataFrame(columns=[query_id, *id_cols, "score"])
-        matrix = np.stack(right_block["_tl_query"].to_numpy()).astype(np.float64)
-        top = _TopK(k, right_block[query_id].tolist(), matrix, id_cols, query_id)
-        step = max(1, block_bytes // 8 // len(matrix))
-        for start in range(0, len(left_block), step):
-            part = left_block.iloc[start : start + step]
-            top.add(np.stack(part["embedding"].to_numpy()).astype(np.float64), part[id_cols].reset_index(drop=True))
-        return top.result()
-
-    keys = ["_tl_cb", "_tl_qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, out_schema)
-
-
 def page_of_batch(ranked: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """Cut ``search_batch(k = offset + n + 1)`` down to one page per query and add ``has_more``."""
     query = ranked.columns[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +15,22 @@ from textloom.operators.catalog import list_sets, require_all_documents
 from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_documents, run_transforms
 from textloom.operators.embedding import Embedder, EmbedderRegistry, embed
 from textloom.operators.expansion import chunk_and_expand, expand_neighbors
-from textloom.operators.filtering import MetadataFilter, promote_keys
-from textloom.operators.retrieval import attach_source, hits, search
+from textloom.operators.filtering import MetadataFilter, apply_filters, promote_keys
+from textloom.operators.retrieval import attach_source, hits, page_of_batch, search, search_batch
 from textloom.operators.stats import estimate_cost, middle_documents
-from textloom.session import spread_small
-from textloom.sources.csv import read_documents_csv, require_documents
-from textloom.sources.store import CorpusStore, as_documents
+from textloom.session import scratch_folder, spread_small
+from textloom.sources.csv import KEY, keyed_rows, read_documents_csv, read_rows_csv, require_documents, unpivot_text
+from textloom.sources.store import CorpusStore, as_documents, latest_per_key, new_batch
+
+
+# What a ranking carries: a chunk's identity, then its place.
+RANKED_COLUMNS = ("batch", "chunk_id", "doc_id", "chunk_ix", "variant")
+
+# Pages of up to so many rows are ranked first and then filled from the rows' own files.
+FETCHED_ROWS = 1000
+
+# How the documents of a set are told apart.
+BY_ID, BY_CONTENT = "id", "content"
 
 
 @dataclass(frozen=True)
@@ -28,7 +38,8 @@ class IngestConfig:
     """How a set is chunked and embedded; stored with the set as JSON.
 
     ``metadata_columns`` only says what to show in result lists; all columns are kept. ``filter_columns`` are
-    metadata keys stored as columns too, for filters that prune the scan.
+    metadata keys stored as columns too, for filters that prune the scan. ``identity`` is set by the ingest: ``id`` for documents
+    that came with ids of their own, ``content`` for those that were only numbered.
     """
 
     text_columns: Sequence[str] = ("text",)
@@ -43,6 +54,7 @@ class IngestConfig:
     expand_scope: str = "document"
     expand_max_tokens: int = 100
     abbreviations: Sequence[str] = field(default=ABBREVIATIONS)
+    identity: str = BY_ID
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), ensure_ascii=False)
@@ -94,12 +106,21 @@ class Corpus:
 
     # ---- ingest ------------------------------------------------------------------------------------------
 
-    def ingest_csv(self, path: str, name: str, config: IngestConfig, sep: str = ",", multi_line: bool = True) -> int:
-        """CSV files to a searchable set; returns its id."""
-        docs = read_documents_csv(self.spark, path, config.text_columns, sep, multi_line)
-        return self.ingest_documents(docs, name, config)
+    def ingest_csv(
+        self, path: str, name: str, config: IngestConfig, sep: str = ",", multi_line: bool = True, id_col: str | None = None
+    ) -> int:
+        """CSV files to a searchable set; returns its id.
 
-    def ingest_documents(self, docs: DataFrame, name: str, config: IngestConfig) -> int:
+        With ``id_col`` (whole numbers) documents keep ids that follow from it, and later batches replace by them. Without, they are
+        numbered in file order and later batches are told apart by content.
+        """
+        if id_col is None:
+            docs = read_documents_csv(self.spark, path, config.text_columns, sep, multi_line)
+            return self.ingest_documents(docs, name, config, BY_CONTENT)
+        rows = keyed_rows(read_rows_csv(self.spark, path, sep, multi_line), id_col)
+        return self.ingest_documents(unpivot_text(rows, config.text_columns, id_col=KEY), name, config)
+
+    def ingest_documents(self, docs: DataFrame, name: str, config: IngestConfig, identity: str = BY_ID) -> int:
         """Documents ``(doc_id, text_column, text, metadata)`` to a searchable set; returns its id.
 
         Documents are written first and chunked from the written table, so both tables agree on ids and a
@@ -108,19 +129,46 @@ class Corpus:
         embedder = self.embedders.get(config.embedder)
         check_sizes(config.chunk_size, config.chunk_overlap)
         require_documents(docs)
-        store, version = self.store, 1
+        config = replace(config, identity=identity)
+        store, version, batch = self.store, 1, new_batch()
         set_id = store.claim_set_id()
-        store.write("documents", as_documents(docs), set_id, version)
-        written = store.read("documents", set_id, version)
-        store.write("chunks", embed(documents_to_chunks(written, config), embedder), set_id, version)
-        store.commit(set_id, name, datetime.now(timezone.utc), config.to_json(), written.count(), version)
+        written = store.write("documents", as_documents(docs), set_id, version, batch)
+        store.write("chunks", self._embedded(written, config, embedder), set_id, version, batch)
+        store.commit(set_id, name, datetime.now(timezone.utc), config.to_json(), written.count(), version, batch)
         return set_id
 
-    def upsert_documents(self, set_id: int, docs: DataFrame) -> int:
-        """Add or replace documents of a set by ``doc_id``; returns the set's new version."""
-        config = self.config_of(set_id)
-        chunks = embed(documents_to_chunks(docs, config), self.embedders.get(config.embedder))
-        return self.store.upsert(set_id, docs, chunks)
+    def _embedded(self, docs: DataFrame, config: IngestConfig, embedder: Embedder) -> DataFrame:
+        chunks = documents_to_chunks(docs, config).withColumn("chunk_id", F.monotonically_increasing_id())
+        return embed(chunks, embedder)
+
+    def upsert_documents(self, set_id: int, docs: DataFrame, batch: str | None = None, after: int | None = None) -> None:
+        """Add or replace documents of a set by ``doc_id``; of rows with one id the last counts.
+
+        The change is a batch of its own: the documents, their chunks and the ids they replace. A batch that is already
+        committed is left alone; with ``after``, the commit is refused if another followed that one. Where chunks reach across documents, all chunks of the set are made anew, as neighbours change.
+        """
+        store, batch = self.store, batch or new_batch()
+        base, current = store.last_commit(set_id), store.require_set(set_id)
+        version, config = current["version"], self.config_of(set_id)
+        if batch in {b.batch for b in store.batches(set_id, version)}:
+            return
+        embedder = self.embedders.get(config.embedder)
+        staged = scratch_folder(self.spark, "batch")
+        as_documents(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
+        latest = latest_per_key(self.spark.read.parquet(staged), ["doc_id"])
+        stored = store.read("documents", set_id, version)
+        described = [current[c] for c in ("name", "upload_date", "parameters")]
+        if config.expand and config.expand_scope == "corpus":
+            kept = stored.join(latest.select("doc_id"), "doc_id", "left_anti").select(*latest.columns)
+            written = store.write("documents", kept.unionByName(latest), set_id, version + 1, batch)
+            store.write("chunks", self._embedded(written, config, embedder), set_id, version + 1, batch)
+            store.commit(set_id, *described, written.count(), version + 1, batch, after=base)
+            return
+        written = store.write("documents", latest, set_id, version, batch)
+        ids = store.write("removed", written.select("doc_id"), set_id, version, batch)
+        known = stored.select("doc_id").join(ids, "doc_id", "left_semi").count()
+        store.write("chunks", self._embedded(written, config, embedder), set_id, version, batch)
+        store.commit(set_id, *described, written.count() - known, version, batch, removes=True, after=after)
 
     # ---- search ------------------------------------------------------------------------------------------
 
@@ -130,22 +178,44 @@ class Corpus:
     def search_page(
         self, set_id: int, text: str, n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
     ) -> DataFrame:
-        """A ranked page of a set's chunks (all stored columns but the vectors) for one query text."""
+        """A ranked page of a set's chunks (all stored columns but the vectors) for one query text.
+
+        The ranking scan reads ids, vectors and filtered columns only. A page of up to ``FETCHED_ROWS`` is ranked at once, and
+        the rest of its chunks is read from the files and row groups that hold their ids; larger ones are joined.
+        """
         chunks = self.store.open_chunks(set_id)
         query = self.embedders.get(self.config_of(set_id).embedder).embed_query(self.spark, text)
-        return search(chunks, query, n, filters, offset, id_cols=("doc_id", "chunk_ix", "variant", "text"))
+        ranked = rank_chunks(chunks, query, n, filters, offset)
+        rest = chunks.drop("embedding", "norm", *RANKED_COLUMNS[2:])
+        if n <= FETCHED_ROWS:
+            page = ranked.collect()  # n rows of ids and scores
+            ranked = self.spark.createDataFrame(page, ranked.schema)
+            names, ids = {r["batch"] for r in page}, {r["chunk_id"] for r in page}
+            rest = rest.filter(F.col("batch").isin(list(names)) & F.col("chunk_id").isin(list(ids)))
+        return ranked.join(rest, ["batch", "chunk_id"])
 
     def search(
         self, set_id: int, text: str, n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
     ) -> DataFrame:
         """``rank, text, score, metadata, source_doc_id, has_more``."""
-        return hits(self.search_page(set_id, text, n, filters, offset))
+        return hits(self.search_page(set_id, text, n, filters, offset)).orderBy("rank")
 
     def search_with_sources(self, set_id: int, text: str, n: int = 10, filters=(), offset: int = 0) -> DataFrame:
         """:meth:`search` with the source documents' text and metadata."""
         page = self.search(set_id, text, n, filters, offset)
         docs = self.store.open_documents(set_id).select("doc_id", "text", "metadata")
-        return attach_source(page, docs, hit_id="source_doc_id", prefix="document_")
+        return attach_source(page, docs, hit_id="source_doc_id", prefix="document_", page=n <= FETCHED_ROWS).orderBy("rank")
+
+    def search_batch(
+        self, set_id: int, queries: DataFrame, n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
+    ) -> DataFrame:
+        """One page for each of many query texts (``query_id, text``): ``query_id, rank``, chunk ids, ``score, has_more``."""
+        embedder = self.embedders.get(self.config_of(set_id).embedder)
+        chunks = apply_filters(self.store.open_chunks(set_id), filters)
+        vectors = queries.select("query_id", embedder.vector(F.col("text")).alias("embedding"))
+        n, offset = max(1, n), max(0, offset)
+        found = search_batch(chunks, vectors, offset + n + 1, id_cols=("doc_id", "chunk_ix", "variant", "batch", "chunk_id"))
+        return page_of_batch(found, n, offset)
 
     # ---- catalogue ---------------------------------------------------------------------------------------
 
@@ -154,6 +224,11 @@ class Corpus:
         listed = list_sets(self.store.sets().drop("version"), page=page, page_size=page_size)
         return listed.withColumn("parameters", params_from_json(F.col("parameters")))
 
+    def get_set(self, set_id: int) -> dict | None:
+        """The descriptor of a set, its parameters parsed; ``None`` when there is no such set."""
+        row = self.store.find_set(set_id)
+        return None if row is None else {**row.asDict(), "parameters": json.loads(row["parameters"])}
+
     def get_documents(self, set_id: int, ids: Sequence[int]) -> DataFrame:
         """The documents with these ids; an error when one is missing."""
         wanted = self.spark.createDataFrame([(int(i),) for i in ids], "doc_id long")
@@ -163,6 +238,14 @@ class Corpus:
         return self.store.delete_set(set_id)
 
 
+def rank_chunks(
+    chunks: DataFrame, query: Sequence[float], n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
+) -> DataFrame:
+    """The ids of a page of stored chunks with ``score, rank, has_more``; texts and metadata are not read, unless filtered by."""
+    narrow = apply_filters(chunks, filters).select(*RANKED_COLUMNS, "embedding")
+    return search(narrow, query, n, (), offset, id_cols=("doc_id", "chunk_ix", "variant", "batch", "chunk_id"))
+
+
 def preview(docs: DataFrame, config: IngestConfig) -> tuple[DataFrame, DataFrame]:
     """``(chunks of the ten middle documents, cost over all)``. The slice is taken before empties are dropped."""
     shown = documents_to_chunks(middle_documents(docs), config).select("doc_id", "chunk_ix", "variant", "text", "metadata")

@@ -43,10 +43,10 @@ def _matches(pattern: str):
     return lambda text: f"regexp_extract_all({text}, {pattern})"
 
 
-def _pieces() -> str:
+def _pieces(source: str = "documents") -> str:
     """CTEs up to ``pieces(doc_id, pos, t, n)``."""
     levels = [_paragraphs, _sentences, _matches(CLAUSE), _matches(WORD), _matches(CHARACTER)]
-    ctes = [f"l0 as (select doc_id, []::int[] as pos, text as t, {_n_tokens('text')} as n from documents where length(text) > 0)"]
+    ctes = [f"l0 as (select doc_id, []::int[] as pos, text as t, {_n_tokens('text')} as n from {source} where length(text) > 0)"]
     for i, level in enumerate(levels, 1):
         ctes.append(
             f"p{i} as (select doc_id, pos, case when n > {SIZE} then {level('t')} else [t] end as parts from l{i - 1})"
@@ -57,9 +57,9 @@ def _pieces() -> str:
     return ",\n".join(ctes)
 
 
-def _chunks() -> str:
+def _chunks(source: str = "documents") -> str:
     """CTEs up to ``packed`` (untrimmed) and ``chunks(doc_id, chunk_ix, text)``."""
-    return f"""{_pieces()},
+    return f"""{_pieces(source)},
 lens as (select doc_id, list(n order by pos) as ns, list(t order by pos) as ts from pieces group by doc_id),
 fold(doc_id, i, s, cur, es, ee) as (
   select doc_id, 0, 0, 0::bigint, null::int, null::int from lens
@@ -183,8 +183,18 @@ q as {_hashed("(select item_id, text from benchmark)", 'item_id')}"""
             union all select -1 - conv_id * 1000 - turn, text, role from conversations""",
         "store_roundtrip": f"""with recursive {chunks}
             select 1 as set_id, doc_id, chunk_ix, {_n_tokens('text')} as n_tokens, {DIM} as dimension, text from chunks""",
-        "stream_ingest": """select doc_id, text, lang from documents
-            union all select -1 - item_id, text, 'en' from benchmark""",
+        "stream_ingest": f"""with recursive streamed as (
+              select doc_id, text, lang from documents union all select -1 - item_id, text, 'en' from benchmark),
+            {_chunks('streamed')}
+            select doc_id, chunk_ix, c.text as text, lang from chunks c join streamed using (doc_id)""",
+        "search_stored": f"""with recursive {chunks}, {scored_text},
+            scored as (select doc_id, chunk_ix, {_cosine('h.v', 'q.v')} as score
+                       from h, q where item_id = (select min(item_id) from benchmark)
+                         and doc_id in (select doc_id from documents where lang is null or lang <> 'de')),
+            ranked as (select *, row_number() over (order by score desc, doc_id, chunk_ix) as rank, count(*) over () > 13 as has_more
+                       from scored qualify rank between 6 and 13)
+            select rank, c.text as text, score, doc_id as source_doc_id, has_more, source
+            from ranked join chunks c using (doc_id, chunk_ix) join documents using (doc_id)""",
         "ingest": f"""with recursive {chunks}
             select doc_id, lang, chunk_ix, {_n_tokens('c.text')} as n_tokens, c.text as text
             from chunks c join documents using (doc_id)""",

@@ -6,6 +6,7 @@ Each takes ``(spark, folder)`` and returns a DataFrame; ``oracles.py`` holds the
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,21 +141,27 @@ def store_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with vectors written to the store and opened again."""
     store = CorpusStore(spark, scratch_folder(spark, "store"))
     chunks = embedding.embed(_chunks(spark, folder), embedding.hash_embedder(DIMENSION))
-    store.write("chunks", chunks, set_id=1)
+    store.write("chunks", chunks, 1, 1, "only")
+    store.commit(1, "chunks", datetime.now(timezone.utc), "{}", 0, 1, "only")
     opened = store.read("chunks", 1, 1)
     return opened.select("set_id", "doc_id", "chunk_ix", "n_tokens", F.size("embedding").alias("dimension"), "text")
 
 
 @_query
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark texts ingested as a set, then all documents appended as a file stream, twice."""
+    """Benchmark texts and an older edition of the labelled documents ingested as a set, then all documents as a file stream, twice.
+
+    Its chunks: those of the benchmark and of every document once, in the edition of the stream.
+    """
     root = scratch_folder(spark, "stream")
     corpus = Corpus(spark, f"{root}/store")
-    first = _table(spark, folder, "benchmark").select(
-        (-1 - F.col("item_id")).alias("doc_id"),
-        F.lit("text").alias("text_column"),
-        "text",
-        F.create_map(F.lit("lang"), F.lit("en")).alias("metadata"),
+    labelled = _table(spark, folder, "labels").select("doc_id")
+    older = _table(spark, folder, "documents").join(labelled, "doc_id", "left_semi").select(
+        "doc_id", F.concat(F.lit("Older edition. "), "text").alias("text"), "lang"
+    )
+    texts = _table(spark, folder, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text", F.lit("en").alias("lang"))
+    first = texts.unionByName(older).select(
+        "doc_id", F.lit("text").alias("text_column"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata")
     )
     config = IngestConfig(chunk_size=CHUNK_SIZE, chunk_overlap=CHUNK_OVERLAP)
     set_id = corpus.ingest_documents(first, "streamed", config)
@@ -166,8 +173,19 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     for run in ("first", "replay"):
         query = append.ingest_stream(corpus, set_id, docs, f"{root}/{run}")
         query.awaitTermination()
-    stored = corpus.store.open_documents(set_id)
-    return stored.select("doc_id", "text", F.col("metadata")["lang"].alias("lang"))
+    stored = corpus.store.open_chunks(set_id)
+    return stored.select("doc_id", "chunk_ix", "text", F.col("metadata")["lang"].alias("lang"))
+
+
+@_query
+def search_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents ingested as a set, its chunks searched with a filter and an offset, each hit with its document."""
+    corpus = Corpus(spark, scratch_folder(spark, "store"))
+    config = IngestConfig(chunk_size=CHUNK_SIZE, chunk_overlap=CHUNK_OVERLAP, filter_columns=("lang",))
+    set_id = corpus.ingest_documents(_documents(spark, folder), "searched", config)
+    text = _table(spark, folder, "benchmark").agg(F.min_by("text", "item_id")).first()[0]
+    found = corpus.search_with_sources(set_id, text, n=8, filters=[("lang", "!=", "de")], offset=5)
+    return found.select("rank", "text", "score", "source_doc_id", "has_more", F.col("document_metadata")["source"].alias("source"))
 
 
 @_query
@@ -435,7 +453,7 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
     """Documents chunked, embedded and searched with a text; each hit with its document's source and language."""
     page = retrieval.search(_hashed_chunks(spark, folder), _first_query(spark, folder), n=10)
     docs = _table(spark, folder, "documents").select("doc_id", "source", "lang")
-    found = retrieval.attach_source(page, docs, prefix="doc_")
+    found = retrieval.attach_source(page, docs, prefix="doc_", page=True)
     return found.select("rank", "doc_id", "chunk_ix", "text", "score", "has_more", "doc_source", "doc_lang")
 
 

@@ -11,6 +11,9 @@ from textloom.errors import EmptyCorpusError
 from textloom.functions.binding import quoted
 from textloom.operators.numbering import number_in_file_order
 
+# The numeric key of a row that its documents' ids follow from.
+KEY = "_tl_id"
+
 _POSITION = ("_tl_file", "_tl_block", "_tl_seen")
 
 
@@ -46,6 +49,11 @@ def read_numbered_csv(spark: SparkSession, path: str | Sequence[str], sep: str =
     return number_in_file_order(placed, *_POSITION, name="row_id")
 
 
+def keyed_rows(rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with ``id_col`` as the whole number ``KEY``; an error in the data, such as a key that is no number, fails the read."""
+    return rows.withColumnRenamed(id_col, KEY).withColumn(KEY, F.col(KEY).cast("long"))
+
+
 def with_metadata_map(df: DataFrame, text_col: str, drop: Sequence[str] = ()) -> DataFrame:
     """``text`` from ``text_col`` and ``metadata`` from every other column, null turned into ``""``.
 
@@ -92,7 +100,7 @@ def read_documents_csv(
 def require_documents(df: DataFrame) -> DataFrame:
     """``df`` itself, or :class:`EmptyCorpusError` when it has no rows."""
     if df.isEmpty():
-        raise EmptyCorpusError("the input does not appear to contain any documents; check the file and try again")
+        raise EmptyCorpusError("nothing to ingest: no row was read from the input")
     return df
 
 

@@ -4,38 +4,36 @@ Layout under one root (any Hadoop-visible path)::
 
     documents/set_id=S/version=V/batch=B/*.parquet
     chunks/set_id=S/version=V/batch=B/*.parquet
-    catalog/*.parquet        one small row per committed change, the latest of a set counts
-    ids/S                    claimed set ids
+    removed/set_id=S/version=V/batch=B/*.parquet   ids whose earlier rows the batch replaces
+    catalog/*.parquet        one small row per committed batch
+    ids/S, commits/S/N       claimed set ids and commit numbers
 
-Data is written first and the catalogue row last, and readers start from the catalogue: an ingest that fails
-half-way leaves nothing visible, and a rewrite never touches the folder it reads. A bulk write is the batch
-``bulk``; a stream's micro-batches add folders of their own, named after the stream and the batch number, so a
-replayed batch only overwrites itself.
+Data is written first and the catalogue row last. Readers take the batches that the catalogue names and no others, so
+whatever a failed writer left behind stays unseen. A change adds a batch: its rows count, and rows of its ids in batches of
+lower commit numbers do not. ``compact`` folds the batches into one of the next version.
+
+Set ids and commit numbers are claimed by creating marker files. That is atomic on HDFS and local disks; object stores need a
+committer of their own for two writers at once.
 """
 
 from __future__ import annotations
 
-import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.errors import SetNotFoundError
-from textloom.operators.catalog import upsert_documents
-from textloom.session import broadcast_if_small
+from textloom.errors import ConcurrentChangeError, SetNotFoundError
 
 CATALOG_SCHEMA = (
-    "set_id int, name string, upload_date timestamp, parameters string, total_documents long, "
-    "version int, seq long, deleted boolean"
+    "set_id int, name string, upload_date timestamp, parameters string, added long, "
+    "version int, batch string, seq long, removes boolean, deleted boolean"
 )
 
-# Batch of documents written in one go.
-BULK = "bulk"
-
-# Stored document columns. ``content_key`` identifies streamed documents that came without a key of their own.
+# Stored document columns. ``content_key`` identifies a document by what it holds.
 DOCUMENT_COLUMNS = ("doc_id", "content_key", "text_column", "text", "metadata")
 
 # Most rows in one written file. Files are split by row group when read, so this only bounds single uploads;
@@ -43,6 +41,11 @@ DOCUMENT_COLUMNS = ("doc_id", "content_key", "text_column", "text", "metadata")
 MAX_RECORDS_PER_FILE = 250_000
 
 
+def new_batch() -> str:
+    """A batch name that no other writer has."""
+    return f"bulk-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class CorpusStore:
     spark: SparkSession
@@ -62,24 +65,33 @@ class CorpusStore:
         hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
 
-    def has_batch(self, table: str, set_id: int, version: int, batch: str) -> bool:
-        return self._exists(self._folder(table, set_id, version, batch))
-
     def _exists(self, path: str) -> bool:
         filesystem, hadoop_path = self._filesystem(path)
         return filesystem.exists(hadoop_path)
 
     # ---- catalogue ---------------------------------------------------------------------------------------
 
-    def sets(self) -> DataFrame:
-        """Live descriptors: ``set_id, name, upload_date, parameters, total_documents, version``."""
+    def _catalog(self) -> DataFrame:
         path = f"{self.root.rstrip('/')}/catalog"
         if not self._exists(path):
-            rows = self.spark.createDataFrame([], CATALOG_SCHEMA)
-        else:
-            rows = self.spark.read.schema(CATALOG_SCHEMA).parquet(path)
-        latest = rows.groupBy("set_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "set_id"]), "seq").alias("d"))
-        return latest.select("set_id", "d.*").filter(~F.col("deleted")).drop("seq", "deleted")
+            return self.spark.createDataFrame([], CATALOG_SCHEMA)
+        return self.spark.read.schema(CATALOG_SCHEMA).parquet(path)
+
+    def sets(self) -> DataFrame:
+        """Live descriptors: ``set_id, name, upload_date, parameters, version, total_documents``."""
+        live = F.max("version").over(Window.partitionBy("set_id"))
+        described = F.struct("name", "upload_date", "parameters", "version")
+        rows = self._catalog().withColumn("live", live).groupBy("set_id").agg(
+            F.max_by(described, F.struct("version", "seq")).alias("d"),
+            F.sum(F.when(F.col("version") == F.col("live"), F.col("added"))).alias("total_documents"),
+            F.max("deleted").alias("deleted"),
+        )
+        return rows.filter(~F.col("deleted")).select("set_id", "d.*", "total_documents")
+
+    def batches(self, set_id: int, version: int) -> list[Row]:
+        """``batch, seq, removes`` of the committed batches of a version, in commit order; one row per change since it was compacted."""
+        rows = self._catalog().filter((F.col("set_id") == set_id) & (F.col("version") == version) & F.col("batch").isNotNull())
+        return rows.select("batch", "seq", "removes").orderBy("seq").collect()
 
     def find_set(self, set_id: int) -> Row | None:
         """The descriptor of a live set, or ``None``."""
@@ -92,22 +104,39 @@ class CorpusStore:
         return row
 
     def claim_set_id(self) -> int:
-        """A new set id, claimed by creating its marker file, which only one writer can do."""
-        filesystem, folder = self._filesystem(f"{self.root.rstrip('/')}/ids")
-        taken = filesystem.listStatus(folder) if filesystem.exists(folder) else []
-        candidate = max((int(status.getPath().getName()) for status in taken), default=0) + 1
+        """A new set id, which no other writer gets."""
+        return self._claim("ids")
+
+    def last_commit(self, set_id: int) -> int:
+        """The highest commit number that was claimed for a set; what a whole rewrite is based on."""
+        return self._last(f"commits/{set_id}")
+
+    def _last(self, folder: str) -> int:
+        filesystem, path = self._filesystem(f"{self.root.rstrip('/')}/{folder}")
+        taken = filesystem.listStatus(path) if filesystem.exists(path) else []
+        return max((int(status.getPath().getName()) for status in taken), default=0)
+
+    def _claim(self, folder: str, only: int | None = None) -> int:
+        candidate = self._last(folder) + 1 if only is None else only
         while True:
-            filesystem, path = self._filesystem(f"{self.root.rstrip('/')}/ids/{candidate}")
+            filesystem, path = self._filesystem(f"{self.root.rstrip('/')}/{folder}/{candidate}")
             if not filesystem.exists(path) and filesystem.createNewFile(path):
                 return candidate
+            if only is not None:
+                raise ConcurrentChangeError(f"another writer changed the set behind {path.getParent()}")
             candidate += 1
 
     def commit(
-        self, set_id: int, name: str, upload_date: datetime, parameters: str, total_documents: int, version: int,
-        deleted: bool = False,
+        self, set_id: int, name: str, upload_date: datetime, parameters: str, added: int, version: int,
+        batch: str | None, removes: bool = False, deleted: bool = False, after: int | None = None,
     ) -> None:
-        """Append one catalogue row: from here on readers see the given version."""
-        row = (set_id, name, upload_date, parameters, total_documents, version, time.time_ns(), deleted)
+        """Append one catalogue row: from here on readers see the batch.
+
+        ``added`` is by how much the number of documents grows. With ``after``, the commit is refused if any other followed
+        that one.
+        """
+        seq = self._claim(f"commits/{set_id}", None if after is None else after + 1)
+        row = (set_id, name, upload_date, parameters, added, version, batch, seq, removes, deleted)
         self.spark.createDataFrame([row], CATALOG_SCHEMA).coalesce(1).write.mode("append").parquet(
             f"{self.root.rstrip('/')}/catalog"
         )
@@ -115,19 +144,28 @@ class CorpusStore:
     # ---- documents and chunks ----------------------------------------------------------------------------
 
     def write(
-        self, table: str, df: DataFrame, set_id: int, version: int = 1, batch: str = BULK,
-        max_records: int = MAX_RECORDS_PER_FILE,
-    ) -> str:
-        """Write one batch folder, replacing what an earlier attempt left there."""
+        self, table: str, df: DataFrame, set_id: int, version: int, batch: str, max_records: int = MAX_RECORDS_PER_FILE,
+    ) -> DataFrame:
+        """Write one batch folder, replacing what an earlier attempt left there; returns it as written."""
         path = self._folder(table, set_id, version, batch)
         data = df.drop("set_id", "version", "batch")
         data.write.mode("overwrite").option("maxRecordsPerFile", max_records).parquet(path)
-        return path
+        return self.spark.read.parquet(path)
 
     def read(self, table: str, set_id: int, version: int) -> DataFrame:
-        """All batches of one version of a set. Only its folder is listed and scanned."""
-        path = self._folder(table, set_id, version)
-        return self.spark.read.option("basePath", f"{self.root.rstrip('/')}/{table}").parquet(path)
+        """The rows of a version's committed batches that no later batch replaces. Only their folders are listed and scanned."""
+        known = self.batches(set_id, version)
+        base = self.spark.read.option("basePath", f"{self.root.rstrip('/')}/{table}")
+        rows = base.parquet(*[self._folder(table, set_id, version, b.batch) for b in known])
+        removing = [b.batch for b in known if b.removes and b.batch != known[0].batch]
+        if not removing:
+            return rows
+        numbers = F.broadcast(self.spark.createDataFrame([(b.batch, b.seq) for b in known], "batch string, seq long"))
+        folders = [self._folder("removed", set_id, version, b) for b in removing]
+        removed = self.spark.read.option("basePath", f"{self.root.rstrip('/')}/removed").parquet(*folders).join(numbers, "batch")
+        latest = removed.groupBy("doc_id").agg(F.max("seq").alias("gone")).withColumnRenamed("doc_id", "gone_id")
+        marked = rows.join(numbers, "batch").join(latest, F.col("doc_id") == F.col("gone_id"), "left")
+        return marked.filter("gone is null or seq >= gone").select(*rows.columns)
 
     def open_documents(self, set_id: int) -> DataFrame:
         return self.read("documents", set_id, self.require_set(set_id)["version"])
@@ -137,43 +175,51 @@ class CorpusStore:
 
     # ---- changes -----------------------------------------------------------------------------------------
 
-    def upsert(self, set_id: int, documents: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> int:
-        """Add or replace documents and their chunks; returns the new version.
-
-        Only this set is rewritten, into a fresh version folder, which the catalogue then points to.
-        """
-        current = self.require_set(set_id)
-        old, new = current["version"], current["version"] + 1
-        stored = self.read("documents", set_id, old).drop("set_id", "version", "batch")
-        self.write("documents", upsert_documents(stored, as_documents(documents), keys), set_id, new)
-        replaced = broadcast_if_small(documents.select(*keys).distinct())
-        kept = self.read("chunks", set_id, old).join(replaced, list(keys), "left_anti")
-        columns = [c for c in kept.columns if c not in ("set_id", "version", "batch")]
-        self.write("chunks", kept.select(*columns).unionByName(chunks.select(*columns)), set_id, new)
-        total = self.read("documents", set_id, new).count()
-        self.commit(set_id, current["name"], current["upload_date"], current["parameters"], total, new)
-        return new
+    def compact(self, set_id: int) -> int:
+        """Fold the batches of a set into one of the next version; returns that version. Refused if the set changes meanwhile."""
+        base, current = self.last_commit(set_id), self.require_set(set_id)
+        version, batch = current["version"] + 1, new_batch()
+        for table in ("documents", "chunks"):
+            rows = self.read(table, set_id, current["version"])
+            if "chunk_id" in rows.columns:
+                rows = rows.withColumn("chunk_id", F.monotonically_increasing_id())  # unique within a batch
+            self.write(table, rows, set_id, version, batch)
+        described = [current[c] for c in ("name", "upload_date", "parameters", "total_documents")]
+        self.commit(set_id, *described, version, batch, after=base)
+        return version
+
+    def remove_old_versions(self, set_id: int) -> None:
+        """Delete the folders of versions before the current one; for when no reader is left on them."""
+        current = self.require_set(set_id)["version"]
+        for table in ("documents", "chunks", "removed"):
+            for version in range(1, current):
+                filesystem, path = self._filesystem(self._folder(table, set_id, version))
+                filesystem.delete(path, True)
 
     def delete_set(self, set_id: int) -> bool:
         """Remove a set from the catalogue, then its document and chunk folders. False when it is unknown."""
         current = self.find_set(set_id)
         if current is None:
             return False
-        self.commit(*[current[c] for c in ("set_id", "name", "upload_date", "parameters", "total_documents", "version")], True)
-        for table in ("documents", "chunks"):
+        self.commit(*[current[c] for c in ("set_id", "name", "upload_date", "parameters")], 0, current["version"], None, deleted=True)
+        for table in ("documents", "chunks", "removed"):
             filesystem, path = self._filesystem(self._folder(table, set_id))
             filesystem.delete(path, True)
         return True
 
 
+def content_key() -> Column:
+    """The md5 of a document's column name, text and metadata, whatever the order of its entries."""
+    return F.md5(F.to_json(F.struct("text_column", "text", F.array_sort(F.map_entries("metadata")).alias("metadata"))))
+
+
 def as_documents(df: DataFrame) -> DataFrame:
-    """The stored document columns; no content key unless there is one."""
-    if "content_key" not in df.columns:
-        df = df.withColumn("content_key", F.lit(None).cast("string"))
-    return df.select(*DOCUMENT_COLUMNS)
+    """The stored document columns, each document with its content key."""
+    return df.withColumn("content_key", content_key()).select(*DOCUMENT_COLUMNS)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the first by ``order``; combined inside the scan tasks, so a frequent key is no hot spot."""
-    rest = F.struct(*[c for c in df.columns if c not in keys])
-    return df.groupBy(*keys).agg(F.min_by(rest, F.struct(*order)).alias("_tl_row")).select(*keys, "_tl_row.*")
+def latest_per_key(staged: DataFrame, keys: Sequence[str], row: str = "row") -> DataFrame:
+    """Of the rows of a key the last by ``row``. Only keys and row numbers are shuffled; ``staged`` must be stored."""
+    last = staged.groupBy(*keys).agg(F.max(row).alias("_tl_last"), F.count("*").alias("_tl_n")).filter("_tl_n > 1")
+    losers = staged.select(*keys, row).join(last, list(keys)).filter(F.col(row) < F.col("_tl_last")).select(row)
+    return staged.join(losers, row, "left_anti").drop(row)

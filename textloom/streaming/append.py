@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators.embedding import embed
+from textloom.errors import IdentityError
 from textloom.operators.numbering import number_in_order
-from textloom.plans.corpus import Corpus, documents_to_chunks
-from textloom.session import broadcast_if_small
-from textloom.sources.csv import unpivot_text
-from textloom.sources.store import as_documents, first_per_key
+from textloom.plans.corpus import BY_CONTENT, BY_ID, Corpus
+from textloom.session import scratch_folder
+from textloom.sources.csv import KEY, keyed_rows, unpivot_text
+from textloom.sources.store import as_documents, latest_per_key
 
 
 def stream_csv(corpus: Corpus, folder: str, schema: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
@@ -33,65 +33,57 @@ def stream_csv(corpus: Corpus, folder: str, schema: str, sep: str = ",", multi_l
 def stream_documents(rows: DataFrame, text_cols: Sequence[str], id_col: str | None = None) -> DataFrame:
     """Stream rows to documents, identified by ``id_col`` (whole numbers) or else by their content.
 
-    With ``id_col``, ``doc_id = id * len(text_cols) + column position``. Without, a document's ``content_key`` is
-    the md5 of its column name, text and metadata, and it gets its ``doc_id`` when it is stored: a stream has no
-    file-order numbers.
+    With ``id_col``, ``doc_id = id * len(text_cols) + column position``. Without, a document gets its ``doc_id`` when it is
+    stored: a stream has no file-order numbers.
     """
     if id_col:
-        renamed = rows.withColumnRenamed(id_col, "_tl_id").withColumn("_tl_id", F.col("_tl_id").cast("long"))
-        return unpivot_text(renamed, text_cols, id_col="_tl_id")
-    content = F.to_json(F.struct("text_column", "text", "metadata"))
-    return unpivot_text(rows, text_cols).withColumn("content_key", F.md5(content))
+        return unpivot_text(keyed_rows(rows, id_col), text_cols, id_col=KEY)
+    return unpivot_text(rows, text_cols)
 
 
-def append_batch(corpus: Corpus, set_id: int, documents: DataFrame, batch: str, check_known: bool = True) -> None:
-    """Add one batch of documents the set does not hold yet. Running it again changes nothing.
+def append_batch(corpus: Corpus, set_id: int, documents: DataFrame, batch: str) -> None:
+    """Add one batch of documents to a set. Running it again changes nothing.
 
-    Only keys meet the stored table: the batch's keys are sent to a scan of the stored keys (by broadcast when
-    few), and just the keys found come back to be dropped from the batch. That scan reads one column of the set
-    per batch; ``check_known=False`` saves it for sources that never repeat a document.
+    Documents with ids go into sets of documents with ids; they are added, or replace those that have their id. Documents
+    without go into sets that are told apart by content: those that the set holds are dropped, all others are numbered behind
+    the last. That numbering is refused, and the batch tried again by the stream, if another writer changed the set.
     """
     store = corpus.store
     current = store.require_set(set_id)
-    version = current["version"]
-    config = corpus.config_of(set_id)
-    repeated = store.has_batch("documents", set_id, version, batch)
+    version, config = current["version"], corpus.config_of(set_id)
+    by = BY_ID if "doc_id" in documents.columns else BY_CONTENT
+    if by != config.identity:
+        raise IdentityError(f"set {set_id} tells documents apart by {config.identity}, the batch by {by}")
+    if by == BY_ID:
+        corpus.upsert_documents(set_id, documents, batch)
+        return
+    if batch in {b.batch for b in store.batches(set_id, version)}:
+        return
+    base = store.last_commit(set_id)
+    staged = scratch_folder(corpus.spark, "batch")
+    numbered = as_documents(documents.withColumn("doc_id", F.lit(None).cast("long")))
+    numbered.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
+    latest = latest_per_key(corpus.spark.read.parquet(staged), ["content_key"]).drop("doc_id")
     stored = store.read("documents", set_id, version)
-    earlier = stored.filter(F.col("batch") != batch)
-
-    key = "doc_id" if "doc_id" in documents.columns else "content_key"
-    fresh = first_per_key(documents, [key], [F.col("text_column"), F.col("text"), F.to_json("metadata")])
-    if check_known:
-        keys = broadcast_if_small(documents.select(key).distinct())
-        known = earlier.select(key).join(keys, key, "left_semi").distinct()
-        fresh = fresh.join(known, key, "left_anti")
-    if key == "content_key":
-        last = earlier.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
-        fresh = number_in_order(fresh, [key], name="doc_id").withColumn("doc_id", F.col("doc_id") + last + 1)
-    store.write("documents", as_documents(fresh), set_id, version, batch)
-
-    stored = store.read("documents", set_id, version)
-    written = stored.filter(F.col("batch") == batch)
-    chunks = embed(documents_to_chunks(written, config), corpus.embedders.get(config.embedder))
-    store.write("chunks", chunks, set_id, version, batch)
-    # A batch folder left by an earlier attempt may or may not be in the total already: count anew.
-    total = stored.count() if repeated else current["total_documents"] + written.count()
-    store.commit(set_id, current["name"], current["upload_date"], current["parameters"], total, version)
+    known = stored.select("content_key").join(latest.select("content_key"), "content_key", "left_semi")
+    last = stored.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
+    fresh = number_in_order(latest.join(known, "content_key", "left_anti"), ["content_key"], name="doc_id")
+    corpus.upsert_documents(set_id, fresh.withColumn("doc_id", F.col("doc_id") + last + 1), batch, after=base)
 
 
 def ingest_stream(
-    corpus: Corpus, set_id: int, documents: DataFrame, checkpoint: str, check_known: bool = True
+    corpus: Corpus, set_id: int, documents: DataFrame, checkpoint: str
 ) -> StreamingQuery:
     """Append a stream of documents to a set until its input is used up, then stop.
 
     Chunking and embedding keep no state between documents, so every micro-batch runs the batch operators.
-    A micro-batch owns a batch folder named after the stream (its checkpoint folder) and its number; a replay
-    after a failure overwrites that folder alone. One stream per set at a time.
+    A micro-batch owns a batch folder named after the stream (its checkpoint folder) and its number; a replay after a failure
+    overwrites that folder if it is not committed, and does nothing if it is.
     """
     stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     return (
         documents.writeStream.foreachBatch(
-            lambda batch_df, b: append_batch(corpus, set_id, batch_df, f"{stream}-{b}", check_known)
+            lambda batch_df, b: append_batch(corpus, set_id, batch_df, f"{stream}-{b}")
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
