@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import quoted
+from textloom.llm.common import quoted, written
 from textloom.session import ship_package
 
 # Payloads below this size are always stored whole.
@@ -59,7 +59,8 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         .agg(F.max("page_id").alias("whole"), F.count("*").alias("pages"))
         .filter("pages > 1 and whole is not null")
     )
-    return rows.join(shared, (F.col("digest") == F.col("shared_digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left").select(
+    # Stored first, so that Spark knows its size and leaves the pages where they are if it is small.
+    return rows.join(written(shared, "shared-payloads"), (F.col("digest") == F.col("shared_digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left").select(
         "page_id", "url", "html", "digest", "payload_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("whole")), F.col("whole")).alias("refers_to")
     )
 
@@ -102,10 +103,10 @@ def record_text() -> Column:
 
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write one record per page below ``folder`` as ``.warc`` files of about ``ARCHIVE_BYTES``; an empty table writes none."""
-    size = pages.agg(F.coalesce(F.sum(F.octet_length(quoted(html)) + 700), F.lit(0))).first()[0]
+    size, rows = pages.agg(F.coalesce(F.sum(F.octet_length(quoted(html)) + 700), F.lit(0)), F.count("*")).first()
     records = plan_records(pages, key, url, html).select(record_text().alias("value"))
-    # Dealt out without a key, so equal payloads and large pages spread evenly.
-    records.repartition(1 + int(size) // ARCHIVE_BYTES).write.option("lineSep", "\r\n\r\n").text(folder)
+    per_file = max(1, int(rows) * ARCHIVE_BYTES // max(int(size), 1))
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def gzip_member(record: bytes) -> bytes:
