@@ -120,14 +120,15 @@ def embed_input(df: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_ix")) ->
     return df.select(*keys, "text")
 
 
-def embed(df: DataFrame, embedder: Embedder, text_col: str = "text") -> DataFrame:
-    """Add ``embedding`` and its ``norm``. A vector without the embedder's dimension is an error."""
+def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", checked: bool = False) -> DataFrame:
+    """Add ``embedding`` and its ``norm``. With ``checked``, a vector without the embedder's dimension is an error."""
 
-    def checked(vector: Column) -> Column:
+    def of_dimension(vector: Column) -> Column:
         said = F.concat(F.lit(f"{embedder.name} declares {embedder.dimension} dimensions, a vector has "), F.size(vector))
         return F.when(F.size(vector) == embedder.dimension, vector).when(vector.isNotNull(), F.raise_error(said))
 
-    return with_norm(df.withColumn("embedding", bind(embedder.vector(F.col(text_col)), checked)))
+    vector = embedder.vector(F.col(text_col))
+    return with_norm(df.withColumn("embedding", bind(vector, of_dimension) if checked else vector))
 
 
 def with_norm(df: DataFrame) -> DataFrame:

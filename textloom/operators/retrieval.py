@@ -9,8 +9,9 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.vectors import SCORE_DECIMALS
 from textloom.operators.filtering import MetadataFilter, apply_filters
@@ -28,22 +29,6 @@ BLOCK_BYTES = 64 * 1024 * 1024
 # ---- one query -------------------------------------------------------------------------------------------
 
 
-def _cosine(vector: Column, query: Sequence[float]) -> Column:
-    unit = np.asarray(query, dtype=np.float64)
-    length = float(np.sqrt(unit @ unit))
-    unit = unit / length if length else unit
-
-    @F.arrow_udf("double")
-    def score(vectors: pa.Array) -> pa.Array:
-        held = vectors.drop_null()
-        scores = _cosines(_matrix(held, len(unit)), unit[:, None])[:, 0]
-        out = np.full(len(vectors), np.nan)
-        out[vectors.is_valid().to_numpy(zero_copy_only=False)] = scores
-        return pa.array(out, from_pandas=True)
-
-    return F.round(score(vector), SCORE_DECIMALS)
-
-
 def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if flat.size != len(vectors) * dimension:
@@ -60,10 +45,25 @@ def _cosines(matrix: np.ndarray, unit_columns: np.ndarray) -> np.ndarray:
 def with_score(df: DataFrame, query: Sequence[float], embedding_col: str = "embedding") -> DataFrame:
     """Add ``score``: cosine similarity to a constant query vector, 0 for a zero vector.
 
-    Null where the vector is null or holds what is no number; a vector of another length than the query is an error.
+    Null where the vector is null or holds what is no number; a vector of another length than the query is an error. All columns pass
+    through Arrow, so select what is needed first.
     """
     ship_package(df.sparkSession)
-    return df.withColumn("score", _cosine(F.col(embedding_col), query))
+    df = df.drop("score")
+    unit = np.asarray(query, dtype=np.float64)
+    length = float(np.sqrt(unit @ unit))
+    unit = unit / length if length else unit
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(embedding_col)
+            held = vectors.drop_null()
+            out = np.full(len(vectors), np.nan)
+            out[vectors.is_valid().to_numpy(zero_copy_only=False)] = _cosines(_matrix(held, len(unit)), unit[:, None])[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, from_pandas=True)], names=[*batch.schema.names, "score"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(score, schema).withColumn("score", F.round("score", SCORE_DECIMALS))
 
 
 def search(
@@ -82,14 +82,15 @@ def search(
     """
     n, offset = max(1, n), max(0, offset)
     kept = [c for c in chunks.columns if c not in ("embedding", "norm")]
-    scored = with_score(apply_filters(chunks, filters), query).filter("score is not null").select(*kept, "score")
+    scored = with_score(apply_filters(chunks, filters).select(*kept, "embedding"), query).select(*kept, "score")
+    # Nulls come last. They are dropped behind the cut.
     order = [F.desc("score"), *id_cols]
     wanted = offset + n + 1
     if wanted > DEEP_PAGE:
-        ranked = number_in_order(scored, order, name="rank").withColumn("rank", F.col("rank") + 1)
+        ranked = number_in_order(scored, order, name="rank").withColumn("rank", F.col("rank") + 1).filter("score is not null")
         more = ranked.agg(F.coalesce(F.max("rank"), F.lit(0)) > offset + n).scalar()
     else:
-        best = scored.orderBy(*order).limit(wanted)  # both windows see at most offset + n + 1 rows
+        best = scored.orderBy(*order).limit(wanted).filter("score is not null")  # both windows see at most offset + n + 1 rows
         ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
         more = F.max("rank").over(Window.partitionBy(F.lit(0))) > offset + n
     return ranked.withColumn("has_more", more).filter(F.col("rank").between(offset + 1, offset + n))

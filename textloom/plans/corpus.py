@@ -139,7 +139,7 @@ class Corpus:
 
     def _embedded(self, docs: DataFrame, config: IngestConfig, embedder: Embedder) -> DataFrame:
         chunks = documents_to_chunks(docs, config).withColumn("chunk_id", F.monotonically_increasing_id())
-        return embed(chunks, embedder)
+        return embed(chunks, embedder, checked=True)
 
     def upsert_documents(self, set_id: int, docs: DataFrame, batch: str | None = None, after: int | None = None) -> None:
         """Add or replace documents of a set by ``doc_id``; of rows with one id the last counts.
