@@ -112,6 +112,20 @@ def test_a_run_without_punctuation_is_cut(spark):
     assert [c.count("word") for c in chunks] == [50, 50, 20]
 
 
+def test_runs_without_spaces_are_bounded(spark):
+    texts = ["漢" * 3000, "=" * 2500, "QmFzZTY0" * 400, "漢字。" * 500]
+    for text, chunks in zip(texts, chunks_of(spark, texts, size=20, overlap=0)):
+        assert "".join(chunks) == text and max(map(len, chunks)) <= 20 * 24
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert C.chunk_documents(df, 20, 0).filter("n_tokens > 20").isEmpty()
+
+
+def test_no_character_of_a_text_is_taken_for_a_mark(spark):
+    text = "One \ufdd0 two.\ufdd0 Dr. \ufdd0\ufdd1 Voss \ufdd2. End\ufdd0"
+    row = spark.createDataFrame([(text,)], "t string").select(C.sentences(F.col("t"))).first()[0]
+    assert "".join(row) == text
+
+
 def test_paragraphs_come_before_sentences(spark):
     text = "One two three. Four five.\n\n\nSix seven. Eight nine ten."
     assert chunks_of(spark, [text], size=7, overlap=0) == [["One two three. Four five.", "Six seven. Eight nine ten."]]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: a token is a run of letters and digits, or a run of other visible characters.
-TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+# A token is a run of at most 24 letters and digits, or of at most 8 other visible characters. Longer runs, as in scripts without
+# spaces, rules and encoded data, are several tokens, so that a number of tokens bounds a length.
+TOKEN_PATTERN = r"[\p{L}\p{N}]{1,24}|[^\s\p{L}\p{N}]{1,8}"
 
 # Fixed value: whitespace stripped from chunk ends (all Unicode separators, controls, byte-order mark).
 BLANK_EDGES = r"^[\s\x{0B}\p{Z}\x{FEFF}]+|[\s\x{0B}\p{Z}\x{FEFF}]+\z"

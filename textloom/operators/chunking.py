@@ -31,8 +31,9 @@ CLAUSE_PATTERN = r"[^,.;。？！]+[,.;。？！]*|[,.;。？！]+"
 WORD_PATTERN = r"\s*\S+\s*\z|\s*\S+|\s+"
 CHARACTER_PATTERN = r"(?s)."
 
-# Stands for a dot that must not end a sentence; a Unicode noncharacter, so no text holds it.
-_QUIET_DOT = "\ufdd0"
+# The mark and what follows stand for a dot that must not end a sentence, or for a mark of the text's own. All three are Unicode
+# noncharacters, which neither split nor belong to words.
+_MARK, _DOT, _OWN = "\ufdd0", "\ufdd1", "\ufdd2"
 
 # Pieces folded at a time.
 _BLOCK_PIECES = 1024
@@ -78,9 +79,12 @@ def quiet_dot_pattern(abbreviations: Sequence[str] = ABBREVIATIONS) -> str:
 
 def sentences(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
     """Sentences with their trailing whitespace, not split after the given abbreviations or inside decimals."""
-    quiet = F.regexp_replace(text, quiet_dot_pattern(abbreviations), _QUIET_DOT)
-    dot, stand_in = F.lit("."), F.lit(_QUIET_DOT)
-    return F.transform(_matches(SENTENCE_PATTERN)(quiet), lambda s: F.replace(s, stand_in, dot))
+    # A mark that the text itself holds is written as two, so that it comes back as it was.
+    mark, own, dot = F.lit(_MARK), F.lit(_MARK + _OWN), F.lit(_MARK + _DOT)
+    quiet = F.regexp_replace(F.replace(text, mark, own), quiet_dot_pattern(abbreviations), _MARK + _DOT)
+    return F.transform(
+        _matches(SENTENCE_PATTERN)(quiet), lambda s: F.replace(F.replace(s, dot, F.lit(".")), own, mark)
+    )
 
 
 def _levels(abbreviations: Sequence[str]) -> list[Callable[[Column], Column]]:

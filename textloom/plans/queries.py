@@ -177,6 +177,37 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return stored.select("doc_id", "chunk_ix", "text", F.col("metadata")["lang"].alias("lang"))
 
 
+@_query
+def upsert_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents stored as a set, the labelled ones replaced and conversation turns added in a second batch."""
+    corpus = Corpus(spark, scratch_folder(spark, "store"))
+    docs = _documents(spark, folder)
+    set_id = corpus.ingest_documents(docs, "changed", IngestConfig(embedder="mock"))
+    edited = docs.join(_table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi")
+    edited = edited.withColumn("text", F.concat(F.lit("second edition: "), "text"))
+    added = _table(spark, folder, "conversations").select(
+        (-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), F.lit("text").alias("text_column"), "text",
+        F.create_map(F.lit("role"), F.col("role")).alias("metadata"),
+    )
+    corpus.upsert_documents(set_id, edited.unionByName(added))
+    total = corpus.store.sets().select(F.col("total_documents"))
+    return corpus.store.open_documents(set_id).select("doc_id", "text").crossJoin(F.broadcast(total))  # one row
+
+
+@_query
+def sets_left(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark texts and conversation turns stored as sets, one of them deleted."""
+    corpus = Corpus(spark, scratch_folder(spark, "store"))
+    for name, rows in (
+        ("items", _table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")),
+        ("turns", _turns(spark, folder).select((F.col("doc_id") * 1000 + F.col("chunk_ix")).alias("doc_id"), "text")),
+    ):
+        none = F.create_map().cast("map<string,string>")
+        last = corpus.ingest_documents(rows.select("doc_id", F.lit("text").alias("text_column"), "text", none.alias("metadata")), name, IngestConfig(embedder="mock"))
+    corpus.delete_set(last)
+    return corpus.list_sets().select("name", "total_documents", "total")
+
+
 @_query
 def search_stored(spark: SparkSession, folder: str) -> DataFrame:
     """All documents ingested as a set, its chunks searched with a filter and an offset, each hit with its document."""
@@ -265,6 +296,15 @@ _FILTERS: dict[str, list[tuple]] = {
 }
 
 
+@_query
+def filter_empty_text(spark: SparkSession, folder: str) -> DataFrame:
+    """A key that is missing, empty or filled: the first two are empty."""
+    docs = _table(spark, folder, "documents")
+    lang = F.when(F.col("lang") == "en", F.lit("")).when(F.col("lang") != "de", F.col("lang"))
+    entries = F.map_filter(F.create_map(F.lit("tongue"), lang), lambda _, value: value.isNotNull())
+    return filtering.apply_filters(docs.select("doc_id", entries.alias("metadata")), [("tongue", "is_empty")]).select("doc_id")
+
+
 def _register_filter(name: str, filters: list[tuple]) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return filtering.apply_filters(_filterable(spark, folder), filters).select("doc_id")
@@ -310,6 +350,15 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _chunks(spark, folder).select("doc_id", "chunk_ix", "n_tokens", "text")
 
 
+@_query
+def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as documents, their turns as paragraphs."""
+    turns = _table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("doc_id"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))  # the turns of one conversation
+    talks = turns.agg(F.array_join(F.transform(ordered, lambda t: t["text"]), "\n\n\n").alias("text"))
+    return chunking.chunk_documents(talks, CHUNK_SIZE, CHUNK_OVERLAP).select("doc_id", "chunk_ix", "text")
+
+
 @_query
 def expand_document(spark: SparkSession, folder: str) -> DataFrame:
     grown = expansion.expand_neighbors(_turns(spark, folder), EXPAND_TOKENS)
@@ -430,6 +479,15 @@ def search_batch(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.search_batch(vectors, queries, k=10, id_cols=("vec_id",))
 
 
+@_query
+def batch_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of every batch query."""
+    vectors = _vectors(spark, folder)
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.search_batch(vectors, queries, k=5 + 5 + 1, id_cols=("vec_id",))
+    return retrieval.page_of_batch(found, 5, 5)
+
+
 def _hashed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return embedding.embed(_chunks(spark, folder), embedding.hash_embedder(DIMENSION))
 
@@ -482,6 +540,14 @@ def preview_middle(spark: SparkSession, folder: str) -> DataFrame:
     return shown.select("doc_id", "chunk_ix", "text", F.col("metadata")["lang"].alias("lang"))
 
 
+@_query
+def preview_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """The other half of a preview: what the whole table costs."""
+    config = IngestConfig(chunk_size=CHUNK_SIZE, chunk_overlap=CHUNK_OVERLAP)
+    _, cost = preview(_documents(spark, folder), config)
+    return cost
+
+
 @_query
 def docs_per_set(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").withColumnRenamed("source", "set_id")
