@@ -107,13 +107,13 @@ def hilbert_keys(points: np.ndarray, bits: int = DIMENSION_BITS) -> np.ndarray:
 
 
 def _curve_keys(ids: list[np.ndarray]) -> np.ndarray:
-    lengths = np.array([len(i) for i in ids])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    sums = np.add.reduceat(_PROJECTION[np.concatenate(ids) & (_BUCKETS - 1)], starts, axis=0)
-    # Root of the length: the sums of independent draws then have a spread of about one.
-    scaled = sums / np.sqrt(lengths)[:, None] / 4.0
+    # Directions of the hashed count vectors, so that the key does not depend on a text's length.
+    points = np.empty((len(ids), DIMENSIONS), np.float32)
+    for i, own in enumerate(ids):
+        counts = np.bincount(own & (_BUCKETS - 1), minlength=_BUCKETS).astype(np.float32)
+        points[i] = counts @ _PROJECTION / np.sqrt(counts @ counts)
     top = (1 << DIMENSION_BITS) - 1
-    return hilbert_keys(np.clip(((scaled / (1 + np.abs(scaled)) + 1) / 2 * top).astype(np.int64), 0, top))
+    return hilbert_keys(np.clip(((points / (1 + np.abs(points)) + 1) / 2 * top).astype(np.int64), 0, top))
 
 
 def pack(documents: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = 0) -> DataFrame:
