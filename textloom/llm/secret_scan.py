@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEARNED = "learned"
 
-# Training takes up to so many texts with and without a pattern match, chosen by a hash of their key, and so many characters of each.
+# Training takes about so many texts with and without a pattern match, chosen by a hash of their key, and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARACTERS = 400, 800
 STEPS, RATE, PENALTY = 80, 0.15, 1e-3
 # Tokens' scores are lowered by this much before decoding; below zero favours finding over leaving.
@@ -276,16 +276,20 @@ def _tagged(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn_field(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    """Train on up to ``SAMPLE_TEXTS`` texts with and as many without a pattern match; a piece around the first match of each."""
+    """Train on about ``SAMPLE_TEXTS`` texts with and as many without a pattern match; a piece around the first match of each."""
     pattern = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"
     rows = documents.filter(F.length(quoted(text)) > 0).select(quoted(text).alias("text"), F.xxhash64(quoted(key), F.lit(2)).alias("draw"))
-    rows = rows.withColumn("at", F.regexp_instr("text", F.lit(pattern)))
-    picked = []
-    for hits in (True, False):
-        start = F.greatest(F.col("at") - SAMPLE_CHARACTERS // 2, F.lit(1))
-        piece = F.substring(F.col("text"), start, F.lit(SAMPLE_CHARACTERS))
-        some = rows.filter(F.col("at") > 0 if hits else F.col("at") == 0).select("draw", piece.alias("piece")).orderBy("draw", "piece").limit(SAMPLE_TEXTS)
-        picked += [r.piece for r in some.collect()]
+    hit = F.regexp_instr("text", F.lit(pattern)) > 0
+    hits, misses = rows.agg(F.count_if(hit), F.count_if(~hit)).first()
+    # A draw below the wanted share of its kind is in the sample: the driver gets about SAMPLE_TEXTS of each, however many tasks there are.
+    span = 1 << 40
+    shares = [min(span, span * SAMPLE_TEXTS // max(n, 1)) for n in (hits, misses)]
+    drawn = rows.withColumn("draw", F.pmod("draw", F.lit(span))).filter(F.col("draw") < max(shares))
+    found = drawn.withColumn("at", F.regexp_instr("text", F.lit(pattern)))
+    chosen = found.filter(F.col("draw") < F.when(F.col("at") > 0, F.lit(shares[0])).otherwise(F.lit(shares[1])))
+    start = F.greatest(F.col("at") - SAMPLE_CHARACTERS // 2, F.lit(1))
+    piece = F.substring(F.col("text"), start, F.lit(SAMPLE_CHARACTERS))
+    picked = [r.piece for r in chosen.select("draw", piece.alias("piece")).orderBy("draw", "piece").limit(4 * SAMPLE_TEXTS).collect()]
     examples = [_tagged(p) for p in picked]
     return train_field([f for f, _ in examples], [t for _, t in examples])
 
