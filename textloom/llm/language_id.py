@@ -189,9 +189,12 @@ def training_sample(documents: DataFrame, key: str, text: str, lang: str) -> tup
     """About ``SAMPLE_DOCUMENTS`` labelled documents that are not held out, chosen by a hash of their key, a piece of each."""
     labelled = documents.filter(~held_out(quoted(key)) & quoted(lang).isNotNull() & (F.length(quoted(text)) > 0))
     labelled = labelled.select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.xxhash64(quoted(key), F.lit(4)).alias("draw"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.lit(float(SAMPLE_DOCUMENTS)) / F.greatest(F.lit(max(sizes.count(), 1)), F.lit(1)) / F.col("n")
-    chosen = labelled.join(sizes, "lang").filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
+    sizes = labelled.groupBy("lang").count().collect()  # one row per language, as many as the model gets
+    if not sizes:
+        return [], []
+    wanted = SAMPLE_DOCUMENTS / len(sizes)
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(wanted / r["count"], 1.0) * (1 << 30)))])
+    chosen = labelled.filter(F.pmod("draw", F.lit(1 << 30)) < F.element_at(shares, F.col("lang")))
     start = F.pmod(F.shiftright("draw", 31), F.greatest(F.length("text") - SAMPLE_CHARACTERS, F.lit(1))).cast("int") + 1
     rows = chosen.select("lang", "draw", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARACTERS)).alias("piece")).orderBy("draw", "piece").limit(2 * SAMPLE_DOCUMENTS).collect()
     return [r.piece.encode() for r in rows], [r.lang for r in rows]
