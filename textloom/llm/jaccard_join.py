@@ -25,12 +25,13 @@ SHINGLE = 4
 PERCENT = 85
 HUB_ROUNDS = 2
 
-# Slots of the frequency table that orders shingles and of the filter of units to compare; fixed sizes, whatever the input.
-# Both steer work only: any table gives a valid order, any false alarm of the filter is joined away.
-FREQUENCY_SLOTS = 1 << 22
+# Shingles whose hash is below this come first in the order and are counted. It is well above the share of a set that a prefix takes,
+# so nearly all prefixes lie among counted shingles.
+_COUNTED = np.uint64(int(0.35 * 2**64))
+# Slots of the table that tells how frequent counted shingles are, and bits of the filter of units to compare: fixed sizes, whatever
+# the input. Both steer work only: any table without a missing entry gives a valid order, any false alarm of the filter is joined away.
+FREQUENCY_SLOTS = 1 << 25
 FILTER_BITS = 1 << 26
-# A task hands on the slots that this many documents hit among so many shingles.
-_FREQUENT, _FLUSH = 8, 1 << 22
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int):
@@ -64,56 +65,55 @@ def _identity(members: np.ndarray) -> tuple[int, int]:
 
 
 def _frequencies(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Counts of frequent shingles by slot, summed over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, seen = np.zeros(FREQUENCY_SLOTS, np.int64), 0
-
-        def flush():
-            at = np.flatnonzero(slots >= _FREQUENT)
-            batch = pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(slots[at])], names=["slot", "c"])
-            slots[:] = 0
-            return batch
+    """For each slot of hashes the highest class of a shared shingle there: 0 none, else one more than log2 of its documents."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, shingle):
-            members = np.concatenate(sets) & np.uint64(FREQUENCY_SLOTS - 1)
-            found, times = np.unique(members.astype(np.int64), return_counts=True)
-            slots[found] += times
-            seen += len(members)
-            if seen > _FLUSH:
-                yield flush()
-                seen = 0
-        yield flush()
-
-    table = np.zeros(FREQUENCY_SLOTS, np.uint32)
-    counts = rows.mapInArrow(count, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c"))
-    found = counts.toArrow()  # at most FREQUENCY_SLOTS rows
-    table[found.column("slot").to_numpy()] = np.minimum(found.column("c").to_numpy(), (1 << 32) - 1)
+            # Sets are sorted, so the counted members are a leading part.
+            lead = [members[: np.searchsorted(members, _COUNTED)] for members in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lead).view(np.int64))], names=["token"])
+
+    shared = rows.mapInArrow(counted, "token bigint").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    slot = F.col("token").bitwiseAND(FREQUENCY_SLOTS - 1).cast("int")
+    classes = shared.groupBy(slot.alias("slot")).agg(F.max(F.least(F.floor(F.log2("c")), F.lit(200))).cast("byte").alias("class")).toArrow()
+    table = np.zeros(FREQUENCY_SLOTS, np.uint8)
+    for part in classes.to_batches():  # at most FREQUENCY_SLOTS rows of five bytes
+        table[part.column("slot").to_numpy()] = part.column("class").to_numpy().view(np.uint8)
     return table
 
 
 def _prefixes(rows: DataFrame, shingle: int, frequency) -> DataFrame:
-    """Per row its set's size, identity and prefix."""
+    """Per row its set's size, identity and the shared shingles of its prefix, with the place of the first of them.
+
+    The order is: counted shingles by class, then all others; equal ones by hash. Class 0 stands in one document only, so such members take
+    their places in the prefix but are no one's candidates.
+    """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequency.value
         for part, sets in _sets(batches, shingle):
-            sizes, ones, twos, prefixes = [], [], [], []
+            sizes, ones, twos, starts, prefixes = [], [], [], [], []
             for members in sets:
                 n = len(members)
-                order = np.argsort(table[(members & np.uint64(FREQUENCY_SLOTS - 1)).astype(np.int64)], kind="stable")
+                length = n - needed(n) + 1 if n else 0
+                lead = int(np.searchsorted(members, _COUNTED))
+                classes = np.full(n, 255, np.uint8)
+                classes[:lead] = table[(members[:lead] & np.uint64(FREQUENCY_SLOTS - 1)).astype(np.int64)]
+                order = np.argsort(classes, kind="stable")[:length]
+                alone = int(np.searchsorted(classes[order], 1))
                 one, two = _identity(members)
                 sizes.append(n)
                 ones.append(one)
                 twos.append(two)
-                prefixes.append(members[order[: n - needed(n) + 1 if n else 0]].view(np.int64))
+                starts.append(alone)
+                prefixes.append(members[order[alone:]].view(np.int64))
             lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(prefixes)))
-            columns = [part.column("key"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), listed]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "h1", "h2", "prefix"])
+            columns = [part.column("key"), *[pa.array(c, pa.int64()) for c in (sizes, ones, twos, starts)], listed]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "h1", "h2", "start", "prefix"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(take, f"key {kind}, n bigint, h1 bigint, h2 bigint, prefix array<bigint>")
+    return rows.mapInArrow(take, f"key {kind}, n bigint, h1 bigint, h2 bigint, start bigint, prefix array<bigint>")
 
 
 def _filter_bits(units: DataFrame) -> np.ndarray:
@@ -183,17 +183,17 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     # Equal sets are one unit, named by its first row.
     units = written(
-        scanned.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("key.row").alias("unit"), F.first("prefix").alias("prefix")),
+        scanned.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("key.row").alias("unit"), F.first("start").alias("start"), F.first("prefix").alias("prefix")),
         "shingle-units",
     )
-    # Units of equal size and prefix are one group, named by its first unit.
-    groups = written(units.groupBy("n", "prefix").agg(F.min("unit").alias("gid"), F.count("*").alias("units")), "shingle-groups")
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # Units of equal size and prefix are one group, named by its first unit. A unit with no shared shingle in its prefix links with none.
+    groups = written(units.filter("size(prefix) > 0").groupBy("n", "start", "prefix").agg(F.min("unit").alias("gid"), F.count("*").alias("units")), "shingle-groups")
+    postings = groups.select("gid", "n", "start", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("start") + F.col("pos")).drop("start")
     shared = postings.groupBy("token").agg(F.count("*").alias("lists")).filter("lists > 1").select("token")
     postings = written(postings.join(shared, "token"), "shingle-postings")
 
     in_play = postings.select("gid").union(groups.filter("units > 1").select("gid")).distinct()
-    members = units.join(groups.join(in_play, "gid", "left_semi").select("n", "prefix", "gid"), ["n", "prefix"])
+    members = units.join(groups.join(in_play, "gid", "left_semi").select("n", "start", "prefix", "gid"), ["n", "start", "prefix"])
     members = written(members.select("unit", "gid", "n", "h1", "h2"), "shingle-members")
     bits = context.broadcast(_filter_bits(members))
     sets = _full_sets(rows, shingle, bits).join(members.select("unit", "n", "h1", "h2"), ["n", "h1", "h2"]).groupBy("unit").agg(F.first("members").alias("members"))
