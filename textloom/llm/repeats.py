@@ -26,7 +26,10 @@ _PLACE_BITS = 20
 # Windows of one segment, at most; longer runs are several segments.
 _LONGEST = 512
 
-# The filter that tells tasks which anchors occur twice: fixed size; a false alarm only brings a segment too many.
+# Bytes of one symbol of the transforms; must divide WINDOW.
+SYMBOL = 10
+# Filters that tell tasks which anchors occur twice and which segments are to be compared: fixed size; a false alarm only brings a segment
+# too many.
 FILTER_BITS = 1 << 27
 # Segments are merged in batches of about so many bytes, from shards of this size.
 BATCH_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
@@ -80,62 +83,92 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_segments(data, bounds)[0])], names=["anchor"])
 
 
-def _filter_bits(anchors: DataFrame) -> np.ndarray:
-    slot = F.col("anchor").bitwiseAND(FILTER_BITS - 1)
-    held = anchors.select(slot.alias("slot")).groupBy(F.expr("slot div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits"))
+def _filter_bits(slots: DataFrame) -> np.ndarray:
+    """A bit array of the numbers in column ``slot``; its words are combined on the executors."""
+    held = slots.groupBy(F.expr("slot div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     for part in held.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
         bits[part.column("at").to_numpy()] = part.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
+def _knows(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _place_slots(text_hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Filter slots of places: a text's hash and an offset in it."""
+    return (A.mix(text_hashes.view(np.uint64) ^ A.mix(at.astype(np.uint64) + np.uint64(1))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_place_slots(batch.column("hash").to_numpy(), batch.column("at").to_numpy()))], names=["slot"])
+
+
 # ---------------------------------------------------------------- transforms
 
 
-def _paired(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of two bytes in strings for even and odd places; each string is closed by symbol 0.
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative numbers; sorted together with their places where both fit into 64 bits, which is much faster."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 64:
+        return np.argsort(keys, kind="stable")
+    packed = (keys.astype(np.uint64) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    order = _ordered(keys)
+    ordered = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return rank
+
+
+def _strings(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of ``SYMBOL`` bytes: each segment gives one string for every phase, closed by symbol 0.
 
-    Returns the symbols, the index of the symbol that follows (cyclic in its string), and the symbol index of each byte.
+    Returns the symbols, the index of the symbol that follows (cyclic in its string), the symbol index of each byte, and where
+    the symbols of each segment begin.
     """
     lengths = np.array([len(s) for s in segments])
-    data = np.frombuffer(b"".join(s + b"\0" for s in segments), np.uint8).astype(np.uint16)
-    ends = np.cumsum(lengths + 1)
-    begins = ends - lengths - 1
-    pair = (data[:-1] << 8) | data[1:]
+    data = np.frombuffer(b"".join(s + bytes(SYMBOL) for s in segments) + bytes(8), np.uint8)
+    begins = np.cumsum(lengths + SYMBOL) - lengths - SYMBOL
     owner = np.repeat(np.arange(len(segments)), lengths)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    byte_at = begins[owner] + inner
-    present = np.zeros(1 << 16, bool)
-    present[pair[byte_at]] = True
-    rank = np.cumsum(present).astype(np.uint16)
-    evens, odds = (lengths + 1) // 2, lengths // 2
-    string_lengths = np.stack([evens + 1, odds + 1], 1).ravel()
-    string_ends = np.cumsum(string_lengths)
-    string_begins = string_ends - string_lengths
-    where = string_begins[2 * owner + inner % 2] + inner // 2
-    symbols = np.zeros(string_ends[-1], np.uint16)
-    symbols[where] = rank[pair[byte_at]]
+    at = begins[owner] + inner
+    # Exact ranks of the bytes read from each place, five and then two at a time.
+    rank = np.zeros(len(at), np.int64)
+    for first, stop in zip([0, *range(5, SYMBOL, 2)], [*range(5, SYMBOL, 2), SYMBOL]):
+        for i in range(first, stop):
+            rank = (rank << 8) | data[at + i]
+        rank = _ranked(rank)
+    phases = np.arange(SYMBOL)
+    counts = (lengths[:, None] - phases + SYMBOL - 1) // SYMBOL + 1  # and the closing symbol
+    counts = np.maximum(counts, 1)
+    ends = np.cumsum(counts.ravel())
+    firsts = ends - counts.ravel()
+    where = firsts[SYMBOL * owner + inner % SYMBOL] + inner // SYMBOL
+    symbols = np.zeros(ends[-1], np.int64)
+    symbols[where] = rank + 1
     following = np.arange(1, len(symbols) + 1)
-    following[string_ends - 1] = string_begins
-    return symbols, following, where
+    following[ends - 1] = firsts
+    return symbols, following, where, np.append(firsts[::SYMBOL], ends[-1])
 
 
 def _shard_order(symbols: np.ndarray, following: np.ndarray, depth: int) -> np.ndarray:
     """Places of a shard sorted by the ``depth`` or more symbols read from them."""
-    rank, jump, reach = symbols.astype(np.int64), following, 1
-    order = np.argsort(rank, kind="stable")
+    rank, jump, reach = symbols, following, 1
     while reach < depth:
-        key = rank * (len(symbols) + 1 + (1 << 16)) + rank[jump]
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        rank = _ranked(rank * (int(rank.max()) + 1) + rank[jump])
         jump, reach = jump[jump], reach * 2
-    return order
+    return _ordered(rank)
 
 
-def merged_intervals(segments: list[bytes], depth: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the segments, the number of its interval: equal where at least ``depth`` (even) equal bytes follow.
+def merged_intervals(segments: list[bytes], shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the segments, the number of its interval: equal where at least ``WINDOW`` equal bytes follow.
 
     Bytes nearer to their segment's end get some interval too, which means nothing. Also returns the offsets of the segments'
     bytes.
@@ -143,34 +176,32 @@ def merged_intervals(segments: list[bytes], depth: int = WINDOW, shard_bytes: in
     Shards of segments are sorted each on its own and give their transforms. The merge keeps, for each place of the
     common order, the shard it comes from. It starts with all of one shard after the other; each round reads the
     transforms along the interleave and deals the places out by the symbol before them, so that after ``r`` rounds they are in order
-    of ``r`` symbols. Intervals are split where the dealt symbol or the interval before differ.
+    of ``r`` symbols. Intervals of common prefix are split where the dealt symbol or the interval before differ.
     """
     lengths = np.array([len(s) for s in segments])
     sizes = np.cumsum(lengths)
     bounds = np.flatnonzero(np.diff(sizes // shard_bytes, prepend=-1)).tolist() + [len(segments)]
-    symbols, following, where = _paired(segments)
-    # Ranks of symbols are common to all shards, as their strings are cut from one table.
-    string_first = np.concatenate([[0], np.cumsum(lengths + 2)])  # symbols of a segment: its bytes and two closing ones
+    symbols, following, where, firsts = _strings(segments)
     orders, transforms, sources = [], [], []
     for number, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
-        a, b = int(string_first[low]), int(string_first[high])
-        order = _shard_order(symbols[a:b], following[a:b] - a, depth // 2)
+        a, b = int(firsts[low]), int(firsts[high])
+        order = _shard_order(symbols[a:b], following[a:b] - a, WINDOW // SYMBOL)
         before = np.empty(b - a, np.int64)
         before[following[a:b] - a] = np.arange(b - a)
         orders.append(order + a)
         transforms.append(symbols[a:b][before[order]])
         sources.append(np.full(b - a, number, np.uint16))
     transform, source = np.concatenate(transforms), np.concatenate(sources)
-    interval = np.zeros(len(source), np.int32)
-    read = np.empty(len(source), np.uint16)
-    for _ in range(depth // 2):
+    interval = np.zeros(len(source), np.int64)
+    read = np.empty(len(source), np.int64)
+    for _ in range(WINDOW // SYMBOL):
         read[np.argsort(source, kind="stable")] = transform
-        dealt = np.argsort(read, kind="stable")
+        dealt = _ordered(read)
         source, symbol, interval = source[dealt], read[dealt], interval[dealt]
         split = np.zeros(len(source), bool)
         split[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(split, dtype=np.int32)
-    place = np.empty(len(source), np.int32)
+        interval = np.cumsum(split)
+    place = np.empty(len(source), np.int64)
     place[np.concatenate(orders)] = interval[np.argsort(source, kind="stable")]
     return place[where], np.concatenate([[0], sizes])
 
@@ -198,27 +229,27 @@ def _decide(segments: list[bytes], counts: list[int]) -> list[list[tuple[int, in
 
 
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and place; whole anchors are decided together."""
-    run_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-    keys, anchors, segments, counts, size = [], [], [], [], 0
+    """Removed byte ranges of the segments, which are sorted by anchor and place; whole anchors are decided together."""
+    held: list[tuple] = []
+    size, last = 0, None
+    key_type = None
 
     def decided():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([[{"low": a, "high": b} for a, b in r] for r in _decide(segments, counts)], run_type)], names=["segment_id", "runs"]
-        )
+        rows = []
+        for (key, at, _, _), runs in zip(held, _decide([h[3] for h in held], [h[2] for h in held])):
+            rows += [(key, at + low, at + high + WINDOW - 1) for low, high in runs]
+        columns = list(zip(*rows)) if rows else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["key", "low", "high"])
 
     for batch in batches:
-        for i, (anchor, segment_id, count) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment_id", "windows")))):
-            if size > BATCH_BYTES and anchor != anchors[-1]:
+        key_type = batch.column("key").type
+        for anchor, *segment in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "at", "windows", "bytes"))):
+            if size > BATCH_BYTES and anchor != last:
                 yield decided()
-                keys, anchors, segments, counts, size = [], [], [], [], 0
-            segment = batch.column("bytes")[i].as_py()
-            keys.append(segment_id)
-            anchors.append(anchor)
-            segments.append(segment)
-            counts.append(count)
-            size += len(segment)
-    if keys:
+                held, size = [], 0
+            held.append(tuple(segment))
+            size, last = size + len(segment[3]), anchor
+    if held:
         yield decided()
 
 
@@ -251,52 +282,59 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
     spark = documents.sparkSession
     rows = keyed_texts(documents, key, text).withColumn("key", F.struct("key", F.xxhash64("text").alias("hash")))
-    twice = rows.mapInArrow(_anchors, "anchor bigint")
-    twice = twice.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    bits = spark.sparkContext.broadcast(_filter_bits(twice))
+    twice = rows.mapInArrow(_anchors, "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = spark.sparkContext.broadcast(_filter_bits(twice.select(F.col("anchor").bitwiseAND(FILTER_BITS - 1).alias("slot"))))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
         for part, data, bounds in A.blocks(batches):
             anchors, owner, at, size = _segments(data, bounds)
-            slot = anchors & (FILTER_BITS - 1)
-            wanted = (known[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            wanted = _knows(bits.value, anchors & (FILTER_BITS - 1))
             anchors, owner, at, size = anchors[wanted], owner[wanted], at[wanted], size[wanted]
             hashes = A.span_hashes(A.prefix_hashes(data), at, at + size + WINDOW - 1).view(np.int64)
-            raw = data.tobytes()
-            pieces = [raw[a : a + s + WINDOW - 1] for a, s in zip(at.tolist(), size.tolist())]
-            columns = [part.column("key").take(pa.array(owner)), pa.array(anchors), pa.array(hashes), pa.array(at - bounds[owner]), pa.array(size), pa.array(pieces, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "hash", "at", "windows", "bytes"])
+            columns = [part.column("key").take(pa.array(owner)), *map(pa.array, (anchors, hashes, at - bounds[owner], size))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "hash", "at", "windows"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    shape = f"key {kind}, anchor bigint, hash bigint, at bigint, windows bigint, bytes binary"
-    found = written(rows.mapInArrow(collect, shape), "segments", compression="zstd")
+    found = written(rows.mapInArrow(collect, f"key {kind}, anchor bigint, hash bigint, at bigint, windows bigint"), "segments", compression="zstd")
 
     # Equal segments collapse to the earliest; all others go wholly.
     place = F.struct("key", "at")
-    variants = found.groupBy("anchor", "hash", "bytes").agg(F.min(place).alias("first"), F.first("windows").alias("windows"))
-    variants = written(variants.withColumn("segment_id", F.monotonically_increasing_id()), "segment-variants", compression="zstd")
-    per_anchor = variants.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    several = written(per_anchor, "segment-anchors")
-    hot = several.filter(F.col("n") > HOT_SEGMENTS).select("anchor")
-    mild = several.filter(F.col("n") <= HOT_SEGMENTS).select("anchor")
+    variants = written(found.groupBy("anchor", "hash").agg(F.min(place).alias("first"), F.max("windows").alias("windows")), "segment-variants", compression="zstd")
+    later = found.join(variants.select("anchor", "hash", "first"), ["anchor", "hash"]).filter(place != F.col("first"))
+    from_copies = later.select("key", F.col("at").alias("low"), (F.col("at") + F.col("windows") + WINDOW - 1).alias("high"))
 
-    compared = variants.join(mild, "anchor").select("anchor", "first", "segment_id", "windows", "bytes")
-    total = compared.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    by_anchor = compared.repartition(1 + int(total) // (4 * BATCH_BYTES), "anchor").sortWithinPartitions("anchor", "first")
-    decided = by_anchor.drop("first").mapInArrow(_merge_batches, "segment_id bigint, runs array<struct<low:bigint,high:bigint>>")
-    from_merge = variants.select("segment_id", "first").join(decided.filter("size(runs) > 0"), "segment_id").select("first.key", "first.at", F.explode("runs").alias("r"))
-    from_merge = from_merge.select("key", (F.col("at") + F.col("r.low")).alias("low"), (F.col("at") + F.col("r.high") + WINDOW - 1).alias("high"))
-
-    single = variants.join(hot, "anchor").select("first", "bytes", F.explode(F.expr("sequence(0L, windows - 1)")).alias("i"))
-    single = single.select("first.key", (F.col("first.at") + F.col("i")).alias("at"), F.expr(f"substring(bytes, int(i) + 1, {WINDOW})").alias("bytes"))
-    earliest = single.groupBy("bytes").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    from_hot = single.join(earliest, "bytes").filter(place != F.col("earliest")).select("key", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))
-
-    later = found.select("key", "at", "windows", "anchor", "hash").join(variants.select("anchor", "hash", "first", F.octet_length("bytes").alias("size")), ["anchor", "hash"])
-    later = later.filter(f"size = windows + {WINDOW - 1}").filter(place != F.col("first")).select("key", F.col("at").alias("low"), (F.col("at") + F.col("windows") + WINDOW - 1).alias("high"))
+    # Anchors with several different segments: the segments' bytes are fetched and compared.
+    several = written(variants.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + WINDOW - 1).alias("bytes")).filter("n > 1"), "segment-anchors")
+    hot = several.filter(F.col("n") > HOT_SEGMENTS).select("anchor")
+    needed = variants.join(several, "anchor").select(F.col("first.key.hash").alias("hash"), "first.at")
+    asked = spark.sparkContext.broadcast(_filter_bits(needed.mapInArrow(_place_rows, "slot bigint")))
 
-    runs = from_merge.unionByName(from_hot).unionByName(later).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, bounds in A.blocks(batches):
+            anchors, owner, at, size = _segments(data, bounds)
+            own = np.asarray(part.column("key").field("hash")).astype(np.int64)
+            wanted = _knows(bits.value, anchors & (FILTER_BITS - 1)) & _knows(asked.value, _place_slots(own[owner], at - bounds[owner]))
+            anchors, owner, at, size = anchors[wanted], owner[wanted], at[wanted], size[wanted]
+            raw = data.tobytes()
+            pieces = [raw[a : a + s + WINDOW - 1] for a, s in zip(at.tolist(), size.tolist())]
+            columns = [part.column("key").take(pa.array(owner)), pa.array(anchors), pa.array(at - bounds[owner]), pa.array(size), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "at", "windows", "bytes"])
+
+    segments = rows.mapInArrow(fetch, f"key {kind}, anchor bigint, at bigint, windows bigint, bytes binary")
+    removed, mild = from_copies, segments
+    if not hot.isEmpty():
+        segments = written(segments, "segment-bytes", compression="zstd")
+        mild = segments.join(hot, "anchor", "left_anti")
+        single = segments.join(hot, "anchor", "left_semi").select("key", "at", "bytes", F.explode(F.expr("sequence(0L, windows - 1)")).alias("i"))
+        single = written(single.select("key", (F.col("at") + F.col("i")).alias("at"), F.expr(f"substring(bytes, int(i) + 1, {WINDOW})").alias("bytes")), "hot-windows", compression="zstd")
+        earliest = single.groupBy("bytes").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        from_hot = single.join(earliest, "bytes").filter(place != F.col("earliest")).select("key", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))
+        removed = removed.unionByName(from_hot)
+    total = several.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    by_anchor = mild.repartition(1 + int(total) // (2 * BATCH_BYTES), "anchor").sortWithinPartitions("anchor", "key", "at")
+    removed = removed.unionByName(by_anchor.mapInArrow(_merge_batches, f"key {kind}, low bigint, high bigint"))
+
+    runs = removed.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     key_kind = rows.schema["key"].dataType["key"].dataType.simpleString()
     joined = rows.join(runs, "key", "left").select("key.key", "text", "runs")
     shape = f"key {key_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
