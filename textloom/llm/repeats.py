@@ -247,6 +247,8 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if size > BATCH_BYTES and anchor != last:
                 yield decided()
                 held, size = [], 0
+            if held and anchor == last and held[-1][:2] == tuple(segment[:2]):
+                continue  # of a row that is there twice
             held.append(tuple(segment))
             size, last = size + len(segment[3]), anchor
     if held:
