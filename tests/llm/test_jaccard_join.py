@@ -51,6 +51,17 @@ def test_clusters_of_edited_copies(spark):
     assert linked(df) == brute(rows)
 
 
+def test_links_inside_a_group_whose_first_unit_links_with_none(spark):
+    rows, expected = [], []
+    for family in range(100):
+        a, words = 3 * family, prose(1000 + family, 16, "abcdefghijklmnop").split()
+        for i, tail in enumerate((["x", "y", "z"], words[13:], [*words[13:15], "w"])):
+            rows.append((a + i, " ".join(words[:13] + tail)))
+        expected += [(a, 13, a), (a + 1, 13, a + 1), (a + 2, 13, a + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert linked(df) == sorted(expected, key=str)
+
+
 def test_odd_rows(spark, odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert linked(odd) == brute(rows)

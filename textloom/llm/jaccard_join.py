@@ -188,11 +188,12 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     )
     # Units of equal size and prefix are one group, named by its first unit. A unit with no shared shingle in its prefix links with none.
     groups = written(units.filter("size(prefix) > 0").groupBy("n", "start", "prefix").agg(F.min("unit").alias("gid"), F.count("*").alias("units")), "shingle-groups")
-    postings = groups.select("gid", "n", "start", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("start") + F.col("pos")).drop("start")
-    shared = postings.groupBy("token").agg(F.count("*").alias("lists")).filter("lists > 1").select("token")
-    postings = written(postings.join(shared, "token"), "shingle-postings")
+    postings = groups.select("gid", "n", "units", "start", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("start") + F.col("pos")).drop("start")
+    # Shared by two units, be they of one group: units that do not link with their group's first one may link with each other.
+    shared = postings.groupBy("token").agg(F.sum("units").alias("holders")).filter("holders > 1").select("token")
+    postings = written(postings.drop("units").join(shared, "token"), "shingle-postings")
 
-    in_play = postings.select("gid").union(groups.filter("units > 1").select("gid")).distinct()
+    in_play = postings.select("gid").distinct()
     members = units.join(groups.join(in_play, "gid", "left_semi").select("n", "start", "prefix", "gid"), ["n", "start", "prefix"])
     members = written(members.select("unit", "gid", "n", "h1", "h2"), "shingle-members")
     bits = context.broadcast(_filter_bits(members))
