@@ -68,6 +68,23 @@ def test_hot_anchors_take_the_other_way_to_the_same_result(spark, monkeypatch):
     check(shared_passages(spark))
 
 
+def test_copies_of_a_text_bring_one_segment_each(spark, monkeypatch):
+    words = prose(5, 80).split()
+    one, other = " ".join(words), " ".join([*words[:60], "other", *words[61:]])
+    rows = [(i, one) for i in range(200)] + [(200 + i, other) for i in range(200)] + [(0, one), (None, one), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    merged = R._merge_batches
+
+    def counted(batches):
+        batches = list(batches)
+        held = [(b, a) for batch in batches for b, a in zip(batch.column("bytes").to_pylist(), batch.column("anchor").to_pylist())]
+        assert len(set(held)) == len(held), "a segment is fetched from several copies"
+        yield from merged(iter(batches))
+
+    monkeypatch.setattr(R, "_merge_batches", counted)
+    check(df)
+
+
 def test_odd_rows(spark, odd, nothing):
     check(odd)
     assert R.remove_repeats(nothing).count() == 0

@@ -96,9 +96,9 @@ def _knows(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _place_slots(text_hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Filter slots of places: a text's hash and an offset in it."""
-    return (A.mix(text_hashes.view(np.uint64) ^ A.mix(at.astype(np.uint64) + np.uint64(1))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _place_slots(row_hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Filter slots of places: the hash of a row's key and text, and an offset in the text."""
+    return (A.mix(row_hashes.view(np.uint64) ^ A.mix(at.astype(np.uint64) + np.uint64(1))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,13 +308,13 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     # Anchors with several different segments: the segments' bytes are fetched and compared.
     several = written(variants.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + WINDOW - 1).alias("bytes")).filter("n > 1"), "segment-anchors")
     hot = several.filter(F.col("n") > HOT_SEGMENTS).select("anchor")
-    needed = variants.join(several, "anchor").select(F.col("first.key.hash").alias("hash"), "first.at")
-    asked = spark.sparkContext.broadcast(_filter_bits(needed.mapInArrow(_place_rows, "slot bigint")))
+    needed = variants.join(several, "anchor").select("first.key", "first.at", F.xxhash64("first.key.key", "first.key.hash").alias("hash"))
+    asked = spark.sparkContext.broadcast(_filter_bits(needed.select("hash", "at").mapInArrow(_place_rows, "slot bigint")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in A.blocks(batches):
             anchors, owner, at, size = _segments(data, bounds)
-            own = np.asarray(part.column("key").field("hash")).astype(np.int64)
+            own = np.asarray(part.column("own")).astype(np.int64)
             wanted = _knows(bits.value, anchors & (FILTER_BITS - 1)) & _knows(asked.value, _place_slots(own[owner], at - bounds[owner]))
             anchors, owner, at, size = anchors[wanted], owner[wanted], at[wanted], size[wanted]
             raw = data.tobytes()
@@ -322,7 +322,12 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
             columns = [part.column("key").take(pa.array(owner)), pa.array(anchors), pa.array(at - bounds[owner]), pa.array(size), pa.array(pieces, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "at", "windows", "bytes"])
 
-    segments = rows.mapInArrow(fetch, f"key {kind}, anchor bigint, at bigint, windows bigint, bytes binary")
+    # The filter may let other places through, and all rows of one key and text hold the place: just one row's segment stays, as copies
+    # would all lie under one anchor.
+    fetched = rows.withColumn("own", F.xxhash64("key.key", "key.hash")).mapInArrow(fetch, f"key {kind}, anchor bigint, at bigint, windows bigint, bytes binary")
+    segments = fetched.join(needed.select("key", "at"), ["key", "at"], "left_semi")
+    if not rows.groupBy("key").count().filter("count > 1").isEmpty():
+        segments = segments.dropDuplicates(["key", "at"])
     removed, mild = from_copies, segments
     if not hot.isEmpty():
         segments = written(segments, "segment-bytes", compression="zstd")
