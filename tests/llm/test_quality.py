@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import numpy as np
@@ -78,6 +79,78 @@ def test_bands_reject_noise_and_keep_prose(spark):
     assert got[300].base_failed and got[301].base_failed and not got[300].kept and not got[301].kept
 
 
+def brute_unit_bits(texts, i):
+    """Order two, counted by texts, from its definition: ``texts`` without ``i``, the discounts and the vocabulary of all."""
+    pairs = [set(zip(t.split(), t.split()[1:])) for t in texts]
+
+    def counted(some):
+        c = collections.Counter(p for ps in some for p in ps)
+        return c, collections.Counter(w for _, w in c)
+
+    def discounts(counts):
+        of = collections.Counter(counts.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0
+        found = [n - (n + 1) * y * of[n + 1] / of[n] if y and of[n] else 0 for n in (1, 2, 3)]
+        return [min(d if d > 0 else 0.5 * n, n) for n, d in enumerate(found, 1)]
+
+    everything = counted(pairs)
+    d, e = (discounts(c) for c in everything)
+    c, ends = counted(pairs[:i] + pairs[i + 1 :])
+    kinds = len(everything[1])
+
+    def lose(n, by):
+        return by[min(n, 3) - 1] if n else 0
+
+    def p(v, w):
+        base = sum(ends.values())
+        low = (ends[w] - lose(ends[w], e) + sum(lose(n, e) for n in ends.values()) / kinds) / base
+        mine = [n for (a, _), n in c.items() if a == v]
+        return (c[v, w] - lose(c[v, w], d) + sum(lose(n, d) for n in mine) * low) / sum(mine) if mine else low
+
+    words = texts[i].split()
+    return -sum(math.log2(p(v, w)) for v, w in zip(words, words[1:])) / (len(words) - 1)
+
+
+def chain(seed, words, vocabulary):
+    """Text in which few words can follow a word."""
+    draw, at, out = random.Random(seed), seed % len(vocabulary), []
+    for _ in range(words):
+        out.append(vocabulary[at])
+        at = (5 * at + draw.choice((1, 2, 3, 7))) % len(vocabulary)
+    return out
+
+
+def test_unit_bits_by_the_definition(spark):
+    texts = [" ".join(chain(i, 40, [f"w{j}" for j in range(30)])) for i in range(9)] + ["w1 w2 never w3 seen", "never seen w1"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.unit_bits for r in Q.score_documents(df).collect()}
+    assert got[11] == got[3]
+    for i in (0, 3, 9, 10):
+        assert got[i] == pytest.approx(brute_unit_bits(texts, i), rel=1e-9)
+
+
+def test_letter_salad_and_shuffled_words_go_in_any_script(spark):
+    rows, bad = [], set()
+    for lang, letters in (("ru", "абвгдежзиклмнопрстуя"), ("en", "abcdefghiklmnoprstuy")):
+        vocabulary = list(dict.fromkeys(prose(7, 300, letters).split()))
+        for i in range(60):
+            rows.append((len(rows), " ".join(chain(i, 200, vocabulary)), lang))
+        shuffled = chain(99, 200, vocabulary)
+        random.Random(1).shuffle(shuffled)
+        for text in (" ".join(shuffled), prose(8, 200, letters)):
+            bad.add(len(rows))
+            rows.append((len(rows), text, lang))
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    for i in range(60):
+        text = "".join(chain(i, 200, signs))
+        rows.append((len(rows), " ".join(text[j : j + 3] for j in range(0, 200, 3)), "zh"))
+    drawn = "".join(random.Random(2).choices(signs, k=200))
+    bad.add(len(rows))
+    rows.append((len(rows), " ".join(drawn[j : j + 3] for j in range(0, 200, 3)), "zh"))
+    got = Q.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert not any(r.base_failed for r in got) and {r.doc_id for r in got if not r.kept} == bad
+
+
 def test_odd_rows(odd, nothing):
     got = Q.score_documents(odd)
     assert got.count() == odd.count() and {r.base_failed for r in got.filter("doc_id in (3, 4, 5)").collect()} == {True}

@@ -1,7 +1,11 @@
-"""Op 6: quality rules, with perplexity bands from a modified Kneser-Ney model that Spark counts over the corpus.
+"""Op 6: quality rules, with perplexity bands from two modified Kneser-Ney models that Spark counts over the corpus.
 
-The model is over byte classes: ``ORDER`` classes of ``BITS`` bits each, one model per language. That bounds a
-language's model by ``2 ** (ORDER * BITS)`` n-grams whatever the corpus, so it may be broadcast.
+One model is over byte classes: ``ORDER`` classes of ``BITS`` bits each, one model per language. That bounds a
+language's model by ``2 ** (ORDER * BITS)`` n-grams whatever the corpus, so it may be broadcast, ``LANGUAGES`` models at a time.
+
+The other is over pairs of units, which are words, or characters in scripts without blanks. It is a table that grows with the corpus and
+is joined to the pairs of each text. A text is scored by what all other texts hold: its own part is taken from the counts,
+as pairs that no other text has would vouch for themselves.
 """
 
 from __future__ import annotations
@@ -11,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import arrays as A
 from textloom.llm.common import keyed_texts, quoted, written
+from textloom.session import broadcast_if_small
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -26,6 +31,8 @@ LANGUAGES = 16
 # (or BAND times LEAST_RANGE bits, where a language's documents are nearly alike).
 BAND = 4.0
 LEAST_RANGE = 0.02
+# The same for bits per unit, where only the upper side rejects: near copies of other texts have few bits.
+LEAST_UNIT_RANGE = 0.5
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -144,11 +151,11 @@ class LanguageModel:
 
 
 def fit_models(documents: DataFrame, text: str, lang: str) -> dict[str, LanguageModel]:
-    """Modified Kneser-Ney counts of ``documents`` by language class; see ``language_class``.
+    """Modified Kneser-Ney counts of ``documents`` by language.
 
     The highest order has counts, each lower one the number of different n-grams it ends. Counting, discounts and
     context sums are Spark aggregations over all documents; the driver gets the finished n-grams, at most
-    ``2 ** (ORDER * BITS)`` and their suffixes for each of ``LANGUAGES + 1`` classes.
+    ``2 ** (ORDER * BITS)`` and their suffixes for each of at most ``LANGUAGES`` languages.
     """
     top = written(
         keyed_texts(documents, text, text, lang).drop("key").mapInArrow(_count_grams, "lang string, gram bigint, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c")),
@@ -198,16 +205,106 @@ def language_class(documents: DataFrame, lang: str):
     return F.when(quoted(lang).isin(own), quoted(lang)).otherwise(F.lit(""))
 
 
-def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per row: key, base counts, base_failed, lang_class, bits (bits per byte; null below ``ORDER`` bytes), kept.
+# ---------------------------------------------------------------- pairs of units
+
+
+def _alone(data: np.ndarray) -> np.ndarray:
+    """Lead bytes of characters that are units of their own: kana, Chinese, Thai, Lao, Burmese, Khmer."""
+    following = np.append(data[1:], 0).astype(np.uint8)
+    found = (data >= 0xE3) & (data <= 0xE9) | (data == 0xF0) & (following >= 0xA0)
+    found |= (data == 0xE0) & (following >= 0xB8) & (following <= 0xBB)
+    return found | (data == 0xE1) & ((following >= 0x80) & (following <= 0x82) | (following >= 0x9E) & (following <= 0x9F))
+
+
+def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the units of a block, A-Z lower-cased, and the row of each."""
+    data = A.LOWER[data]
+    start, end, row = A.spans(A.NOT_SPACE[data], bounds)
+    lead = np.flatnonzero(_alone(data))
+    if len(lead):
+        size = np.where(data[lead] >= 0xF0, 4, 3)
+        cut = np.union1d(np.union1d(lead, lead + size), start)
+        edges = np.union1d(cut, end)
+        begin = edges[:-1]
+        word = np.searchsorted(start, begin, "right") - 1
+        inside = (word >= 0) & (begin < end[word])
+        start, end, row = begin[inside], edges[1:][inside], row[word[inside]]
+    return A.span_hashes(A.prefix_hashes(data), start, end), row
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its different pairs of following units, and how often each stands there."""
+    for rows, data, bounds in A.blocks(batches):
+        units, owner = _units(data, bounds)
+        at = np.flatnonzero(owner[:-1] == owner[1:])
+        owner, v, w = owner[at], units[at], units[at + 1]
+        order = np.lexsort((w, v, owner))
+        owner, v, w = owner[order], v[order], w[order]
+        fresh = np.ones(len(v), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+        first = np.flatnonzero(fresh)
+        times = np.diff(np.append(first, len(v)))
+        taken = pa.array(owner[first])
+        columns = [rows.column("key").take(taken), rows.column("more_0").take(taken), pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(times, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "lang", "v", "w", "times"])
+
+
+def _discounts(counted: DataFrame, c: str, prefix: str) -> DataFrame:
+    """Per language the discounts of counts of one, two and more, and the sums of all counts and of what they lose."""
+    of = [F.sum((F.col(c) == i).cast("double")) for i in (1, 2, 3, 4)]
+    seen = counted.groupBy("lang").agg(*[n.alias(f"n{i}") for i, n in enumerate(of, 1)], F.count("*").cast("double").alias("kinds"), F.sum(c).cast("double").alias("all"))
+    y = F.expr("try_divide(n1, n1 + 2 * n2)")
+
+    def discount(i: int):
+        value = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
+        # Counts get smaller by a text's own part, so a discount is never more than its count.
+        return F.least(F.when((F.col("n1") > 0) & (F.col("n2") > 0) & (value > 0), value).otherwise(F.lit(0.5 * i)), F.lit(float(i)))
+
+    seen = seen.select("*", *[discount(i).alias(f"{prefix}{i}") for i in (1, 2, 3)])
+    lost = F.expr(f"n1 * {prefix}1 + n2 * {prefix}2 + (kinds - n1 - n2) * {prefix}3")
+    return seen.select("lang", *[f"{prefix}{i}" for i in (1, 2, 3)], F.col("kinds").alias(f"{prefix}_kinds"), F.col("all").alias(f"{prefix}_all"), lost.alias(f"{prefix}_lost"))
+
+
+def _taken(c: str, prefix: str) -> str:
+    return f"(case when {c} <= 0 then 0D when {c} = 1 then {prefix}1 when {c} = 2 then {prefix}2 else {prefix}3 end)"
 
-    Words are runs without ASCII white space. ``kept`` is false for rows that fail a base rule, and for those whose bits per byte lie outside
-    their language's band. Null and empty texts have no words and fail. Repeated and null keys keep their rows. Without documents
-    there are no rows.
+
+def unit_bits(texts: DataFrame) -> DataFrame:
+    """Per ``row`` of ``texts`` (row, lang, text; no text twice in a language): unit_bits, the mean bits of a unit after the one before it.
+
+    The model is of order two, interpolated, and counts texts: a pair counts once for each text that holds it, a unit by the different
+    units before it. What only the scored text adds is left out of every count, sum and discount of the formula. Vocabularies
+    are closed: an unknown unit is one of the language's. Texts of less than two units have no row.
     """
-    spark = documents.sparkSession
-    prepared = documents.select(quoted(key).alias("key"), quoted(text).alias("text"), language_class(documents, lang).alias("lang"))
-    models = spark.sparkContext.broadcast(fit_models(prepared, "text", "lang"))
+    own = keyed_texts(texts, "row", "text", "lang").mapInArrow(_pairs, "row bigint, lang string, v bigint, w bigint, times bigint")
+    grams = written(own.groupBy("lang", "v", "w").agg(F.count("*").alias("c")), "pair-counts", compression="zstd")
+    ends = written(grams.groupBy("lang", "w").agg(F.count("*").alias("kinds")), "pair-ends", compression="zstd")
+    rules = _discounts(grams, "c", "d").join(_discounts(ends, "kinds", "e"), "lang").select("lang", "d1", "d2", "d3", "e1", "e2", "e3", "e_kinds", "e_all", "e_lost")
+    rules = broadcast_if_small(written(rules, "pair-rules"))
+    contexts = grams.join(rules.select("lang", "d1", "d2", "d3"), "lang").groupBy("lang", "v").agg(F.sum("c").alias("total"), F.sum(F.expr(_taken("c", "d"))).alias("lost"))
+    model = written(grams.join(contexts, ["lang", "v"]).join(ends, ["lang", "w"]), "pair-model", compression="zstd")
+
+    by_context, by_end, by_row = Window.partitionBy("row", "v"), Window.partitionBy("row", "w"), Window.partitionBy("row")
+    found = own.join(model, ["lang", "v", "w"]).repartition("row").join(rules, "lang")
+    found = found.withColumn("others", F.col("total") - F.count("*").over(by_context)).withColumn(
+        "others_lost", F.col("lost") - F.sum(F.expr(f"{_taken('c', 'd')} - {_taken('c - 1', 'd')}")).over(by_context)
+    )
+    found = found.withColumn("before", F.col("kinds") - F.sum(F.expr("int(c = 1)")).over(by_end)).withColumn("ways", F.count("*").over(by_end))
+    found = found.withColumn("base", F.col("e_all") - F.sum(F.expr("int(c = 1)")).over(by_row)).withColumn(
+        "base_lost", F.col("e_lost") - F.sum(F.expr(f"({_taken('kinds', 'e')} - {_taken('before', 'e')}) / ways")).over(by_row)
+    )
+    unit = F.expr(f"case when base > 0 then (before - {_taken('before', 'e')} + base_lost / e_kinds) / base else 1 / e_kinds end")
+    pair = F.expr(f"case when others > 0 then (c - 1 - {_taken('c - 1', 'd')} + others_lost * unit) / others else unit end")
+    bits = -F.log2(F.greatest(pair, F.lit(1e-30)))
+    return found.withColumn("unit", unit).groupBy("row").agg((F.sum(F.col("times") * bits) / F.sum("times")).alias("unit_bits"))
+
+
+# ---------------------------------------------------------------- scores
+
+
+def _class_scores(prepared: DataFrame) -> DataFrame:
+    """Per row: key, lang, hash, other_hash, the columns ``_STATS`` and bits. ``prepared`` holds key, text, lang and both hashes."""
+    models = prepared.sparkSession.sparkContext.broadcast(fit_models(prepared, "text", "lang"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -224,27 +321,49 @@ def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
             sums = np.concatenate([[0.0], np.cumsum(bits)])
             count = np.maximum(np.diff(bounds) - ORDER + 1, 0)
             mean = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(count, 1)
-            columns = [rows.column("key"), rows.column("more_0"), *[pa.array(s, pa.int64()) for s in stats], pa.array(mean, pa.float64(), mask=count == 0)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", *_STATS, "bits"])
+            columns = [*[rows.column(c) for c in ("key", "more_0", "more_1", "more_2")], *[pa.array(s, pa.int64()) for s in stats], pa.array(mean, pa.float64(), mask=count == 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "hash", "other_hash", *_STATS, "bits"])
 
     kind = prepared.schema["key"].dataType.simpleString()
-    shape = f"key {kind}, lang string, {', '.join(s + ' bigint' for s in _STATS)}, bits double"
-    scored = written(keyed_texts(prepared, "key", "text", "lang").mapInArrow(score, shape), "quality-scores")
+    shape = f"key {kind}, lang string, hash bigint, other_hash bigint, {', '.join(s + ' bigint' for s in _STATS)}, bits double"
+    return written(keyed_texts(prepared, "key", "text", "lang", "hash", "other_hash").mapInArrow(score, shape), "quality-scores")
+
+
+def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Per row: key, base counts, base_failed, kept, lang_class, bits (bits per byte; null below ``ORDER`` bytes), unit_bits (see there).
+
+    Words are runs without ASCII white space. ``kept`` is false for rows that fail a base rule, for those whose bits per byte lie outside
+    their language's band, and for those whose bits per unit lie above it. Null and empty texts have no words and fail. Repeated and null keys keep
+    their rows. Without documents there are no rows.
+    """
+    own = language_class(documents, lang)
+    prepared = documents.select(quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("text"), own.alias("lang"))
+    prepared = prepared.select("*", F.xxhash64("lang", "text").alias("hash"), F.xxhash64(F.lit(1), "lang", "text").alias("other_hash"))
+    scored = _class_scores(prepared)
+
+    # Equal texts of a language are one: copies would vouch for each other.
+    texts = prepared.drop("key").filter("text <> ''").dropDuplicates(["hash", "other_hash"]).withColumn("row", F.monotonically_increasing_id())
+    texts = written(texts, "quality-texts", compression="zstd")
+    units = texts.select("row", "hash", "other_hash").join(unit_bits(texts), "row").drop("row")
+    scored = written(scored.join(units, ["hash", "other_hash"], "left").drop("hash", "other_hash"), "quality-unit-scores")
+
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
+    quartiles = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(q) for c, q in (("bits", "q"), ("unit_bits", "u"))]
     bands = (
         scored.filter(~failed)
         .groupBy(F.col("lang").alias("band_lang"))
-        .agg(F.percentile_approx("bits", [0.25, 0.75], 10_000).alias("q"))
-        .select("band_lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE)).alias("width"))
-    )  # at most LANGUAGES + 1 rows
+        .agg(*quartiles)
+        .selectExpr("band_lang", "q[0] as q1", "q[1] as q3", f"greatest(q[1] - q[0], {LEAST_RANGE}D) as width", f"u[1] + {BAND}D * greatest(u[1] - u[0], {LEAST_UNIT_RANGE}D) as most")
+    )
     outside = F.expr(f"bits < q1 - {BAND} * width or bits > q3 + {BAND} * width")
-    return scored.join(F.broadcast(bands), F.col("lang") == F.col("band_lang"), "left").select(
+    return scored.join(broadcast_if_small(bands), F.col("lang") == F.col("band_lang"), "left").select(
         F.col("key").alias(key),
         *_STATS,
         failed.alias("base_failed"),
-        (~failed & ~F.coalesce(outside, F.lit(False))).alias("kept"),
+        (~failed & ~F.coalesce(outside, F.lit(False)) & ~F.coalesce(F.expr("unit_bits > most"), F.lit(False))).alias("kept"),
         F.col("lang").alias("lang_class"),
         "bits",
+        "unit_bits",
     )
 
 
