@@ -151,6 +151,18 @@ def test_letter_salad_and_shuffled_words_go_in_any_script(spark):
     assert not any(r.base_failed for r in got) and {r.doc_id for r in got if not r.kept} == bad
 
 
+def test_every_language_has_models_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LANGUAGES", 2)
+    names = ["a", "b", "c", "d", "", None]
+    rows = [(10 * n + i, prose(10 * n + i, 60, "aeinorst" if n % 2 else "bcdfghkl"), name) for n, name in enumerate(names) for i in range(4)]
+    got = {r.doc_id: r for r in Q.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    for n, name in enumerate(names):
+        assert {got[10 * n + i].lang_class for i in range(4)} == {name}
+        texts = [text for _, text, of in rows if of == name]
+        assert got[10 * n].bits == pytest.approx(brute_bits(texts, texts[0]), rel=1e-4)
+
+
 def test_odd_rows(odd, nothing):
     got = Q.score_documents(odd)
     assert got.count() == odd.count() and {r.base_failed for r in got.filter("doc_id in (3, 4, 5)").collect()} == {True}

@@ -25,7 +25,7 @@ from textloom.session import broadcast_if_small
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 ORDER, BITS = 4, 5
-# So many languages, the most frequent, have models and bands of their own; all others share one.
+# Class models of so many languages are broadcast at a time; each further slice of languages is a pass of its own.
 LANGUAGES = 16
 # A document is rejected if its bits per byte lie further from the quartiles of its language than BAND quartile ranges
 # (or BAND times LEAST_RANGE bits, where a language's documents are nearly alike).
@@ -198,13 +198,6 @@ def fit_models(documents: DataFrame, text: str, lang: str) -> dict[str, Language
     return models
 
 
-def language_class(documents: DataFrame, lang: str):
-    """A column: the language if it is among the ``LANGUAGES`` most frequent, else the empty string (also for null)."""
-    named = documents.filter(quoted(lang).isNotNull()).groupBy(quoted(lang).alias("lang")).count()
-    own = [r.lang for r in named.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    return F.when(quoted(lang).isin(own), quoted(lang)).otherwise(F.lit(""))
-
-
 # ---------------------------------------------------------------- pairs of units
 
 
@@ -333,13 +326,19 @@ def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
     """Per row: key, base counts, base_failed, kept, lang_class, bits (bits per byte; null below ``ORDER`` bytes), unit_bits (see there).
 
     Words are runs without ASCII white space. ``kept`` is false for rows that fail a base rule, for those whose bits per byte lie outside
-    their language's band, and for those whose bits per unit lie above it. Null and empty texts have no words and fail. Repeated and null keys keep
+    their language's band, and for those whose bits per unit lie above it. Every language has models and bands of its own; rows
+    without one are a class of their own, with a null lang_class. Null and empty texts have no words and fail. Repeated and null keys keep
     their rows. Without documents there are no rows.
     """
-    own = language_class(documents, lang)
+    # "=" tells the empty name from none.
+    own = F.coalesce(F.concat(F.lit("="), quoted(lang).cast("string")), F.lit(""))
     prepared = documents.select(quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("text"), own.alias("lang"))
     prepared = prepared.select("*", F.xxhash64("lang", "text").alias("hash"), F.xxhash64(F.lit(1), "lang", "text").alias("other_hash"))
-    scored = _class_scores(prepared)
+    names = [r.lang for r in prepared.groupBy("lang").count().orderBy(F.desc("count"), "lang").select("lang").collect()]
+    slices = [names[i : i + LANGUAGES] for i in range(0, len(names), LANGUAGES)] or [[]]
+    scored = _class_scores(prepared if len(slices) == 1 else prepared.filter(F.col("lang").isin(slices[0])))
+    for some in slices[1:]:
+        scored = scored.unionByName(_class_scores(prepared.filter(F.col("lang").isin(some))))
 
     # Equal texts of a language are one: copies would vouch for each other.
     texts = prepared.drop("key").filter("text <> ''").dropDuplicates(["hash", "other_hash"]).withColumn("row", F.monotonically_increasing_id())
@@ -361,7 +360,7 @@ def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
         *_STATS,
         failed.alias("base_failed"),
         (~failed & ~F.coalesce(outside, F.lit(False)) & ~F.coalesce(F.expr("unit_bits > most"), F.lit(False))).alias("kept"),
-        F.col("lang").alias("lang_class"),
+        F.when(F.col("lang") != "", F.expr("substring(lang, 2)")).alias("lang_class"),
         "bits",
         "unit_bits",
     )
