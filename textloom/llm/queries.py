@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, jaccard_join, language_id, packing, quality, repeats, secret_scan, sharding, token_counts, warc
+from textloom.functions.binding import bind
+from textloom.llm import decontamination, jaccard_join, language_id, packing, periodic_runs, quality, repeats, secret_scan, sharding, token_counts, warc
 from textloom.llm.common import table
 from textloom.session import scratch_folder
 
@@ -80,8 +81,40 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
 
 
+def with_periodic_tails(documents: DataFrame) -> DataFrame:
+    """``doc_id, text`` where every document whose id has a checksum that ends in 0 repeats a stretch of its words to its end."""
+    checksum = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+
+    def folded(words: Column) -> Column:
+        n, g = F.size(words).cast("long"), F.expr(f"{_CHECKSUM} div 10")
+        first = F.greatest(n, F.lit(1))
+        return bind(g % first, lambda a: bind(F.floor((n - a) / (3 + g % 8)) + 1, lambda p: F.array_join(
+            F.transform(words, lambda word, i: F.when(i < a, word).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")))
+
+    return documents.select("doc_id", F.when(checksum % 10 == 0, bind(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), folded)).otherwise(F.col("text")).alias("text"))
+
+
+_CHECKSUM = "crc32(encode(cast(doc_id as string), 'UTF-8'))"
+
+
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which have a periodic tail by definition of the query."""
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return periodic_runs.find_runs(with_periodic_tails(table(spark, folder, "documents"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(runs, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack, op2_secrets, op3_jaccard, op4_language, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate)}
+    numbered = (op1_pack, op2_secrets, op3_jaccard, op4_language, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate, op11_runs)
+    return {f.__name__: f for f in numbered}
 
 
 _WARC_SQL = """
@@ -132,5 +165,40 @@ from w left join n using (doc_id) left join t using (doc_id)
 """
 
 
+# The checksum is that of zip files: bytes from the left, eight conditional shifts by a fixed polynomial each.
+_RUNS_SQL = r"""
+with recursive digits as (
+  select doc_id, text, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint) as b from documents),
+crc as (
+  select doc_id, text, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b), lambda c, x:
+    list_reduce(list_prepend(xor(c, x), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, ignored: xor(v >> 1, (v & 1) * 3988292384)))) as h
+  from digits),
+w0 as (
+  select doc_id, h, h // 10 as g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from crc),
+w1 as (select *, len(ws) as n, g % greatest(len(ws), 1) as a from w0),
+w2 as (select *, 1 + (n - a) // (3 + g % 8) as p from w1),
+w as (
+  select doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: case when i < a then ws[i + 1] else ws[a + (i - a) % p + 1] end) else ws end as ws from w2),
+t as (select doc_id, n, unnest(ws) as word, unnest(range(n)) as i from w),
+same as (select x.doc_id, y.i - x.i as q, x.i from t x join t y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and (y.i - x.i) * 4 <= x.n),
+islands as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from same),
+runs as (
+  select doc_id, start, length, min(q) as period
+  from (select doc_id, q, min(i) as start, count(*) + q as length from islands group by doc_id, q, island)
+  where length >= greatest(6, 4 * q) group by 1, 2, 3),
+best as (
+  select * from runs qualify row_number() over (partition by doc_id order by length::double / period desc, start, period) = 1),
+listed as (
+  select doc_id, count(*)::bigint as n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as lines from runs group by 1),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select t.doc_id, string_agg(word, ' ' order by t.i) as words from t left join gone on gone.doc_id = t.doc_id and gone.i = t.i where gone.i is null group by 1)
+select w.doc_id, coalesce(n_runs, 0) as n_runs, start::bigint as start, length::bigint as length, period::bigint as period,
+  (1000 * length // period)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from w left join listed using (doc_id) left join best using (doc_id) left join kept using (doc_id)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_jaccard": _JACCARD_SQL, "op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
+    return {"op11_runs": _RUNS_SQL, "op3_jaccard": _JACCARD_SQL, "op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
