@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.binding import bind
-from textloom.llm import decontamination, jaccard_join, language_id, packing, periodic_runs, quality, repeats, secret_scan, sharding, token_counts, warc
+from textloom.llm import decontamination, jaccard_join, language_id, line_dedup, packing, periodic_runs, quality, repeats, secret_scan, sharding, token_counts, warc
 from textloom.llm.common import table
 from textloom.session import scratch_folder
 
@@ -112,8 +112,14 @@ def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the lines that stand in ten of them or more."""
+    kept = line_dedup.drop_frequent_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def registered() -> dict[str, Query]:
-    numbered = (op1_pack, op2_secrets, op3_jaccard, op4_language, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate, op11_runs)
+    numbered = (op1_pack, op2_secrets, op3_jaccard, op4_language, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate, op11_runs, op12_lines)
     return {f.__name__: f for f in numbered}
 
 
@@ -200,5 +206,16 @@ from w left join listed using (doc_id) left join best using (doc_id) left join k
 """
 
 
+_LINES_SQL = r"""
+with l as (
+  select doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+f as (select k from l where k <> '' group by k having count(distinct doc_id) >= 10)
+select doc_id, count(*)::bigint as n_lines, count(f.k)::bigint as n_dropped,
+  sha256(coalesce(string_agg(case when f.k is null then line end, chr(10) order by i), '')) as kept_sha256
+from l left join f on l.k = f.k group by doc_id
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op11_runs": _RUNS_SQL, "op3_jaccard": _JACCARD_SQL, "op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
+    return {"op11_runs": _RUNS_SQL, "op12_lines": _LINES_SQL, "op3_jaccard": _JACCARD_SQL, "op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
