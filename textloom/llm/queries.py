@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.binding import bind
-from textloom.llm import decontamination, jaccard_join, language_id, line_dedup, packing, periodic_runs, quality, repeats, secret_scan, sharding, token_counts, warc
+from textloom.llm import collocations, decontamination, jaccard_join, language_id, line_dedup, packing, periodic_runs, quality, repeats, secret_scan, sharding, token_counts, warc
 from textloom.llm.common import table
 from textloom.session import scratch_folder
 
@@ -118,8 +118,13 @@ def op12_lines(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of each language, over all documents."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def registered() -> dict[str, Query]:
-    numbered = (op1_pack, op2_secrets, op3_jaccard, op4_language, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate, op11_runs, op12_lines)
+    numbered = (op1_pack, op2_secrets, op3_jaccard, op4_language, op5_repeats, op6_quality, op7_token_counts, op8_warc, op9_shard, op10_decontaminate, op11_runs, op12_lines, op13_phrases)
     return {f.__name__: f for f in numbered}
 
 
@@ -217,5 +222,28 @@ from l left join f on l.k = f.k group by doc_id
 """
 
 
+_PHRASES_SQL = r"""
+with p as (
+  select row_number() over () as piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws
+  from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)),
+n as (select lang, sum(len(ws))::bigint as n from p group by 1),
+o as (select lang, ws[i:i + m - 1] as g, m from p, (values (1), (2), (3), (4), (5)) as s(m), unnest(range(1, len(ws) - m + 2)) as r(i)),
+f as (select lang, g, m, count(*)::bigint as a from o group by all having count(*) >= 100),
+c as (
+  select x.lang, x.g, x.m, x.a, k, u.a as l, v.a as r, (1000::hugeint * x.a * n) // (u.a::hugeint * v.a) as score, n
+  from f x join n using (lang), unnest(range(1, x.m)) as s(k), f u, f v
+  where x.m > 1 and u.lang = x.lang and v.lang = x.lang and u.m = k and v.m = x.m - k and u.g = x.g[1:k] and v.g = x.g[k + 1:]),
+w as (select * from c qualify row_number() over (partition by lang, g order by score, k) = 1),
+d as (
+  select lang, g[1:m - 1] as g, a from f where m > 2 union all select lang, g[2:] as g, a from f where m > 2),
+k as (select * from w where not exists (select 1 from d where d.lang = w.lang and d.g = w.g and d.a = w.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(array_to_string(g, ' '))) as rank,
+  array_to_string(g, ' ') as phrase, a, l, r, n, score::bigint as score
+from k qualify rank <= 2000
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op11_runs": _RUNS_SQL, "op12_lines": _LINES_SQL, "op3_jaccard": _JACCARD_SQL, "op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
+    return {"op11_runs": _RUNS_SQL, "op12_lines": _LINES_SQL, "op13_phrases": _PHRASES_SQL, "op3_jaccard": _JACCARD_SQL, "op8_warc": _WARC_SQL, "op10_decontaminate": _DECONTAMINATION_SQL}
