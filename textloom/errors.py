@@ -21,10 +21,6 @@ class UnknownEmbedderError(TextloomError):
     """No embedder is registered under a name."""
 
 
-class ConcurrentChangeError(TextloomError):
-    """Another writer changed a set that was being rewritten."""
-
-
 class IdentityError(TextloomError):
     """Documents are identified in another way than those of the set."""
 

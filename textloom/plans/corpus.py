@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.errors import DocumentNotFoundError
 from textloom.functions.text import params_from_json
 from textloom.operators.catalog import list_sets, require_all_documents
 from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_documents, run_transforms
@@ -20,15 +21,11 @@ from textloom.operators.retrieval import attach_source, hits, page_of_batch, sea
 from textloom.operators.stats import estimate_cost, middle_documents
 from textloom.session import scratch_folder, spread_small
 from textloom.sources.csv import KEY, keyed_rows, read_documents_csv, read_rows_csv, require_documents, unpivot_text
-from textloom.sources.store import CorpusStore, as_documents, latest_per_key, new_batch
-
+from textloom.sources.store import FETCHED_KEYS, CorpusStore, as_documents, latest_per_key, new_batch, with_keys
 
 # What a ranking carries: a chunk's identity, then its place.
 RANKED_COLUMNS = ("batch", "chunk_id", "doc_id", "chunk_ix", "variant")
 
-# Pages of up to so many rows are ranked first and then filled from the rows' own files.
-FETCHED_ROWS = 1000
-
 # How the documents of a set are told apart.
 BY_ID, BY_CONTENT = "id", "content"
 
@@ -130,68 +127,70 @@ class Corpus:
         check_sizes(config.chunk_size, config.chunk_overlap)
         require_documents(docs)
         config = replace(config, identity=identity)
-        store, version, batch = self.store, 1, new_batch()
+        store, batch = self.store, new_batch()
         set_id = store.claim_set_id()
-        written = store.write("documents", as_documents(docs), set_id, version, batch)
-        store.write("chunks", self._embedded(written, config, embedder), set_id, version, batch)
-        store.commit(set_id, name, datetime.now(timezone.utc), config.to_json(), written.count(), version, batch)
+        written = store.write("documents", as_documents(docs), set_id, batch)
+        store.write("chunks", self._embedded(written, config, embedder), set_id, batch)
+        total, last = written.agg(F.count("*"), F.max("doc_id")).first()
+        store.commit(set_id, name, datetime.now(timezone.utc), config.to_json(), total, [batch], next_id=last + 1)
         return set_id
 
     def _embedded(self, docs: DataFrame, config: IngestConfig, embedder: Embedder) -> DataFrame:
         chunks = documents_to_chunks(docs, config).withColumn("chunk_id", F.monotonically_increasing_id())
         return embed(chunks, embedder, checked=True)
 
-    def upsert_documents(self, set_id: int, docs: DataFrame, batch: str | None = None, after: int | None = None) -> None:
+    def upsert_documents(self, set_id: int, docs: DataFrame, stream: str | None = None, number: int = 0) -> None:
         """Add or replace documents of a set by ``doc_id``; of rows with one id the last counts.
 
-        The change is a batch of its own: the documents, their chunks and the ids they replace. A batch that is already
-        committed is left alone; with ``after``, the commit is refused if another followed that one. Where chunks reach across documents, all chunks of the set are made anew, as neighbours change.
+        The change is a folder of its own; folders that hold documents with its ids are written anew without those, and the new
+        state of the set is committed last. As batch ``number`` of a ``stream``, it does nothing if that number or a
+        later one is already applied. Where chunks reach across documents, all chunks of the set are made anew, as neighbours change.
         """
-        store, batch = self.store, batch or new_batch()
-        base, current = store.last_commit(set_id), store.require_set(set_id)
-        version, config = current["version"], self.config_of(set_id)
-        if batch in {b.batch for b in store.batches(set_id, version)}:
+        store, current = self.store, self.store.require_set(set_id)
+        config, applied = _config(current), dict(current["applied"])
+        if stream is not None and applied.get(stream, -1) >= number:
             return
+        batch = new_batch() if stream is None else f"{stream}-{number}"
+        applied.update({} if stream is None else {stream: number})
         embedder = self.embedders.get(config.embedder)
         staged = scratch_folder(self.spark, "batch")
         as_documents(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
         latest = latest_per_key(self.spark.read.parquet(staged), ["doc_id"])
-        stored = store.read("documents", set_id, version)
-        described = [current[c] for c in ("name", "upload_date", "parameters")]
         if config.expand and config.expand_scope == "corpus":
+            stored = store.read("documents", set_id, current["folders"])
             kept = stored.join(latest.select("doc_id"), "doc_id", "left_anti").select(*latest.columns)
-            written = store.write("documents", kept.unionByName(latest), set_id, version + 1, batch)
-            store.write("chunks", self._embedded(written, config, embedder), set_id, version + 1, batch)
-            store.commit(set_id, *described, written.count(), version + 1, batch, after=base)
-            return
-        written = store.write("documents", latest, set_id, version, batch)
-        ids = store.write("removed", written.select("doc_id"), set_id, version, batch)
-        known = stored.select("doc_id").join(ids, "doc_id", "left_semi").count()
-        store.write("chunks", self._embedded(written, config, embedder), set_id, version, batch)
-        store.commit(set_id, *described, written.count() - known, version, batch, removes=True, after=after)
+            written = store.write("documents", kept.unionByName(latest), set_id, batch)
+            folders, total = [batch], written.count()
+        else:
+            written = store.write("documents", latest, set_id, batch)
+            folders, replaced = store.replace(set_id, current["folders"], written.select("doc_id"), batch)
+            folders, total = [*folders, batch], current["total_documents"] - replaced + written.count()
+        store.write("chunks", self._embedded(written, config, embedder), set_id, batch)
+        next_id = max(current["next_id"], (written.agg(F.max("doc_id")).first()[0] or 0) + 1)
+        described = [current[c] for c in ("name", "upload_date", "parameters")]
+        store.commit(set_id, *described, total, folders, current["state"] + 1, applied, next_id)
 
     # ---- search ------------------------------------------------------------------------------------------
 
     def config_of(self, set_id: int) -> IngestConfig:
-        return IngestConfig(**json.loads(self.store.require_set(set_id)["parameters"]))
+        return _config(self.store.require_set(set_id))
 
     def search_page(
         self, set_id: int, text: str, n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
     ) -> DataFrame:
         """A ranked page of a set's chunks (all stored columns but the vectors) for one query text.
 
-        The ranking scan reads ids, vectors and filtered columns only. A page of up to ``FETCHED_ROWS`` is ranked at once, and
+        The ranking scan reads ids, vectors and filtered columns only. A page of up to ``FETCHED_KEYS`` is ranked at once, and
         the rest of its chunks is read from the files and row groups that hold their ids; larger ones are joined.
         """
         chunks = self.store.open_chunks(set_id)
         query = self.embedders.get(self.config_of(set_id).embedder).embed_query(self.spark, text)
         ranked = rank_chunks(chunks, query, n, filters, offset)
         rest = chunks.drop("embedding", "norm", *RANKED_COLUMNS[2:])
-        if n <= FETCHED_ROWS:
+        if n <= FETCHED_KEYS:
             page = ranked.collect()  # n rows of ids and scores
             ranked = self.spark.createDataFrame(page, ranked.schema)
-            names, ids = {r["batch"] for r in page}, {r["chunk_id"] for r in page}
-            rest = rest.filter(F.col("batch").isin(list(names)) & F.col("chunk_id").isin(list(ids)))
+            rest = with_keys(rest.filter(F.col("batch").isin(list({r["batch"] for r in page}))), "chunk_id", [r["chunk_id"] for r in page])
         return ranked.join(rest, ["batch", "chunk_id"])
 
     def search(
@@ -201,10 +200,19 @@ class Corpus:
         return hits(self.search_page(set_id, text, n, filters, offset)).orderBy("rank")
 
     def search_with_sources(self, set_id: int, text: str, n: int = 10, filters=(), offset: int = 0) -> DataFrame:
-        """:meth:`search` with the source documents' text and metadata."""
-        page = self.search(set_id, text, n, filters, offset)
-        docs = self.store.open_documents(set_id).select("doc_id", "text", "metadata")
-        return attach_source(page, docs, hit_id="source_doc_id", prefix="document_", page=n <= FETCHED_ROWS).orderBy("rank")
+        """:meth:`search` with the source documents' text and metadata.
+
+        A page of up to ``FETCHED_KEYS`` hits is found first; its documents are then fetched by id.
+        """
+        found = self.search(set_id, text, n, filters, offset)
+        if n <= FETCHED_KEYS:
+            page = found.collect()  # n hits
+            found = self.spark.createDataFrame(page, found.schema)
+            docs = self.store.fetch_documents(set_id, [r["source_doc_id"] for r in page if r["source_doc_id"] is not None])
+        else:
+            docs = self.store.open_documents(set_id)
+        docs = docs.select("doc_id", "text", "metadata")
+        return attach_source(found, docs, hit_id="source_doc_id", prefix="document_").orderBy("rank")
 
     def search_batch(
         self, set_id: int, queries: DataFrame, n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
@@ -221,23 +229,37 @@ class Corpus:
 
     def list_sets(self, page: int = 1, page_size: int = 10) -> DataFrame:
         """Newest sets first, one page, with the total number of sets; ``parameters`` as a map."""
-        listed = list_sets(self.store.sets().drop("version"), page=page, page_size=page_size)
+        listed = list_sets(self.store.sets(), page=page, page_size=page_size)
         return listed.withColumn("parameters", params_from_json(F.col("parameters")))
 
     def get_set(self, set_id: int) -> dict | None:
         """The descriptor of a set, its parameters parsed; ``None`` when there is no such set."""
         row = self.store.find_set(set_id)
-        return None if row is None else {**row.asDict(), "parameters": json.loads(row["parameters"])}
+        described = ("set_id", "name", "upload_date", "total_documents")
+        return None if row is None else {**{c: row[c] for c in described}, "parameters": json.loads(row["parameters"])}
 
     def get_documents(self, set_id: int, ids: Sequence[int]) -> DataFrame:
-        """The documents with these ids; an error when one is missing."""
-        wanted = self.spark.createDataFrame([(int(i),) for i in ids], "doc_id long")
-        return require_all_documents(self.store.open_documents(set_id), wanted)
+        """The documents with these ids; an error when one is missing.
+
+        Up to ``FETCHED_KEYS`` ids are looked up: one read of their ids alone, then the documents when they are used.
+        """
+        if len(set(ids)) > FETCHED_KEYS:
+            wanted = self.spark.createDataFrame([(int(i),) for i in ids], "doc_id long")
+            return require_all_documents(self.store.open_documents(set_id), wanted)
+        docs = self.store.fetch_documents(set_id, ids)
+        missing = {int(i) for i in ids} - {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if missing:
+            raise DocumentNotFoundError(f"documents not found: {', '.join(map(str, sorted(missing)[:5]))}")
+        return docs
 
     def delete_set(self, set_id: int) -> bool:
         return self.store.delete_set(set_id)
 
 
+def _config(state: Row) -> IngestConfig:
+    return IngestConfig(**json.loads(state["parameters"]))
+
+
 def rank_chunks(
     chunks: DataFrame, query: Sequence[float], n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
 ) -> DataFrame:

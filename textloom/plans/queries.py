@@ -141,9 +141,9 @@ def store_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with vectors written to the store and opened again."""
     store = CorpusStore(spark, scratch_folder(spark, "store"))
     chunks = embedding.embed(_chunks(spark, folder), embedding.hash_embedder(DIMENSION))
-    store.write("chunks", chunks, 1, 1, "only")
-    store.commit(1, "chunks", datetime.now(timezone.utc), "{}", 0, 1, "only")
-    opened = store.read("chunks", 1, 1)
+    store.write("chunks", chunks, 1, "only")
+    store.commit(1, "chunks", datetime.now(timezone.utc), "{}", 0, ["only"])
+    opened = store.open_chunks(1)
     return opened.select("set_id", "doc_id", "chunk_ix", "n_tokens", F.size("embedding").alias("dimension"), "text")
 
 
@@ -219,6 +219,16 @@ def search_stored(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("rank", "text", "score", "source_doc_id", "has_more", F.col("document_metadata")["source"].alias("source"))
 
 
+@_query
+def fetch_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents stored as a set; the first document of each source and language is looked up by id."""
+    corpus = Corpus(spark, scratch_folder(spark, "store"))
+    docs = _table(spark, folder, "documents")
+    set_id = corpus.ingest_documents(_documents(spark, folder), "fetched", IngestConfig(embedder="mock"))
+    wanted = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
+    return corpus.store.documents_of(set_id, wanted).select("doc_id", "text", F.col("metadata")["source"].alias("source"))
+
+
 @_query
 def ingest(spark: SparkSession, folder: str) -> DataFrame:
     """CSV files to a stored, searchable set; its chunks."""

@@ -2,18 +2,16 @@
 
 Layout under one root (any Hadoop-visible path)::
 
-    documents/set_id=S/version=V/batch=B/*.parquet
-    chunks/set_id=S/version=V/batch=B/*.parquet
-    removed/set_id=S/version=V/batch=B/*.parquet   ids whose earlier rows the batch replaces
-    catalog/*.parquet        one small row per committed batch
-    ids/S, commits/S/N       claimed set ids and commit numbers
-
-Data is written first and the catalogue row last. Readers take the batches that the catalogue names and no others, so
-whatever a failed writer left behind stays unseen. A change adds a batch: its rows count, and rows of its ids in batches of
-lower commit numbers do not. ``compact`` folds the batches into one of the next version.
-
-Set ids and commit numbers are claimed by creating marker files. That is atomic on HDFS and local disks; object stores need a
-committer of their own for two writers at once.
+    documents/set_id=S/batch=B/*.parquet
+    chunks/set_id=S/batch=B/*.parquet
+    catalog/*.parquet        one small row per state of a set
+    ids/S                    set ids that were given out
+
+Batch folders are written once and never changed. The newest catalogue row of a set names the folders it is made of, and is
+written last, so whatever a failed writer left behind stays unseen. A change writes a folder of its own; a folder that holds
+documents which the change replaces is written anew without them, all others stay as they are.
+
+One writer at a time changes a set; of two states written at once the later one counts. Readers never wait.
 """
 
 from __future__ import annotations
@@ -22,15 +20,18 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.errors import ConcurrentChangeError, SetNotFoundError
+from textloom.errors import SetNotFoundError
+from textloom.functions.binding import quoted
 
 CATALOG_SCHEMA = (
-    "set_id int, name string, upload_date timestamp, parameters string, added long, "
-    "version int, batch string, seq long, removes boolean, deleted boolean"
+    "set_id int, name string, upload_date timestamp, parameters string, total_documents long, "
+    "state long, folders array<string>, applied map<string,long>, next_id long, deleted boolean"
 )
 
 # Stored document columns. ``content_key`` identifies a document by what it holds.
@@ -40,12 +41,40 @@ DOCUMENT_COLUMNS = ("doc_id", "content_key", "text_column", "text", "metadata")
 # small files would cost more at scale than they save.
 MAX_RECORDS_PER_FILE = 250_000
 
+# Up to so many keys are looked up by value in the scan; more are joined.
+FETCHED_KEYS = 1000
+
+# Values that the scan tests one by one, against row group bounds, Bloom filters and page bounds; of a longer list it takes the bounds only.
+_IN_VALUES = 10
+
+# Columns that rows are looked up by, and the bytes of a row group: small ones skip more.
+LOOKUP_COLUMNS = {"documents": ("doc_id", "content_key"), "chunks": ("doc_id", "chunk_id")}
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+_FILTER_KEYS = 50_000
+
 
 def new_batch() -> str:
     """A batch name that no other writer has."""
     return f"bulk-{uuid.uuid4().hex}"
 
 
+def with_keys(df: DataFrame, column: str, keys: Sequence) -> DataFrame:
+    """The rows whose ``column`` is one of a few ``keys``, as comparisons that reach the scan."""
+    known = sorted({k for k in keys if k is not None})
+    if not known:
+        return df.filter(F.lit(False))
+    tests = [quoted(column).isin(known[i : i + _IN_VALUES]) for i in range(0, len(known), _IN_VALUES)]
+    return df.filter(reduce(or_, tests))
+
+
+def with_keys_of(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` stands in the same column of ``keys``: looked up if these are few, joined if not."""
+    few = keys.select(column).distinct().limit(FETCHED_KEYS + 1).collect()
+    if len(few) <= FETCHED_KEYS:
+        return with_keys(df, column, [r[0] for r in few])
+    return df.join(keys.select(column).distinct(), column, "left_semi")
+
+
 @dataclass(frozen=True)
 class CorpusStore:
     spark: SparkSession
@@ -53,10 +82,8 @@ class CorpusStore:
 
     # ---- folders -----------------------------------------------------------------------------------------
 
-    def _folder(self, table: str, set_id: int, version: int | None = None, batch: str | None = None) -> str:
+    def _folder(self, table: str, set_id: int, batch: str | None = None) -> str:
         parts = [self.root.rstrip("/"), table, f"set_id={set_id}"]
-        if version is not None:
-            parts.append(f"version={version}")
         if batch is not None:
             parts.append(f"batch={batch}")
         return "/".join(parts)
@@ -77,25 +104,19 @@ class CorpusStore:
             return self.spark.createDataFrame([], CATALOG_SCHEMA)
         return self.spark.read.schema(CATALOG_SCHEMA).parquet(path)
 
+    def _states(self) -> DataFrame:
+        """The newest state of each live set."""
+        rows = self._catalog()
+        newest = rows.groupBy("set_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "set_id"]), "state").alias("s"))
+        return newest.select("set_id", "s.*").filter(~F.col("deleted"))
+
     def sets(self) -> DataFrame:
-        """Live descriptors: ``set_id, name, upload_date, parameters, version, total_documents``."""
-        live = F.max("version").over(Window.partitionBy("set_id"))
-        described = F.struct("name", "upload_date", "parameters", "version")
-        rows = self._catalog().withColumn("live", live).groupBy("set_id").agg(
-            F.max_by(described, F.struct("version", "seq")).alias("d"),
-            F.sum(F.when(F.col("version") == F.col("live"), F.col("added"))).alias("total_documents"),
-            F.max("deleted").alias("deleted"),
-        )
-        return rows.filter(~F.col("deleted")).select("set_id", "d.*", "total_documents")
-
-    def batches(self, set_id: int, version: int) -> list[Row]:
-        """``batch, seq, removes`` of the committed batches of a version, in commit order; one row per change since it was compacted."""
-        rows = self._catalog().filter((F.col("set_id") == set_id) & (F.col("version") == version) & F.col("batch").isNotNull())
-        return rows.select("batch", "seq", "removes").orderBy("seq").collect()
+        """Live descriptors: ``set_id, name, upload_date, parameters, total_documents``."""
+        return self._states().select("set_id", "name", "upload_date", "parameters", "total_documents")
 
     def find_set(self, set_id: int) -> Row | None:
-        """The descriptor of a live set, or ``None``."""
-        return self.sets().filter(F.col("set_id") == set_id).first()
+        """The newest state of a live set, or ``None``."""
+        return self._states().filter(F.col("set_id") == set_id).first()
 
     def require_set(self, set_id: int) -> Row:
         row = self.find_set(set_id)
@@ -104,105 +125,98 @@ class CorpusStore:
         return row
 
     def claim_set_id(self) -> int:
-        """A new set id, which no other writer gets."""
-        return self._claim("ids")
-
-    def last_commit(self, set_id: int) -> int:
-        """The highest commit number that was claimed for a set; what a whole rewrite is based on."""
-        return self._last(f"commits/{set_id}")
-
-    def _last(self, folder: str) -> int:
-        filesystem, path = self._filesystem(f"{self.root.rstrip('/')}/{folder}")
-        taken = filesystem.listStatus(path) if filesystem.exists(path) else []
-        return max((int(status.getPath().getName()) for status in taken), default=0)
-
-    def _claim(self, folder: str, only: int | None = None) -> int:
-        candidate = self._last(folder) + 1 if only is None else only
+        """A new set id, by creating a marker file, which is atomic on HDFS and local disks."""
+        filesystem, folder = self._filesystem(f"{self.root.rstrip('/')}/ids")
+        taken = filesystem.listStatus(folder) if filesystem.exists(folder) else []
+        candidate = max((int(status.getPath().getName()) for status in taken), default=0) + 1
         while True:
-            filesystem, path = self._filesystem(f"{self.root.rstrip('/')}/{folder}/{candidate}")
+            filesystem, path = self._filesystem(f"{self.root.rstrip('/')}/ids/{candidate}")
             if not filesystem.exists(path) and filesystem.createNewFile(path):
                 return candidate
-            if only is not None:
-                raise ConcurrentChangeError(f"another writer changed the set behind {path.getParent()}")
             candidate += 1
 
     def commit(
-        self, set_id: int, name: str, upload_date: datetime, parameters: str, added: int, version: int,
-        batch: str | None, removes: bool = False, deleted: bool = False, after: int | None = None,
+        self, set_id: int, name: str, upload_date: datetime, parameters: str, total: int, folders: Sequence[str],
+        state: int = 1, applied: dict[str, int] | None = None, next_id: int = 0, deleted: bool = False,
     ) -> None:
-        """Append one catalogue row: from here on readers see the batch.
+        """Append one catalogue row: from here on readers see the set as made of ``folders``.
 
-        ``added`` is by how much the number of documents grows. With ``after``, the commit is refused if any other followed
-        that one.
+        ``applied`` holds the last batch number of each stream, ``next_id`` the number for the next document without an id.
         """
-        seq = self._claim(f"commits/{set_id}", None if after is None else after + 1)
-        row = (set_id, name, upload_date, parameters, added, version, batch, seq, removes, deleted)
+        row = (set_id, name, upload_date, parameters, total, state, list(folders), applied or {}, next_id, deleted)
         self.spark.createDataFrame([row], CATALOG_SCHEMA).coalesce(1).write.mode("append").parquet(
             f"{self.root.rstrip('/')}/catalog"
         )
 
     # ---- documents and chunks ----------------------------------------------------------------------------
 
-    def write(
-        self, table: str, df: DataFrame, set_id: int, version: int, batch: str, max_records: int = MAX_RECORDS_PER_FILE,
-    ) -> DataFrame:
-        """Write one batch folder, replacing what an earlier attempt left there; returns it as written."""
-        path = self._folder(table, set_id, version, batch)
-        data = df.drop("set_id", "version", "batch")
-        data.write.mode("overwrite").option("maxRecordsPerFile", max_records).parquet(path)
+    def write(self, table: str, df: DataFrame, set_id: int, batch: str, max_records: int = MAX_RECORDS_PER_FILE) -> DataFrame:
+        """Write one batch folder, replacing what an earlier attempt left there; returns it as written.
+
+        Row groups are small and carry bounds and Bloom filters of the columns that rows are looked up by; within a task
+        documents are sorted by id, so that pages can be skipped too.
+        """
+        path = self._folder(table, set_id, batch)
+        data = df.drop("set_id", "batch")
+        keys = [c for c in LOOKUP_COLUMNS.get(table, ()) if c in data.columns]
+        if table == "documents" and "doc_id" in keys:
+            data = data.sortWithinPartitions("doc_id")
+        writer = data.write.mode("overwrite").option("maxRecordsPerFile", max_records).option("parquet.block.size", ROW_GROUP_BYTES)
+        for key in keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", _FILTER_KEYS)
+        writer.parquet(path)
         return self.spark.read.parquet(path)
 
-    def read(self, table: str, set_id: int, version: int) -> DataFrame:
-        """The rows of a version's committed batches that no later batch replaces. Only their folders are listed and scanned."""
-        known = self.batches(set_id, version)
+    def read(self, table: str, set_id: int, folders: Sequence[str]) -> DataFrame:
+        """The rows of batch folders. Only these are listed and scanned."""
         base = self.spark.read.option("basePath", f"{self.root.rstrip('/')}/{table}")
-        rows = base.parquet(*[self._folder(table, set_id, version, b.batch) for b in known])
-        removing = [b.batch for b in known if b.removes and b.batch != known[0].batch]
-        if not removing:
-            return rows
-        numbers = F.broadcast(self.spark.createDataFrame([(b.batch, b.seq) for b in known], "batch string, seq long"))
-        folders = [self._folder("removed", set_id, version, b) for b in removing]
-        removed = self.spark.read.option("basePath", f"{self.root.rstrip('/')}/removed").parquet(*folders).join(numbers, "batch")
-        latest = removed.groupBy("doc_id").agg(F.max("seq").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-        marked = rows.join(numbers, "batch").join(latest, F.col("doc_id") == F.col("gone_id"), "left")
-        return marked.filter("gone is null or seq >= gone").select(*rows.columns)
+        return base.parquet(*[self._folder(table, set_id, folder) for folder in folders])
 
     def open_documents(self, set_id: int) -> DataFrame:
-        return self.read("documents", set_id, self.require_set(set_id)["version"])
+        return self.read("documents", set_id, self.require_set(set_id)["folders"])
 
     def open_chunks(self, set_id: int) -> DataFrame:
-        return self.read("chunks", set_id, self.require_set(set_id)["version"])
+        return self.read("chunks", set_id, self.require_set(set_id)["folders"])
+
+    def fetch_documents(self, set_id: int, ids: Sequence[int]) -> DataFrame:
+        """The documents with these ids, read from the row groups and pages that can hold them; up to ``FETCHED_KEYS`` ids."""
+        if len(set(ids)) > FETCHED_KEYS:
+            raise ValueError(f"fetch up to {FETCHED_KEYS} documents by id, join more")
+        return with_keys(self.open_documents(set_id), "doc_id", [int(i) for i in ids])
+
+    def documents_of(self, set_id: int, ids: DataFrame) -> DataFrame:
+        """The documents whose ``doc_id`` stands in ``ids``: fetched if these are few, joined if not."""
+        return with_keys_of(self.open_documents(set_id), "doc_id", ids)
 
     # ---- changes -----------------------------------------------------------------------------------------
 
-    def compact(self, set_id: int) -> int:
-        """Fold the batches of a set into one of the next version; returns that version. Refused if the set changes meanwhile."""
-        base, current = self.last_commit(set_id), self.require_set(set_id)
-        version, batch = current["version"] + 1, new_batch()
-        for table in ("documents", "chunks"):
-            rows = self.read(table, set_id, current["version"])
-            if "chunk_id" in rows.columns:
-                rows = rows.withColumn("chunk_id", F.monotonically_increasing_id())  # unique within a batch
-            self.write(table, rows, set_id, version, batch)
-        described = [current[c] for c in ("name", "upload_date", "parameters", "total_documents")]
-        self.commit(set_id, *described, version, batch, after=base)
-        return version
-
-    def remove_old_versions(self, set_id: int) -> None:
-        """Delete the folders of versions before the current one; for when no reader is left on them."""
-        current = self.require_set(set_id)["version"]
-        for table in ("documents", "chunks", "removed"):
-            for version in range(1, current):
-                filesystem, path = self._filesystem(self._folder(table, set_id, version))
-                filesystem.delete(path, True)
+    def replace(self, set_id: int, folders: Sequence[str], ids: DataFrame, batch: str) -> tuple[list[str], int]:
+        """Folders without the documents ``ids`` (``doc_id``), and how many documents that leaves out.
+
+        Folders that hold none of them stay; the others are written anew under a name made of their own and ``batch``.
+        """
+        found = with_keys_of(self.read("documents", set_id, folders).select("batch", "doc_id"), "doc_id", ids)
+        held = {r["batch"]: r["count"] for r in found.groupBy("batch").count().collect()}  # a row per folder
+        kept = []
+        for folder in folders:
+            if folder not in held:
+                kept.append(folder)
+                continue
+            rest = f"{folder.split('~')[0]}~{batch}"
+            for table in ("documents", "chunks"):
+                rows = self.read(table, set_id, [folder])
+                self.write(table, rows.join(ids.select("doc_id"), "doc_id", "left_anti").select(*rows.columns), set_id, rest)
+            kept.append(rest)
+        return kept, sum(held.values())
 
     def delete_set(self, set_id: int) -> bool:
         """Remove a set from the catalogue, then its document and chunk folders. False when it is unknown."""
         current = self.find_set(set_id)
         if current is None:
             return False
-        self.commit(*[current[c] for c in ("set_id", "name", "upload_date", "parameters")], 0, current["version"], None, deleted=True)
-        for table in ("documents", "chunks", "removed"):
+        described = [current[c] for c in ("set_id", "name", "upload_date", "parameters")]
+        self.commit(*described, 0, [], current["state"] + 1, deleted=True)
+        for table in ("documents", "chunks"):
             filesystem, path = self._filesystem(self._folder(table, set_id))
             filesystem.delete(path, True)
         return True

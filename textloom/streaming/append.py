@@ -14,7 +14,7 @@ from textloom.operators.numbering import number_in_order
 from textloom.plans.corpus import BY_CONTENT, BY_ID, Corpus
 from textloom.session import scratch_folder
 from textloom.sources.csv import KEY, keyed_rows, unpivot_text
-from textloom.sources.store import as_documents, latest_per_key
+from textloom.sources.store import as_documents, latest_per_key, with_keys_of
 
 
 def stream_csv(corpus: Corpus, folder: str, schema: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
@@ -41,34 +41,33 @@ def stream_documents(rows: DataFrame, text_cols: Sequence[str], id_col: str | No
     return unpivot_text(rows, text_cols)
 
 
-def append_batch(corpus: Corpus, set_id: int, documents: DataFrame, batch: str) -> None:
-    """Add one batch of documents to a set. Running it again changes nothing.
+def append_batch(corpus: Corpus, set_id: int, documents: DataFrame, stream: str, number: int) -> None:
+    """Add batch ``number`` of a stream to a set. Running it again changes nothing.
 
     Documents with ids go into sets of documents with ids; they are added, or replace those that have their id. Documents
     without go into sets that are told apart by content: those that the set holds are dropped, all others are numbered behind
-    the last. That numbering is refused, and the batch tried again by the stream, if another writer changed the set.
+    the last. Of a batch with few documents the scan looks up their content keys by bounds and Bloom filters of the row groups.
     """
-    store = corpus.store
-    current = store.require_set(set_id)
-    version, config = current["version"], corpus.config_of(set_id)
+    current = corpus.store.require_set(set_id)
+    identity = corpus.config_of(set_id).identity
     by = BY_ID if "doc_id" in documents.columns else BY_CONTENT
-    if by != config.identity:
-        raise IdentityError(f"set {set_id} tells documents apart by {config.identity}, the batch by {by}")
-    if by == BY_ID:
-        corpus.upsert_documents(set_id, documents, batch)
+    if by != identity:
+        raise IdentityError(f"set {set_id} tells documents apart by {identity}, the batch by {by}")
+    if current["applied"].get(stream, -1) >= number:
         return
-    if batch in {b.batch for b in store.batches(set_id, version)}:
+    if by == BY_ID:
+        corpus.upsert_documents(set_id, documents, stream, number)
         return
-    base = store.last_commit(set_id)
     staged = scratch_folder(corpus.spark, "batch")
-    numbered = as_documents(documents.withColumn("doc_id", F.lit(None).cast("long")))
-    numbered.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
+    keyed = as_documents(documents.withColumn("doc_id", F.lit(None).cast("long")))
+    keyed.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
     latest = latest_per_key(corpus.spark.read.parquet(staged), ["content_key"]).drop("doc_id")
-    stored = store.read("documents", set_id, version)
-    known = stored.select("content_key").join(latest.select("content_key"), "content_key", "left_semi")
-    last = stored.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
-    fresh = number_in_order(latest.join(known, "content_key", "left_anti"), ["content_key"], name="doc_id")
-    corpus.upsert_documents(set_id, fresh.withColumn("doc_id", F.col("doc_id") + last + 1), batch, after=base)
+    stored = corpus.store.read("documents", set_id, current["folders"]).select("content_key")
+    known = with_keys_of(stored, "content_key", latest)
+    # Only keys are sorted to be numbered; the texts follow by a join.
+    numbers = number_in_order(latest.select("content_key").join(known, "content_key", "left_anti"), ["content_key"], name="doc_id")
+    fresh = latest.join(numbers.withColumn("doc_id", F.col("doc_id") + current["next_id"]), "content_key")
+    corpus.upsert_documents(set_id, fresh, stream, number)
 
 
 def ingest_stream(
@@ -77,13 +76,13 @@ def ingest_stream(
     """Append a stream of documents to a set until its input is used up, then stop.
 
     Chunking and embedding keep no state between documents, so every micro-batch runs the batch operators.
-    A micro-batch owns a batch folder named after the stream (its checkpoint folder) and its number; a replay after a failure
+    A micro-batch owns a folder named after the stream (its checkpoint folder) and its number; a replay after a failure
     overwrites that folder if it is not committed, and does nothing if it is.
     """
     stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     return (
         documents.writeStream.foreachBatch(
-            lambda batch_df, b: append_batch(corpus, set_id, batch_df, f"{stream}-{b}")
+            lambda batch_df, b: append_batch(corpus, set_id, batch_df, stream, b)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
