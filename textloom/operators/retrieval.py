@@ -90,9 +90,16 @@ def search(
         ranked = number_in_order(scored, order, name="rank").withColumn("rank", F.col("rank") + 1).filter("score is not null")
         more = ranked.agg(F.coalesce(F.max("rank"), F.lit(0)) > offset + n).scalar()
     else:
-        best = scored.orderBy(*order).limit(wanted).filter("score is not null")  # both windows see at most offset + n + 1 rows
-        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        more = F.max("rank").over(Window.partitionBy(F.lit(0))) > offset + n
+        return page_of(scored, id_cols, n, offset)
+    return ranked.withColumn("has_more", more).filter(F.col("rank").between(offset + 1, offset + n))
+
+
+def page_of(scored: DataFrame, id_cols: Sequence[str], n: int, offset: int = 0) -> DataFrame:
+    """The page ``[offset, offset + n)`` of scored rows, with ``rank`` and ``has_more``. Both windows see at most ``offset + n + 1`` rows."""
+    order = [F.desc("score"), *id_cols]
+    best = scored.orderBy(*order).limit(offset + n + 1).filter("score is not null")
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    more = F.max("rank").over(Window.partitionBy(F.lit(0))) > offset + n
     return ranked.withColumn("has_more", more).filter(F.col("rank").between(offset + 1, offset + n))
 
 

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from textloom.operators.catalog import list_sets, require_all_documents
 from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_documents, run_transforms
 from textloom.operators.embedding import Embedder, EmbedderRegistry, embed
 from textloom.operators.expansion import chunk_and_expand, expand_neighbors
-from textloom.operators.filtering import MetadataFilter, apply_filters, promote_keys
-from textloom.operators.retrieval import attach_source, hits, page_of_batch, search, search_batch
+from textloom.operators.filtering import PROMOTED, MetadataFilter, apply_filters, promote_keys
+from textloom.operators.pivots import PivotIndex, assign_pivots, choose_pivots, cluster, cluster_table, search_index
+from textloom.operators.retrieval import attach_source, hits, page_of, page_of_batch, search, search_batch
 from textloom.operators.stats import estimate_cost, middle_documents
 from textloom.session import scratch_folder, spread_small
 from textloom.sources.csv import KEY, keyed_rows, read_documents_csv, read_rows_csv, require_documents, unpivot_text
@@ -26,6 +28,9 @@ from textloom.sources.store import FETCHED_KEYS, CorpusStore, as_documents, late
 # What a ranking carries: a chunk's identity, then its place.
 RANKED_COLUMNS = ("batch", "chunk_id", "doc_id", "chunk_ix", "variant")
 
+# Folders whose chunks are clustered around pivots start with this.
+INDEXED = "pivots-"
+
 # How the documents of a set are told apart.
 BY_ID, BY_CONTENT = "id", "content"
 
@@ -170,6 +175,22 @@ class Corpus:
         described = [current[c] for c in ("name", "upload_date", "parameters")]
         store.commit(set_id, *described, total, folders, current["state"] + 1, applied, next_id)
 
+    def build_index(self, set_id: int) -> None:
+        """Store the chunks of a set anew, clustered around pivots, so that searches read the clusters that matter.
+
+        Results stay the same. Chunks of later changes are searched by a scan until the index is built again.
+        """
+        store, current = self.store, self.store.require_set(set_id)
+        batch = f"{INDEXED}{new_batch()}"
+        chunks = store.read("chunks", set_id, current["folders"]).drop("set_id", "pivot", "angle")
+        chunks = chunks.drop("batch").withColumn("chunk_id", F.monotonically_increasing_id())
+        pivots = choose_pivots(chunks)
+        written = store.write("chunks", cluster(assign_pivots(chunks, pivots)), set_id, batch)
+        store.write("pivots", cluster_table(written, pivots).coalesce(1), set_id, batch)
+        store.write("documents", store.read("documents", set_id, current["folders"]), set_id, batch)
+        described = [current[c] for c in ("name", "upload_date", "parameters", "total_documents")]
+        store.commit(set_id, *described, [batch], current["state"] + 1, current["applied"], current["next_id"])
+
     # ---- search ------------------------------------------------------------------------------------------
 
     def config_of(self, set_id: int) -> IngestConfig:
@@ -183,16 +204,37 @@ class Corpus:
         The ranking scan reads ids, vectors and filtered columns only. A page of up to ``FETCHED_KEYS`` is ranked at once, and
         the rest of its chunks is read from the files and row groups that hold their ids; larger ones are joined.
         """
-        chunks = self.store.open_chunks(set_id)
-        query = self.embedders.get(self.config_of(set_id).embedder).embed_query(self.spark, text)
-        ranked = rank_chunks(chunks, query, n, filters, offset)
-        rest = chunks.drop("embedding", "norm", *RANKED_COLUMNS[2:])
+        current = self.store.require_set(set_id)
+        chunks = self.store.read("chunks", set_id, current["folders"])
+        query = self.embedders.get(_config(current).embedder).embed_query(self.spark, text)
+        indexed = [f for f in current["folders"] if f.startswith(INDEXED)]
+        if indexed:
+            ranked = self._rank_indexed(set_id, indexed, [f for f in current["folders"] if f not in indexed], query, n, filters, offset)
+        else:
+            ranked = rank_chunks(chunks, query, n, filters, offset)
+        rest = chunks.drop("embedding", "norm", "pivot", "angle", *RANKED_COLUMNS[2:])
         if n <= FETCHED_KEYS:
             page = ranked.collect()  # n rows of ids and scores
             ranked = self.spark.createDataFrame(page, ranked.schema)
             rest = with_keys(rest.filter(F.col("batch").isin(list({r["batch"] for r in page}))), "chunk_id", [r["chunk_id"] for r in page])
         return ranked.join(rest, ["batch", "chunk_id"])
 
+    def _rank_indexed(self, set_id: int, indexed: Sequence[str], others: Sequence[str], query, n: int, filters, offset: int) -> DataFrame:
+        """A page ranked from clustered folders through their pivots, and from the others by a scan."""
+        n, offset, store = max(1, n), max(0, offset), self.store
+        wanted, ids = offset + n + 1, ("doc_id", "chunk_ix", "variant", "batch", "chunk_id")
+        parts = []
+        for folder in indexed:
+            table = store.read("pivots", set_id, [folder.split("~")[0]])
+            rows = store.read("chunks", set_id, [folder])
+            fields = [f"`{c}`" for c in rows.columns if c not in ("text", "metadata") or any(_needs(rows, key, c) for key, *_ in filters)]
+            found = search_index(PivotIndex(rows.select(*fields), table), query, wanted, filters, 0, ids)
+            parts.append(found.select(*RANKED_COLUMNS, "score"))
+        if others:
+            parts.append(rank_chunks(store.read("chunks", set_id, others), query, wanted, filters, 0).select(*RANKED_COLUMNS, "score"))
+        best = reduce(DataFrame.unionByName, parts)
+        return page_of(best, ids, n, offset)
+
     def search(
         self, set_id: int, text: str, n: int = 10, filters: Sequence[MetadataFilter | tuple] = (), offset: int = 0
     ) -> DataFrame:
@@ -256,6 +298,11 @@ class Corpus:
         return self.store.delete_set(set_id)
 
 
+def _needs(rows: DataFrame, key: str, column: str) -> bool:
+    """Whether a filter on ``key`` reads ``column``."""
+    return column == key or (column == "metadata" and PROMOTED + key not in rows.columns and key not in rows.columns)
+
+
 def _config(state: Row) -> IngestConfig:
     return IngestConfig(**json.loads(state["parameters"]))
 

@@ -217,17 +217,19 @@ q as {_hashed("(select item_id, text from benchmark)", 'item_id')}"""
             total as (select sum({_n_tokens('text')})::bigint as token_count from chunks)
             select 'text-embedding-3-small' as model, token_count, 0.02::double as price_per_1m,
                    token_count * (0.02::double / 1000000.0::double) as estimated_price from total""",
-        "search_stored": f"""with recursive {chunks}, {scored_text},
+        **dict.fromkeys(("search_stored", "search_indexed"), f"""with recursive {chunks}, {scored_text},
             scored as (select doc_id, chunk_ix, {_cosine('h.v', 'q.v')} as score
                        from h, q where item_id = (select min(item_id) from benchmark)
                          and doc_id in (select doc_id from documents where lang is null or lang <> 'de')),
             ranked as (select *, row_number() over (order by score desc, doc_id, chunk_ix) as rank, count(*) over () > 13 as has_more
                        from scored qualify rank between 6 and 13)
             select rank, c.text as text, score, doc_id as source_doc_id, has_more, source
-            from ranked join chunks c using (doc_id, chunk_ix) join documents using (doc_id)""",
+            from ranked join chunks c using (doc_id, chunk_ix) join documents using (doc_id)"""),
         "ingest": f"""with recursive {chunks}
             select doc_id, lang, chunk_ix, {_n_tokens('c.text')} as n_tokens, c.text as text
             from chunks c join documents using (doc_id)""",
+        "fetch_stored": """select doc_id, text, source from documents
+            where doc_id in (select min(doc_id) from documents group by source, lang)""",
         "get_documents": """select doc_id, text, source from documents
             where doc_id in (select doc_id from labels where quality = 1)""",
         "missing_documents": """select distinct event_id as doc_id from events
@@ -260,6 +262,7 @@ q as {_hashed("(select item_id, text from benchmark)", 'item_id')}"""
             where size <> expected""",
         "similarity": f"with {CENTROID} select vec_id, {_cosine('embedding::double[]', 'q')} as score from embeddings, centroid",
         "topk_page": _page(10, 20),
+        "search_pivots": _page(10, 20),
         "topk_has_more": _page(100_000_000, 50),
         "search_filtered": _page(15, 0, "label in (1, 3, 5)"),
         "search_hits": f"""select rank, 'label ' || label as text, score, label::varchar as label, vec_id as source_doc_id, has_more

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.operators import catalog, chunking, embedding, expansion, filtering, retrieval, stats
+from textloom.operators import catalog, chunking, embedding, expansion, filtering, pivots, retrieval, stats
 from textloom.plans.corpus import Corpus, IngestConfig, chunk_transforms, preview
 from textloom.session import scratch_folder, spread_small
 from textloom.sources import csv
@@ -211,9 +211,15 @@ def sets_left(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def search_stored(spark: SparkSession, folder: str) -> DataFrame:
     """All documents ingested as a set, its chunks searched with a filter and an offset, each hit with its document."""
+    return _search_stored(spark, folder, indexed=False)
+
+
+def _search_stored(spark: SparkSession, folder: str, indexed: bool) -> DataFrame:
     corpus = Corpus(spark, scratch_folder(spark, "store"))
     config = IngestConfig(chunk_size=CHUNK_SIZE, chunk_overlap=CHUNK_OVERLAP, filter_columns=("lang",))
     set_id = corpus.ingest_documents(_documents(spark, folder), "searched", config)
+    if indexed:
+        corpus.build_index(set_id)
     text = _table(spark, folder, "benchmark").agg(F.min_by("text", "item_id")).first()[0]
     found = corpus.search_with_sources(set_id, text, n=8, filters=[("lang", "!=", "de")], offset=5)
     return found.select("rank", "text", "score", "source_doc_id", "has_more", F.col("document_metadata")["source"].alias("source"))
@@ -450,6 +456,21 @@ def topk_page(spark: SparkSession, folder: str) -> DataFrame:
     return _page(spark, folder, n=10, offset=20)
 
 
+@_query
+def search_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """The page of ``topk_page`` through a pivot index."""
+    vectors = _vectors(spark, folder)
+    index = pivots.build_index(vectors, scratch_folder(spark, "pivots"))
+    page = pivots.search_index(index, _centroid(vectors), 10, offset=20, id_cols=("vec_id",))
+    return page.select("rank", "vec_id", "label", "score", "has_more")
+
+
+@_query
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """``search_stored`` over a set whose chunks were clustered around pivots."""
+    return _search_stored(spark, folder, indexed=True)
+
+
 @_query
 def topk_has_more(spark: SparkSession, folder: str) -> DataFrame:
     """The last page: everything from position 50 on, nothing behind it."""
