@@ -13,6 +13,7 @@ score is above the bound of the next branch: whatever was not grown scores less,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,21 +160,18 @@ def _count_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "lang string, word string, w bigint, f bigint").groupBy("lang", "word", "w").agg(F.sum("f").alias("f"))
 
 
-def _cut(first: int, second: bool) -> list[Column]:
-    """The word columns of a phrase's part: its first ``first`` words, or the words behind them."""
-    if not second:
-        return [(F.col(w) if i < first else F.lit(0).cast("long")).alias(f"p{i + 1}") for i, w in enumerate(_WORDS)]
-    return [(F.col(_WORDS[i + first]) if i + first < MOST_WORDS else F.lit(0).cast("long")).alias(f"p{i + 1}") for i in range(MOST_WORDS)]
+_PART = ["part_size", *[f"p{i + 1}" for i in range(MOST_WORDS)]]
 
 
 def _parts(phrases: DataFrame, second: bool) -> DataFrame:
-    """One row for each phrase and cut: the phrase, ``k`` and the words of one part, with its size."""
-    rows = None
-    for k in range(1, MOST_WORDS):
-        part_size = (F.col("size") - k if second else F.lit(k).cast("long")).alias("part_size")
-        part = phrases.filter(F.col("size") > k).select("size", *_WORDS, F.lit(k).cast("long").alias("k"), part_size, *_cut(k, second))
-        rows = part if rows is None else rows.unionAll(part)
-    return rows
+    """One row for each phrase and cut: the phrase, ``k``, and the size and words of one part: the first ``k`` words or those behind."""
+    words, none = F.array(*_WORDS, *[F.lit(0).cast("long")] * MOST_WORDS), F.lit(0).cast("long")
+    cuts = phrases.select("size", *_WORDS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("size") - 1)).alias("k"))
+    if second:
+        part = [(F.col("size") - F.col("k")), *[F.get(words, (F.col("k") + i).cast("int")) for i in range(MOST_WORDS)]]
+    else:
+        part = [F.col("k"), *[F.when(F.col("k") > i, F.col(w)).otherwise(none) for i, w in enumerate(_WORDS)]]
+    return cuts.select("size", *_WORDS, "k", *[c.alias(name) for c, name in zip(part, _PART)])
 
 
 def collocations(
@@ -246,7 +244,7 @@ def _grow(rows: DataFrame, frequent, taken: DataFrame, least_count: int) -> Data
         if count.isEmpty():
             break
         prefixes = spark.sparkContext.broadcast(_filter(count))
-    return found
+    return written(found, "phrases-grown", "zstd")
 
 
 def _extensions(size: int, prefixes, frequent):
@@ -275,27 +273,20 @@ def _scored(rows: DataFrame, grown: DataFrame, word_phrases: DataFrame, words: D
 
     looked_up = written(_count_phrases(rows, places, MOST_WORDS - 1, neighbours=True).join(asked, ["size", *_WORDS], "left_semi"), "phrases-looked-up", "zstd")
 
-    part = ["part_size", *[f"p{i + 1}" for i in range(MOST_WORDS)]]
-
     def counts(name: str, *tables: DataFrame) -> DataFrame:
-        known = None
-        for t in tables:
-            own = t.select(*[F.col(c).alias(p) for c, p in zip(["size", *_WORDS], part)], F.col("a").alias(name))
-            known = own if known is None else known.unionAll(own)
-        return known
+        known = reduce(DataFrame.unionAll, [t.select("size", *_WORDS, "a") for t in tables])
+        return known.select(*[F.col(c).alias(p) for c, p in zip(["size", *_WORDS], _PART)], F.col("a").alias(name))
 
     # A longer phrase with the same count: the next word or the word before is always the same.
     longer = grown.filter("size > 2").select((F.col("size") - 1).alias("size"), *[F.when(F.col("size") > i + 1, F.col(w)).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(_WORDS)], F.col("a"))
     to_the_left = looked_up.filter("least = greatest and least <> 0").select("size", *_WORDS)
     alive = grown.join(longer, ["size", *_WORDS, "a"], "left_anti").join(to_the_left, ["size", *_WORDS], "left_anti")
+    alive = written(alive, "phrases-alive", "zstd")
 
     phrase = ["size", *_WORDS]
-    cuts = (
-        _parts(alive, False)
-        .join(counts("l", word_phrases, grown), part)
-        .select(*phrase, "k", "l")
-        .join(_parts(alive, True).join(counts("r", word_phrases, looked_up), part).select(*phrase, "k", "r"), [*phrase, "k"])
-    )
+    first = written(_parts(alive, False).join(counts("l", word_phrases, grown), _PART).select(*phrase, "k", "l"), "first-parts", "zstd")
+    second = written(_parts(alive, True).join(counts("r", word_phrases, looked_up), _PART).select(*phrase, "k", "r"), "second-parts", "zstd")
+    cuts = first.join(second, [*phrase, "k"])
     language = words.select(F.col("w").alias("w1"), "lang").join(totals, "lang")
     one = alive.join(language, "w1").join(cuts, phrase).withColumn("score", F.expr(_SCORE))
     weakest = F.min(F.struct("score", "k", "l", "r")).alias("cut")
