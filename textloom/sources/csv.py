@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.errors import EmptyCorpusError
 from textloom.functions.binding import quoted
 from textloom.operators.numbering import number_in_file_order
+from textloom.sources.quoted_csv import read_quoted_csv
 
 # The numeric key of a row that its documents' ids follow from.
 KEY = "_tl_id"
@@ -21,8 +22,7 @@ def read_rows_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ","
     """CSV rows as strings: the header names the columns, empty lines are skipped, nothing is inferred.
 
     Files read together must share one header; a differing one is an error. ``multi_line=True`` allows line
-    breaks inside quotes but makes one task read each file, so use many files, or ``multi_line=False`` for a
-    huge simple one.
+    breaks inside quotes but makes one task read each file; :func:`read_numbered_csv` reads such files in parallel.
     """
     rows = (
         spark.read.option("header", True)
@@ -38,8 +38,13 @@ def read_rows_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ","
 
 
 def read_numbered_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
-    """:func:`read_rows_csv` with a dense ``row_id`` in file order."""
+    """:func:`read_rows_csv` with a dense ``row_id`` in file order.
+
+    With ``multi_line``, byte ranges of a file are read in parallel and the numbers follow from the files; nothing is stored.
+    """
     rows = read_rows_csv(spark, path, sep, multi_line)
+    if multi_line:
+        return read_quoted_csv(spark, path, rows.columns, sep)
     placed = rows.select(
         "*",
         F.col("_metadata.file_path").alias(_POSITION[0]),
