@@ -1,0 +1,101 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from test_corpus import scan_rows
+
+from textloom.operators import zorder as Z
+from textloom.operators.embedding import EmbedderRegistry, function_embedder, requests
+from textloom.operators.filtering import apply_filters
+from textloom.plans.corpus import Corpus, IngestConfig
+
+DOCS = "doc_id long, text_column string, text string, metadata map<string,string>"
+
+
+def test_z_values_interleave_bits(spark):
+    cuts = {"a": [1.0, 2.0, 3.0], "b": [1.0, 2.0, 3.0]}
+    df = spark.createDataFrame([(a, b) for a in range(4) for b in range(4)] + [(None, 3)], "a int, b int")
+    got = {(r.a, r.b): r.z for r in df.withColumn("z", Z.z_value(["a", "b"], cuts, 2)).collect()}
+    for (a, b), z in got.items():
+        a = a or 0
+        assert z == (a >> 1) << 3 | (b >> 1) << 2 | (a & 1) << 1 | b & 1
+    assert Z.quantile_cuts(df.filter("a is null"), ["a"]) == {"a": []}
+    with pytest.raises(ValueError):
+        Z.cluster_by_numbers(df, [])
+
+
+def test_number_filters_reach_the_scan_and_skip_row_groups(spark, tmp_path):
+    draw = random.Random(1)
+    rows = [(i, str(draw.randrange(10_000)), draw.choice([str(draw.random()), "none", None])) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, x string, y string").select("doc_id", F.create_map(F.lit("x"), "x", F.lit("y"), "y").alias("metadata"))
+    from textloom.operators.filtering import NUMBERS, promote_keys
+
+    Z.cluster_by_numbers(promote_keys(df, ["x", "y"]), [NUMBERS + "x", NUMBERS + "y"], files=64).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for filters in ([("x", ">", 9000)], [("y", "<=", 0.1)], [("x", "<", 2000), ("y", ">=", 0.8)], [("x", ">", "9000")], [("y", ">", 2)]):
+        found = apply_filters(stored, filters)
+        plain = apply_filters(df, filters)
+        assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in plain.collect()), filters
+    one = apply_filters(stored, [("x", ">", 9000)])
+    plan = one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert re.search(r"PushedFilters: .*GreaterThan\(`?number:x`?,9000.0\)", plan) and scan_rows(one) < 0.45 * 20_000
+    assert scan_rows(apply_filters(stored, [("x", "<", 2000), ("y", ">=", 0.8)])) < 0.25 * 20_000
+
+
+def test_a_clustered_set_is_searched_as_any_other(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "text", f"word{i % 9} text {i}", {"n": str(i)}) for i in range(60)], DOCS)
+    answers = []
+    for columns in ((), ("n",)):
+        corpus = Corpus(spark, str(tmp_path / f"store{len(columns)}"))
+        set_id = corpus.ingest_documents(docs, "s", IngestConfig(filter_columns=("n",), cluster_columns=columns))
+        answers.append([tuple(r) for r in corpus.search(set_id, "word3 text", 5, [("n", ">=", 20)]).select("rank", "text", "score").collect()])
+    assert answers[0] == answers[1]
+    with pytest.raises(ValueError, match="filter columns"):
+        corpus.ingest_documents(docs, "s", IngestConfig(cluster_columns=("n",)))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_requests_are_bounded_in_tokens_and_texts(seed):
+    draw = random.Random(seed)
+    sizes = [draw.choice([0, 1, 3, 10, 40, 200]) for _ in range(draw.randrange(300))]
+    parts = list(requests(sizes, budget=100, batch_size=7))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(len(sizes)))
+    for p in parts:
+        own = sizes[p]
+        assert 0 < len(own) <= 7 and (sum(own) <= 100 or len(own) == 1)
+    for p, after in zip(parts, parts[1:]):  # no request that the next text would have fitted into
+        assert len(sizes[p]) == 7 or sum(sizes[p]) + sizes[after.start] > 100
+
+
+def test_a_model_is_never_called_above_its_budget(spark):
+    def model(texts):
+        assert len(texts) <= 50 and (sum(len(t.split()) for t in texts) <= 120 or len(texts) == 1), "request too large"
+        return [[len(t), len(texts)] for t in texts]
+
+    df = spark.createDataFrame([(i, "word " * (i * 37 % 150)) for i in range(300)], "doc_id long, text string").coalesce(2)
+    embedder = function_embedder("m", 2, model, budget=120)
+    rows = df.withColumn("v", embedder.vector(F.col("text"))).collect()
+    assert all(r.v[0] == len(r.text) for r in rows) and any(r.v[1] > 1 for r in rows)
+
+
+def test_unchanged_texts_are_not_embedded_again(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    corpus = Corpus(spark, str(tmp_path / "store"), EmbedderRegistry({"counting": function_embedder("counting", 2, model)}))
+
+    def documents(*rows):
+        return spark.createDataFrame([(i, "text", t, {"of": str(i)}) for i, t in rows], DOCS)
+
+    set_id = corpus.ingest_documents(documents((0, "first text"), (1, "second one")), "s", IngestConfig(embedder="counting"))
+    before = calls.value
+    corpus.upsert_documents(set_id, documents((1, "second one"), (7, "first text")))
+    assert calls.value == before
+    corpus.upsert_documents(set_id, documents((1, "second anew"), (8, "second anew"), (9, "first text")))
+    assert calls.value == before + 1
+    got = {r.doc_id: (r.text, r.embedding[0]) for r in corpus.store.open_chunks(set_id).collect()}
+    assert got == {i: (t, float(len(t))) for i, t in {0: "first text", 1: "second anew", 7: "first text", 8: "second anew", 9: "first text"}.items()}

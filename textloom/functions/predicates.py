@@ -28,7 +28,7 @@ def _text(value: Any) -> str:
     return str(value)
 
 
-def _is_number(value: Any) -> bool:
+def is_number(value: Any) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool)
 
 
@@ -46,7 +46,7 @@ def _ordered(compare: Callable[[Column, Column], Column]) -> Callable[[Column, A
     def build(field: Column, value: Any, kind: str) -> Column:
         if kind == "native":
             return compare(field, F.lit(value))
-        if _is_number(value):
+        if is_number(value):
             return compare(field.try_cast("double"), F.lit(float(value)))
         return compare(field, F.lit(_text(value)))
 

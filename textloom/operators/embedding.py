@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.errors import UnknownEmbedderError
 from textloom.functions.binding import bind
-from textloom.functions.text import tokens
+from textloom.functions.text import token_count, tokens
 from textloom.functions.vectors import norm
 
 # Vector dimensions of known models, and the one assumed for all others.
@@ -24,8 +24,9 @@ MODEL_DIMENSIONS = {
 }
 DEFAULT_DIMENSION = 1536
 
-# Fixed value: texts per call of a model function.
+# Texts and tokens per call of a model function.
 BATCH_SIZE = 50
+REQUEST_TOKENS = 300_000
 
 
 @dataclass(frozen=True)
@@ -84,23 +85,41 @@ def hash_embedder(dimension: int = 64) -> Embedder:
     )
 
 
+def requests(tokens_of: Sequence[int], budget: int = REQUEST_TOKENS, batch_size: int = BATCH_SIZE) -> Iterator[slice]:
+    """Consecutive slices of at most ``batch_size`` texts and ``budget`` tokens; a text above the budget has a slice of its own."""
+    first, held = 0, 0
+    for i, n in enumerate(tokens_of):
+        if i > first and (i - first == batch_size or held + n > budget):
+            yield slice(first, i)
+            first, held = i, 0
+        held += n
+    if first < len(tokens_of):
+        yield slice(first, len(tokens_of))
+
+
 def function_embedder(
-    name: str, dimension: int, model: Callable[[list[str]], Sequence[Sequence[float]]], batch_size: int = BATCH_SIZE
+    name: str,
+    dimension: int,
+    model: Callable[[list[str]], Sequence[Sequence[float]]],
+    batch_size: int = BATCH_SIZE,
+    budget: int = REQUEST_TOKENS,
+    count: Callable[[Column], Column] = token_count,
 ) -> Embedder:
-    """A user model ``list of texts -> list of vectors``, called with at most ``batch_size`` texts.
+    """A user model ``list of texts -> list of vectors``, called with at most ``batch_size`` texts of together at most ``budget`` tokens.
 
-    Only the text column travels to Python, in Arrow batches.
+    A text that alone is above the budget is sent alone. Tokens are counted by the native expression ``count``; only texts and counts
+    travel to Python, in Arrow batches, and keep their order.
     """
 
     @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sizes in batches:
             vectors: list[Sequence[float]] = []
-            for start in range(0, len(texts), batch_size):
-                vectors.extend(model(texts.iloc[start : start + batch_size].tolist()))
+            for part in requests(sizes.tolist(), budget, batch_size):
+                vectors.extend(model(texts.iloc[part].tolist()))
             yield pd.Series(vectors, index=texts.index)
 
-    return Embedder(name, dimension, run)
+    return Embedder(name, dimension, lambda text: run(text, F.coalesce(count(text), F.lit(0)).cast("long")))
 
 
 class EmbedderRegistry:

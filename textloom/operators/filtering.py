@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.binding import quoted
-from textloom.functions.predicates import predicate
+from textloom.functions.predicates import is_number, predicate
 
 
 # Columns of stored chunks that never answer for a metadata key of the same name.
 STORED_COLUMNS = frozenset(
-    "set_id version batch doc_id text_column chunk_ix variant text n_tokens is_expanded metadata embedding norm pivot angle".split()
+    "set_id version batch doc_id text_column chunk_ix variant text n_tokens is_expanded metadata embedding norm pivot angle text_key".split()
 )
 
 
-# Marks a metadata key stored as a column of its own.
-PROMOTED = "meta:"
+# Marks a metadata key stored as a column of its own, and the column of its numbers.
+PROMOTED, NUMBERS = "meta:", "number:"
+
+_ORDERINGS = frozenset((">", "<", ">=", "<="))
 
 
 class MetadataFilter(NamedTuple):
@@ -47,14 +49,21 @@ def filter_column(df: DataFrame, key: str) -> tuple[Column, str]:
 
 
 def promote_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copy metadata entries to columns of their own, so that filters on them reach the Parquet scan."""
-    return df.select("*", *[F.try_element_at("metadata", F.lit(key)).alias(PROMOTED + key) for key in keys])
+    """Copy metadata entries to columns of their own, as text and as numbers (null where they are none), so that filters on them reach the
+    Parquet scan."""
+    held = [F.try_element_at("metadata", F.lit(key)) for key in keys]
+    texts = [value.alias(PROMOTED + key) for key, value in zip(keys, held)]
+    return df.select("*", *texts, *[value.try_cast("double").alias(NUMBERS + key) for key, value in zip(keys, held)])
 
 
 def apply_filters(df: DataFrame, filters: Sequence[MetadataFilter | tuple] = ()) -> DataFrame:
     """Keep rows matching every filter; none means all rows."""
     tests = []
     for key, op, *value in filters:
+        wanted = value[0] if value else None
         field, kind = filter_column(df, key)
-        tests.append(predicate(field, op, value[0] if value else None, kind))
+        if op in _ORDERINGS and is_number(wanted) and NUMBERS + key in df.columns and PROMOTED + key in df.columns:
+            # The column of numbers is compared with a double as it is, and so reaches the scan.
+            field, kind, wanted = quoted(NUMBERS + key), "native", float(wanted)
+        tests.append(predicate(field, op, wanted, kind))
     return df.filter(reduce(and_, tests)) if tests else df

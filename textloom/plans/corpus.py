@@ -17,13 +17,14 @@ from textloom.operators.catalog import list_sets, require_all_documents
 from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_documents, run_transforms
 from textloom.operators.embedding import Embedder, EmbedderRegistry, embed
 from textloom.operators.expansion import chunk_and_expand, expand_neighbors
-from textloom.operators.filtering import PROMOTED, MetadataFilter, apply_filters, promote_keys
+from textloom.operators.filtering import NUMBERS, PROMOTED, MetadataFilter, apply_filters, promote_keys
 from textloom.operators.pivots import PivotIndex, assign_pivots, choose_pivots, cluster, cluster_table, search_index
 from textloom.operators.retrieval import attach_source, hits, page_of, page_of_batch, search, search_batch
 from textloom.operators.stats import estimate_cost, middle_documents
+from textloom.operators.zorder import cluster_by_numbers
 from textloom.session import scratch_folder, spread_small
 from textloom.sources.csv import KEY, keyed_rows, read_documents_csv, read_rows_csv, require_documents, unpivot_text
-from textloom.sources.store import FETCHED_KEYS, CorpusStore, as_documents, latest_per_key, new_batch, with_keys
+from textloom.sources.store import FETCHED_KEYS, CorpusStore, as_documents, latest_per_key, new_batch, with_keys, with_keys_of
 
 # What a ranking carries: a chunk's identity, then its place.
 RANKED_COLUMNS = ("batch", "chunk_id", "doc_id", "chunk_ix", "variant")
@@ -40,13 +41,15 @@ class IngestConfig:
     """How a set is chunked and embedded; stored with the set as JSON.
 
     ``metadata_columns`` only says what to show in result lists; all columns are kept. ``filter_columns`` are
-    metadata keys stored as columns too, for filters that prune the scan. ``identity`` is set by the ingest: ``id`` for documents
+    metadata keys stored as columns too, as text and as numbers, for filters that prune the scan; ``cluster_columns`` are those of them
+    whose numbers decide which chunks are stored close to each other. ``identity`` is set by the ingest: ``id`` for documents
     that came with ids of their own, ``content`` for those that were only numbered.
     """
 
     text_columns: Sequence[str] = ("text",)
     metadata_columns: Sequence[str] = ()
     filter_columns: Sequence[str] = ()
+    cluster_columns: Sequence[str] = ()
     description: str = ""
     embedder: str = "hash"
     model: str = "text-embedding-3-small"
@@ -130,6 +133,8 @@ class Corpus:
         """
         embedder = self.embedders.get(config.embedder)
         check_sizes(config.chunk_size, config.chunk_overlap)
+        if not set(config.cluster_columns) <= set(config.filter_columns):
+            raise ValueError("cluster by filter columns")
         require_documents(docs)
         config = replace(config, identity=identity)
         store, batch = self.store, new_batch()
@@ -140,9 +145,29 @@ class Corpus:
         store.commit(set_id, name, datetime.now(timezone.utc), config.to_json(), total, [batch], next_id=last + 1)
         return set_id
 
-    def _embedded(self, docs: DataFrame, config: IngestConfig, embedder: Embedder) -> DataFrame:
-        chunks = documents_to_chunks(docs, config).withColumn("chunk_id", F.monotonically_increasing_id())
-        return embed(chunks, embedder, checked=True)
+    def _embedded(self, docs: DataFrame, config: IngestConfig, embedder: Embedder, known: DataFrame | None = None) -> DataFrame:
+        """Chunks with vectors. Texts whose vectors are ``known`` (``text_key, embedding, norm``) do not go to the embedder again.
+
+        With ``known``, chunks are stored first, and each new text goes to the embedder once.
+        """
+        chunks = documents_to_chunks(docs, config).withColumn("text_key", F.md5("text"))
+        if config.cluster_columns:
+            chunks = cluster_by_numbers(chunks, [NUMBERS + c for c in config.cluster_columns])
+        chunks = chunks.withColumn("chunk_id", F.monotonically_increasing_id())
+        if known is None:
+            return embed(chunks, embedder, checked=True)
+        staged = scratch_folder(self.spark, "chunks")
+        chunks.write.parquet(staged)
+        chunks = self.spark.read.parquet(staged)
+        held = with_keys_of(known, "text_key", chunks).groupBy("text_key").agg(F.any_value("embedding").alias("embedding"), F.any_value("norm").alias("norm"))
+        vectors = scratch_folder(self.spark, "vectors")
+        held.write.parquet(vectors)
+        held = self.spark.read.parquet(vectors)
+        new = chunks.select("text_key", "text").join(held, "text_key", "left_anti").dropDuplicates(["text_key"])
+        return chunks.join(held.unionByName(embed(new, embedder, checked=True).drop("text")), "text_key")
+
+    def _known_vectors(self, set_id: int, folders: Sequence[str]) -> DataFrame:
+        return self.store.read("chunks", set_id, folders).select("text_key", "embedding", "norm").filter("embedding is not null")
 
     def upsert_documents(self, set_id: int, docs: DataFrame, stream: str | None = None, number: int = 0) -> None:
         """Add or replace documents of a set by ``doc_id``; of rows with one id the last counts.
@@ -170,7 +195,8 @@ class Corpus:
             written = store.write("documents", latest, set_id, batch)
             folders, replaced = store.replace(set_id, current["folders"], written.select("doc_id"), batch)
             folders, total = [*folders, batch], current["total_documents"] - replaced + written.count()
-        store.write("chunks", self._embedded(written, config, embedder), set_id, batch)
+        known = self._known_vectors(set_id, current["folders"])
+        store.write("chunks", self._embedded(written, config, embedder, known), set_id, batch)
         next_id = max(current["next_id"], (written.agg(F.max("doc_id")).first()[0] or 0) + 1)
         described = [current[c] for c in ("name", "upload_date", "parameters")]
         store.commit(set_id, *described, total, folders, current["state"] + 1, applied, next_id)
@@ -212,7 +238,7 @@ class Corpus:
             ranked = self._rank_indexed(set_id, indexed, [f for f in current["folders"] if f not in indexed], query, n, filters, offset)
         else:
             ranked = rank_chunks(chunks, query, n, filters, offset)
-        rest = chunks.drop("embedding", "norm", "pivot", "angle", *RANKED_COLUMNS[2:])
+        rest = chunks.drop("embedding", "norm", "pivot", "angle", "text_key", *RANKED_COLUMNS[2:])
         if n <= FETCHED_KEYS:
             page = ranked.collect()  # n rows of ids and scores
             ranked = self.spark.createDataFrame(page, ranked.schema)

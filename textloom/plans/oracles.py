@@ -230,6 +230,8 @@ q as {_hashed("(select item_id, text from benchmark)", 'item_id')}"""
             from chunks c join documents using (doc_id)""",
         "fetch_stored": """select doc_id, text, source from documents
             where doc_id in (select min(doc_id) from documents group by source, lang)""",
+        "filter_stored_numbers": f"""with recursive {chunks}
+            select doc_id, chunk_ix, c.text as text from chunks c join documents using (doc_id) where n_chars >= 1500 and doc_id < 200""",
         "get_documents": """select doc_id, text, source from documents
             where doc_id in (select doc_id from labels where quality = 1)""",
         "missing_documents": """select distinct event_id as doc_id from events

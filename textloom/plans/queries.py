@@ -235,6 +235,21 @@ def fetch_stored(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.store.documents_of(set_id, wanted).select("doc_id", "text", F.col("metadata")["source"].alias("source"))
 
 
+@_query
+def filter_stored_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents stored as a set whose chunks are clustered by two numbers; those within a range of both."""
+    corpus = Corpus(spark, scratch_folder(spark, "store"))
+    docs = _table(spark, folder, "documents").select(
+        "doc_id", F.lit("text").alias("text_column"), "text",
+        F.create_map(F.lit("chars"), F.col("n_chars").cast("string"), F.lit("number"), F.col("doc_id").cast("string")).alias("metadata"),
+    )
+    numbers = ("chars", "number")
+    config = IngestConfig(chunk_size=CHUNK_SIZE, chunk_overlap=CHUNK_OVERLAP, embedder="mock", filter_columns=numbers, cluster_columns=numbers)
+    set_id = corpus.ingest_documents(docs, "numbers", config)
+    chunks = filtering.apply_filters(corpus.store.open_chunks(set_id), [("chars", ">=", 1500), ("number", "<", 200)])
+    return chunks.select("doc_id", "chunk_ix", "text")
+
+
 @_query
 def ingest(spark: SparkSession, folder: str) -> DataFrame:
     """CSV files to a stored, searchable set; its chunks."""

@@ -48,7 +48,7 @@ FETCHED_KEYS = 1000
 _IN_VALUES = 10
 
 # Columns that rows are looked up by, and the bytes of a row group: small ones skip more.
-LOOKUP_COLUMNS = {"documents": ("doc_id", "content_key"), "chunks": ("doc_id", "chunk_id")}
+LOOKUP_COLUMNS = {"documents": ("doc_id", "content_key"), "chunks": ("doc_id", "chunk_id", "text_key")}
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 _FILTER_KEYS = 50_000
 
