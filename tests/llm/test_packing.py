@@ -50,3 +50,20 @@ def test_like_documents_are_packed_next_to_each_other(spark):
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, RANKS).toPandas()
     order = rows[rows.start == 0].sort_values(["sequence_id", "offset"]).doc_id % 2
     assert (order.diff().fillna(0) != 0).sum() <= 4
+
+
+def test_units_encoded_together_equal_the_whole_texts():
+    whole, encoder = Tokenizer.from_file(JSON), packing.Encoder(JSON, RANKS)
+    texts = ["", "a", "two\nlines and\n more", "x\n y", "don't we're", "Über schön £5 €6", "tab\there end\n", "a b c " + "zq" * 40 + " 12345 ...!", "漢 字", " lead", "same same Same"]
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.block(texts) == expected and encoder.block(texts[::-1]) == expected[::-1]
+
+
+def test_ranges_hold_about_as_many_tokens(spark, monkeypatch):
+    """Long documents and a third of equal ones spread over ranges of about the same size."""
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 3000)
+    texts = ["the same text again and again " * 4] * 300 + [f"other {i} words {i * 7} " * (1 + i % 90) for i in range(300)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), JSON, RANKS, sequence=128).toPandas()
+    sizes = rows.groupby(rows.sequence_id // (1 << 32)).length.sum()
+    assert len(sizes) >= 10 and sizes.max() < 3 * sizes.median()
+    assert rows.groupby("doc_id").length.sum().sum() == rows.length.sum() == rows.drop_duplicates("doc_id").doc_tokens.sum()
