@@ -72,6 +72,26 @@ def _with_neighbors(df: DataFrame, keys: list[str], position: Column, bucket_row
     ).filter("_tl_own")
 
 
+def neighbour_ids(ids: DataFrame, changed: Sequence[int], id_col: str = "doc_id") -> tuple[list[int], list[int]]:
+    """Where a change of some documents reaches in corpus scope: the documents next to them, and those next to these as well.
+
+    ``ids`` are documents with chunks, ``changed`` the few that are replaced, added or emptied. Between two changed documents, the
+    first and the last unchanged one border on a change, however many changed ones in a row lost their chunks; the second and the last but
+    one are what these border on. Two scans of the ids alone, with at most two rows for every changed document.
+    """
+    bounds = F.array(*[F.lit(int(c)) for c in sorted(changed)])
+    gap = F.size(F.filter(bounds, lambda c: c < F.col(id_col)))
+    apart = ids.select(F.col(id_col).alias("id"), gap.alias("gap")).filter(~F.array_contains(bounds, F.col("id")))
+
+    def ends(rows: DataFrame) -> list[int]:
+        found = rows.groupBy("gap").agg(F.min("id").alias("first"), F.max("id").alias("last")).collect()
+        # Nothing before the first change borders on one from behind, nor after the last from before.
+        return sorted({r["first"] for r in found if r["gap"] > 0} | {r["last"] for r in found if r["gap"] < len(changed)})
+
+    nearest = ends(apart)
+    return nearest, ends(apart.filter(~F.col("id").isin(nearest))) if nearest else []
+
+
 def chunk_and_expand(
     docs: DataFrame,
     chunk_size: int,

@@ -17,7 +17,7 @@ from textloom.functions.predicates import is_number, predicate
 
 # Columns of stored chunks that never answer for a metadata key of the same name.
 STORED_COLUMNS = frozenset(
-    "set_id version batch doc_id text_column chunk_ix variant text n_tokens is_expanded metadata embedding norm pivot angle text_key".split()
+    "set_id version batch doc_id text_column chunk_ix variant text n_tokens is_expanded metadata embedding norm pivot angle text_key owner".split()
 )
 
 

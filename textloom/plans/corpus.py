@@ -16,7 +16,7 @@ from textloom.functions.text import params_from_json
 from textloom.operators.catalog import list_sets, require_all_documents
 from textloom.operators.chunking import ABBREVIATIONS, check_sizes, chunk_documents, run_transforms
 from textloom.operators.embedding import Embedder, EmbedderRegistry, embed
-from textloom.operators.expansion import chunk_and_expand, expand_neighbors
+from textloom.operators.expansion import chunk_and_expand, expand_neighbors, neighbour_ids
 from textloom.operators.filtering import NUMBERS, PROMOTED, MetadataFilter, apply_filters, promote_keys
 from textloom.operators.pivots import PivotIndex, assign_pivots, choose_pivots, cluster, cluster_table, search_index
 from textloom.operators.retrieval import attach_source, hits, page_of, page_of_batch, search, search_batch
@@ -24,7 +24,7 @@ from textloom.operators.stats import estimate_cost, middle_documents
 from textloom.operators.zorder import cluster_by_numbers
 from textloom.session import scratch_folder, spread_small
 from textloom.sources.csv import KEY, keyed_rows, read_documents_csv, read_rows_csv, require_documents, unpivot_text
-from textloom.sources.store import FETCHED_KEYS, CorpusStore, as_documents, latest_per_key, new_batch, with_keys, with_keys_of
+from textloom.sources.store import FETCHED_KEYS, OWNER, CorpusStore, as_documents, latest_per_key, new_batch, with_keys, with_keys_of
 
 # What a ranking carries: a chunk's identity, then its place.
 RANKED_COLUMNS = ("batch", "chunk_id", "doc_id", "chunk_ix", "variant")
@@ -81,6 +81,8 @@ def chunk_transforms(config: IngestConfig) -> list[Callable[[DataFrame], DataFra
 def documents_to_chunks(docs: DataFrame, config: IngestConfig) -> DataFrame:
     """Chunks ``doc_id, text_column, metadata, chunk_ix, variant, text, n_tokens, is_expanded`` and filter columns."""
     docs = spread_small(docs.select("doc_id", "text_column", "metadata", "text"), "doc_id")
+    if _reaches_across(config):
+        docs = docs.withColumn(OWNER, F.col("doc_id"))
     chunks = run_transforms(docs, chunk_transforms(config))
     chunks = chunks if "variant" in chunks.columns else chunks.withColumn("variant", F.lit(0))
     return promote_keys(chunks, config.filter_columns)
@@ -145,12 +147,14 @@ class Corpus:
         store.commit(set_id, name, datetime.now(timezone.utc), config.to_json(), total, [batch], next_id=last + 1)
         return set_id
 
-    def _embedded(self, docs: DataFrame, config: IngestConfig, embedder: Embedder, known: DataFrame | None = None) -> DataFrame:
-        """Chunks with vectors. Texts whose vectors are ``known`` (``text_key, embedding, norm``) do not go to the embedder again.
+    def _embedded(self, docs: DataFrame, config: IngestConfig, embedder: Embedder, known: DataFrame | None = None, only: Sequence[int] | None = None) -> DataFrame:
+        """Chunks with vectors, ``only`` those of some owners. Texts whose vectors are ``known`` (``text_key, embedding, norm``) do not go to the embedder again.
 
         With ``known``, chunks are stored first, and each new text goes to the embedder once.
         """
         chunks = documents_to_chunks(docs, config).withColumn("text_key", F.md5("text"))
+        if only is not None:
+            chunks = with_keys(chunks, OWNER, only)
         if config.cluster_columns:
             chunks = cluster_by_numbers(chunks, [NUMBERS + c for c in config.cluster_columns])
         chunks = chunks.withColumn("chunk_id", F.monotonically_increasing_id())
@@ -166,6 +170,21 @@ class Corpus:
         new = chunks.select("text_key", "text").join(held, "text_key", "left_anti").dropDuplicates(["text_key"])
         return chunks.join(held.unionByName(embed(new, embedder, checked=True).drop("text")), "text_key")
 
+    def _remade(self, set_id: int, folders: Sequence[str], written: DataFrame) -> tuple[DataFrame, DataFrame, list[int] | None]:
+        """For a change where chunks reach across documents: the ids whose chunks are made anew, the documents to make them from, and
+        the ids again as a list. Beyond ``FETCHED_KEYS`` changed documents, that is all documents of the set (and no list)."""
+        stored = self.store.read("documents", set_id, folders)
+        changed = [r["doc_id"] for r in written.select("doc_id").limit(FETCHED_KEYS + 1).collect()]
+        kept = stored.join(written.select("doc_id"), "doc_id", "left_anti").select(*written.columns)
+        if len(changed) > FETCHED_KEYS:
+            return stored.select("doc_id").union(written.select("doc_id")).distinct(), kept.unionByName(written), None
+        held = self.store.read("chunks", set_id, folders).filter("variant = 0").select("doc_id").distinct()
+        nearest, next_to = neighbour_ids(held, changed)
+        touched = sorted({*changed, *nearest})
+        remade = self.spark.createDataFrame([(i,) for i in touched], "doc_id long")
+        around = with_keys(stored.select(*written.columns), "doc_id", sorted({*nearest, *next_to}))
+        return remade, around.unionByName(written), touched
+
     def _known_vectors(self, set_id: int, folders: Sequence[str]) -> DataFrame:
         return self.store.read("chunks", set_id, folders).select("text_key", "embedding", "norm").filter("embedding is not null")
 
@@ -174,7 +193,7 @@ class Corpus:
 
         The change is a folder of its own; folders that hold documents with its ids are written anew without those, and the new
         state of the set is committed last. As batch ``number`` of a ``stream``, it does nothing if that number or a
-        later one is already applied. Where chunks reach across documents, all chunks of the set are made anew, as neighbours change.
+        later one is already applied. Where chunks reach across documents, those next to changed documents are made anew too.
         """
         store, current = self.store, self.store.require_set(set_id)
         config, applied = _config(current), dict(current["applied"])
@@ -186,17 +205,15 @@ class Corpus:
         staged = scratch_folder(self.spark, "batch")
         as_documents(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
         latest = latest_per_key(self.spark.read.parquet(staged), ["doc_id"])
-        if config.expand and config.expand_scope == "corpus":
-            stored = store.read("documents", set_id, current["folders"])
-            kept = stored.join(latest.select("doc_id"), "doc_id", "left_anti").select(*latest.columns)
-            written = store.write("documents", kept.unionByName(latest), set_id, batch)
-            folders, total = [batch], written.count()
-        else:
-            written = store.write("documents", latest, set_id, batch)
-            folders, replaced = store.replace(set_id, current["folders"], written.select("doc_id"), batch)
-            folders, total = [*folders, batch], current["total_documents"] - replaced + written.count()
-        known = self._known_vectors(set_id, current["folders"])
-        store.write("chunks", self._embedded(written, config, embedder, known), set_id, batch)
+        written = store.write("documents", latest, set_id, batch)
+        ids, known = written.select("doc_id"), self._known_vectors(set_id, current["folders"])
+        remade, around, touched = None, written, None
+        if _reaches_across(config):
+            remade, around, touched = self._remade(set_id, current["folders"], written)
+        chunks = self._embedded(around, config, embedder, known, touched)
+        store.write("chunks", chunks, set_id, batch)
+        folders, replaced = store.replace(set_id, current["folders"], ids, batch, remade)
+        folders, total = [*folders, batch], current["total_documents"] - replaced + written.count()
         next_id = max(current["next_id"], (written.agg(F.max("doc_id")).first()[0] or 0) + 1)
         described = [current[c] for c in ("name", "upload_date", "parameters")]
         store.commit(set_id, *described, total, folders, current["state"] + 1, applied, next_id)
@@ -324,6 +341,10 @@ class Corpus:
         return self.store.delete_set(set_id)
 
 
+def _reaches_across(config: IngestConfig) -> bool:
+    return config.expand and config.expand_scope == "corpus"
+
+
 def _needs(rows: DataFrame, key: str, column: str) -> bool:
     """Whether a filter on ``key`` reads ``column``."""
     return column == key or (column == "metadata" and PROMOTED + key not in rows.columns and key not in rows.columns)

@@ -37,6 +37,9 @@ CATALOG_SCHEMA = (
 # Stored document columns. ``content_key`` identifies a document by what it holds.
 DOCUMENT_COLUMNS = ("doc_id", "content_key", "text_column", "text", "metadata")
 
+# The document in whose place a chunk stands, where chunks reach across documents and have none of their own.
+OWNER = "owner"
+
 # Most rows in one written file. Files are split by row group when read, so this only bounds single uploads;
 # small files would cost more at scale than they save.
 MAX_RECORDS_PER_FILE = 250_000
@@ -48,7 +51,7 @@ FETCHED_KEYS = 1000
 _IN_VALUES = 10
 
 # Columns that rows are looked up by, and the bytes of a row group: small ones skip more.
-LOOKUP_COLUMNS = {"documents": ("doc_id", "content_key"), "chunks": ("doc_id", "chunk_id", "text_key")}
+LOOKUP_COLUMNS = {"documents": ("doc_id", "content_key"), "chunks": ("doc_id", "chunk_id", "text_key", OWNER)}
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 _FILTER_KEYS = 50_000
 
@@ -190,24 +193,33 @@ class CorpusStore:
 
     # ---- changes -----------------------------------------------------------------------------------------
 
-    def replace(self, set_id: int, folders: Sequence[str], ids: DataFrame, batch: str) -> tuple[list[str], int]:
+    def replace(self, set_id: int, folders: Sequence[str], ids: DataFrame, batch: str, remade: DataFrame | None = None) -> tuple[list[str], int]:
         """Folders without the documents ``ids`` (``doc_id``), and how many documents that leaves out.
 
-        Folders that hold none of them stay; the others are written anew under a name made of their own and ``batch``.
+        Chunks go with their documents, or with the larger set of documents ``remade``, whose chunks are made anew. Folders that hold none
+        of them stay; the others are written anew under a name made of their own and ``batch``.
         """
-        found = with_keys_of(self.read("documents", set_id, folders).select("batch", "doc_id"), "doc_id", ids)
-        held = {r["batch"]: r["count"] for r in found.groupBy("batch").count().collect()}  # a row per folder
+        remade = ids if remade is None else remade
+        stored = self.read("documents", set_id, folders).select("batch", "doc_id")
+
+        def held(wanted: DataFrame) -> dict[str, int]:
+            return {r["batch"]: r["count"] for r in with_keys_of(stored, "doc_id", wanted).groupBy("batch").count().collect()}  # a row per folder
+
+        leaving = held(ids)
+        touched = leaving if remade is ids else held(remade)
         kept = []
         for folder in folders:
-            if folder not in held:
+            if folder not in touched:
                 kept.append(folder)
                 continue
             rest = f"{folder.split('~')[0]}~{batch}"
-            for table in ("documents", "chunks"):
+            for table, gone in (("documents", ids), ("chunks", remade)):
                 rows = self.read(table, set_id, [folder])
-                self.write(table, rows.join(ids.select("doc_id"), "doc_id", "left_anti").select(*rows.columns), set_id, rest)
+                key = OWNER if OWNER in rows.columns else "doc_id"
+                gone = gone.select(F.col("doc_id").alias(key))
+                self.write(table, rows.join(gone, key, "left_anti").select(*rows.columns), set_id, rest)
             kept.append(rest)
-        return kept, sum(held.values())
+        return kept, sum(leaving.values())
 
     def delete_set(self, set_id: int) -> bool:
         """Remove a set from the catalogue, then its document and chunk folders. False when it is unknown."""
