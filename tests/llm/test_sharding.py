@@ -49,3 +49,30 @@ def test_many_rows_of_one_key_have_slots_of_their_own(spark):
 def test_no_python_in_the_plan(odd):
     plan = S.shard_records(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_whole_query_against_draws_made_one_by_one(spark):
+    """Every key's 41 draws, its shard, its shard with one more, and its slot, from the hash function's own library."""
+    import math
+    import struct
+    import zlib
+
+    import xxhash
+
+    from textloom.llm.queries import op9_shard
+
+    def draw(key, shard):
+        seed = xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        bits = xxhash.xxh64(struct.pack("<i", shard), seed=seed).intdigest() >> 12
+        return -math.log((bits + 0.5) / float(1 << 52))
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    expected, members = {}, {}
+    for key in sorted(texts):
+        draws = [(draw(key, s), s) for s in range(41)]
+        shard, grown = min(draws[:40])[1], min(draws)[1]
+        members.setdefault(shard, []).append(key)
+        expected[key] = (len(texts[key]) + 16, zlib.crc32(texts[key]), "key", shard, len(members[shard]) - 1, grown)
+    got = {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in op9_shard(spark, folder).collect()}
+    assert got == expected
