@@ -62,3 +62,35 @@ def test_odd_rows(spark, odd, nothing):
     assert {r.lang_pred for r in got} <= {"en", "de", "und"}
     assert L.identify_languages(nothing).count() == 0
     assert {r.lang_pred for r in L.identify_languages(odd.withColumn("lang", odd["lang"].substr(9, 0)).na.replace("", None, "lang")).collect()} == {"und"}
+
+
+def plain_log_probabilities(model, window):
+    """One window, one byte and one unit of the state after the other."""
+    import math
+
+    def states(side, order):
+        table, gates, candidate, state, out = model.inputs[side], model.gates[side], model.candidates[side], [0.0] * L.HIDDEN, {}
+        for t in order:
+            given = [float(x) for x in table[:, window[t]]]
+            both = [1 / (1 + math.exp(-(given[i] + sum(float(gates[i][j]) * state[j] for j in range(L.HIDDEN))))) for i in range(2 * L.HIDDEN)]
+            gated = [both[L.HIDDEN + i] * state[i] for i in range(L.HIDDEN)]
+            fresh = [math.tanh(given[2 * L.HIDDEN + i] + sum(float(candidate[i][j]) * gated[j] for j in range(L.HIDDEN))) for i in range(L.HIDDEN)]
+            state = [s + u * (f - s) for s, u, f in zip(state, both, fresh)]
+            out[t] = state
+        return out
+
+    forth, back = states(0, range(len(window))), states(1, reversed(range(len(window))))
+    rows = []
+    for t in range(len(window)):
+        scores = [float(b) + sum(float(w) * x for w, x in zip(line, forth[t] + back[t])) for line, b in zip(model.out, model.bias)]
+        whole = math.log(sum(math.exp(s) for s in scores))
+        rows.append([s - whole for s in scores])
+    return np.array(rows)
+
+
+def test_byte_labels_equal_a_plain_loop_over_time():
+    model, draw = L.train([b"the of and to in that", b"der die und das nicht"], ["aa", "bb"], steps=15), np.random.default_rng(3)
+    codes = draw.integers(0, 256, (20, 4)).astype(np.int16)
+    got = L.byte_log_probabilities(model, codes.copy())
+    for lane in range(4):
+        assert np.allclose(got[:, :, lane], plain_log_probabilities(model, codes[:, lane]), atol=1e-4)
