@@ -15,5 +15,5 @@ def test_query_matches_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in registered()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in registered()}
     assert set(registered()) | {"pipeline"} <= set(queries()) and set(oracles()) <= set(oracle_sql())
