@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -52,6 +54,42 @@ def test_gzip_members():
     assert [p[2] for p in parts(b"noise" + members[2])] == [None, b"third" * 40]
 
 
+def test_a_bad_record_in_a_member_of_many_costs_itself_alone():
+    records = [record(bytes([97 + i]) * 200) for i in range(6)]
+    hurt = records[2].replace(b"ccc", b"cXc", 1)
+    content = b"".join([*records[:2], hurt, *records[3:]])
+    for data in (W.gzip_member(content), gzip.compress(content), W.gzip_member(records[0]) + W.gzip_member(content) + W.gzip_member(records[5])):
+        found = parts(data)
+        kept = [p[2][:1] for p in found if p[2] is not None]
+        assert b"".join(kept) in (b"abdef", b"aabdeff")
+        (gap,) = [p for p in found if p[2] is None]
+        assert gap[3] == f"bytes {2 * len(hurt)} to {3 * len(hurt)} of the member: block digest differs"
+
+
+def test_a_damaged_member_gives_what_stands_before_the_damage():
+    draw = random.Random(3)
+    records = [record(bytes(draw.randrange(256) for _ in range(3000))) for _ in range(20)]
+    plain = [W.salvage(r).__next__()[3] for r in records]
+    data = bytearray(gzip.compress(b"".join(records)))
+    data[len(data) // 2] ^= 255
+    behind = W.gzip_member(record(b"behind"))
+    for cut in (bytes(data), bytes(data[: len(data) // 2])):
+        found = parts(cut + behind)
+        kept = [p[2] for p in found if p[2] is not None]
+        # Random bytes are stored as they are, so a changed one may cost its record alone; a cut costs all behind it.
+        assert 7 <= len(kept) - 1 <= 19 and kept == [*[p for p in plain if p in kept], b"behind"]
+        (gap,) = [p for p in found if p[2] is None]
+        assert gap[:2] == (0, len(cut)) and gap[3]
+    two = parts(bytes(data) + bytes(data) + behind)
+    assert [p[2] for p in two].count(None) == 2 and two[-1][2] == b"behind"
+
+
+def test_a_member_above_the_bound_is_read_up_to_it(monkeypatch):
+    monkeypatch.setattr(W, "LARGEST_MEMBER", 1000)
+    found = parts(W.gzip_member(record(b"a" * 300) + record(b"b" * 5000)) + W.gzip_member(record(b"c")))
+    assert [p[2] and p[2][:1] for p in found] == [b"a", None, b"c"] and found[1][3] == "member is too large"
+
+
 def test_pages_come_back(spark, tmp_path):
     big = "é<p>" * 400
     rows = [(1, "http://a/", big), (5, "http://b/ x\r\n", big), (3, None, big), (2, "u", None), (4, "u", ""), (6, "u", "small"), (7, "u", "small"), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 100)]
@@ -71,7 +109,7 @@ def test_damaged_files_are_read_around(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(record(b"a") + b"garbage" + record(b"b"))
     (tmp_path / "y.warc.gz").write_bytes(W.gzip_member(record(b"c"))[:-3] + W.gzip_member(record(b"d")))
     rows = W.read_warc(spark, str(tmp_path)).collect()
-    assert sorted(bytes(r.payload).decode() for r in rows if r.record_type != "gap") == ["a", "b", "d"]
+    assert sorted(bytes(r.payload).decode() for r in rows if r.record_type != "gap") == ["a", "b", "c", "d"]  # c is whole, its member's checksum is cut off
     assert sorted((r.length, bool(r.reason)) for r in rows if r.record_type == "gap")[0] == (7, True)
 
 

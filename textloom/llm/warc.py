@@ -26,6 +26,8 @@ ARCHIVE_BYTES = 8 << 20
 
 _VERSION = b"WARC/1."
 _GZIP = b"\x1f\x8b\x08"
+# What a member may hold, and the bytes that a damaged one is fed with at a time.
+LARGEST_MEMBER, _FEED = 1 << 30, 64
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _RECORD_ID = "urn:textloom:page:"
 
@@ -152,18 +154,30 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    """End and content of the gzip member at ``at``; its checksum is verified."""
+def _member(data: bytes, at: int) -> tuple[int | None, bytes, str]:
+    """End, content and fault of the gzip member at ``at``. A member that fails a check or is above ``LARGEST_MEMBER`` has no end and what
+    could be decompressed of it; where no member starts, there is no content either."""
     if not data.startswith(_GZIP, at):
-        raise ValueError("no member here")
+        return None, b"", "no member here"
     reader = zlib.decompressobj(31)
     try:
-        content = reader.decompress(memoryview(data)[at:])
+        content = reader.decompress(memoryview(data)[at:], LARGEST_MEMBER)
+        if reader.eof:
+            return len(data) - len(reader.unused_data), content, ""
+        return None, content, "member does not end" if len(content) < LARGEST_MEMBER else "member is too large"
     except zlib.error as error:
-        raise ValueError(f"bad member: {error}") from None
-    if not reader.eof:
-        raise ValueError("member does not end")
-    return len(data) - len(reader.unused_data), content
+        fault = f"bad member: {error}"
+    # A call that fails gives nothing, so the member is fed again in small pieces.
+    reader, parts, held = zlib.decompressobj(31), [], 0
+    for low in range(at, len(data), _FEED):
+        try:
+            parts.append(reader.decompress(data[low : low + _FEED]))
+        except zlib.error:
+            break
+        held += len(parts[-1])
+        if reader.eof or held > LARGEST_MEMBER:
+            break
+    return None, b"".join(parts), fault
 
 
 _VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
@@ -172,50 +186,66 @@ _VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
     """Records and gaps of an archive in order: offset, length, headers, block, reason.
 
-    A gap has no headers and a reason. After a failed check the reader looks for the next version line (or gzip member) behind the
-    failed start that begins a record passing all checks; everything before it is one gap. Records and gaps cover the
-    archive without overlap. Offsets are those of the file as stored; in a gzip archive those of the member. A member
-    that holds anything but whole valid records is a gap.
+    A gap has no headers and a reason. After a failed check the reader looks for the next version line behind the failed start that
+    begins a record passing all checks; everything before it is one gap. Records and gaps cover the archive without overlap.
+    Offsets are those of the file as stored. In a gzip archive they are those of the member: the content of a member is
+    searched in the same way, so a bad record costs itself alone and is a gap whose reason tells its bytes in the member. Of a damaged
+    member the records before the damage are kept; a gap goes from its start to the next member.
     """
     zipped = data.startswith(_GZIP) or (not _VERSION_LINE.search(data) and _GZIP in data)
+    return _of_members(data) if zipped else _of_records(data)
+
+
+_Found = tuple[int, int, dict[str, str] | None, bytes, str | None]
+
+
+def _of_records(data: bytes) -> Iterator[_Found]:
     at, gap, why = 0, None, ""
     while at < len(data):
         try:
-            found = _records_of_member(data, at) if zipped else _record_at(data, at)
+            end, headers, block = _parsed(data, at)
         except ValueError as error:
             if gap is None:
                 gap, why = at, str(error)
-            if zipped:
-                at = data.find(_GZIP, at + 1)
-            else:
-                following = _VERSION_LINE.search(data, at + 1)
-                at = following.start() if following else -1
-            if at < 0:
+            following = _VERSION_LINE.search(data, at + 1)
+            if following is None:
                 break
+            at = following.start()
             continue
         if gap is not None:
             yield gap, at - gap, None, b"", why
             gap = None
-        end, records = found
-        for headers, block in records:
-            yield at, end - at, headers, block, None
+        yield at, end - at, headers, block, None
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", why
 
 
-def _record_at(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    end, headers, block = _parsed(data, at)
-    return end, [(headers, block)]
+def _of_members(data: bytes) -> Iterator[_Found]:
+    at, gap, why, saved = 0, None, "", []
 
+    def damaged(end: int) -> Iterator[_Found]:
+        for headers, block in saved:
+            yield gap, end - gap, headers, block, None
+        yield gap, end - gap, None, b"", why
 
-def _records_of_member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    end, content = _member(data, at)
-    records, inner = [], 0
-    while inner < len(content):
-        inner, headers, block = _parsed(content, inner)
-        records.append((headers, block))
-    return end, records
+    while 0 <= at < len(data):
+        end, content, fault = _member(data, at)
+        found = list(_of_records(content))
+        records = [(headers, block) for _, _, headers, block, _ in found if headers is not None]
+        if gap is not None and (end is not None or records):
+            yield from damaged(at)
+            gap = None
+        if end is not None:
+            for low, length, headers, block, reason in found:
+                yield at, end - at, headers, block, reason and f"bytes {low} to {low + length} of the member: {reason}"
+            at = end
+            continue
+        if gap is None:
+            gap, why, saved = at, fault, records
+        at = data.find(_GZIP, at + 1)
+    if gap is not None:
+        yield from damaged(len(data))
 
 
 def _bare(identifier: str | None) -> str | None:
