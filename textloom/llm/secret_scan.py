@@ -1,16 +1,21 @@
 """Op 2: secrets found by fixed patterns and by a linear-chain conditional random field over tokens.
 
 Tokens are tagged secret begin (B), inside (I) or outside (O). A token's score for being secret comes from its shape, the words and
-separators beside it and features of its whole text; transitions tell B from I. Viterbi decodes each text. The field learns from the
-tokens of pattern matches in a bounded sample, and adds spans that no pattern covers.
+separators beside it and features of its whole text; transitions tell B from I. Viterbi decodes each text. The field learns from a
+bounded sample: texts with a pattern match, and variations of the sample's texts that hold made-up secrets of other alphabets, lengths and
+settings, or harmless tokens that look odd. Neighbours are masked at random, so that shape has to count. It adds spans that no pattern covers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
+from string import ascii_letters, ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,8 @@ LEARNED = "learned"
 
 # Training takes about so many texts with and without a pattern match, chosen by a hash of their key, and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARACTERS = 400, 800
+# Variations of each sample text, and the share of tokens whose neighbouring words are masked.
+VARIATIONS, MASKED = 1, 0.5
 STEPS, RATE, PENALTY = 80, 0.15, 1e-3
 # Tokens' scores are lowered by this much before decoding; below zero favours finding over leaving.
 MARGIN = -2.0
@@ -275,10 +282,69 @@ def _tagged(text: str) -> tuple[np.ndarray, np.ndarray]:
     return features, tags
 
 
+# Made-up secrets are drawn from these alphabets and stand in these settings; harmless tokens stand for what only looks odd.
+_ALPHABETS = [digits + letters for digits in ("0123456789",) for letters in ("abcdef", "ABCDEF", ascii_lowercase, ascii_uppercase, ascii_letters, ascii_letters + "+/", ascii_letters + "-_")]
+_SETTINGS = [" {w} {v} ", ' {w}="{v}" ', " {w}: {v}\n", " {w} = {v}; ", ' "{v}" ', " ({v}) ", " {v} ", " {w}={v}&{w} ", " {w}/{w}:{v}, "]
+_HARMLESS = [
+    lambda draw, word: "".join(draw.choice("0123456789") for _ in range(draw.randint(1, 20))),
+    lambda draw, word: "-".join(str(draw.randint(1, 9999)) for _ in range(draw.randint(2, 4))),
+    lambda draw, word: word() + "-" + word(),
+    lambda draw, word: word() + word().capitalize() + word().capitalize(),
+    lambda draw, word: (word() + "_" + word() + "_" + word()).upper(),
+    lambda draw, word: word() + str(draw.randint(0, 9999)),
+    lambda draw, word: f"https://{word()}.{word()}/{word()}/{word()}-{draw.randint(1, 99999)}?{word()}={word()}",
+    lambda draw, word: f"{word()}.{word()}{draw.randint(1, 99)}@{word()}.{word()}",
+    lambda draw, word: "".join(word() for _ in range(draw.randint(2, 5))),
+    lambda draw, word: f"v{draw.randint(0, 9)}.{draw.randint(0, 20)}-{word()}{draw.randint(1, 9)}",
+    lambda draw, word: word().upper() * draw.randint(1, 3),
+]
+
+
+def _varied(piece: str, draw: random.Random) -> tuple[np.ndarray, np.ndarray]:
+    """Features and tags of a piece with its pattern matches cut out and some made-up secrets and harmless tokens put in."""
+    parts, at = [], 0
+    for low, high, _ in base_matches(piece):
+        parts.append(piece[at : max(low, at)])
+        at = max(high, at)
+    words = ("".join([*parts, piece[at:]])).split() or ["word"]
+    word = lambda: draw.choice(words)
+    text, marked = "", []
+    put = {draw.randrange(len(words) + 1): kind for kind in ["secret"] * draw.randint(0, 2) + ["harmless"] * draw.randint(1, 4)}
+    for i, own in enumerate([*words, ""]):
+        if i in put:
+            secret = put[i] == "secret"
+            alphabet = draw.choice(_ALPHABETS)
+            value = "".join(draw.choice(alphabet) for _ in range(draw.randint(14, 48))) if secret else draw.choice(_HARMLESS)(draw, word)
+            before, behind = draw.choice(_SETTINGS).replace("{w}", word()).split("{v}")
+            text += before
+            if secret:
+                marked.append((len(text.encode()), len((text + value).encode())))
+            text += value + behind
+        text += own + draw.choice([" ", " ", " ", " ", "\n"])
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end, _, features = token_features(data, np.array([0, len(data)]))
+    tags = np.zeros(len(start), np.int64)
+    for low, high in marked:
+        inside = np.flatnonzero((start < high) & (end > low))
+        tags[inside] = I
+        tags[inside[:1]] = B
+    return features, tags
+
+
+def _masked(features: np.ndarray, draw: random.Random) -> np.ndarray:
+    """Features with the neighbouring words of some tokens taken away."""
+    features = features.copy()
+    for line in (-2, -1):
+        gone = np.array([draw.random() < MASKED for _ in range(features.shape[1])], bool)
+        features[line, gone] = _BASES[line - 1]
+    return features
+
+
 def learn_field(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    """Train on about ``SAMPLE_TEXTS`` texts with and as many without a pattern match; a piece around the first match of each."""
+    """Train on about ``SAMPLE_TEXTS`` texts with and as many without a pattern match, a piece around the first match of each, and on
+    ``VARIATIONS`` of every piece."""
     pattern = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"
-    rows = documents.filter(F.length(quoted(text)) > 0).select(quoted(text).alias("text"), F.xxhash64(quoted(key), F.lit(2)).alias("draw"))
+    rows = documents.filter(F.length(quoted(text)) > 0).select(quoted(text).alias("text"), F.xxhash64(quoted(key), quoted(text), F.lit(2)).alias("draw"))
     hit = F.regexp_instr("text", F.lit(pattern)) > 0
     hits, misses = rows.agg(F.count_if(hit), F.count_if(~hit)).first()
     # A draw below the wanted share of its kind is in the sample: the driver gets about SAMPLE_TEXTS of each, however many tasks there are.
@@ -290,8 +356,9 @@ def learn_field(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     start = F.greatest(F.col("at") - SAMPLE_CHARACTERS // 2, F.lit(1))
     piece = F.substring(F.col("text"), start, F.lit(SAMPLE_CHARACTERS))
     picked = [r.piece for r in chosen.select("draw", piece.alias("piece")).orderBy("draw", "piece").limit(4 * SAMPLE_TEXTS).collect()]
-    examples = [_tagged(p) for p in picked]
-    return train_field([f for f, _ in examples], [t for _, t in examples])
+    draw = random.Random(0)
+    examples = [_tagged(p) for p in picked] + [_varied(p, draw) for p in picked for _ in range(VARIATIONS)]
+    return train_field([_masked(f, draw) for f, _ in examples], [t for _, t in examples])
 
 
 def _all_spans(field: Field, margin: float, data: np.ndarray, bounds: np.ndarray, texts: list[str]) -> Iterator[tuple[list, list]]:
@@ -308,13 +375,14 @@ def _all_spans(field: Field, margin: float, data: np.ndarray, bounds: np.ndarray
             last += 1
         added.setdefault(int(row[i]), []).append((int(start[i]), int(end[last])))
     order = [*KINDS, LEARNED]
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if added else None
     for number, content in enumerate(texts):
         base = base_matches(content)
         spans = list(base)
-        raw = data[bounds[number] : bounds[number + 1]]
+        starts, ends = [a for a, _, _ in base], [0, *accumulate((b for _, b, _ in base), max)]
         for low, high in added.get(number, ()):
-            low, high = (int(np.count_nonzero((raw[: x - bounds[number]] & 0xC0) != 0x80)) for x in (low, high))
-            if all(high <= a or low >= b for a, b, _ in base):
+            low, high = (int(chars[x] - chars[bounds[number]]) for x in (low, high))
+            if ends[bisect_left(starts, high)] <= low:
                 spans.append((low, high, LEARNED))
         spans.sort(key=lambda s: (s[0], order.index(s[2])))
         yield base, spans
