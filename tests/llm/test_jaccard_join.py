@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from odd_inputs import prose
 
 from textloom.llm import jaccard_join as J
@@ -75,3 +77,24 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 105: 100, 103: 100, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_parity_bound_loses_no_link(spark):
+    """Sets of every distance around the limit, alone and as parts of several sets."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for _ in range(300):
+        n, d = int(draw.integers(1, 400)), int(draw.integers(0, 60))
+        base = draw.integers(0, 1 << 63, n, np.uint64)
+        other = np.unique(np.concatenate([base[d:], draw.integers(0, 1 << 63, int(draw.integers(0, d + 1)), np.uint64)]))
+        base = np.unique(base)
+        if len(other):
+            third = J._parity(other) ^ J._parity(draw.integers(0, 1 << 63, 3, np.uint64))
+            common = len(np.intersect1d(base, other))
+            links = 100 * common >= J.PERCENT * (len(base) + len(other) - common)
+            one, two = J._parity(base), J._parity(other)
+            rows.append((len(base), len(other), one.tolist(), two.tolist(), (two & third).tolist(), (two | third).tolist(), links))
+    df = spark.createDataFrame(rows, "n1 long, n2 long, x array<long>, y array<long>, every array<long>, some array<long>, links boolean")
+    alone, among = (df.filter("links").filter(J._parity_allows("n1", "x", "x", "n2", *both)).count() for both in (("y", "y"), ("every", "some")))
+    assert alone == among == df.filter("links").count() > 50
+    assert df.filter("not links").filter(J._parity_allows("n1", "x", "x", "n2", "y", "y")).count() < 0.3 * df.filter("not links").count()

@@ -33,6 +33,9 @@ _COUNTED = np.uint64(int(0.35 * 2**64))
 FREQUENCY_SLOTS = 1 << 25
 FILTER_BITS = 1 << 26
 
+# 64-bit words of a set's parity map: each shingle turns over one bit, so two maps differ in no more bits than their sets in shingles.
+PARITY_WORDS = 16
+
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int):
     """Per block: rows, and for each row the sorted distinct shingle hashes."""
@@ -124,6 +127,21 @@ def _filter_bits(units: DataFrame) -> np.ndarray:
     return bits
 
 
+def _parity(members: np.ndarray) -> np.ndarray:
+    odd = np.bincount((members >> np.uint64(20) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _parity_allows(n1: str, every1: str, some1: str, n2: str, every2: str, some2: str) -> str:
+    """No two sets of sizes ``n1`` and ``n2`` link if their parity maps differ in more bits than linking sets may differ in shingles.
+
+    ``every`` are the bits that all sets of a side have, ``some`` those that any has; bits that all of one side have and none of the
+    other differ for every pair.
+    """
+    bits = " + ".join(f"bit_count(({every1}[{i}] & ~{some2}[{i}]) | ({every2}[{i}] & ~{some1}[{i}]))" for i in range(PARITY_WORDS))
+    return f"{bits} <= {n1} + {n2} - 2 * ceil({PERCENT} * ({n1} + {n2}) / {100 + PERCENT})"
+
+
 def _full_sets(rows: DataFrame, shingle: int, bits) -> DataFrame:
     """The whole sets of the rows whose identity the filter may know."""
 
@@ -136,12 +154,12 @@ def _full_sets(rows: DataFrame, shingle: int, bits) -> DataFrame:
                     one, two = _identity(members)
                     slot = one & (FILTER_BITS - 1)
                     if (int(known[slot >> 6]) >> (slot & 63)) & 1:
-                        out.append((one, two, len(members), members.view(np.int64)))
-            columns = list(zip(*out)) if out else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h1", "h2", "n", "members"])
+                        out.append((one, two, len(members), members.view(np.int64), _parity(members)))
+            columns = list(zip(*out)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h1", "h2", "n", "members", "parity"])
 
-    return rows.mapInArrow(take, "h1 bigint, h2 bigint, n bigint, members array<bigint>")
+    return rows.mapInArrow(take, "h1 bigint, h2 bigint, n bigint, members array<bigint>, parity array<bigint>")
 
 
 def _may_link(n1: str, n2: str) -> str:
@@ -154,11 +172,19 @@ def _position_allows(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"100 * {common} >= {PERCENT} * ({n1} + {n2} - {common})"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, left: DataFrame, right: DataFrame, on: tuple[str, str]) -> DataFrame:
+    """The different ``u, v`` of ``pairs`` joined with units ``u, n1, x`` and ``v, n2, y`` whose parity maps allow a link; the second join
+    puts out no others."""
+    first = pairs.join(left, on[0])
+    both = first.join(right, on[1]).filter(_parity_allows("n1", "x", "x", "n2", "y", "y"))
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of units whose sets link."""
     u = sets.select(F.col("unit").alias("u"), F.col("members").alias("mu"))
     v = sets.select(F.col("unit").alias("v"), F.col("members").alias("mv"))
-    both = pairs.join(u, "u").join(v, "v").withColumn("common", F.size(F.array_intersect("mu", "mv")))
+    both = near.join(u, "u").join(v, "v").withColumn("common", F.size(F.array_intersect("mu", "mv")))
     return both.filter(f"100 * common >= {PERCENT} * (size(mu) + size(mv) - common)").select("u", "v")
 
 
@@ -183,24 +209,32 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     # Equal sets are one unit, named by its first row.
     units = written(
-        scanned.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("key.row").alias("unit"), F.first("start").alias("start"), F.first("prefix").alias("prefix")),
+        scanned.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("key.row").alias("unit"), F.first("start").alias("start"), F.first("prefix").alias("prefix"))
+        .withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")}),
         "shingle-units",
     )
     # Units of equal size and prefix are one group, named by its first unit. A unit with no shared shingle in its prefix links with none.
-    groups = written(units.filter("size(prefix) > 0").groupBy("n", "start", "prefix").agg(F.min("unit").alias("gid"), F.count("*").alias("units")), "shingle-groups")
+    grouped = ["n", "start", "p1", "p2"]
+    groups = written(units.filter("size(prefix) > 0").groupBy(*grouped).agg(F.min("unit").alias("gid"), F.count("*").alias("units"), F.first("prefix").alias("prefix")), "shingle-groups")
     postings = groups.select("gid", "n", "units", "start", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("start") + F.col("pos")).drop("start")
     # Shared by two units, be they of one group: units that do not link with their group's first one may link with each other.
     shared = postings.groupBy("token").agg(F.sum("units").alias("holders")).filter("holders > 1").select("token")
     postings = written(postings.drop("units").join(shared, "token"), "shingle-postings")
 
     in_play = postings.select("gid").distinct()
-    members = units.join(groups.join(in_play, "gid", "left_semi").select("n", "start", "prefix", "gid"), ["n", "start", "prefix"])
+    members = units.select("unit", "h1", "h2", *grouped).join(groups.select(*grouped, "gid").join(in_play, "gid", "left_semi"), grouped)
     members = written(members.select("unit", "gid", "n", "h1", "h2"), "shingle-members")
     bits = context.broadcast(_filter_bits(members))
-    sets = _full_sets(rows, shingle, bits).join(members.select("unit", "n", "h1", "h2"), ["n", "h1", "h2"]).groupBy("unit").agg(F.first("members").alias("members"))
+    sets = _full_sets(rows, shingle, bits).join(members.select("unit", "n", "h1", "h2"), ["n", "h1", "h2"]).groupBy("unit").agg(F.first("members").alias("members"), F.first("parity").alias("parity"))
     sets = written(sets, "shingle-sets")
 
-    edges = _verified(members.filter("unit <> gid").select(F.col("unit").alias("u"), F.col("gid").alias("v")), sets)
+    def side(unit: str, n: str, parity: str) -> DataFrame:
+        return sets.select(F.col("unit").alias(unit), F.size("members").alias(n), F.col("parity").alias(parity))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _verified(_near(pairs, side("u", "n1", "x"), side("v", "n2", "y"), ("u", "v")), sets)
+
+    edges = linked(members.filter("unit <> gid").select(F.col("unit").alias("u"), F.col("gid").alias("v")))
     # Sizes of one class may link; the hub of a shingle and class is compared with all others there.
     size_class = F.floor(F.log("n") / F.lit(-np.log(PERCENT / 100.0)))
     labelled = postings.withColumn("component", F.col("gid"))
@@ -216,34 +250,35 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
             .select(F.least("gid", "hub").alias("u"), F.greatest("gid", "hub").alias("v"))
             .distinct()
         )
-        edges = written(edges.union(_verified(tried, sets)), "shingle-links")
+        edges = written(edges.union(linked(tried)), "shingle-links")
         components = written(_labelled(members.select("unit", "gid", "n"), edges), "shingle-components")
         labelled = postings.join(components.filter("unit = gid").select("gid", "component"), "gid")
 
     # Groups, now also split by component; every pair of different components that share a shingle is compared.
-    parts = components.groupBy("gid", "n", "component").agg(F.min("unit").alias("part"))
-    lists = written(postings.select("gid", "pos", "token").join(parts, "gid"), "shingle-parts")
+    maps = [F.array(*[f(F.col("parity")[i]) for i in range(PARITY_WORDS)]).alias(name) for f, name in ((F.bit_and, "every"), (F.bit_or, "some"))]
+    parts = written(components.join(sets.select("unit", "parity"), "unit").groupBy("gid", "n", "component").agg(F.min("unit").alias("part"), *maps), "shingle-maps")
+    lists = postings.select("gid", "pos", "token").join(parts.select("gid", "n", "component", "part"), "gid")
+    lists = written(lists, "shingle-parts")
     sizes = lists.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", F.col("top.component").alias("main"))
-    mixed = written(lists.join(largest, "token"), "shingle-mixed")
-    left = mixed.filter("component <> main").select("token", F.col("part").alias("p1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("component").alias("c1"))
-    right = mixed.select("token", F.col("part").alias("p2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), "main")
+    mixed = lists.select("token", "pos", "part").join(largest, "token").join(parts.drop("gid"), "part")
+    mixed = written(mixed, "shingle-mixed")
+    columns = {"part": "p", "n": "n", "pos": "pos", "component": "c", "every": "every", "some": "some"}
+    left = mixed.filter("component <> main").select("token", *[F.col(c).alias(f"{name}1") for c, name in columns.items()])
+    right = mixed.select("token", "main", *[F.col(c).alias(f"{name}2") for c, name in columns.items()])
     pairs = (
         left.join(right, "token")
         .filter("c1 <> c2 and (c2 = main or p1 < p2)")
         .filter(_may_link("n1", "n2"))
         .filter(_position_allows("n1", "pos1", "n2", "pos2"))
+        .filter(_parity_allows("n1", "every1", "some1", "n2", "every2", "some2"))
         .select("p1", "p2")
         .distinct()
     )
-    named = components.join(parts, ["gid", "n", "component"]).select("unit", "part")
-    expanded = (
-        pairs.join(named.select(F.col("part").alias("p1"), F.col("unit").alias("u")), "p1")
-        .join(named.select(F.col("part").alias("p2"), F.col("unit").alias("v")), "p2")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
-    )
-    edges = written(edges.union(_verified(expanded, sets)), "shingle-links")
+    named = components.join(parts.select("gid", "n", "component", "part"), ["gid", "n", "component"]).select("unit", "part")
+    left = named.withColumnsRenamed({"part": "p1", "unit": "u"}).join(side("u", "n1", "x"), "u")
+    right = named.withColumnsRenamed({"part": "p2", "unit": "v"}).join(side("v", "n2", "y"), "v")
+    edges = written(edges.union(_verified(_near(pairs, left, right, ("p1", "p2")), sets)), "shingle-links")
     final = _labelled(units.select("unit", "n", "h1", "h2"), edges)
     placed = written(
         scanned.select("key.key", "key.row", "n", "h1", "h2").join(final, ["n", "h1", "h2"], "left").select("key", "n", F.coalesce("component", "row").alias("component")),
