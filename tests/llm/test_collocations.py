@@ -65,6 +65,21 @@ def test_overlaps_ties_and_equal_words(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least_count=5, top=3, first_branches=1)
 
 
+def test_words_that_are_names_of_languages(spark):
+    words = ["en", "de", "und", "x", "y"]
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice(words) for _ in range(9)), draw.choice(["en", "de", "und", None])) for i in range(60)]
+    rows += [(60 + i, "de p q, a de r s", "de") for i in range(6)]  # "r s" always follows the language's own name
+    check(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least_count=3, top=50)
+
+
+def test_filters_steer_work_only(spark, monkeypatch):
+    """Filters that let everything through give the same rows, in every batch."""
+    monkeypatch.setattr(C, "_filter", lambda phrases: np.full(1 << 13, 255, np.uint8))
+    rows = spark.createDataFrame(texts(5, 150), "doc_id long, text string, lang string")
+    check(rows, least_count=3, top=40, first_branches=2)
+
+
 def test_settling_leaves_branches_ungrown(spark, monkeypatch):
     """Rare words that always stand together settle the list; frequent words are then never grown."""
     draw = random.Random(8)

@@ -74,8 +74,10 @@ class _Words:
 
 
 def _salt(name: str) -> int:
+    """A hash of a language's name that no word's hash follows from, or the word "de" of "en" would be the word "en" of "de"."""
     data = np.frombuffer(name.encode(), np.uint8)
-    return int(A.span_hashes(A.prefix_hashes(data), np.array([0]), np.array([len(data)]))[0])
+    hashes = A.span_hashes(A.prefix_hashes(data), np.array([0]), np.array([len(data)]))
+    return int(A.mix(hashes ^ np.uint64(0xA0761D6478BD642F))[0])
 
 
 def gram_hash(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -237,8 +239,8 @@ def _grow(rows: DataFrame, frequent, taken: DataFrame, least_count: int) -> Data
     prefixes, found = heads, None
     for size in range(2, MOST_WORDS + 1):
         count = _count_phrases(rows, _extensions(size, prefixes, frequent), size).filter(F.col("a") >= least_count)
-        if size == 2:  # the filter of branches may have let others through
-            count = count.join(taken.select(F.col("w").alias("w1")), "w1", "left_semi").select("size", *_WORDS, "a")
+        # The filters may have let others through; phrases of other branches lack the counts of their prefixes here.
+        count = count.join(taken.select(F.col("w").alias("w1")), "w1", "left_semi").select("size", *_WORDS, "a")
         count = written(count, f"phrases-of-{size}", "zstd")
         found = count if found is None else found.unionAll(count)
         if count.isEmpty():
