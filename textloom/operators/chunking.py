@@ -35,6 +35,9 @@ CHARACTER_PATTERN = r"(?s)."
 # noncharacters, which neither split nor belong to words.
 _MARK, _DOT, _OWN = "\ufdd0", "\ufdd1", "\ufdd2"
 
+# Characters for each token of a chunk in the start of a text that is counted first.
+_PREFIX_CHARACTERS = 8
+
 # Pieces folded at a time.
 _BLOCK_PIECES = 1024
 
@@ -108,8 +111,16 @@ def pieces(
     A level only touches pieces that are still too long. ``count`` is any native token-count expression.
     """
 
+    def size(part: Column) -> Column:
+        if count is not token_count:
+            return count(part)
+        # The start of a text has no more tokens than the text: most long ones are known as too long by it, and are cut further anyway.
+        start = _PREFIX_CHARACTERS * chunk_size
+        too_long = (F.length(part) > start) & (count(F.substring(part, 1, start)) > chunk_size)
+        return F.when(too_long, chunk_size + 1).otherwise(count(part))
+
     def measured(part: Column) -> Column:
-        return F.struct(part.alias("text"), count(part).alias("n_tokens"))
+        return F.struct(part.alias("text"), size(part).alias("n_tokens"))
 
     def refine(level: Callable[[Column], Column]) -> Callable[[Column], Column]:
         return lambda piece: F.when(

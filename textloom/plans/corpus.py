@@ -22,7 +22,7 @@ from textloom.operators.pivots import PivotIndex, assign_pivots, choose_pivots,
 from textloom.operators.retrieval import attach_source, hits, page_of, page_of_batch, search, search_batch
 from textloom.operators.stats import estimate_cost, middle_documents
 from textloom.operators.zorder import cluster_by_numbers
-from textloom.session import scratch_folder, spread_small
+from textloom.session import scratch_folder, spread
 from textloom.sources.csv import KEY, keyed_rows, read_documents_csv, read_rows_csv, require_documents, unpivot_text
 from textloom.sources.store import FETCHED_KEYS, OWNER, CorpusStore, as_documents, latest_per_key, new_batch, with_keys, with_keys_of
 
@@ -78,9 +78,13 @@ def chunk_transforms(config: IngestConfig) -> list[Callable[[DataFrame], DataFra
     return transforms
 
 
-def documents_to_chunks(docs: DataFrame, config: IngestConfig) -> DataFrame:
-    """Chunks ``doc_id, text_column, metadata, chunk_ix, variant, text, n_tokens, is_expanded`` and filter columns."""
-    docs = spread_small(docs.select("doc_id", "text_column", "metadata", "text"), "doc_id")
+def documents_to_chunks(docs: DataFrame, config: IngestConfig, few: bool = False) -> DataFrame:
+    """Chunks ``doc_id, text_column, metadata, chunk_ix, variant, text, n_tokens, is_expanded`` and filter columns.
+
+    A ``few`` documents are chunked where they are.
+    """
+    docs = docs.select("doc_id", "text_column", "metadata", "text")
+    docs = docs if few else spread(docs, "doc_id")
     if _reaches_across(config):
         docs = docs.withColumn(OWNER, F.col("doc_id"))
     chunks = run_transforms(docs, chunk_transforms(config))
@@ -364,5 +368,5 @@ def rank_chunks(
 
 def preview(docs: DataFrame, config: IngestConfig) -> tuple[DataFrame, DataFrame]:
     """``(chunks of the ten middle documents, cost over all)``. The slice is taken before empties are dropped."""
-    shown = documents_to_chunks(middle_documents(docs), config).select("doc_id", "chunk_ix", "variant", "text", "metadata")
+    shown = documents_to_chunks(middle_documents(docs), config, few=True).select("doc_id", "chunk_ix", "variant", "text", "metadata")
     return shown, estimate_cost(documents_to_chunks(docs, config), config.model)

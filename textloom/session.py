@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 # Largest row count that is ever broadcast or gathered by a bounded step.
 BROADCAST_ROWS = 200_000
 
-# A scan giving each core at least this much is parallel enough as it is.
-SPREAD_BYTES = 16 * 1024 * 1024
+# Bytes of stored input that one task of CPU-heavy work gets at most, on average.
+SPREAD_BYTES = 4 * 1024 * 1024
+
+# Sizes from here on are not known to Spark.
+_UNKNOWN_BYTES = 1 << 60
 
 
 def build_session(master: str | None = None, app: str = "textloom", **conf: str) -> SparkSession:
@@ -76,16 +79,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores by ``keys`` before CPU-heavy, row-local work.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input by ``keys`` before CPU-heavy, row-local work: over all cores twice, and so that no task gets more than about ``SPREAD_BYTES``.
 
-    A scan has no more tasks than its files have row groups, so a small file keeps one core busy. Inputs that
-    give each core ``SPREAD_BYTES`` or more by their plan statistics are left alone: moving them would cost a
-    shuffle and gain nothing.
+    A scan has no more tasks than its files have row groups, and a task of 128 MB of text takes many minutes. The size is that of the stored
+    tables below; an input whose size Spark does not know is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores, *keys) if size < SPREAD_BYTES * cores else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= _UNKNOWN_BYTES:
+        return df
+    return df.repartition(max(2 * cores, -(-size // SPREAD_BYTES)), *keys)
 
 
 def ship_package(spark: SparkSession) -> None:
