@@ -2,9 +2,12 @@
 
 import hashlib
 
+import pytest
+
 from textloom import session
 from textloom.functions.text import token_count
 from textloom.operators import chunking as C
+from textloom.operators import embedding as E
 from textloom.plans import corpus as plans
 from textloom.plans.corpus import IngestConfig
 
@@ -23,6 +26,19 @@ def test_tasks_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert chunks.rdd.getNumPartitions() >= 40
 
 
+@pytest.mark.parametrize("counts", [1, 7, 1 << 20])
+def test_hashed_vectors_in_steps(spark, monkeypatch, counts):
+    monkeypatch.setattr(E, "_COUNTS", counts)
+    texts = ["a b a", None, "", "漢字 😀 é b", "x" * 60] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    tokens = [None if t is None else {"a b a": ["a", "b", "a"], "": [], "x" * 60: ["x" * 24, "x" * 24, "x" * 12]}.get(t, t.split()) for t in texts]
+    for row, held in zip(E.embed(rows, E.hash_embedder(5)).orderBy("i").collect(), tokens):
+        expected = [0.0] * 5
+        for t in held or ():
+            expected[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 5] += 1
+        assert row["embedding"] == (None if held is None else expected)
+
+
 def test_long_texts_are_cut_as_by_full_counts(spark):
     texts = ["a" * 5000, "a b " * 900, " " * 3000 + "a b c. " * 3, "é😀 " * 700, "\n\n\n".join(["x y z. " * 40] * 3), ("y" * 23 + " ") * 50, "; , " * 400]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,9 @@ DEFAULT_DIMENSION = 1536
 BATCH_SIZE = 50
 REQUEST_TOKENS = 300_000
 
+# Counts that a task holds at once.
+_COUNTS = 1 << 20
+
 
 @dataclass(frozen=True)
 class Embedder:
@@ -48,41 +55,30 @@ def mock_embedder() -> Embedder:
     return Embedder("mock", 6, lambda text: F.array(*map(F.lit, (1, 0, 0, 0, 0, 0))).cast("array<float>"))
 
 
-def token_buckets(text: Column, dimension: int) -> Column:
-    """The hash bucket of every token: the first 32 bits of its md5, modulo ``dimension``."""
-    return F.transform(
-        tokens(text),
-        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimension).cast("int"),
-    )
-
-
-def bucket_counts(buckets: Column, dimension: int) -> Column:
-    """How often each of ``0 .. dimension-1`` occurs, as a dense array.
+def hash_embedder(dimension: int = 64) -> Embedder:
+    """Offline bag-of-tokens vectors: token counts per hash bucket, the first 32 bits of a token's md5 modulo ``dimension``.
 
-    Every bucket number is added once and the whole sorted; the gaps between the run ends, less one, are the
-    counts. Linear in tokens plus dimension, and stays in the row.
+    Tokens are cut by a native expression and travel to Python in Arrow batches, where each distinct one of a batch is hashed once.
+    Null texts have null vectors.
     """
-    everything = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dimension - 1))))
-
-    def run_ends(ordered: Column) -> Column:
-        marked = F.transform(
-            ordered, lambda b, i: F.when(F.get(ordered, i + 1).eqNullSafe(b), F.lit(None)).otherwise(i)
-        )
-        return F.array_compact(marked)
 
-    def gaps(ends: Column) -> Column:
-        return F.transform(ends, lambda end, k: end - F.coalesce(F.get(ends, k - 1), F.lit(-1)) - 1)
-
-    return bind(bind(everything, run_ends), gaps)
-
-
-def hash_embedder(dimension: int = 64) -> Embedder:
-    """Offline bag-of-tokens vectors: token counts per hash bucket."""
-    return Embedder(
-        f"hash-{dimension}",
-        dimension,
-        lambda text: bucket_counts(token_buckets(text, dimension), dimension).cast("array<float>"),
-    )
+    def counted(lists: pa.Array) -> pa.Array:
+        words, rows = lists.flatten().dictionary_encode(), len(lists)
+        held = words.dictionary.cast(pa.binary()).to_pylist()
+        buckets = np.array([int.from_bytes(hashlib.md5(t).digest()[:4], "big") % dimension for t in held], np.int64)
+        row = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        counts = np.bincount(row * dimension + buckets[words.indices.to_numpy()], minlength=rows * dimension)
+        offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dimension)
+        return pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.float32)), mask=lists.is_null())
+
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = max(1, _COUNTS // dimension)
+        for batch in batches:
+            parts = [counted(batch.slice(first, step)) for first in range(0, len(batch), step)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+    return Embedder(f"hash-{dimension}", dimension, lambda text: run(tokens(text)))
 
 
 def requests(tokens_of: Sequence[int], budget: int = REQUEST_TOKENS, batch_size: int = BATCH_SIZE) -> Iterator[slice]:
