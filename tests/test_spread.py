@@ -9,7 +9,7 @@ from textloom.functions.text import token_count
 from textloom.operators import chunking as C
 from textloom.operators import embedding as E
 from textloom.plans import corpus as plans
-from textloom.plans.corpus import IngestConfig
+from textloom.plans.corpus import Corpus, IngestConfig
 
 
 def documents(spark, n):
@@ -26,6 +26,24 @@ def test_tasks_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert chunks.rdd.getNumPartitions() >= 40
 
 
+def test_clustered_chunks_are_made_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        made.add(1)
+        return text
+
+    chunks = plans.documents_to_chunks
+    monkeypatch.setattr(plans, "documents_to_chunks", lambda *a: chunks(*a).withColumn("text", seen.asNondeterministic()("text")))
+    corpus = Corpus(spark, str(tmp_path / "store"))
+    config = IngestConfig(chunk_size=20, chunk_overlap=0, embedder="mock", filter_columns=("number",), cluster_columns=("number",))
+    set_id = corpus.ingest_documents(documents(spark, 50), "clustered", config)
+    assert made.value == corpus.store.open_chunks(set_id).count()
+
+
 @pytest.mark.parametrize("counts", [1, 7, 1 << 20])
 def test_hashed_vectors_in_steps(spark, monkeypatch, counts):
     monkeypatch.setattr(E, "_COUNTS", counts)

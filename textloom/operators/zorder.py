@@ -5,14 +5,14 @@ A range of any of the numbers, or of several, then falls into few row groups, wh
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.binding import quoted
+from textloom.functions.binding import bind, quoted
 
 # Bits of a number's rank: it is told apart from about 2 ** RANK_BITS - 1 quantiles.
 RANK_BITS = 8
@@ -35,11 +35,13 @@ def rank(value: Column, cuts: Sequence[float]) -> Column:
 
 def z_value(columns: Sequence[str], cuts: Mapping[str, Sequence[float]], bits: int = RANK_BITS) -> Column:
     """The interleaved bits of the columns' ranks, highest bits first."""
-    parts = []
-    for place, c in enumerate(columns):
-        own = rank(quoted(c).cast("double"), cuts[c]).cast("long")
-        parts += [F.shiftleft(F.shiftright(own, bit).bitwiseAND(1), bit * len(columns) + len(columns) - 1 - place) for bit in range(bits)]
-    return reduce(add, parts)
+
+    def interleaved(place: int) -> Callable[[Column], Column]:
+        first = len(columns) - 1 - place
+        return lambda own: reduce(add, [F.shiftleft(F.shiftright(own, bit).bitwiseAND(1), bit * len(columns) + first) for bit in range(bits)])
+
+    ranks = [rank(quoted(c).cast("double"), cuts[c]).cast("long") for c in columns]
+    return reduce(add, [bind(own, interleaved(place)) for place, own in enumerate(ranks)])
 
 
 def cluster_by_numbers(df: DataFrame, columns: Sequence[str], files: int | None = None, bits: int = RANK_BITS) -> DataFrame:

@@ -160,7 +160,10 @@ class Corpus:
         if only is not None:
             chunks = with_keys(chunks, OWNER, only)
         if config.cluster_columns:
-            chunks = cluster_by_numbers(chunks, [NUMBERS + c for c in config.cluster_columns])
+            # Clustering reads its input three times: for the quantiles, for the ranges and for the rows.
+            placed = scratch_folder(self.spark, "unclustered")
+            chunks.write.parquet(placed)
+            chunks = cluster_by_numbers(self.spark.read.parquet(placed), [NUMBERS + c for c in config.cluster_columns])
         chunks = chunks.withColumn("chunk_id", F.monotonically_increasing_id())
         if known is None:
             return embed(chunks, embedder, checked=True)
