@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import re
 
@@ -129,6 +130,30 @@ def test_unit_bits_by_the_definition(spark):
         assert got[i] == pytest.approx(brute_unit_bits(texts, i), rel=1e-9)
 
 
+def test_unit_bits_in_many_chunks_and_no_pair_as_a_row(spark, monkeypatch):
+    """Chunks and ranges change nothing, copies in other chunks neither; pairs never become rows of a stored table, and tables no longer read go."""
+    kept = []
+    store = Q.written
+    monkeypatch.setattr(Q, "written", lambda df, name, **how: kept.append((name, stored := store(df, name, **how))) or stored)
+    monkeypatch.setattr(Q, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(A, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(Q, "SCORED_PAIRS", 50)
+    counts = {}
+    release = Q.released
+    monkeypatch.setattr(Q, "released", lambda *tables: [counts.update({t.scratch: t.count()}) for t in tables] and release(*tables))
+    texts = [" ".join(chain(i, 40, [f"w{j}" for j in range(30)])) for i in range(9)] + ["w1 w2 never w3 seen", "never seen w1"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, texts[3], texts[10]])], "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.unit_bits for r in Q.score_documents(df).collect()}
+    assert got[11] == got[3] and got[12] == got[10]
+    for i in (0, 3, 9, 10):
+        assert got[i] == pytest.approx(brute_unit_bits(texts, i), rel=1e-9)
+    assert sum(n for folder, n in counts.items() if "unit-chunks" in folder) > 3
+    pairs = sum(len(set(zip(t.split(), t.split()[1:]))) for t in texts)
+    assert 0 < sum(n for folder, n in counts.items() if "pair-counts" in folder) < pairs
+    gone = {"unit-chunks", "pair-counts", "units-asked", "unit-counts", "quality-copied-texts"}
+    assert not any(os.path.exists(t.scratch.removeprefix("file:")) for name, t in kept if name in gone)
+
+
 def test_letter_salad_and_shuffled_words_go_in_any_script(spark):
     rows, bad = [], set()
     for lang, letters in (("ru", "абвгдежзиклмнопрстуя"), ("en", "abcdefghiklmnoprstuy")):

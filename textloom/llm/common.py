@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.session import scratch_folder, ship_package
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def quoted(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
@@ -24,8 +26,26 @@ def keyed_texts(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` stored once in the shared folder and read back: later steps neither compute it again nor lose it."""
+    """``df`` stored once in the shared folder and read back: later steps neither compute it again nor lose it.
+
+    The shuffle files of the write go with it, not only when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     folder = scratch_folder(spark, name)
-    df.write.option("compression", compression).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(folder)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    stored = spark.read.schema(df.schema).parquet(folder)
+    stored.scratch = folder
+    return stored
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` has stored and that nothing reads any more."""
+    for stored in tables:
+        context = stored.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(stored.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

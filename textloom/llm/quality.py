@@ -3,23 +3,26 @@
 One model is over byte classes: ``ORDER`` classes of ``BITS`` bits each, one model per language. That bounds a
 language's model by ``2 ** (ORDER * BITS)`` n-grams whatever the corpus, so it may be broadcast, ``LANGUAGES`` models at a time.
 
-The other is over pairs of units, which are words, or characters in scripts without blanks. It is a table that grows with the corpus and
-is joined to the pairs of each text. A text is scored by what all other texts hold: its own part is taken from the counts,
+The other is over pairs of units, which are words, or characters in scripts without blanks. It is counted by ranges of 64-bit hashes and
+grows with the corpus. A text is scored by what all other texts hold: its own part is taken from the counts,
 as pairs that no other text has would vouch for themselves.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import arrays as A
-from textloom.llm.common import keyed_texts, quoted, written
+from textloom.llm.common import keyed_texts, quoted, released, written
+from textloom.llm.filters import KeyFilter, filter_of
 from textloom.session import broadcast_if_small
 
 MIN_WORDS = 50
@@ -33,6 +36,13 @@ BAND = 4.0
 LEAST_RANGE = 0.02
 # The same for bits per unit, where only the upper side rejects: near copies of other texts have few bits.
 LEAST_UNIT_RANGE = 0.5
+# Bytes of text in a chunk, and pairs in a range of hashes that one task counts at once, both about.
+CHUNK_BYTES = 1 << 22
+RANGE_PAIRS = 1 << 21
+# Pairs that are scored at once, about; a text is scored whole.
+SCORED_PAIRS = 1 << 16
+# Ranges and chunks are shuffled in so many turns, whatever the input, which bounds the disk taken.
+SLICES = 4
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -225,27 +235,263 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return A.span_hashes(A.prefix_hashes(data), start, end), row
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its different pairs of following units, and how often each stands there."""
-    for rows, data, bounds in A.blocks(batches):
-        units, owner = _units(data, bounds)
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: the upper bytes of small numbers are zeros and cost next to nothing."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, count: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, count * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, count).T).reshape(-1).view(kind)
+
+
+_CHUNKS = (
+    "chunk bigint, n_pairs bigint, n_units bigint, n_places bigint, langs array<string>, lang binary, hash array<bigint>, other_hash array<bigint>,"
+    " sizes binary, units binary, places binary"
+)
+
+
+def _chunk(parts: list) -> pa.RecordBatch:
+    """One row for texts of several blocks: their units as places in a list of the different ones. Units differ by language."""
+    names = [n for part, _, _ in parts for n in part.column("more_0").to_pylist()]
+    langs = sorted(set(names))
+    units, places = np.unique(np.concatenate([u for _, u, _ in parts]), return_inverse=True)
+    sizes = np.concatenate([np.bincount(owner, minlength=part.num_rows) for part, _, owner in parts])
+    n_pairs = int(np.maximum(sizes - 1, 0).sum())
+    number = {name: i for i, name in enumerate(langs)}
+    columns = {
+        "chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()),
+        "n_pairs": pa.array([n_pairs], pa.int64()),
+        "n_units": pa.array([len(units)], pa.int64()),
+        "n_places": pa.array([len(places)], pa.int64()),
+        "langs": pa.array([langs], pa.list_(pa.string())),
+        "lang": pa.array([_packed(np.array([number[n] for n in names], np.uint32))], pa.binary()),
+        **{name: pa.array([np.concatenate([part.column(c).to_numpy() for part, _, _ in parts])], pa.list_(pa.int64())) for name, c in (("hash", "more_1"), ("other_hash", "more_2"))},
+        "sizes": pa.array([_packed(sizes.astype(np.uint32))], pa.binary()),
+        "units": pa.array([_packed(np.diff(units, prepend=np.uint64(0)))], pa.binary()),
+        "places": pa.array([_packed(places.astype(np.uint32))], pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _chunked(skipped=None):
+    """Texts become rows of ``_CHUNKS``, about ``CHUNK_BYTES`` each; those whose hash the filter may know are left out."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if skipped is not None:
+                batch = batch.filter(pa.array(~KeyFilter(skipped.value).has(batch.column("more_1").to_numpy().view(np.uint64))))
+            for rows, data, bounds in A.blocks([batch]):
+                units, owner = _units(data, bounds)
+                salts = A.mix(rows.column("more_3").to_numpy().view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+                held.append((rows, A.mix(units ^ salts[owner]) if len(units) else units, owner))
+                size += len(data)
+                if size >= CHUNK_BYTES:
+                    yield _chunk(held)
+                    held, size = [], 0
+        if held:
+            yield _chunk(held)
+
+    return chunks
+
+
+class _Pairs:
+    """The pairs of following units of a chunk.
+
+    ``hashes`` are those of its different pairs, in order, and ``v``, ``w`` the places of their units in ``units``. Of each text's different
+    pairs, ``row`` is the text, ``pair`` the place in ``hashes`` and ``times`` how often it stands there.
+    """
+
+    def __init__(self, r: dict):
+        self.units = np.cumsum(_unpacked(r["units"], r["n_units"], np.uint64), dtype=np.uint64)
+        self.langs, self.lang = r["langs"], _unpacked(r["lang"], len(r["hash"]), np.uint32)
+        places = _unpacked(r["places"], r["n_places"], np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(r["hash"])), _unpacked(r["sizes"], len(r["hash"]), np.uint32))
+        self.unit_lang = np.zeros(len(self.units), np.int64)
+        self.unit_lang[places] = self.lang[owner]
         at = np.flatnonzero(owner[:-1] == owner[1:])
-        owner, v, w = owner[at], units[at], units[at + 1]
-        order = np.lexsort((w, v, owner))
-        owner, v, w = owner[order], v[order], w[order]
-        fresh = np.ones(len(v), bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-        first = np.flatnonzero(fresh)
-        times = np.diff(np.append(first, len(v)))
-        taken = pa.array(owner[first])
-        columns = [rows.column("key").take(taken), rows.column("more_0").take(taken), pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(times, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "lang", "v", "w", "times"])
-
-
-def _discounts(counted: DataFrame, c: str, prefix: str) -> DataFrame:
-    """Per language the discounts of counts of one, two and more, and the sums of all counts and of what they lose."""
-    of = [F.sum((F.col(c) == i).cast("double")) for i in (1, 2, 3, 4)]
-    seen = counted.groupBy("lang").agg(*[n.alias(f"n{i}") for i, n in enumerate(of, 1)], F.count("*").cast("double").alias("kinds"), F.sum(c).cast("double").alias("all"))
+        self.hashes, first, pair = np.unique(A.gram_hashes(self.units[places], 2)[at], return_index=True, return_inverse=True)
+        self.v, self.w = places[at[first]], places[at[first] + 1]
+        held, self.times = np.unique(owner[at] * max(len(self.hashes), 1) + pair, return_counts=True)
+        self.row, self.pair = np.divmod(held, max(len(self.hashes), 1))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+_ASKED = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("values", pa.binary()), ("langs", pa.list_(pa.string())), ("lang", pa.binary())])
+_ASKED_DDL = "range int, chunk bigint, n bigint, hashes binary, values binary, langs array<string>, lang binary"
+
+
+def _by_range(bits: int, chunk: int, hashes: np.ndarray, values: list[np.ndarray], langs: list[str], lang: np.ndarray, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """One row for each range of the sorted ``hashes``: these, as differences, with the values and language of each."""
+    lows = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    ends = np.append(np.searchsorted(hashes, lows), len(hashes))
+    out = []
+    for i in range(part, 1 << bits, parts):
+        mine = slice(ends[i], ends[i + 1])
+        if ends[i] < ends[i + 1]:
+            numbers = np.concatenate([v[mine] for v in values]).astype(np.uint32)
+            out.append((i, chunk, int(ends[i + 1] - ends[i]), _packed(np.diff(hashes[mine], prepend=lows[i])), _packed(numbers), langs, _packed(lang[mine].astype(np.uint32))))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ASKED.types)], schema=_ASKED)
+
+
+class _Asked:
+    """The lists of one range of hashes: their lengths, and the items of all brought together by ``order``; ``heads`` are the first of each hash."""
+
+    def __init__(self, asked: pa.Table, bits: int):
+        self.counts = asked.column("n").to_pylist()
+        low = np.uint64(asked.column("range")[0].as_py() << (64 - bits))
+        hashes = np.concatenate([np.cumsum(_unpacked(h.as_py(), n, np.uint64), dtype=np.uint64) + low for h, n in zip(asked.column("hashes"), self.counts)])
+        self.order = np.argsort(hashes, kind="stable")
+        hashes = hashes[self.order]
+        self.heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        self.sizes = np.diff(np.append(self.heads, len(hashes)))
+
+    def values(self, asked: pa.Table, width: int) -> np.ndarray:
+        return np.concatenate([_unpacked(v.as_py(), width * n, np.uint32).reshape(width, n) for v, n in zip(asked.column("values"), self.counts)], 1)
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum(self.counts)[:-1])
+
+
+def _pairs_asked(bits: int, part: int):
+    """Per chunk and range of hashes: the hashes of its pairs there, and how many texts hold each."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            pairs = _Pairs(r)
+            holders = np.bincount(pairs.pair, minlength=len(pairs.hashes))
+            yield from _by_range(bits, r["chunk"], pairs.hashes, [holders], [], np.zeros(len(holders), np.uint32), part, SLICES)
+
+    return ask
+
+
+def _pairs_answered(bits: int):
+    """For one range of hashes, in the order asked: twice the number of texts that hold a pair, and one more in the first chunk that asks."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        lists = _Asked(asked, bits)
+        held = lists.values(asked, 1)[0].astype(np.int64)[lists.order]
+        said = np.zeros(len(held), np.uint32)
+        said[lists.order] = np.repeat(2 * np.add.reduceat(held, lists.heads), lists.sizes)
+        said[lists.order[lists.heads]] += 1
+        answers = [_packed(part) for part in lists.split(said)]
+        return pa.table({"chunk": asked.column("chunk"), "range": asked.column("range"), "n": asked.column("n"), "answer": pa.array(answers, pa.binary())})
+
+    return answer
+
+
+def _heard(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a chunk's different pairs the number of texts that hold it, and whether this chunk speaks for it."""
+    said = np.concatenate([_unpacked(a["answer"], a["n"], np.uint32) for a in sorted(r["answers"], key=lambda a: a["range"])]).astype(np.int64)
+    return said >> 1, said & 1 == 1
+
+
+def _units_asked(bits: int):
+    """Per chunk and range of hashes, for each unit there: texts times pairs that begin with it, different such pairs held by 1 to 4 and more
+    texts, and different pairs that end with it. A pair held by several chunks is told by one."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            pairs = _Pairs(r)
+            c, speaks = _heard(r)
+            size = len(pairs.units)
+            values = [np.bincount(pairs.v[pairs.pair], minlength=size)]
+            values += [np.bincount(pairs.v[speaks & (np.minimum(c, 5) == n)], minlength=size) for n in range(1, 6)]
+            values.append(np.bincount(pairs.w[speaks], minlength=size))
+            yield from _by_range(bits, r["chunk"], pairs.units, values, r["langs"], pairs.unit_lang)
+
+    return ask
+
+
+_SEEN = ["d_n1", "d_n2", "d_n3", "d_n4", "d_kinds", "d_all", "e_n1", "e_n2", "e_n3", "e_n4", "e_kinds", "e_all"]
+_TOLD = 5
+
+
+def _units_answered(bits: int):
+    """For one range of hashes, in the order asked: the sums for each unit, those of pairs held by 3 texts and more as one. Rows without a
+    chunk tell ``_SEEN`` of the range's units of a language."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        lists = _Asked(asked, bits)
+        total, n1, n2, n3, n4, n5, kinds = np.add.reduceat(lists.values(asked, 7).astype(np.int64)[:, lists.order], lists.heads, axis=1)
+        told = np.stack([total, n1, n2, n3 + n4 + n5, kinds])
+        back = np.zeros(len(lists.order), np.int64)
+        back[lists.order] = np.repeat(np.arange(len(lists.heads)), lists.sizes)
+        answers = [_packed(told[:, at].reshape(-1)) for at in lists.split(back)]
+
+        names = sorted({name for langs in asked.column("langs").to_pylist() for name in langs})
+        of = [np.array([names.index(name) for name in langs])[_unpacked(lang.as_py(), n, np.uint32)] for langs, lang, n in zip(asked.column("langs").to_pylist(), asked.column("lang"), lists.counts)]
+        of = np.concatenate(of)[lists.order[lists.heads]]
+        seen = [n1, n2, n3, n4, n1 + n2 + n3 + n4 + n5, total, *[kinds == i for i in range(1, 5)], kinds > 0, kinds]
+        seen = np.stack([np.bincount(of, weights=n, minlength=len(names)) for n in seen], 1)
+        rows = [(c, r, n, a, None, None) for c, r, n, a in zip(asked.column("chunk").to_pylist(), asked.column("range").to_pylist(), lists.counts, answers)]
+        rows += [(None, None, None, None, name, numbers.tolist()) for name, numbers in zip(names, seen)]
+        kept = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.float64())]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kept)], names=["chunk", "range", "n", "answer", "lang", "seen"])
+
+    return answer
+
+
+_RULES = ["d1", "d2", "d3", "e1", "e2", "e3", "e_kinds", "e_all", "e_lost"]
+
+
+def _taken(counts: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    return np.where(counts <= 0, 0.0, np.where(counts == 1, by[0], np.where(counts == 2, by[1], by[2])))
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """For each item the number of items of its key and the sums of ``values`` over them."""
+    _, group = np.unique(keys, return_inverse=True)
+    return [np.bincount(group)[group], *[np.bincount(group, weights=v)[group] for v in values]]
+
+
+def _bits(row: np.ndarray, c: np.ndarray, v: np.ndarray, w: np.ndarray, told: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """Bits of the pairs of whole texts; what only the text itself adds is taken out of every count, sum and discount."""
+    d1, d2, d3, e1, e2, e3, e_kinds, e_all, e_lost = rules
+    total, n1, n2, more = told[:4, v]
+    kinds, alone, size = told[4, w], (c == 1).astype(np.float64), told.shape[1]
+    own, own_lost = _sums(row * size + v, _taken(c, d1, d2, d3) - _taken(c - 1, d1, d2, d3))
+    others, others_lost = total - own, n1 * d1 + n2 * d2 + more * d3 - own_lost
+    ways, gone = _sums(row * size + w, alone)
+    before = kinds - np.rint(gone).astype(np.int64)
+    _, lone, lost = _sums(row, alone, (_taken(kinds, e1, e2, e3) - _taken(before, e1, e2, e3)) / ways)
+    base, base_lost = e_all - lone, e_lost - lost
+    unit = np.where(base > 0, (before - _taken(before, e1, e2, e3) + base_lost / e_kinds) / np.where(base > 0, base, 1), 1 / e_kinds)
+    pair = np.where(others > 0, (c - 1 - _taken(c - 1, d1, d2, d3) + others_lost * unit) / np.where(others > 0, others, 1), unit)
+    return -np.log2(np.maximum(pair, 1e-30))
+
+
+def _unit_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text of two units or more its bits, some texts of a chunk at a time."""
+    for r in _rows(batches):
+        pairs, (c, _) = _Pairs(r), _heard(r)
+        told = np.concatenate([_unpacked(t["answer"], _TOLD * t["n"], np.int64).reshape(_TOLD, -1) for t in sorted(r["told"], key=lambda t: t["range"])], 1)
+        by_lang = {rule["lang"]: [rule[name] for name in _RULES] for rule in r["rules"]}
+        rules = np.array([by_lang.get(name, [0.0] * len(_RULES)) for name in r["langs"]]).T
+        sums, count = np.zeros(len(r["hash"])), np.zeros(len(r["hash"]))
+        edges = np.append(np.unique(np.searchsorted(pairs.row, pairs.row[::SCORED_PAIRS])), len(pairs.row))
+        for low, high in zip(edges[:-1], edges[1:]):
+            row, pair, times = pairs.row[low:high], pairs.pair[low:high], pairs.times[low:high]
+            bits = _bits(row, c[pair], pairs.v[pair], pairs.w[pair], told, rules[:, pairs.lang[row]])
+            sums += np.bincount(row, weights=times * bits, minlength=len(sums))
+            count += np.bincount(row, weights=times, minlength=len(sums))
+        some = np.flatnonzero(count)
+        names = [pa.array(np.array(r[name], np.int64)[some]) for name in ("hash", "other_hash")]
+        yield pa.RecordBatch.from_arrays([*names, pa.array(sums[some] / count[some])], names=["hash", "other_hash", "unit_bits"])
+
+
+def _discounts(seen: DataFrame, prefix: str) -> DataFrame:
+    """Per language the discounts of counts of one, two and more, and the sums of all counts and of what they lose. ``seen`` has n1 to n4,
+    how many counts are 1 to 4, and the number (kinds) and sum (all) of all."""
     y = F.expr("try_divide(n1, n1 + 2 * n2)")
 
     def discount(i: int):
@@ -258,38 +504,64 @@ def _discounts(counted: DataFrame, c: str, prefix: str) -> DataFrame:
     return seen.select("lang", *[f"{prefix}{i}" for i in (1, 2, 3)], F.col("kinds").alias(f"{prefix}_kinds"), F.col("all").alias(f"{prefix}_all"), lost.alias(f"{prefix}_lost"))
 
 
-def _taken(c: str, prefix: str) -> str:
-    return f"(case when {c} <= 0 then 0D when {c} = 1 then {prefix}1 when {c} = 2 then {prefix}2 else {prefix}3 end)"
+def _chunks_of(texts: DataFrame) -> DataFrame:
+    """The different texts of each language in chunks. Only texts whose hash stands twice, or seems to, are shuffled to find the copies."""
+    context = texts.sparkSession.sparkContext
+    copied = context.broadcast(filter_of(texts.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1"), "hash").packed)
+    rows = keyed_texts(texts, "hash", "text", "lang", "hash", "other_hash", "salt")
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(KeyFilter(copied.value).has(batch.column("more_1").to_numpy().view(np.uint64))))
+
+    once = written(rows.mapInArrow(suspects, rows.schema).dropDuplicates(["more_1", "more_2"]), "quality-copied-texts", compression="zstd")
+    chunks = written(rows.mapInArrow(_chunked(copied), _CHUNKS).unionAll(once.mapInArrow(_chunked(), _CHUNKS)).filter("n_pairs > 0"), "unit-chunks")
+    released(once)
+    return chunks
 
 
 def unit_bits(texts: DataFrame) -> DataFrame:
-    """Per ``row`` of ``texts`` (row, lang, text; no text twice in a language): unit_bits, the mean bits of a unit after the one before it.
+    """Per different text of ``texts`` (lang, text, hash, other_hash; not empty): hash, other_hash, unit_bits, the mean bits of a unit after the
+    one before it. The two hashes name a text of a language.
 
     The model is of order two, interpolated, and counts texts: a pair counts once for each text that holds it, a unit by the different
     units before it. What only the scored text adds is left out of every count, sum and discount of the formula. Vocabularies
     are closed: an unknown unit is one of the language's. Texts of less than two units have no row.
+
+    Texts are cut into units once and kept as chunks. Chunks ask how many texts hold each of their pairs by sorted 64-bit hashes, one list for
+    each range of hashes; where a range is counted, each list is answered in its order. Units are counted in the same way. So no pair or unit
+    is ever a row, and ``SLICES`` bounds what is shuffled at a time.
     """
-    own = keyed_texts(texts, "row", "text", "lang").mapInArrow(_pairs, "row bigint, lang string, v bigint, w bigint, times bigint")
-    grams = written(own.groupBy("lang", "v", "w").agg(F.count("*").alias("c")), "pair-counts", compression="zstd")
-    ends = written(grams.groupBy("lang", "w").agg(F.count("*").alias("kinds")), "pair-ends", compression="zstd")
-    rules = _discounts(grams, "c", "d").join(_discounts(ends, "kinds", "e"), "lang").select("lang", "d1", "d2", "d3", "e1", "e2", "e3", "e_kinds", "e_all", "e_lost")
-    rules = broadcast_if_small(written(rules, "pair-rules"))
-    contexts = grams.join(rules.select("lang", "d1", "d2", "d3"), "lang").groupBy("lang", "v").agg(F.sum("c").alias("total"), F.sum(F.expr(_taken("c", "d"))).alias("lost"))
-    model = written(grams.join(contexts, ["lang", "v"]).join(ends, ["lang", "w"]), "pair-model", compression="zstd")
-
-    by_context, by_end, by_row = Window.partitionBy("row", "v"), Window.partitionBy("row", "w"), Window.partitionBy("row")
-    found = own.join(model, ["lang", "v", "w"]).repartition("row").join(rules, "lang")
-    found = found.withColumn("others", F.col("total") - F.count("*").over(by_context)).withColumn(
-        "others_lost", F.col("lost") - F.sum(F.expr(f"{_taken('c', 'd')} - {_taken('c - 1', 'd')}")).over(by_context)
-    )
-    found = found.withColumn("before", F.col("kinds") - F.sum(F.expr("int(c = 1)")).over(by_end)).withColumn("ways", F.count("*").over(by_end))
-    found = found.withColumn("base", F.col("e_all") - F.sum(F.expr("int(c = 1)")).over(by_row)).withColumn(
-        "base_lost", F.col("e_lost") - F.sum(F.expr(f"({_taken('kinds', 'e')} - {_taken('before', 'e')}) / ways")).over(by_row)
-    )
-    unit = F.expr(f"case when base > 0 then (before - {_taken('before', 'e')} + base_lost / e_kinds) / base else 1 / e_kinds end")
-    pair = F.expr(f"case when others > 0 then (c - 1 - {_taken('c - 1', 'd')} + others_lost * unit) / others else unit end")
-    bits = -F.log2(F.greatest(pair, F.lit(1e-30)))
-    return found.withColumn("unit", unit).groupBy("row").agg((F.sum(F.col("times") * bits) / F.sum("times")).alias("unit_bits"))
+    chunks = _chunks_of(texts.withColumn("salt", F.xxhash64("lang")))
+    n_pairs = chunks.agg(F.sum("n_pairs")).first()[0] or 0
+    bits = max(-(-n_pairs // RANGE_PAIRS) - 1, 2 * chunks.sparkSession.sparkContext.defaultParallelism).bit_length()
+
+    def sliced(name: str, of) -> list[DataFrame]:
+        return [written(of(i), name) for i in range(SLICES)]
+
+    def some(i: int) -> DataFrame:
+        return chunks.filter(F.col("chunk") % SLICES == i).join(answers, "chunk")
+
+    def gathered(slices: list[DataFrame], name: str) -> DataFrame:
+        answers = reduce(DataFrame.unionAll, slices).filter("chunk is not null")
+        return answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "n", "answer")).alias(name))
+
+    shape = "chunk bigint, range int, n bigint, answer binary"
+    counted = sliced("pair-counts", lambda i: chunks.mapInArrow(_pairs_asked(bits, i), _ASKED_DDL).groupBy("range").applyInArrow(_pairs_answered(bits), shape))
+    answers = gathered(counted, "answers")
+    asked = sliced("units-asked", lambda i: some(i).mapInArrow(_units_asked(bits), _ASKED_DDL))
+    lists = reduce(DataFrame.unionAll, asked)
+    shape += ", lang string, seen array<double>"
+    units = sliced("unit-counts", lambda i: lists.filter(F.col("range") % SLICES == i).groupBy("range").applyInArrow(_units_answered(bits), shape))
+    released(*asked)
+    told = gathered(units, "told")
+    seen = reduce(DataFrame.unionAll, units).filter("lang is not null").groupBy("lang").agg(*[F.sum(F.col("seen")[i]).alias(name) for i, name in enumerate(_SEEN)])
+    rules = [_discounts(seen.select("lang", *[F.col(name).alias(name[2:]) for name in _SEEN if name.startswith(prefix)]), prefix) for prefix in "de"]
+    rules = written(rules[0].join(rules[1], "lang").select("lang", *_RULES), "pair-rules")
+    rules = chunks.select("chunk", F.explode("langs").alias("lang")).join(rules, "lang").groupBy("chunk").agg(F.collect_list(F.struct("lang", *_RULES)).alias("rules"))
+    found = sliced("unit-bits", lambda i: some(i).join(told, "chunk").join(rules, "chunk").mapInArrow(_unit_scores, "hash bigint, other_hash bigint, unit_bits double"))
+    released(chunks, *counted, *units)
+    return reduce(DataFrame.unionAll, found)
 
 
 # ---------------------------------------------------------------- scores
@@ -341,9 +613,7 @@ def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
         scored = scored.unionByName(_class_scores(prepared.filter(F.col("lang").isin(some))))
 
     # Equal texts of a language are one: copies would vouch for each other.
-    texts = prepared.drop("key").filter("text <> ''").dropDuplicates(["hash", "other_hash"]).withColumn("row", F.monotonically_increasing_id())
-    texts = written(texts, "quality-texts", compression="zstd")
-    units = texts.select("row", "hash", "other_hash").join(unit_bits(texts), "row").drop("row")
+    units = unit_bits(prepared.drop("key").filter("text <> ''"))
     scored = written(scored.join(units, ["hash", "other_hash"], "left").drop("hash", "other_hash"), "quality-unit-scores")
 
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
