@@ -5,11 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_inputs import prose
 
 from textloom.llm import arrays as A
 from textloom.llm import quality as Q
+from textloom.llm.common import keyed_texts
 
 
 def brute_stats(text):
@@ -202,3 +204,9 @@ def test_blocks_do_not_change_statistics(monkeypatch, odd):
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
     stats = Q.base_stats(np.frombuffer(b"".join(raw), np.uint8), bounds)
     assert [tuple(int(s[i]) for s in stats) for i in range(len(texts))] == [brute_stats(t) for t in texts]
+
+
+def test_a_worker_gets_a_few_megabytes_at_once(spark):
+    rows = keyed_texts(spark.range(400).selectExpr("id", "repeat('some words ', 9000) as text").coalesce(1), "id", "text")
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches), "size long").toPandas()["size"]
+    assert sizes.sum() > 30_000_000 and sizes.max() < 5_000_000

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from textloom.session import scratch_folder, ship_package
 
+# Bytes of rows that a Python worker gets at once, about: Spark's own limit counts rows, and 10,000 texts or a few packed chunks are many MB, held
+# by the executor and the worker at the same time.
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -20,8 +24,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def keyed_texts(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    """Only the key, the text and ``more``, under fixed names, so that no other column can clash with internal ones."""
+    """Only the key, the text and ``more``, under fixed names, so that no other column can clash with internal ones.
+
+    From here on the session's Arrow batches hold about ``BATCH_BYTES``, unless it has a limit of its own.
+    """
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return df.select(quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("text"), *[quoted(c).alias(f"more_{i}") for i, c in enumerate(more)])
 
 
