@@ -28,3 +28,11 @@ def test_equal_rows_of_words_have_equal_grams():
     grams = A.gram_hashes(words, 2)
     assert grams[0] == grams[3] and len(set(grams.tolist())) == 4
     assert len(A.gram_hashes(words, 7)) == 0
+
+
+def test_hashes_of_windows_are_those_of_spans():
+    data = np.frombuffer(b"the cat the cat \xff\0\0the", np.uint8)
+    sums = A.prefix_hashes(data)
+    for size in (1, 4, len(data), len(data) + 1):
+        starts = np.arange(max(len(data) - size + 1, 0))
+        assert A.window_hashes(sums, size).tolist() == A.span_hashes(sums, starts, starts + size).tolist()

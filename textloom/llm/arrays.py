@@ -58,7 +58,7 @@ def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts[heads] = inside[heads]
     ends[tails] = inside[tails]
     first = np.flatnonzero(starts)
-    return first, np.flatnonzero(ends) + 1, np.searchsorted(bounds, first, "right") - 1
+    return first, np.flatnonzero(ends) + 1, np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(first, bounds)))
 
 
 def _power(base: int, length: int) -> np.ndarray:
@@ -90,7 +90,9 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums, from which ``span_hashes`` gets the hash of any span."""
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))[: len(data)], out=sums[1:])
+        terms = np.add(data, np.uint64(1), out=sums[1:])
+        np.multiply(terms, _power(_BASE, len(data))[: len(data)], out=terms)
+        np.cumsum(terms, out=terms)
     return sums
 
 
@@ -101,6 +103,14 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def window_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """``span_hashes`` of the ``size`` bytes from each place that has as many."""
+    count = max(len(sums) - size, 0)
+    with np.errstate(over="ignore"):
+        value = (sums[size:] - sums[:count]) * _power(_INVERSE, len(sums))[:count]
+        return mix(value + np.uint64(size * 0xD6E8FEB86659FD93 & _MASK))
+
+
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` word hashes (``len(words) - size + 1`` of them, rows not looked at)."""
     count = len(words) - size + 1

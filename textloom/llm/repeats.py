@@ -26,8 +26,8 @@ _PLACE_BITS = 20
 # Windows of one segment, at most; longer runs are several segments.
 _LONGEST = 512
 
-# Bytes of one symbol of the transforms; must divide WINDOW.
-SYMBOL = 10
+# Bytes of one symbol of the transforms, 5 doubled some times; must divide WINDOW.
+SYMBOL = 20
 # Filters that tell tasks which anchors occur twice and which segments are to be compared: fixed size; a false alarm only brings a segment
 # too many.
 FILTER_BITS = 1 << 27
@@ -46,20 +46,17 @@ def _segments(data: np.ndarray, bounds: np.ndarray):
     count = n - WINDOW + 1
     if count <= 0:
         return [np.zeros(0, np.int64)] * 4
-    starts = np.arange(n - GRAM + 1)
-    least = A.span_hashes(A.prefix_hashes(data), starts, starts + GRAM)
+    least = A.window_hashes(A.prefix_hashes(data), GRAM)
     low = np.uint64((1 << _PLACE_BITS) - 1)
-    least = (least & ~low) | (starts.astype(np.uint64) & low)
-    span = 1
+    least &= ~low
+    least |= np.arange(len(least), dtype=np.uint64) & low
+    span, other = 1, np.empty_like(least)
     while span < _INSIDE:
         step = min(span, _INSIDE - span)
-        least = np.minimum(least[:-step], least[step:])
+        least, other = np.minimum(least[:-step], least[step:], out=other[: len(least) - step]), least
         span += step
-    whole = np.zeros(count + 1, np.int64)
     first, last = bounds[:-1], np.maximum(bounds[1:] - WINDOW + 1, bounds[:-1])
-    np.add.at(whole, np.minimum(first, count), 1)
-    np.add.at(whole, np.minimum(last, count), -1)
-    inside = np.cumsum(whole[:-1]) > 0
+    inside = np.repeat(np.tile([True, False], len(first)), np.stack([last - first, bounds[1:] - last], 1).ravel())[:count]
     fresh = inside.copy()
     fresh[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
     # A row whose windows adjoin the row before it starts a run of its own.
@@ -134,17 +131,20 @@ def _strings(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     the symbols of each segment begin.
     """
     lengths = np.array([len(s) for s in segments])
-    data = np.frombuffer(b"".join(s + bytes(SYMBOL) for s in segments) + bytes(8), np.uint8)
+    data = np.frombuffer(b"".join(s + bytes(SYMBOL) for s in segments) + bytes(2 * SYMBOL), np.uint8)
     begins = np.cumsum(lengths + SYMBOL) - lengths - SYMBOL
     owner = np.repeat(np.arange(len(segments)), lengths)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = begins[owner] + inner
-    # Exact ranks of the bytes read from each place, five and then two at a time.
-    rank = np.zeros(len(at), np.int64)
-    for first, stop in zip([0, *range(5, SYMBOL, 2)], [*range(5, SYMBOL, 2), SYMBOL]):
-        for i in range(first, stop):
-            rank = (rank << 8) | data[at + i]
-        rank = _ranked(rank)
+    # Exact ranks of the bytes read from each place: five, then twice as many each time. What closes a segment keeps the next one out.
+    rank = np.zeros(len(data) - SYMBOL, np.int64)
+    for i in range(5):
+        rank = (rank << 8) | data[i : i + len(rank)]
+    rank, size = _ranked(rank), 5
+    while size < SYMBOL:
+        rank = _ranked(rank[:-size] * (int(rank.max()) + 1) + rank[size:])
+        size *= 2
+    rank = rank[at]
     phases = np.arange(SYMBOL)
     counts = (lengths[:, None] - phases + SYMBOL - 1) // SYMBOL + 1  # and the closing symbol
     counts = np.maximum(counts, 1)
