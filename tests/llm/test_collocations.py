@@ -3,8 +3,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from textloom.llm import arrays as A
 from textloom.llm import collocations as C
 
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -110,3 +112,12 @@ def test_odd_rows(odd, nothing):
     check(odd, least_count=2, top=50)
     empty = C.collocations(nothing)
     assert empty.count() == 0 and empty.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_words_know_how_many_more_follow_in_their_piece():
+    part = pa.RecordBatch.from_pydict({"text": pa.array(["a b. c d e", "", "f", ".!g\th\n\ni."]), "more_0": pa.array(["en", "en", "de", "de"])})
+    ((rows, data, bounds),) = A.blocks([part])
+    words = C._Words(rows, data, bounds)
+    assert words.after.tolist() == [1, 0, 2, 1, 0, 0, 1, 0, 0]
+    assert words.piece.tolist() == [0, 0, 1, 1, 1, 2, 3, 3, 4]
+    assert words.row.tolist() == [0] * 5 + [2] + [3] * 3

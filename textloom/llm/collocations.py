@@ -49,20 +49,24 @@ class _Words:
     """The words of a block: hashes that differ by language, rows, and how many more words follow in the same piece."""
 
     def __init__(self, part: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray):
-        self.data = A.LOWER[data]
-        self.start, self.end, self.row = A.spans(_IN_WORD[data], bounds)
+        self.data = A.LOWER.take(data)
+        self.start, self.end, self.row = A.spans(_IN_WORD.take(data), bounds)
         languages = part.column("more_0").dictionary_encode()
         salts = np.array([_salt(name) for name in languages.dictionary.to_pylist()], np.uint64)
         self.language = languages.indices.to_numpy(zero_copy_only=False)[self.row]
         self.names = languages.dictionary
         hashes = A.span_hashes(A.prefix_hashes(self.data), self.start, self.end)
         self.hash = A.mix(hashes ^ salts[self.language]) if len(hashes) else hashes
-        breaks = np.cumsum(_BREAKS[data])[self.start]
+        # A piece starts with the first word behind a break and with that of a row.
         count = len(self.hash)
-        self.piece = np.zeros(count, np.int64)
-        if count:
-            self.piece[1:] = np.cumsum((breaks[1:] != breaks[:-1]) | (self.row[1:] != self.row[:-1]))
-        self.after = np.searchsorted(self.piece, self.piece, "right") - np.arange(count) - 1
+        fresh = np.zeros(count + 1, bool)
+        fresh[np.searchsorted(self.start, np.flatnonzero(_BREAKS.take(data)))] = True
+        fresh[1:count] |= self.row[1:] != self.row[:-1]
+        fresh[[0, count]] = True
+        heads = np.flatnonzero(fresh)
+        sizes = np.diff(heads)
+        self.piece = np.repeat(np.arange(len(sizes)), sizes)
+        self.after = np.repeat(heads[1:] - 1, sizes) - np.arange(count)
 
     def grams(self, size: int) -> np.ndarray:
         """The hash of the words from each place, in no way checked for the piece's end."""
@@ -108,7 +112,7 @@ def _counted(words: _Words, size: int, at: np.ndarray, width: int, neighbours: b
     With ``neighbours`` also the least and greatest word before it, 0 where a piece starts.
     """
     hashes = words.grams(size)[at]
-    by = np.argsort(hashes, kind="stable")
+    by = np.argsort(hashes)
     at, hashes = at[by], hashes[by]
     heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     first = at[heads]
