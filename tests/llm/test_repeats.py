@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from odd_inputs import prose
 
 from textloom.llm import repeats as R
@@ -68,6 +70,18 @@ def test_hot_anchors_take_the_other_way_to_the_same_result(spark, monkeypatch):
     check(shared_passages(spark))
 
 
+def test_merging_takes_little_memory_however_many_segments_a_task_has():
+    draw = np.random.default_rng(4)
+    n = 25_000
+    raw = [draw.integers(97, 123, 140, np.uint8).tobytes() for _ in range(n // 2)]
+    columns = {"anchor": np.arange(n) // 2, "key": np.arange(n), "at": np.zeros(n, int), "windows": np.full(n, 41), "bytes": [raw[i // 2] for i in range(n)]}
+    tracemalloc.start()
+    removed = sum(b.num_rows for b in R._merge_batches(iter(pa.RecordBatch.from_pydict(columns).slice(i, 1000) for i in range(0, n, 1000))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert removed == n // 2 and peak < 120e6
+
+
 def test_copies_of_a_text_bring_one_segment_each(spark, monkeypatch):
     words = prose(5, 80).split()
     one, other = " ".join(words), " ".join([*words[:60], "other", *words[61:]])

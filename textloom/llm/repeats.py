@@ -31,8 +31,10 @@ SYMBOL = 20
 # Filters that tell tasks which anchors occur twice and which segments are to be compared: fixed size; a false alarm only brings a segment
 # too many.
 FILTER_BITS = 1 << 27
-# Segments are merged in batches of about so many bytes, from shards of this size.
-BATCH_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
+# Segments are merged in batches of about so many bytes, from shards of this size. A batch takes about 100 times its bytes of a worker's memory.
+BATCH_BYTES, SHARD_BYTES = 1 << 19, 1 << 18
+# Bytes of segments that one task merges, batch by batch, about.
+TASK_BYTES = 4 << 20
 # An anchor with more different segments than this is not one task's work: its windows are grouped one by one.
 HOT_SEGMENTS = 20_000
 
@@ -338,7 +340,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         from_hot = single.join(earliest, "bytes").filter(place != F.col("earliest")).select("key", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))
         removed = removed.unionByName(from_hot)
     total = several.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    by_anchor = mild.repartition(1 + int(total) // (2 * BATCH_BYTES), "anchor").sortWithinPartitions("anchor", "key", "at")
+    by_anchor = mild.repartition(1 + int(total) // TASK_BYTES, "anchor").sortWithinPartitions("anchor", "key", "at")
     removed = removed.unionByName(by_anchor.mapInArrow(_merge_batches, f"key {kind}, low bigint, high bigint"))
 
     runs = removed.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
