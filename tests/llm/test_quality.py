@@ -75,6 +75,20 @@ def test_perplexity_by_the_definition(spark):
     assert np.allclose(by_context, 1, atol=1e-3)
 
 
+def test_models_reach_the_driver_as_columns(spark, monkeypatch):
+    texts = spark.createDataFrame([(prose(i, 40), "en" if i % 2 else "") for i in range(8)], "text string, lang string")
+
+    def refused(*_):
+        raise AssertionError("an object for each n-gram")
+
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(texts), name, refused)
+    models = Q.fit_models(texts, "text", "lang")
+    assert sorted(models) == ["", "en"]
+    for model in models.values():
+        assert all(len(k) == len(s) and (np.diff(k.astype(np.int64)) > 0).all() for k, s in zip(model.keys + model.contexts, model.shares + model.left))
+
+
 def test_bands_reject_noise_and_keep_prose(spark):
     rows = [(i, prose(i, 120), "en") for i in range(150)] + [(200 + i, prose(i, 120, "qzxjkvwp#%&"), "en") for i in range(3)] + [(300, prose(1, 20), "en"), (301, "same three words " * 60, "en")]
     got = {r.doc_id: r for r in Q.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}

@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,16 +195,17 @@ def fit_models(documents: DataFrame, text: str, lang: str) -> dict[str, Language
     totals = priced.groupBy("lang", "n", context.alias("context")).agg(F.sum("c").alias("total"), (F.sum("taken") / F.sum("c")).alias("left"))
     shares = priced.withColumn("context", context).join(totals, ["lang", "n", "context"]).select("lang", "n", "gram", ((F.col("c") - F.col("taken")) / F.col("total")).alias("share"))
 
-    gram_rows = shares.toPandas()
-    context_rows = totals.select("lang", "n", "context", "left").toPandas()
+    # As columns of numbers: rows would be an object each in the driver.
+    gram_rows, context_rows = shares.toArrow(), totals.select("lang", "n", "context", "left").toArrow()
     models = {}
-    for name in sorted(gram_rows["lang"].unique()):
-        mine, ctx = gram_rows[gram_rows["lang"] == name], context_rows[context_rows["lang"] == name]
+    for name in sorted(pc.unique(gram_rows["lang"]).to_pylist()):
         parts: list[list[np.ndarray]] = [[], [], [], []]
         for n in range(1, ORDER + 1):
-            g, c = mine[mine["n"] == n].sort_values("gram"), ctx[ctx["n"] == n].sort_values("context")
-            for part, values, kind in zip(parts, (g["gram"], g["share"], c["context"], c["left"]), (np.uint32, np.float32) * 2):
-                part.append(values.to_numpy(kind))
+            for rows, part in ((gram_rows, 0), (context_rows, 2)):
+                mine = rows.filter(pc.and_(pc.equal(rows["lang"], name), pc.equal(rows["n"], n)))
+                order = np.argsort(mine.column(2).to_numpy())
+                parts[part].append(mine.column(2).to_numpy()[order].astype(np.uint32))
+                parts[part + 1].append(mine.column(3).to_numpy()[order].astype(np.float32))
         models[name] = LanguageModel(*parts)
     return models
 
