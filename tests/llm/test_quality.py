@@ -170,6 +170,34 @@ def test_unit_bits_in_many_chunks_and_no_pair_as_a_row(spark, monkeypatch):
     assert not any(os.path.exists(t.scratch.removeprefix("file:")) for name, t in kept if name in gone)
 
 
+def test_lists_of_units_are_never_all_stored_at_once(spark, monkeypatch):
+    asked, most = {}, [0]
+    store = Q.written
+
+    def kept(df, name, **how):
+        stored = store(df, name, **how)
+        if name == "units-asked":
+            asked[stored.scratch.removeprefix("file:")] = stored.count()
+            most.append(sum(n for folder, n in asked.items() if os.path.exists(folder)))
+        return stored
+
+    monkeypatch.setattr(Q, "written", kept)
+    texts = [(" ".join(chain(i, 40, [f"w{j}" for j in range(30)])), "en", i, -i, 5) for i in range(9)]
+    scored = Q.unit_bits(spark.createDataFrame(texts, "text string, lang string, hash long, other_hash long, salt long").drop("salt"))
+    assert scored.count() == 9 and 0 < max(most) < 0.75 * sum(asked.values())
+
+
+def test_frequent_units_come_first_and_chunks_read_back():
+    rows = pa.RecordBatch.from_pydict({"more_0": ["en", "", "en"], "more_1": [1, 2, 3], "more_2": [4, 5, 6]})
+    units, owner = np.array([9, 7, 7, 7, 5, 9, 7, 1 << 63, 3], np.uint64), np.array([0, 0, 0, 1, 1, 1, 2, 2, 2])
+    r = Q._chunk([(rows, units, owner)]).to_pylist()[0]
+    assert Q._unpacked(r["places"], r["n_places"], np.uint32)[units == 7].tolist() == [0] * 4
+    pairs = Q._Pairs(r)
+    assert pairs.units.tolist() == sorted(set(units.tolist()))
+    got = sorted((int(row), int(pairs.units[pairs.v[p]]), int(pairs.units[pairs.w[p]]), int(t)) for row, p, t in zip(pairs.row, pairs.pair, pairs.times))
+    assert got == [(0, 7, 7, 1), (0, 9, 7, 1), (1, 5, 9, 1), (1, 7, 5, 1), (2, 7, 1 << 63, 1), (2, 1 << 63, 3, 1)]
+
+
 def test_letter_salad_and_shuffled_words_go_in_any_script(spark):
     rows, bad = [], set()
     for lang, letters in (("ru", "абвгдежзиклмнопрстуя"), ("en", "abcdefghiklmnoprstuy")):

@@ -34,20 +34,22 @@ def keyed_texts(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return df.select(quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("text"), *[quoted(c).alias(f"more_{i}") for i, c in enumerate(more)])
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
     """``df`` stored once in the shared folder and read back: later steps neither compute it again nor lose it.
 
-    The shuffle files of the write go with it, not only when the driver happens to collect its garbage.
+    The shuffle files of the write go with it, not only when the driver happens to collect its garbage. With a whole number ``by``, the
+    rows of each of its values lie in a folder of their own.
     """
     spark = df.sparkSession
     folder = scratch_folder(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", compression).parquet(folder)
+        writer = df.write.option("compression", compression)
+        (writer.partitionBy(by) if by else writer).parquet(folder)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    stored = spark.read.schema(df.schema).parquet(folder)
+    stored = spark.read.schema(df.schema).parquet(folder).select(*df.columns)
     stored.scratch = folder
     return stored
 

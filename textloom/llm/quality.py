@@ -42,8 +42,9 @@ CHUNK_BYTES = 1 << 22
 RANGE_PAIRS = 1 << 21
 # Pairs that are scored at once, about; a text is scored whole.
 SCORED_PAIRS = 1 << 16
-# Ranges and chunks are shuffled in so many turns, whatever the input, which bounds the disk taken.
-SLICES = 4
+# Ranges of pairs and chunks are shuffled in so many turns, whatever the input, which bounds the disk taken; units are asked for in
+# ``UNIT_ROUNDS`` and each round's shuffled in two turns.
+PAIR_SLICES, CHUNK_SLICES, UNIT_ROUNDS = 3, 8, 2
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -249,22 +250,35 @@ def _unpacked(data: bytes, count: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, count).T).reshape(-1).view(kind)
 
 
+def _inverse(order: np.ndarray) -> np.ndarray:
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(len(order))
+    return places
+
+
 _CHUNKS = (
-    "chunk bigint, n_pairs bigint, n_units bigint, n_places bigint, langs array<string>, lang binary, hash array<bigint>, other_hash array<bigint>,"
+    "chunk bigint, slice int, n_pairs bigint, n_units bigint, n_places bigint, langs array<string>, lang binary, hash array<bigint>, other_hash array<bigint>,"
     " sizes binary, units binary, places binary"
 )
 
 
 def _chunk(parts: list) -> pa.RecordBatch:
-    """One row for texts of several blocks: their units as places in a list of the different ones. Units differ by language."""
+    """One row for texts of several blocks: their units as places in a list of the different ones. Units differ by language.
+
+    The list has the frequent units first, by powers of two, and those of one power in order: small places and small differences pack well.
+    """
     names = [n for part, _, _ in parts for n in part.column("more_0").to_pylist()]
     langs = sorted(set(names))
-    units, places = np.unique(np.concatenate([u for _, u, _ in parts]), return_inverse=True)
+    units, places, times = np.unique(np.concatenate([u for _, u, _ in parts]), return_inverse=True, return_counts=True)
+    listed = np.argsort(-np.frexp(times)[1], kind="stable")
+    units, places = units[listed], _inverse(listed)[places]
+    chunk = uuid.uuid4().int >> 65
     sizes = np.concatenate([np.bincount(owner, minlength=part.num_rows) for part, _, owner in parts])
     n_pairs = int(np.maximum(sizes - 1, 0).sum())
     number = {name: i for i, name in enumerate(langs)}
     columns = {
-        "chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()),
+        "chunk": pa.array([chunk], pa.int64()),
+        "slice": pa.array([chunk % CHUNK_SLICES], pa.int32()),
         "n_pairs": pa.array([n_pairs], pa.int64()),
         "n_units": pa.array([len(units)], pa.int64()),
         "n_places": pa.array([len(places)], pa.int64()),
@@ -301,16 +315,18 @@ def _chunked(skipped=None):
 
 
 class _Pairs:
-    """The pairs of following units of a chunk.
+    """The pairs of following units of a chunk, whose ``units`` are in order.
 
     ``hashes`` are those of its different pairs, in order, and ``v``, ``w`` the places of their units in ``units``. Of each text's different
     pairs, ``row`` is the text, ``pair`` the place in ``hashes`` and ``times`` how often it stands there.
     """
 
     def __init__(self, r: dict):
-        self.units = np.cumsum(_unpacked(r["units"], r["n_units"], np.uint64), dtype=np.uint64)
+        units = np.cumsum(_unpacked(r["units"], r["n_units"], np.uint64), dtype=np.uint64)
+        order = np.argsort(units)
+        self.units = units[order]
         self.langs, self.lang = r["langs"], _unpacked(r["lang"], len(r["hash"]), np.uint32)
-        places = _unpacked(r["places"], r["n_places"], np.uint32).astype(np.int64)
+        places = _inverse(order)[_unpacked(r["places"], r["n_places"], np.uint32)]
         owner = np.repeat(np.arange(len(r["hash"])), _unpacked(r["sizes"], len(r["hash"]), np.uint32))
         self.unit_lang = np.zeros(len(self.units), np.int64)
         self.unit_lang[places] = self.lang[owner]
@@ -371,7 +387,7 @@ def _pairs_asked(bits: int, part: int):
         for r in _rows(batches):
             pairs = _Pairs(r)
             holders = np.bincount(pairs.pair, minlength=len(pairs.hashes))
-            yield from _by_range(bits, r["chunk"], pairs.hashes, [holders], [], np.zeros(len(holders), np.uint32), part, SLICES)
+            yield from _by_range(bits, r["chunk"], pairs.hashes, [holders], [], np.zeros(len(holders), np.uint32), part, PAIR_SLICES)
 
     return ask
 
@@ -397,8 +413,8 @@ def _heard(r: dict) -> tuple[np.ndarray, np.ndarray]:
     return said >> 1, said & 1 == 1
 
 
-def _units_asked(bits: int):
-    """Per chunk and range of hashes, for each unit there: texts times pairs that begin with it, different such pairs held by 1 to 4 and more
+def _units_asked(bits: int, part: int):
+    """Per chunk and range of hashes of this part, for each unit there: texts times pairs that begin with it, different such pairs held by 1 to 4 and more
     texts, and different pairs that end with it. A pair held by several chunks is told by one."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +425,7 @@ def _units_asked(bits: int):
             values = [np.bincount(pairs.v[pairs.pair], minlength=size)]
             values += [np.bincount(pairs.v[speaks & (np.minimum(c, 5) == n)], minlength=size) for n in range(1, 6)]
             values.append(np.bincount(pairs.w[speaks], minlength=size))
-            yield from _by_range(bits, r["chunk"], pairs.units, values, r["langs"], pairs.unit_lang)
+            yield from _by_range(bits, r["chunk"], pairs.units, values, r["langs"], pairs.unit_lang, part, UNIT_ROUNDS)
 
     return ask
 
@@ -517,7 +533,7 @@ def _chunks_of(texts: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(KeyFilter(copied.value).has(batch.column("more_1").to_numpy().view(np.uint64))))
 
     once = written(rows.mapInArrow(suspects, rows.schema).dropDuplicates(["more_1", "more_2"]), "quality-copied-texts", compression="zstd")
-    chunks = written(rows.mapInArrow(_chunked(copied), _CHUNKS).unionAll(once.mapInArrow(_chunked(), _CHUNKS)).filter("n_pairs > 0"), "unit-chunks")
+    chunks = written(rows.mapInArrow(_chunked(copied), _CHUNKS).unionAll(once.mapInArrow(_chunked(), _CHUNKS)).filter("n_pairs > 0"), "unit-chunks", by="slice")
     released(once)
     return chunks
 
@@ -532,36 +548,38 @@ def unit_bits(texts: DataFrame) -> DataFrame:
 
     Texts are cut into units once and kept as chunks. Chunks ask how many texts hold each of their pairs by sorted 64-bit hashes, one list for
     each range of hashes; where a range is counted, each list is answered in its order. Units are counted in the same way. So no pair or unit
-    is ever a row, and ``SLICES`` bounds what is shuffled at a time.
+    is ever a row. All goes in slices, which bound what is shuffled and stored at a time.
     """
     chunks = _chunks_of(texts.withColumn("salt", F.xxhash64("lang")))
     n_pairs = chunks.agg(F.sum("n_pairs")).first()[0] or 0
     bits = max(-(-n_pairs // RANGE_PAIRS) - 1, 2 * chunks.sparkSession.sparkContext.defaultParallelism).bit_length()
 
-    def sliced(name: str, of) -> list[DataFrame]:
-        return [written(of(i), name) for i in range(SLICES)]
-
-    def some(i: int) -> DataFrame:
-        return chunks.filter(F.col("chunk") % SLICES == i).join(answers, "chunk")
+    def some(i: int, *heard: DataFrame) -> DataFrame:
+        mine = F.col("chunk") % CHUNK_SLICES == i
+        return reduce(lambda rows, table: rows.join(table.filter(mine), "chunk"), heard, chunks.filter(F.col("slice") == i))
 
     def gathered(slices: list[DataFrame], name: str) -> DataFrame:
         answers = reduce(DataFrame.unionAll, slices).filter("chunk is not null")
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "n", "answer")).alias(name))
 
     shape = "chunk bigint, range int, n bigint, answer binary"
-    counted = sliced("pair-counts", lambda i: chunks.mapInArrow(_pairs_asked(bits, i), _ASKED_DDL).groupBy("range").applyInArrow(_pairs_answered(bits), shape))
+    counted = [written(chunks.mapInArrow(_pairs_asked(bits, i), _ASKED_DDL).groupBy("range").applyInArrow(_pairs_answered(bits), shape), "pair-counts") for i in range(PAIR_SLICES)]
     answers = gathered(counted, "answers")
-    asked = sliced("units-asked", lambda i: some(i).mapInArrow(_units_asked(bits), _ASKED_DDL))
-    lists = reduce(DataFrame.unionAll, asked)
-    shape += ", lang string, seen array<double>"
-    units = sliced("unit-counts", lambda i: lists.filter(F.col("range") % SLICES == i).groupBy("range").applyInArrow(_units_answered(bits), shape))
-    released(*asked)
+    shape_of_units = f"{shape}, lang string, seen array<double>"
+    units = []
+    for part in range(UNIT_ROUNDS):
+        asked = [written(some(i, answers).mapInArrow(_units_asked(bits, part), _ASKED_DDL), "units-asked") for i in range(CHUNK_SLICES)]
+        lists = reduce(DataFrame.unionAll, asked)
+        for turn in (part, part + UNIT_ROUNDS):
+            mine = lists.filter(F.col("range") % (2 * UNIT_ROUNDS) == turn)
+            units.append(written(mine.groupBy("range").applyInArrow(_units_answered(bits), shape_of_units), "unit-counts"))
+        released(*asked)
     told = gathered(units, "told")
     seen = reduce(DataFrame.unionAll, units).filter("lang is not null").groupBy("lang").agg(*[F.sum(F.col("seen")[i]).alias(name) for i, name in enumerate(_SEEN)])
     rules = [_discounts(seen.select("lang", *[F.col(name).alias(name[2:]) for name in _SEEN if name.startswith(prefix)]), prefix) for prefix in "de"]
     rules = written(rules[0].join(rules[1], "lang").select("lang", *_RULES), "pair-rules")
     rules = chunks.select("chunk", F.explode("langs").alias("lang")).join(rules, "lang").groupBy("chunk").agg(F.collect_list(F.struct("lang", *_RULES)).alias("rules"))
-    found = sliced("unit-bits", lambda i: some(i).join(told, "chunk").join(rules, "chunk").mapInArrow(_unit_scores, "hash bigint, other_hash bigint, unit_bits double"))
+    found = [written(some(i, answers, told, rules).mapInArrow(_unit_scores, "hash bigint, other_hash bigint, unit_bits double"), "unit-bits") for i in range(CHUNK_SLICES)]
     released(chunks, *counted, *units)
     return reduce(DataFrame.unionAll, found)
 
