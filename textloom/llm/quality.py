@@ -43,8 +43,8 @@ RANGE_PAIRS = 1 << 21
 # Pairs that are scored at once, about; a text is scored whole.
 SCORED_PAIRS = 1 << 16
 # Ranges of pairs and chunks are shuffled in so many turns, whatever the input, which bounds the disk taken; units are asked for in
-# ``UNIT_ROUNDS`` and each round's shuffled in two turns.
-PAIR_SLICES, CHUNK_SLICES, UNIT_ROUNDS = 3, 8, 2
+# ``UNIT_ROUNDS`` and each round's ranges shuffled in ``UNIT_TURNS``.
+PAIR_SLICES, CHUNK_SLICES, UNIT_ROUNDS, UNIT_TURNS = 3, 8, 2, 4
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -570,8 +570,8 @@ def unit_bits(texts: DataFrame) -> DataFrame:
     for part in range(UNIT_ROUNDS):
         asked = [written(some(i, answers).mapInArrow(_units_asked(bits, part), _ASKED_DDL), "units-asked") for i in range(CHUNK_SLICES)]
         lists = reduce(DataFrame.unionAll, asked)
-        for turn in (part, part + UNIT_ROUNDS):
-            mine = lists.filter(F.col("range") % (2 * UNIT_ROUNDS) == turn)
+        for turn in range(part, UNIT_ROUNDS * UNIT_TURNS, UNIT_ROUNDS):
+            mine = lists.filter(F.col("range") % (UNIT_ROUNDS * UNIT_TURNS) == turn)
             units.append(written(mine.groupBy("range").applyInArrow(_units_answered(bits), shape_of_units), "unit-counts"))
         released(*asked)
     told = gathered(units, "told")
